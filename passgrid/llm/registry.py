@@ -7,14 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passgrid.llm.common import documents
+from passgrid.llm.license_scan import scan_licenses
+from passgrid.llm.materialise import materialise
+from passgrid.llm.media import media_columns
+from passgrid.llm.mixing import sample_mixture
 from passgrid.llm.packing import pack
+from passgrid.llm.quality import score_quality, train
 from passgrid.llm.token_counts import count_tokens
+from passgrid.llm.topk_search import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, train(docs, documents(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": lambda spark, sf_dir: count_tokens(documents(spark, sf_dir)),
+    "op3_exact_top_k": lambda spark, sf_dir: top_k(documents(spark, sf_dir, "embeddings")),
+    "op4_license_scan": lambda spark, sf_dir: scan_licenses(documents(spark, sf_dir)),
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": lambda spark, sf_dir: pack(documents(spark, sf_dir)),
+    "op7_token_id_output": lambda spark, sf_dir: materialise(documents(spark, sf_dir)),
+    "op8_source_mixing": lambda spark, sf_dir: sample_mixture(documents(spark, sf_dir)),
+    "op10_media_columns": lambda spark, sf_dir: media_columns(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q.c, d.c) AS BIGINT) AS score
+            FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}

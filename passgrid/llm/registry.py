@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from passgrid.llm.common import documents
+from passgrid.llm.jaccard_join import jaccard_join
 from passgrid.llm.license_scan import scan_licenses
 from passgrid.llm.materialise import materialise
 from passgrid.llm.media import media_columns
 from passgrid.llm.mixing import sample_mixture
 from passgrid.llm.packing import pack
+from passgrid.llm.pii import find_pii
 from passgrid.llm.quality import score_quality, train
 from passgrid.llm.token_counts import count_tokens
 from passgrid.llm.topk_search import top_k
@@ -26,16 +29,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": lambda spark, sf_dir: count_tokens(documents(spark, sf_dir)),
+    "op2_ngram_jaccard_join": lambda spark, sf_dir: jaccard_join(documents(spark, sf_dir)),
     "op3_exact_top_k": lambda spark, sf_dir: top_k(documents(spark, sf_dir, "embeddings")),
     "op4_license_scan": lambda spark, sf_dir: scan_licenses(documents(spark, sf_dir)),
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": lambda spark, sf_dir: pack(documents(spark, sf_dir)),
     "op7_token_id_output": lambda spark, sf_dir: materialise(documents(spark, sf_dir)),
     "op8_source_mixing": lambda spark, sf_dir: sample_mixture(documents(spark, sf_dir)),
+    "op9_pii": lambda spark, sf_dir: find_pii(documents(spark, sf_dir)),
     "op10_media_columns": lambda spark, sf_dir: media_columns(documents(spark, sf_dir)),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": lambda spark, sf_dir: jaccard_join(documents(spark, sf_dir)),
     "op3_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings

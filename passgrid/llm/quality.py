@@ -96,14 +96,14 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     @classmethod
-    def fit(cls, ids: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine:
-        """Mini-batches with per-coordinate step sizes (AdaGrad)."""
+    def fit(cls, ids: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, rank: int, steps: int, rate: float, decay: float, seed: int) -> Machine:
+        """``steps`` mini-batches of 64 rows, all rows in turn (400 times at most), with per-coordinate step sizes (AdaGrad)."""
         rng = np.random.default_rng(seed)
         w, v = np.zeros(N_FEATURES, np.float32), rng.normal(0, 0.05, (N_FEATURES, rank)).astype(np.float32)
         gw, gv, g0 = np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1e-2
         share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
         w0 = float(np.log(share / (1 - share)))
-        for _ in range(epochs if len(labels) else 0):
+        for _ in range(min(400, -(-steps * 64 // len(labels))) if len(labels) else 0):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), 64):
                 rows = order[at : at + 64]
@@ -116,9 +116,9 @@ class Machine:
                 error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]
                 d = (error[owner] * x)[:, None]
                 unique, where = np.unique(i, return_inverse=True)
-                steps = d * (s[owner] - vx)
+                moves = d * (s[owner] - vx)
                 dw = np.bincount(where, d[:, 0]).astype(np.float32)
-                dv = np.stack([np.bincount(where, steps[:, f]) for f in range(rank)], 1).astype(np.float32)
+                dv = np.stack([np.bincount(where, moves[:, f]) for f in range(rank)], 1).astype(np.float32)
                 dw, dv = dw / len(rows) + decay * w[unique], dv / len(rows) + decay * v[unique]
                 gw[unique] += dw * dw
                 gv[unique] += dv * dv
@@ -145,7 +145,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 16_000, rank: int = 8, epochs: int = 5, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 16_000, rank: int = 8, steps: int = 1200, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Fit the machine on at most about ``sample`` labelled rows that are not held out.
 
     The sample is by a hash of the id, so it is the same in every run.  Rows with a null label or
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         ids = [np.frombuffer(b, "<i4").astype(np.int64) for b in table.column("ids").to_pylist()]
         values = [np.frombuffer(b, "<f4") for b in table.column("values").to_pylist()]
-        m = Machine.fit(ids, values, table.column("label").to_numpy(), rank, epochs, rate, decay, seed)
+        m = Machine.fit(ids, values, table.column("label").to_numpy(), rank, steps, rate, decay, seed)
         return pa.table({"w0": pa.array([m.w0]), "w": pa.array([m.w.astype("<f4").tobytes()], pa.binary()), "v": pa.array([m.v.astype("<f4").tobytes()], pa.binary())})
 
     # One task holds the bounded sample; the model (about N_FEATURES * (rank + 1) numbers) is all that the driver gets.

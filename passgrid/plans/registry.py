@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from passgrid.plans import stats
+
+BOOKS = [stats.BOOK]
+QUERIES = {k: v for b in BOOKS for k, v in b.queries.items()}
+ORACLE_SQL = {k: v for b in BOOKS for k, v in b.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["g4_by_checkpoint_officer"](spark, sf_dir)

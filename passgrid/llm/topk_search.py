@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from passgrid.llm.common import col, staged
 
 #: Rows of a data chunk, rows of a query group, rows of a leaf, children of a node at most.
-CHUNK, GROUP, LEAF, FAN_OUT = 4096, 512, 64, 16
+CHUNK, GROUP, LEAF, FAN_OUT = 4096, 512, 256, 16
 
 
 def farthest_first(points: np.ndarray, most: int, radius: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -73,29 +73,40 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query so far; ties to the smaller id."""
+    """The k best (score, id) of each query so far; ties to the smaller id.
+
+    What reaches a query's worst kept score waits in a list, which is merged when it has grown to
+    a few times what can be kept.
+    """
 
     def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
-        self.query_ids, self.k, self.floor = ids, k, floor
-        self.scores = np.full((len(ids), k), -(2**63), np.int64)
-        self.ids = np.full((len(ids), k), 2**63 - 1, np.int64)
-        self.filled = np.zeros((len(ids), k), bool)
+        self.query_ids, self.k, self.least = ids, k, floor.astype(float)
+        self.kept = [np.zeros(0, np.int64)] * 3  # query row, candidate id, score
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.n_waiting = 0
 
     def worst(self, rows: np.ndarray) -> float:
-        return float(np.maximum(np.where(self.filled[rows, -1], self.scores[rows, -1].astype(float), -np.inf), self.floor[rows]).min())
+        return float(self.least[rows].min())
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        valid = ids[None, :] != self.query_ids[rows][:, None]
-        some = (valid & (scores >= np.maximum(self.floor[rows], np.where(self.filled[rows, -1], self.scores[rows, -1], -np.inf))[:, None])).any(1)
-        rows, scores, valid = rows[some], scores[some], valid[some]
-        if not len(rows):
-            return
-        s = np.concatenate([self.scores[rows], scores], 1)
-        i = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], 1)
-        f = np.concatenate([self.filled[rows], valid], 1)
-        take = np.lexsort((i, np.invert(s), ~f), axis=1)[:, : self.k]  # ~s orders longs downwards
-        pick = lambda a: np.take_along_axis(a, take, 1)
-        self.scores[rows], self.ids[rows], self.filled[rows] = pick(s), pick(i), pick(f)
+        reach = (scores >= self.least[rows][:, None]) & (ids[None, :] != self.query_ids[rows][:, None])
+        r, c = np.nonzero(reach)
+        self.waiting.append((rows[r], ids[c], scores[r, c]))
+        self.n_waiting += len(r)
+        if self.n_waiting > 4 * self.k * len(self.query_ids):
+            self.merge()
+
+    def merge(self) -> list[np.ndarray]:
+        rows, ids, scores = (np.concatenate([a, *b]) for a, b in zip(self.kept, zip(*self.waiting, strict=True), strict=True)) if self.waiting else self.kept
+        order = np.lexsort((ids, np.invert(scores), rows))  # ~score orders longs downwards
+        rows, ids, scores = rows[order], ids[order], scores[order]
+        sizes = np.bincount(rows, minlength=len(self.query_ids))
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        last = place == self.k - 1
+        self.least[rows[last]] = np.maximum(self.least[rows[last]], scores[last])
+        self.kept = [a[place < self.k] for a in (rows, ids, scores)]
+        self.waiting, self.n_waiting = [], 0
+        return self.kept
 
 
 def dual_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best: Best) -> None:
@@ -222,9 +233,10 @@ def _search(k: int):
                 floor = np.frombuffer(group["floors"]) if group["floors"] else np.full(len(query_ids), -np.inf)
                 best = Best(query_ids, k, floor)
                 dual_search(CoverTree(_same_width(queries, width)), tree, ids, best)
-                found[0].append(np.repeat(query_ids, k)[best.filled.ravel()])
-                found[1].append(best.ids[best.filled])
-                found[2].append(best.scores[best.filled])
+                kept_rows, kept_ids, kept_scores = best.merge()
+                found[0].append(query_ids[kept_rows])
+                found[1].append(kept_ids)
+                found[2].append(kept_scores)
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, flat), strict=True)))
 

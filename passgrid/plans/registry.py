@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passgrid.plans import stats
+from passgrid.plans import links, stats
 
-BOOKS = [stats.BOOK]
+BOOKS = [stats.BOOK, links.BOOK]
 QUERIES = {k: v for b in BOOKS for k, v in b.queries.items()}
 ORACLE_SQL = {k: v for b in BOOKS for k, v in b.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["g4_by_checkpoint_officer"](spark, sf_dir)
+    return QUERIES["flagship_alerts"](spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passgrid.functions.identifiers import characters, norm
 
@@ -73,7 +74,7 @@ def same_initials(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, fits), lambda x: F.coalesce(x, F.lit(False)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all of them, matches by longest common blocks."""
     from difflib import SequenceMatcher
@@ -81,7 +82,7 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; for columns that may hold non-ASCII forms."""
     return s.str.normalize("NFKC")

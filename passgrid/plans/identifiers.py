@@ -83,7 +83,7 @@ add("d19_code_payloads", lambda s, d: extraction.code_payload(identifiers(s, d).
 add("d20_redaction", lambda s, d: views.table(s, d, "documents").select("doc_id", F.sha2(X.redacted(F.col("text"), X.MORE_REDACTIONS), 256).alias("digest"), X.redacted(F.col("text")).contains("[REDACTED").alias("secret")).where("secret OR doc_id % 3 = 0").select("doc_id", "digest"))
 add("d20_redact_addresses", lambda s, d: views.table(s, d, "documents").select("doc_id", F.length(X.redacted(F.col("text"), X.MORE_REDACTIONS[1:])).alias("n")), r"SELECT doc_id, CAST(length(regexp_replace(regexp_replace(text, '\b[0-9]{16}\b', '[REDACTED_NUMBER]', 'g'), '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}', '[REDACTED_PHONE]', 'g')) AS INTEGER) AS n FROM documents")
 add("d21_tool_signatures", lambda s, d: extraction.tool_signatures(views.table(s, d, "pages").select("page_id", F.concat(F.col("html"), F.element_at(F.array(*[F.lit(x) for x in ("made with Adobe Photoshop and DALL-E", "GIMP 2", "Skia/PDF qpdf", "none")]), (F.col("page_id") % 4 + 1).cast("int"))).alias("meta")), "page_id", "meta"),
-    "SELECT page_id, ['dall-e', 'gimp', 'skia/pdf'][CAST(page_id % 4 AS INTEGER) + 1] AS tool, ['ai', 'edited', 'utility'][CAST(page_id % 4 AS INTEGER) + 1] AS kind, [0.95, 0.85, 0.5]::DOUBLE[][CAST(page_id % 4 AS INTEGER) + 1] AS confidence FROM pages WHERE page_id % 4 < 3")
+    "SELECT page_id, ['dall-e', 'gimp', 'skia/pdf'][CAST(page_id % 4 AS INTEGER) + 1] AS tool, ['ai', 'edited', 'utility'][CAST(page_id % 4 AS INTEGER) + 1] AS kind, [0.95::DOUBLE, 0.85::DOUBLE, 0.5::DOUBLE][CAST(page_id % 4 AS INTEGER) + 1] AS confidence FROM pages WHERE page_id % 4 < 3")
 add("d22_term_counts", lambda s, d: extraction.term_counts(views.table(s, d, "documents").where("lang = 'en'"), "doc_id", "text").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("docs >= 3"),
     r"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9_]+')) AS term FROM documents WHERE lang = 'en') WHERE length(term) > 1 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 add("d23_times", lambda s, d: views.reports(s, d).select("id", X.utc_epoch(F.when(F.col("id") % 5 == 0, "bad").otherwise(F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")))).alias("epoch"), F.hour(F.from_utc_timestamp("created_at", "Asia/Kolkata")).alias("hour")),

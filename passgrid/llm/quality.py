@@ -206,4 +206,5 @@ def keep_good(docs: DataFrame, model: Machine, text_col: str = "text", threshold
         for batch in batches:
             yield batch.filter(pa.array([machine.score(*features(t)) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots, which the Arrow map does not take
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

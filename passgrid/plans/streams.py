@@ -30,7 +30,7 @@ ACTIONS = ["approve", "flag", "clear", "reject", "close"]
 
 
 def session_events(s, d):
-    return views.table(s, d, "events").select((F.col("event_id") % 400).alias("session_id"), "ts", "event_id", F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), (F.col("user_id") % 5 + 1).cast("int")).alias("action"))
+    return views.table(s, d, "events").select((F.col("event_id") % 400).alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), (F.col("user_id") % 5 + 1).cast("int")).alias("action"))
 
 
 add("t7_lifecycle", lambda s, d: jobs.lifecycle_batch(session_events(s, d)),

@@ -112,7 +112,7 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.concat(F.lit("CP"), (F.col("user_id") % 12).cast("string")).alias("checkpoint"),
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.concat(F.lit("CP"), (F.col("user_id") % 12).cast("string")).alias("checkpoint"),
         (F.col("event_type") == "error").alias("suspicious"), F.col("user_id"), F.sha2(F.get_json_object("props", "$.k"), 256).alias("identifier_hash"), "event_type",
     )
 

@@ -42,7 +42,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_ngram_jaccard_join": lambda spark, sf_dir: jaccard_join(documents(spark, sf_dir)),
     "op3_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings

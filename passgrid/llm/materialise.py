@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -101,57 +102,66 @@ def _sequences(tokenizer: str, end_id: int, length: int, dtype: str):
     return run
 
 
-def _slots(size: int, key: int, bases: dict[int, int]):
+CHUNK_SCHEMA = "shard long, slots array<long>, n_tokens array<int>, first_doc_ids array<long>, last_doc_ids array<long>, data binary"
+
+
+def _slots(size: int, key: int, bases: dict[int, int], per_shard: int, stride: int):
+    """Sequences with their slots, those of a batch that go to one shard as one compressed row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch.column("part").to_numpy()
-            base = np.array([bases[p] for p in parts.tolist()], np.int64)
-            number = base + batch.column("place").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(feistel(number, size, key)), *[batch.column(n) for n in ("first_doc_id", "last_doc_id", "n_tokens", "ids")]],
-                names=["slot", "first_doc_id", "last_doc_id", "n_tokens", "ids"],
-            )
+            base = np.array([bases[p] for p in batch.column("part").to_pylist()], np.int64)
+            slots = feistel(base + batch.column("place").to_numpy(), size, key)
+            columns = [np.array(batch.column(n).to_pylist(), object) for n in ("n_tokens", "first_doc_id", "last_doc_id", "ids")]
+            order = slots.argsort()
+            cuts = np.nonzero(np.diff(slots[order] // per_shard))[0] + 1
+            rows = []
+            for some in np.split(order, cuts) if len(order) else []:
+                n, first, last, ids = (c[some] for c in columns)
+                data = b"".join([x.ljust(stride, b"\0") for x in ids])
+                rows.append((int(slots[some[0]] // per_shard), slots[some].tolist(), n.tolist(), first.tolist(), last.tolist(), zstandard.compress(data, 3)))
+            longs = pa.list_(pa.int64())
+            types = [pa.int64(), longs, pa.list_(pa.int32()), longs, longs, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 
     return run
 
 
-def _write_shards(path: str, per_shard: int, stride: int):
-    """Rows come sorted by slot and a shard's rows come together; a shard appears under its name when whole."""
+def _write_shards(path: str, per_shard: int, stride: int, length: int):
+    """Rows come sorted by shard; a shard (per_shard strides) is put in order, written, and named when whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        context = TaskContext.get()
-        open_shard, out, done = None, None, None
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                store.move(done[0], done[1])
+        attempt = TaskContext.get().taskAttemptId()
+        held: list[dict] = []
+
+        def shard() -> pa.RecordBatch:
+            number = held[0]["shard"]
+            flat = [np.array([x for row in held for x in row[n]], object) for n in ("slots", "n_tokens", "first_doc_ids", "last_doc_ids")]
+            data = np.concatenate([np.frombuffer(zstandard.decompress(row["data"]), np.uint8).reshape(-1, stride) for row in held])
+            order = flat[0].astype(np.int64).argsort()
+            slots, n, first, last = (c[order] for c in flat)
+            temporary = f"{root}/_writing-{number:09d}-{attempt}"
+            crcs, width = [], stride // length
+            with store.open_output_stream(temporary) as out:
+                for i, k in zip(order, n, strict=True):
+                    out.write(data[i].tobytes())
+                    crcs.append(zlib.crc32(data[i, : k * width].tobytes()))
+            store.move(temporary, f"{root}/shard-{number:09d}.bin")
+            slots = slots.astype(np.int64)
+            names = ["slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32"]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slots), pa.array(slots // per_shard), pa.array(slots % per_shard * stride), pa.array(list(n), pa.int32()), pa.array(list(first), pa.int64()), pa.array(list(last), pa.int64()), pa.array(crcs, pa.int64())], names=names
+            )
 
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            crcs = []
-            for slot, ids in zip(slots.tolist(), batch.column("ids"), strict=True):
-                shard = slot // per_shard
-                if shard != open_shard:
-                    close()
-                    name = f"{root}/shard-{shard:09d}.bin"
-                    done = f"{root}/_writing-{shard:09d}-{context.taskAttemptId()}", name
-                    open_shard, out = shard, store.open_output_stream(done[0])
-                data = ids.as_buffer().to_pybytes()
-                crcs.append(zlib.crc32(data))
-                out.write(data + bytes(stride - len(data)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("slot"),
-                    pa.array(slots // per_shard),
-                    pa.array(slots % per_shard * stride),
-                    *[batch.column(n) for n in ("n_tokens", "first_doc_id", "last_doc_id")],
-                    pa.array(crcs, pa.int64()),
-                ],
-                names=["slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32"],
-            )
-        close()
+            for row in batch.to_pylist():
+                if held and held[0]["shard"] != row["shard"]:
+                    yield shard()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield shard()
 
     return run
 
@@ -193,10 +203,10 @@ def materialise(
     for part, n in counts:
         bases[part], size = size, size + n
     stride = length * np.dtype(dtype).itemsize
-    placed = sequences.mapInArrow(_slots(size, key, bases), "slot long, first_doc_id long, last_doc_id long, n_tokens int, ids binary")
-    ranges = placed.repartition(max(1, -(-size // per_shard)), F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot")
+    placed = sequences.mapInArrow(_slots(size, key, bases, per_shard, stride), CHUNK_SCHEMA)
+    ranges = placed.repartition(max(1, -(-size // per_shard)), "shard").sortWithinPartitions("shard")
     spark.createDataFrame([(size, length, stride, per_shard, dtype, key)], "sequences long, length long, stride long, per_shard long, dtype string, key long").coalesce(1).write.json(f"{path}/manifest")
-    return staged(ranges.mapInArrow(_write_shards(path, per_shard, stride), OUTPUT_SCHEMA), "shard-index")
+    return staged(ranges.mapInArrow(_write_shards(path, per_shard, stride, length), OUTPUT_SCHEMA), "shard-index")
 
 
 def read_slots(spark: SparkSession, path: str, first: int = 0, count: int | None = None) -> Iterator[tuple[int, np.ndarray]]:

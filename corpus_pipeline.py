@@ -32,7 +32,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that source, language and topic meet their target shares."""
+    """Documents drawn so that source, language and topic meet their target shares, as far as none is repeated."""
     return sample_mixture(docs, whole_rows=True)
 
 

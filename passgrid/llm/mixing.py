@@ -2,8 +2,10 @@
 
 The corpus enters as token totals per cell (source, language, topic).  Raking scales the cells
 until their shares meet all target marginals; what a cell was scaled by is the weight of its
-tokens.  Documents are then sampled by probabilities proportional to the weights, calibrated so
-that the expected size is the one asked for, none above one.
+tokens.  Documents are then sampled without repetition, so a cell gives no more than it has:
+raking goes on with such cells held at their size until the expected sample meets the marginals.
+A value that has fewer tokens than its target share of the sample is taken whole, and the others
+of its dimension share what is left in proportion to their targets.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from passgrid.llm.common import col, staged
 NONE = "(none)"
 #: Above so many cells they are raked as a table by Spark, and joined without a broadcast.
 DRIVER_CELLS = 50_000
+#: Rounds of raking at most.
+ROUNDS = 200
+#: Scale of cells that are taken whole because a value of theirs is.
+WHOLE = 1e150
 
 
 def topic_of(text: Column) -> Column:
@@ -37,7 +43,7 @@ def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / sum(weights.values()) for k, v in weights.items()}
 
 
-def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = 1e-10) -> np.ndarray:
     """Cell totals scaled until every marginal's shares are the targets' (of the values that occur)."""
     w = cells / max(cells.sum(), 1e-300)
     for _ in range(rounds):
@@ -81,6 +87,62 @@ def calibrated(sizes: np.ndarray, factors: np.ndarray, share: float) -> float:
     return float("inf")
 
 
+def reachable(have: np.ndarray, target: np.ndarray, want: float) -> np.ndarray:
+    """Tokens of each value in a sample of ``want`` tokens: in proportion to the targets, but no more than the value has."""
+    factors = np.divide(target, have, out=np.zeros_like(have), where=have > 0)
+    c = calibrated(have, factors, want / max(have.sum(), 1e-300))
+    return np.where(factors > 0, have * np.minimum(1.0, c * np.where(factors > 0, factors, 1.0)), 0.0)
+
+
+def rake_held(cells: np.ndarray, scales: np.ndarray, codes: list[np.ndarray], amounts: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = 1e-10) -> np.ndarray:
+    """Scales g for which the sums of cells * min(1, g) are the amounts of every marginal.
+
+    Cells at one or above are held at their size, those of a value taken whole throughout.  A step
+    never passes an amount, as the sums are concave in the scale: from below it goes by the cells
+    that are not held, from above by all but the whole ones.
+    """
+    g, total = scales.copy(), max(cells.sum(), 1e-300)
+    for code, want in zip(codes, amounts, strict=True):
+        g[(want >= np.bincount(code, cells, len(want)) * (1 - 1e-12))[code]] = WHOLE
+    whole = [np.bincount(code, np.where(g == WHOLE, cells, 0.0), len(want)) for code, want in zip(codes, amounts, strict=True)]
+    for _ in range(rounds):
+        worst = 0.0
+        for code, want, fixed in zip(codes, amounts, whole, strict=True):
+            held = np.bincount(code, np.where(g >= 1, cells, 0.0), len(want))
+            free = np.bincount(code, np.where(g >= 1, 0.0, cells * g), len(want))
+            worst = max(worst, float(np.abs(held + free - want).max(initial=0)) / total)
+            up = np.divide(want - held, free, out=np.ones_like(free), where=free > 0)
+            kept = np.where(want > fixed, fixed, 0.0)
+            down = np.divide(want - kept, held + free - kept, out=np.ones_like(free), where=held + free > kept)
+            g = np.where(g == WHOLE, g, g * np.where(held + free < want, up, down)[code])
+        if worst < tolerance:
+            break
+    return g
+
+
+def _rake_held_table(cells: DataFrame, dims: list[str], amounts: dict[str, DataFrame], total: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same over a table of cells with their scales ``g``; lineage is cut every round."""
+    full = F.col("g") >= 1
+    sums = [F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("g"))).alias("free")]
+    sums.append(F.sum(F.when(F.col("g") == WHOLE, F.col("tokens")).otherwise(0.0)).alias("fixed"))
+    have = F.col("held") + F.col("free")
+    kept = F.when(F.col("want") > F.col("fixed"), F.col("fixed")).otherwise(0.0)
+    factor = F.when((have < F.col("want")) & (F.col("free") > 0), (F.col("want") - F.col("held")) / F.col("free")).when((have > F.col("want")) & (have > kept), (F.col("want") - kept) / (have - kept)).otherwise(1.0)
+    for d in dims:
+        taken = cells.groupBy(d).agg(F.sum("tokens").alias("have")).join(amounts[d], d).where(F.col("want") >= F.col("have") * (1 - 1e-12)).select(d, F.lit(WHOLE).alias("whole"))
+        cells = cells.join(taken, d, "left").withColumn("g", F.coalesce("whole", "g")).drop("whole")
+    cells = staged(cells, "held")
+    for _ in range(rounds):
+        for d in dims:
+            step = cells.groupBy(d).agg(*sums).join(amounts[d], d, "left").withColumn("want", F.coalesce("want", F.lit(0.0))).select(d, factor.alias("factor"))
+            cells = cells.join(step, d).withColumn("g", F.when(F.col("g") == WHOLE, F.col("g")).otherwise(F.col("g") * F.col("factor"))).drop("factor")
+        cells = staged(cells, "held")
+        errors = [cells.groupBy(d).agg(*sums).join(amounts[d], d).agg(F.max(F.abs(have - F.col("want")))).first()[0] or 0.0 for d in dims]
+        if max(errors) < tolerance * total:
+            break
+    return cells
+
+
 def mixture(
     docs: DataFrame,
     dims: list[str],
@@ -93,6 +155,9 @@ def mixture(
 ) -> DataFrame:
     """Add ``mix_weight`` (the factor of the row's cell) and ``mix_probability`` to every row.
 
+    The weights meet the targets exactly; the probabilities meet them as far as no row is taken
+    twice, at an expected size of ``share`` of all tokens.
+
     ``targets`` has shares per value of a dimension; a dimension without gets its observed shares
     to ``power``.  Shares of values that do not occur are spread over the others in proportion.
     A null in a dimension is the value "(none)", a null weight is 0.  Rows of cells that no
@@ -117,27 +182,46 @@ def mixture(
         codes = [np.array([names[d][r[keys[d]]] for r in rows]) for d in dims]
         w = rake(sizes, codes, [np.array([marginals[d].get(k, 0.0) for k in names[d]]) for d in dims], tolerance=tolerance)
         factors = w / sizes * sizes.sum()
-        c = calibrated(sizes, factors, share)
+        live, c = np.where(factors > 0, sizes, 0.0), calibrated(sizes, factors, share)
+        taken = np.where(factors > 0, 1.0, 0.0)
+        if np.isfinite(c):  # else all that is wanted is taken whole
+            amounts = [reachable(np.bincount(code, live, len(names[d])), np.array([marginals[d].get(k, 0.0) for k in names[d]]), share * sizes.sum()) for d, code in zip(dims, codes, strict=True)]
+            scales = rake_held(live, c * factors, codes, amounts, tolerance=tolerance)
+            last = calibrated(sizes, scales, share)
+            taken = np.minimum(taken, last * scales if np.isfinite(last) else 1.0)
         table = spark.createDataFrame(
-            [(*(r[keys[d]] for d in dims), float(f), float(min(1.0, c * f)) if f else 0.0) for r, f in zip(rows, factors, strict=True)],
+            [(*(r[keys[d]] for d in dims), float(f), float(p)) for r, f, p in zip(rows, factors, taken, strict=True)],
             ", ".join(f"{keys[d]} string" for d in dims) + ", mix_weight double, mix_probability double",
         )
         joined = keyed.join(F.broadcast(table), list(keys.values()), "left")
     else:
         wanted = {d: spark.createDataFrame(list(marginals[d].items()), f"{keys[d]} string, target double") for d in dims}
-        raked = _rake_table(cells, list(keys.values()), {keys[d]: wanted[d] for d in dims}, 50, tolerance)
+        raked = _rake_table(cells, list(keys.values()), {keys[d]: wanted[d] for d in dims}, ROUNDS, tolerance)
         total = raked.agg(F.sum("tokens")).first()[0]
         table = staged(raked.select(*keys.values(), "tokens", (F.col("w") / F.col("tokens") * total).alias("mix_weight")), "factors")
-        low, high = 0.0, 1.0
-        size_at = lambda c: table.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), c * F.col("mix_weight")))).first()[0]
-        most = table.where("mix_weight > 0").agg(F.sum("tokens")).first()[0]
+        live = table.where("mix_weight > 0")
+        most = live.agg(F.sum("tokens")).first()[0]
         want = min(share * total, most * (1 - 1e-9))
-        while size_at(high) < want:
-            low, high = high, high * 2
-        for _ in range(40):
-            middle = (low + high) / 2
-            low, high = (middle, high) if size_at(middle) < want else (low, middle)
-        table = table.select(*keys.values(), "mix_weight", F.least(F.lit(1.0), high * F.col("mix_weight")).alias("mix_probability"))
+
+        def scale(scaled: DataFrame, by: str) -> float:
+            """The factor of the column for which the sample has the wanted size."""
+            size_at = lambda c: scaled.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), c * F.col(by)))).first()[0]
+            low, high = 0.0, 1.0
+            while size_at(high) < want:
+                low, high = high, high * 2
+            for _ in range(40):
+                middle = (low + high) / 2
+                low, high = (middle, high) if size_at(middle) < want else (low, middle)
+            return high
+
+        amounts = {}
+        for d in dims:
+            have = {r[0]: r[1] for r in live.groupBy(keys[d]).agg(F.sum("tokens")).collect()}
+            most_of = reachable(np.array(list(have.values())), np.array([marginals[d].get(k, 0.0) for k in have]), want)
+            amounts[keys[d]] = spark.createDataFrame([(k, float(x)) for k, x in zip(have, most_of, strict=True)], f"{keys[d]} string, want double")
+        held = _rake_held_table(live.withColumn("g", scale(live, "mix_weight") * F.col("mix_weight")), list(keys.values()), amounts, total, ROUNDS, tolerance)
+        last = scale(held, "g")
+        table = held.select(*keys.values(), "mix_weight", F.least(F.lit(1.0), last * F.col("g")).alias("mix_probability"))
         joined = keyed.join(table, list(keys.values()), "left")
     return joined.select(*[col(c) for c in docs.columns], F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"), F.coalesce("mix_probability", F.lit(0.0)).alias("mix_probability"))
 

@@ -286,6 +286,22 @@ def test_mixing_table_and_driver_agree(spark, docs, hard, none):
     assert sample_mixture(none).count() == 0
 
 
+def test_sample_meets_marginals(spark):
+    """Expected shares of the sample, where single cells are smaller than their raked weight asks for."""
+    sizes = {("a", "x"): 40, ("a", "y"): 400, ("b", "x"): 160, ("b", "y"): 100, ("c", "x"): 300}
+    rows = spark.createDataFrame([(*k, 1) for k, n in sizes.items() for _ in range(n)], "s string, l string, w long")
+    for targets in ({"s": {"a": 0.25, "b": 0.4, "c": 0.35}, "l": {"x": 0.65, "y": 0.35}}, {"s": {"a": 0.3, "b": 0.6, "c": 0.1}, "l": {"x": 0.45, "y": 0.55}}):
+        for cells in (50_000, 0) if targets["s"]["b"] == 0.6 else (50_000,):
+            got = mixture(rows, ["s", "l"], "w", targets, share=0.6, driver_cells=cells).collect()
+            assert abs(sum(r.mix_probability for r in got) - 600) < 1e-5 and all(0 <= r.mix_probability <= 1 for r in got)
+            want = {"s": dict(targets["s"]), "l": targets["l"]}
+            if targets["s"]["b"] == 0.6:  # 360 are asked for and 260 are there: the others share the rest
+                want["s"] = {"a": (340 * 3 / 4) / 600, "b": 260 / 600, "c": (340 / 4) / 600}
+            for d, shares in want.items():
+                for v, x in shares.items():
+                    assert abs(sum(r.mix_probability for r in got if r[d] == v) / 600 - x) < 1e-6, (targets, cells, d, v)
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0

@@ -10,11 +10,16 @@ of its dimension share what is left in proportion to their targets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from passgrid.llm.common import col, staged
+from passgrid.llm.wordpieces import word_tokenizer
 
 NONE = "(none)"
 #: Above so many cells they are raked as a table by Spark, and joined without a broadcast.
@@ -37,6 +42,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def with_tokens(docs: DataFrame, text_col: str, name: str, tokenizer: str) -> DataFrame:
+    """The other columns, and the tokens of the whole text; a null text has none."""
+    others = [c for c in docs.columns if c != text_col]
+    schema = StructType([docs.schema[c] for c in others]).add(name, LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = word_tokenizer(tokenizer)
+        for batch in batches:
+            n = [len(own.ids(t)) // 4 if t else 0 for t in batch.column(len(others)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*others, name])
+
+    return docs.select(*[col(c) for c in others], col(text_col)).mapInArrow(run, schema)
+
+
 def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
     """Target shares: observed shares to a power below one, which lifts rare values."""
     weights = {k: v**power for k, v in totals.items() if v > 0}
@@ -152,6 +171,7 @@ def mixture(
     share: float = 0.6,
     driver_cells: int = DRIVER_CELLS,
     tolerance: float = 1e-9,
+    weighed: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``mix_weight`` (the factor of the row's cell) and ``mix_probability`` to every row.
 
@@ -161,13 +181,15 @@ def mixture(
     ``targets`` has shares per value of a dimension; a dimension without gets its observed shares
     to ``power``.  Shares of values that do not occur are spread over the others in proportion.
     A null in a dimension is the value "(none)", a null weight is 0.  Rows of cells that no
-    target wants get weight 0.  An empty table stays empty.
+    target wants get weight 0.  An empty table stays empty.  ``weighed`` has the dimensions and
+    weights of the same rows, where ``docs`` has no weights.
     """
     spark = docs.sparkSession
     value = {d: F.coalesce(col(d).cast("string"), F.lit(NONE)) for d in dims}
     keys = {d: f"__cell_{i}" for i, d in enumerate(dims)}
     keyed = docs.select("*", *[value[d].alias(keys[d]) for d in dims])
-    cells = staged(keyed.groupBy(*keys.values()).agg(F.sum(F.coalesce(col(weight).cast("double"), F.lit(0.0))).alias("tokens")).where("tokens > 0"), "cells")
+    summed = keyed if weighed is None else weighed.select("*", *[value[d].alias(keys[d]) for d in dims])
+    cells = staged(summed.groupBy(*keys.values()).agg(F.sum(F.coalesce(col(weight).cast("double"), F.lit(0.0))).alias("tokens")).where("tokens > 0"), "cells")
     marginals = {}
     for d in dims:  # a marginal has a row per value of one dimension
         have = {r[0]: r[1] for r in cells.groupBy(keys[d]).agg(F.sum("tokens")).collect()}
@@ -234,21 +256,26 @@ def drawn(key: Column, probability: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < probability
 
 
-def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, share: float = 0.6, seed: int = 11, whole_rows: bool = False) -> DataFrame:
-    """Sample documents so that their words meet the target shares of source, language and topic.
+def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, share: float = 0.6, seed: int = 11, whole_rows: bool = False, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    """Sample documents so that their tokens meet the target shares of source, language and topic.
 
-    Returns the sampled rows: doc_id, source, lang, topic, n_words, mix_weight, mix_probability;
-    with ``whole_rows`` the input's own columns instead.  A null text has no words and is of topic
-    "empty"; rows with no words take the probability of their cell, or 0 if the cell has none.
-    Null ids are all drawn alike.
+    Returns the sampled rows: doc_id, source, lang, topic, n_words, n_tokens, mix_weight,
+    mix_probability; with ``whole_rows`` the input's own columns instead.  Texts are tokenised once,
+    what is read again holds no texts.  A null text has no tokens and is of topic "empty"; rows with
+    no tokens take the probability of their cell, or 0 if the cell has none.  Null ids are all drawn
+    alike.
     """
-    named = docs.select("*", topic_of(col(text_col)).alias("__topic"), word_count(col(text_col)).alias("__words"))
+    topic = topic_of(col(text_col)).alias("__topic")
     own = {source_col: (targets or {}).get("source"), lang_col: (targets or {}).get("lang"), "__topic": (targets or {}).get("topic")}
-    mixed = mixture(named, [source_col, lang_col, "__topic"], "__words", {k: v for k, v in own.items() if v}, power, share)
-    kept = mixed.where(drawn(col(id_col), F.col("mix_probability"), seed))
+    wanted, dims = {k: v for k, v in own.items() if v}, [source_col, lang_col, "__topic"]
     if whole_rows:
-        return kept.select(*[col(c) for c in docs.columns])
+        counted = with_tokens(docs.select(col(source_col), col(lang_col), topic, col(text_col).alias("__text")), "__text", "__tokens", tokenizer)
+        mixed = mixture(docs.select("*", topic), dims, "__tokens", wanted, power, share, weighed=counted)
+        return mixed.where(drawn(col(id_col), F.col("mix_probability"), seed)).select(*[col(c) for c in docs.columns])
+    narrow = docs.select(*[col(c) for c in dict.fromkeys((id_col, source_col, lang_col))], topic, word_count(col(text_col)).alias("__words"), col(text_col).alias("__text"))
+    counted = staged(with_tokens(narrow, "__text", "__tokens", tokenizer), "tokens")
+    kept = mixture(counted, dims, "__tokens", wanted, power, share).where(drawn(col(id_col), F.col("mix_probability"), seed))
     return kept.select(
         col(id_col).cast("long").alias("doc_id"), col(source_col).alias("source"), col(lang_col).alias("lang"),
-        F.col("__topic").alias("topic"), F.col("__words").alias("n_words"), "mix_weight", "mix_probability",
+        F.col("__topic").alias("topic"), F.col("__words").alias("n_words"), F.col("__tokens").alias("n_tokens"), "mix_weight", "mix_probability",
     )

@@ -302,6 +302,17 @@ def test_sample_meets_marginals(spark):
                     assert abs(sum(r.mix_probability for r in got if r[d] == v) / 600 - x) < 1e-6, (targets, cells, d, v)
 
 
+def test_mixing_weighs_tokens(spark, docs):
+    """Every sampled row has op1's tokens, and the expected tokens of the sample are the share of all."""
+    tokens = {r.doc_id: r.n_tokens for r in count_tokens(docs).collect()}
+    rows = sample_mixture(docs).collect()
+    assert rows and all(r.n_tokens == tokens[r.doc_id] for r in rows)
+    one = spark.createDataFrame([(1, "0123456789abcdef" * 400, "x", "en"), (2, "a b c d", "y", "en")], "doc_id long, text string, source string, lang string")
+    long, short = sorted(sample_mixture(one, share=1.0).collect(), key=lambda r: r.doc_id)
+    assert long.n_words == 1 and long.n_tokens > 1000 and long.mix_weight < short.mix_weight
+    assert {r.doc_id for r in sample_mixture(docs, whole_rows=True).collect()} == {r.doc_id for r in rows}
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0

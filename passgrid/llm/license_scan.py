@@ -2,8 +2,8 @@
 
 The automaton of all templates' words is small and fixed, so every task builds its own.  Words
 stream through it: the matching statistic at a word is the longest stretch ending there that
-occurs in any template.  Maximal stretches are placed in the templates they occur in and chained
-in order; the share of a template that its best chain covers decides on the template's label.
+occurs in any template.  Every template's own longest parts of the maximal stretches are placed
+in it and chained in order; the share of a template that its best chain covers decides on the template's label.
 Base phrases are found in the same pass, as the automaton's states that have them as a suffix.
 """
 
@@ -66,19 +66,24 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.places: list[set[tuple[int, int]]] = [set()]  # (template, word after the last) where the state ends
+        self.origin: list[tuple[int, int] | None] = [None]  # one place of the state, in a template or a phrase
         self.ids: dict[bytes, int] = {}
         self.templates = [(label, [self.ids.setdefault(w, len(self.ids)) for w in split_words(text)]) for label, text in templates]
         base = [(label, [self.ids.setdefault(w, len(self.ids)) for w in split_words(text)]) for text, label in phrases.items()]
-        for number, (_, words) in enumerate([*self.templates, *base]):
+        self.sequences = [words for _, words in [*self.templates, *base]]
+        for number, words in enumerate(self.sequences):
             state = 0
             for at, word in enumerate(words):
                 state = self._extend(state, word)
+                self.origin[state] = number, at + 1
                 if number < len(self.templates):
                     self.places[state].add((number, at + 1))
+        self.parts: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
         # Places and base phrases of longer states hold for the states they link to, and the other way about for phrases.
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
                 self.places[self.link[state]] |= self.places[state]
+                self.origin[self.link[state]] = self.origin[self.link[state]] or self.origin[state]
         ends = defaultdict(list)
         for label, words in base:
             state = 0
@@ -94,6 +99,7 @@ class Automaton:
         self.link.append(link)
         self.next.append(moves)
         self.places.append(set())
+        self.origin.append(None)
         return len(self.length) - 1
 
     def _split(self, above: int, word: int, target: int) -> int:
@@ -148,22 +154,52 @@ class Automaton:
             stretches.append((previous + 1, length, state))
         return base, stretches
 
+    def placed(self, state: int, length: int, least: int) -> list[tuple[int, int, int, int]]:
+        """The longest parts that a stretch shares with each template: (words before the stretch's end, template, word after the last, words).
+
+        The stretch's prefixes are run through the automaton again; the states that a prefix's state
+        links to have its suffixes, which occur in more templates.  A stretch is a part of a template
+        or phrase, so the answers are few and are kept.
+        """
+        known = self.parts.get((state, length, least))
+        if known is None:
+            number, at = self.origin[state]
+            words = self.sequences[number][at - length : at]
+            runs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)  # by template and diagonal: (end, words)
+            now = 0
+            for end, word in enumerate(words, 1):
+                now = self.next[now][word]
+                state_, seen = now, set()
+                size = end
+                while state_ > 0 and size >= least:
+                    for place in self.places[state_] - seen:
+                        runs[place[0], place[1] - end].append((end, size))
+                    seen |= self.places[state_]
+                    state_ = self.link[state_]
+                    size = self.length[state_]
+            known = self.parts[state, length, least] = []
+            for (t, shift), ends in runs.items():
+                for (end, size), after in zip(ends, [*ends[1:], (0, 0)], strict=True):
+                    if after != (end + 1, size + 1):  # the part does not go on
+                        known.append((length - end, t, end + shift, size))
+        return known
+
     def spans(self, stretches: list[tuple[int, int, int]], least: int, gap: int) -> list[tuple[int, int, int, float]]:
         """Best chains as (template, first word, end word, share of the template that is covered).
 
         Stretches of at least ``least`` words follow each other in a chain if they do so in the
         text and in the template, at most ``gap`` words apart in either.
         """
-        by_template = defaultdict(list)
+        parts: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
         for end, length, state in stretches:
             if length >= least:
-                # the state's longest stretch may be longer than what matched, its places are the same
-                for template, at in self.places[state]:
-                    by_template[template].append((end, at, length))
+                for before, template, at, n in self.placed(state, length, least):
+                    own = parts[template]
+                    own[end - before, at] = max(n, own.get((end - before, at), 0))
         out = []
-        for template, anchors in by_template.items():
+        for template, own in parts.items():
             size = len(self.templates[template][1])
-            anchors.sort()
+            anchors = sorted((end, at, n) for (end, at), n in own.items())
             covered, begin, low = [], [], 0
             for i, (end, at, length) in enumerate(anchors):
                 best, start = length, end - length

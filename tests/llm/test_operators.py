@@ -189,6 +189,35 @@ def test_matching_statistics():
                 assert not any(longer == t[a : a + length + 1] for t in known for a in range(len(t)))
 
 
+def test_contained_templates(spark):
+    """Templates inside others, cut short or run together: every label whose template is covered, by brute force."""
+    lines = ["This work is licensed under the GNU General Public License, version 3.", "the GNU General Public License, version 3", *[t for _, t in TEMPLATES]]
+    lines += [f"{a} {b}" for _, a in TEMPLATES[:6] for _, b in TEMPLATES[:6]]
+    rows = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert all("gpl-3" in rows[i].labels.split(",") for i in (0, 1))
+    own = Automaton(TEMPLATES, BASE_PHRASES)
+    for i, line in enumerate(lines):
+        words = split_words(line)
+        want = {}
+        for k, (_, text) in enumerate(TEMPLATES):
+            known = split_words(text)
+            size = [[0] * (len(known) + 1) for _ in range(len(words) + 1)]
+            for e in range(1, len(words) + 1):
+                for a in range(1, len(known) + 1):
+                    size[e][a] = size[e - 1][a - 1] + 1 if words[e - 1] == known[a - 1] else 0
+            ends = [(e, a, size[e][a]) for e in range(len(words) + 1) for a in range(len(known) + 1) if size[e][a] >= 3 and not (e < len(words) and a < len(known) and words[e] == known[a])]
+            best = {}
+            for e, a, n in ends:
+                best[e, a] = n + max((best[x, y] for x, y in best if 0 <= e - n - x <= 8 and 0 <= a - n - y <= 8), default=0)
+            if best:
+                want[k] = max(best.values()) / len(known)
+        got = {}
+        for k, _, _, share in own.spans(own.scan(words)[1], 3, 8):
+            got[k] = max(share, got.get(k, 0))
+        assert got == want, line
+        assert {TEMPLATES[k][0] for k, x in want.items() if x >= 0.75} <= set(rows[i].labels.split(","))
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------------
 def test_quality(spark, hard, none):
     sf = "/root/testdata/sf0.01"

@@ -80,7 +80,7 @@ add("d17_suppression", lambda s, d: identifiers(s, d).select("k", *extraction.su
 add("d18_merge_sides", lambda s, d: extraction.merged(identifiers(s, d).select("k", F.when(F.col("k") % 2 == 0, F.col("pan")).alias("front_pan"), F.when(F.col("k") % 3 == 0, F.col("pan")).alias("back_pan"), F.lower("pan").alias("declared_pan")), ["pan"]).select("k", "pan"), sql("SELECT k, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN pan ELSE lower(pan) END AS pan FROM ids"))
 add("d19_code_payloads", lambda s, d: extraction.code_payload(identifiers(s, d).select("k", F.when(F.col("k") % 3 == 0, F.concat(F.lit('<Card uid="'), F.col("aadhaar"), F.lit('" name="N A" yob="1990"/>'))).when(F.col("k") % 3 == 1, F.concat(F.lit('{"pan":"'), F.col("pan"), F.lit('","name":"N A"}'))).otherwise(F.concat(F.lit("PAN: "), F.col("pan"), F.lit("|Name: N A"))).alias("payload")), "payload").select("k", "number", "name"),
     sql("SELECT k, CASE WHEN k % 3 = 0 THEN aadhaar ELSE pan END AS number, 'N A' AS name FROM ids"))
-add("d20_redaction", lambda s, d: views.table(s, d, "documents").select("doc_id", F.sha2(X.redacted(F.col("text"), X.MORE_REDACTIONS), 256).alias("digest"), X.redacted(F.col("text")).contains("[REDACTED").alias("secret")).where("secret OR doc_id % 3 = 0").select("doc_id", "digest"))
+add("d20_redaction", lambda s, d: views.table(s, d, "documents").select("doc_id", F.sha2(X.redacted(F.col("text"), X.REDACTIONS + X.MORE_REDACTIONS), 256).alias("digest")))
 add("d20_redact_addresses", lambda s, d: views.table(s, d, "documents").select("doc_id", F.length(X.redacted(F.col("text"), X.MORE_REDACTIONS[1:])).alias("n")), r"SELECT doc_id, CAST(length(regexp_replace(regexp_replace(text, '\b[0-9]{16}\b', '[REDACTED_NUMBER]', 'g'), '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}', '[REDACTED_PHONE]', 'g')) AS INTEGER) AS n FROM documents")
 add("d21_tool_signatures", lambda s, d: extraction.tool_signatures(views.table(s, d, "pages").select("page_id", F.concat(F.col("html"), F.element_at(F.array(*[F.lit(x) for x in ("made with Adobe Photoshop and DALL-E", "GIMP 2", "Skia/PDF qpdf", "none")]), (F.col("page_id") % 4 + 1).cast("int"))).alias("meta")), "page_id", "meta"),
     "SELECT page_id, ['dall-e', 'gimp', 'skia/pdf'][CAST(page_id % 4 AS INTEGER) + 1] AS tool, ['ai', 'edited', 'utility'][CAST(page_id % 4 AS INTEGER) + 1] AS kind, [0.95::DOUBLE, 0.85::DOUBLE, 0.5::DOUBLE][CAST(page_id % 4 AS INTEGER) + 1] AS confidence FROM pages WHERE page_id % 4 < 3")

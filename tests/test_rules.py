@@ -120,3 +120,14 @@ def test_secrets(spark):
 def test_restore(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "id int, removed int")
     assert {r.id for r in rows.not_removed(rows.restore(df, df.where("id = 1"))).collect()} == {1, 3}
+
+
+def test_redaction_query_digests_every_document(spark, tmp_path):
+    import hashlib
+
+    from passgrid.plans.identifiers import BOOK
+
+    texts = {1: ("plain", "plain"), 2: ("mail a@b.cz", "mail [REDACTED_MAIL]"), 3: ("at 10.0.0.1", "at [REDACTED_IP]"), 4: ("key sk-abcdefghijklmnopqrst 1234567812345678", "key [REDACTED_KEY] [REDACTED_NUMBER]")}
+    spark.createDataFrame([(k, a) for k, (a, _) in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in BOOK.queries["d20_redaction"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.sha256(b.encode()).hexdigest() for k, (_, b) in texts.items()}

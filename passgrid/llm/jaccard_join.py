@@ -5,14 +5,19 @@ are joined.  From the root down, a set follows every token whose hash at that no
 1 / (threshold * size): two similar sets then share each step with a fixed chance, whatever the
 size of the corpus.  A node's bucket that is small enough is compared by brute force over short
 sketches, a larger one is split on the next token of the path, and as many runs are made as the
-target recall asks for.  Sketches only propose: proposals are gathered into components, and inside
-each the exact similarity of all pairs is taken once, over whole sets, by tiles of bounded size.
+target recall asks for.  What is still large after the last split (near copies share their whole
+paths, so no split parts them) is compared with one leader first, and only what is not like the
+leader is compared with the rest, tile by tile.  Sketches only propose: proposals are gathered into
+components, and inside each all links are counted exactly.  A large component goes by differences
+from a reference set: members that differ from it by little are linked for certain and only
+counted, the others are compared over their differences, in tiles of bounded size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -21,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, staged
+from passgrid.llm.common import col, numbered_columns, spread_join, staged
 from passgrid.llm.components import components
 from passgrid.llm.license_scan import FOLD
 
 BINS = 128
-#: A bucket up to SMALL is compared as it is; beyond it is split, at most DEPTH steps down; a last bucket is cut into tiles.
+#: A bucket up to SMALL is compared as it is; beyond it is split, at most DEPTH steps down; a last bucket above TILE is cut into tiles.
 SMALL, DEPTH, TILE, EXACT_TILE = 128, 3, 2048, 512
+#: Most hashes of (node, shingle) held at once.
+HASHED = 1 << 21
 CACHE_ENTRIES = 700_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -82,10 +89,14 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 def chosen(shingles: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For every node the children a set goes to: (number of the node, child)."""
-    h = mix(shingles[None, :] ^ nodes[:, None])
-    limit = min(1.0, 1 / (threshold * len(shingles)))
-    at, which = np.nonzero(h <= np.uint64(int(limit * (2**64 - 1025))))
-    return at, mix(h[at, which] + nodes[at])
+    limit = np.uint64(int(min(1.0, 1 / (threshold * len(shingles))) * (2**64 - 1025)))
+    step, parents, children = max(1, HASHED // len(shingles)), [], []
+    for first in range(0, len(nodes), step):
+        h = mix(shingles[None, :] ^ nodes[first : first + step, None])
+        at, which = np.nonzero(h <= limit)
+        parents.append(first + at)
+        children.append(mix(h[at, which] + nodes[first + at]))
+    return np.concatenate(parents or [np.zeros(0, np.int64)]), np.concatenate(children or [np.zeros(0, np.uint64)])
 
 
 def paths(shingles: np.ndarray, runs: int, threshold: float, depth: int) -> list:
@@ -162,26 +173,33 @@ def _by_key(names: list[str], handle: Callable[[dict[str, list]], list[tuple]],
     return run
 
 
+def _alike(sketch_a: np.ndarray, n_a: np.ndarray, sketch_b: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches and sizes leave the threshold possible, row by row."""
+    same = ((sketch_a == sketch_b) & (sketch_b > 0)).sum(1)
+    some = ((sketch_a | sketch_b) > 0).sum(1)
+    low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    # Four deviations of the estimate below the threshold, more where sets are small.
+    return (low >= threshold * high - 1e-9) & (same >= np.where(low <= 64, threshold - 0.35, threshold - 0.17) * some)
+
+
+def _sketches(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), BINS)
+
+
 def _propose(threshold: float):
-    """A spanning forest of the pairs of a bucket whose sketches and sizes leave the threshold possible."""
+    """A spanning forest of the pairs of a bucket (or of two tiles of one) that are alike."""
 
     def handle(rows: dict[str, list]) -> list[tuple]:
         nodes = rows["node"]
-        m = len(nodes)
-        if m < 2:
+        if len(nodes) < 2:
             return []
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(m, BINS)
-        sizes = np.array(rows["n"], np.float64)
-        left, out = np.arange(m), []
+        sketches, sizes = _sketches(rows["sketch"]), np.array(rows["n"], np.float64)
+        left, out = np.arange(len(nodes)), []
         while len(left):
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 i = queue.pop()
-                same = ((sketches[left] == sketches[i]) & (sketches[i] > 0)).sum(1)
-                some = ((sketches[left] | sketches[i]) > 0).sum(1)
-                alike = np.minimum(sizes[left], sizes[i]) >= threshold * np.maximum(sizes[left], sizes[i]) - 1e-9
-                # Four deviations of the estimate below the threshold, more where sets are small.
-                near = alike & (same >= np.where(sizes[i] <= 64, threshold - 0.35, threshold - 0.17) * some)
+                near = _alike(sketches[left], sizes[left], sketches[i][None, :], sizes[i], threshold)
                 found, left = left[near], left[~near]
                 out += [(nodes[i], nodes[j]) for j in found]
                 queue += found.tolist()
@@ -190,58 +208,210 @@ def _propose(threshold: float):
     return _by_key(["bucket", "node", "n", "sketch"], handle, [pa.binary(), pa.binary()], ["a", "b"])
 
 
+def _attach(threshold: float):
+    """Rows with their bucket's leader: ``core`` tells whether the row is like it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = pa.array([], pa.bool_())
+            if batch.num_rows:
+                n = [batch.column(c).to_numpy().astype(np.float64) for c in ("n", "leader_n")]
+                sketches = [_sketches(batch.column(c).to_pylist()) for c in ("sketch", "leader_sketch")]
+                near = pa.array(_alike(sketches[0], n[0], sketches[1], n[1], threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "node", "n", "sketch", "leader")] + [near], names=["key", "node", "n", "sketch", "leader", "core"])
+
+    return run
+
+
+def _linked_pairs(sizes: np.ndarray, tokens: np.ndarray, counts: np.ndarray, base: np.ndarray, threshold: float, may: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Partners per row, and a spanning forest of the links, over rows given as token lists one after the other.
+
+    Common tokens of i and j are ``base[i] + base[j]`` (what their lists leave out) and what the lists
+    share; ``may[i] != may[j]`` if the pair is this tile's own, or ``may`` is negative throughout.
+    """
+    starts = np.cumsum(counts) - counts
+    padded = np.append(tokens, tokens.max(initial=0) + 1)  # so that an empty last list has a place to point at
+    mark, links, out = np.zeros(padded[-1] + 1, np.int64), np.zeros(len(sizes), np.int64), []
+    for i in range(len(sizes) - 1):
+        own, rest = tokens[starts[i] : starts[i] + counts[i]], starts[i + 1]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[padded[rest:]], starts[i + 1 :] - rest)
+        mark[own] = 0
+        shared[counts[i + 1 :] == 0] = 0
+        common = base[i] + base[i + 1 :] + shared
+        linked = common >= threshold * (sizes[i] + sizes[i + 1 :] - common) - 1e-9
+        if may[0] >= 0:
+            linked &= may[i + 1 :] != may[i]
+        partners = i + 1 + np.nonzero(linked)[0]
+        links[i] += len(partners)
+        links[partners] += 1
+        for j in partners[label[partners] != label[i]].tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return links, out
+
+
+LINKS = "a binary, links long, b binary"
+LINK_TYPES = [pa.binary(), pa.int64(), pa.binary()]
+
+
+def _found(nodes: list[bytes], links: np.ndarray, forest: list[tuple[int, int]]) -> list[tuple]:
+    """(a, 0, b) for the edges of a forest, (a, links, null) for the number of partners."""
+    return [(nodes[i], 0, nodes[j]) for i, j in forest] + [(n, k, None) for n, k in zip(nodes, links.tolist(), strict=True) if k]
+
+
 def _verify(width: int, threshold: float):
-    """Exact pairs of a tile: (a, links, null) for the number of partners, (a, 0, b) for a spanning forest of them."""
+    """All exact links of a component that is one tile, over its texts."""
     shingles = Shingles(width)
 
     def handle(rows: dict[str, list]) -> list[tuple]:
-        own: dict[bytes, tuple[int, np.ndarray]] = {}
-        for node, side, text in zip(rows["node"], rows["side"], rows["text"], strict=True):
+        own: dict[bytes, np.ndarray] = {}
+        for node, text in zip(rows["node"], rows["text"], strict=True):
             if node not in own:
                 s = shingles(text)
                 if class_key(s, text) == node:  # an id may come with several texts
-                    own[node] = side, s
-        nodes, sides, sets = list(own), np.array([v[0] for v in own.values()]), [v[1] for v in own.values()]
-        if len(nodes) < 2:
+                    own[node] = s
+        if len(own) < 2:
             return []
-        sizes = np.array([len(s) for s in sets])
-        _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        crossing = rows["crossing"][0]
-        mark, label = np.zeros(tokens.max() + 1, np.int64), np.arange(len(nodes))
-        links, out = np.zeros(len(nodes), np.int64), []
-        for i in range(len(nodes) - 1):
-            mark[tokens[starts[i] : starts[i] + sizes[i]]] = 1
-            rest = starts[i + 1]
-            common = np.add.reduceat(mark[tokens[rest:]], starts[i + 1 :] - rest)
-            mark[tokens[starts[i] : starts[i] + sizes[i]]] = 0
-            union = sizes[i] + sizes[i + 1 :] - common
-            linked = common >= threshold * union - 1e-9
-            if crossing:
-                linked &= sides[i + 1 :] != sides[i]
-            partners = i + 1 + np.nonzero(linked)[0]
-            links[i] += len(partners)
-            links[partners] += 1
-            for j in partners[label[partners] != label[i]].tolist():
-                if label[j] != label[i]:
-                    out.append((nodes[i], 0, nodes[j]))
-                    label[label == label[j]] = label[i]
-        return out + [(n, k, None) for n, k in zip(nodes, links.tolist(), strict=True) if k]
-
-    return _by_key(["tile", "node", "side", "crossing", "text"], handle, [pa.binary(), pa.int64(), pa.binary()], ["a", "links", "b"])
-
-
-def _tiled(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with their key's number of rows (``count``) cut into tiles of about ``size``, one copy per pair of tiles.
+        sizes = np.array([len(s) for s in own.values()])
+        _, tokens = np.unique(np.concatenate(list(own.values())), return_inverse=True)
+        found = _linked_pairs(sizes, tokens, sizes, np.zeros(len(own), np.int64), threshold, np.full(len(own), -1), np.arange(len(own)))
+        return _found(list(own), *found)
+
+    return _by_key(["tile", "node", "text"], handle, LINK_TYPES, ["a", "links", "b"])
+
+
+def _differences(width: int, threshold: float):
+    """Sets of a part of a large component as what they differ by from its reference (the row whose node is the root).
 
+    ``core`` rows differ so little that two of them are linked whatever they differ by.
+    """
+    shingles = Shingles(width)
+
+    def handle(rows: dict[str, list]) -> list[tuple]:
+        root, reference, out, seen = rows["root"][0], None, [], set()
+        for node, text in zip(rows["node"], rows["text"], strict=True):
+            if node == root and reference is None:
+                s = shingles(text)
+                reference = s if class_key(s, text) == root else None
+        for node, text, copied in zip(rows["node"], rows["text"], rows["copied"], strict=True):
+            if copied or node in seen:
+                continue
+            s = shingles(text)
+            if class_key(s, text) != node:
+                continue
+            seen.add(node)
+            other = np.setxor1d(s, reference, assume_unique=True)
+            beyond = (len(s) - len(reference) + len(other)) // 2
+            lacking = len(other) - beyond
+            core = lacking + threshold * beyond <= (1 - threshold) * len(reference) / 2
+            out.append((root, node, len(reference), lacking, beyond, core, other.tobytes()))
+        return out
+
+    return _by_key(["part", "root", "node", "text", "copied"], handle, [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()], [c.split()[0] for c in DIFFERENCES.split(", ")])
+
+
+DIFFERENCES = "key binary, node binary, n_reference int, lacking int, beyond int, core boolean, other binary"
+
+
+def _compare(threshold: float):
+    """Exact links of a tile, or between two tiles, of a large component, over differences from its reference."""
+
+    def handle(rows: dict[str, list]) -> list[tuple]:
+        if len(rows["node"]) < 2:
+            return []
+        other = [np.frombuffer(b, np.uint64) for b in rows["other"]]
+        lacking, beyond, n = (np.array(rows[c], np.int64) for c in ("lacking", "beyond", "n_reference"))
+        _, tokens = np.unique(np.concatenate(other), return_inverse=True)
+        _, sides = np.unique(np.array(rows["side"]), return_inverse=True)
+        label = np.arange(len(lacking))
+        label[np.array(rows["core"])] = len(lacking)  # linked already
+        # Common tokens are the reference's less what either lacks, and what both differ by: half of the reference is each one's base.
+        base = n / 2 - lacking
+        may = sides if rows["crossing"][0] else np.full(len(sides), -1)
+        return _found(rows["node"], *_linked_pairs(n - lacking + beyond, tokens, np.array([len(x) for x in other]), base, threshold, may, label))
+
+    return _by_key(["tile", "node", "side", "crossing", "core", "n_reference", "lacking", "beyond", "other"], handle, LINK_TYPES, ["a", "links", "b"])
+
+
+def _tiled(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (``key``, ``node``, ``core``; staged) cut into tiles of about ``size``, one copy per pair of tiles.
+
+    Core rows need no comparison with each other, so their tiles only meet those of the rest.
     Adds ``tile`` (the pair, as a string), ``side`` (the row's own tile) and ``crossing`` (whether
     the pair is of two tiles, in which case pairs within one are not its own).
     """
-    tiles = F.ceil(F.col("count") / size).cast("int")
-    cut = rows.withColumn("tiles", tiles).withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pair = F.concat_ws("-", F.col(key).cast("string") if key != "root" else F.hex(key), F.least("side", "other"), F.greatest("side", "other"))
-    return paired.withColumn("tile", pair).withColumn("crossing", F.col("side") != F.col("other")).drop("tiles", "other")
+    n = lambda core: F.ceil(F.count(F.when(F.col("core") == core, 1)) / size).cast("int")
+    tiles = rows.groupBy("key").agg(n(True).alias("core_tiles"), n(False).alias("rest_tiles"))
+    own = F.when(F.col("core"), F.col("core_tiles")).otherwise(F.col("rest_tiles"))
+    cut = spread_join(rows, tiles, "key", "node").where("rest_tiles > 0")
+    cut = cut.withColumn("side", F.concat(F.when(F.col("core"), "c").otherwise("r"), F.pmod(F.xxhash64("node"), own)))
+    named = lambda letter, count: F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(1), F.col(count))).otherwise(F.array().cast("array<int>")), lambda k: F.concat(F.lit(letter), k - 1))
+    paired = cut.withColumn("met", F.explode(F.when(F.col("core"), named("r", "rest_tiles")).otherwise(F.concat(named("r", "rest_tiles"), named("c", "core_tiles")))))
+    pair = F.concat_ws("-", F.hex("key"), F.least("side", "met"), F.greatest("side", "met"))
+    return paired.withColumn("tile", pair).withColumn("crossing", F.col("side") != F.col("met")).drop("core_tiles", "rest_tiles", "met")
+
+
+def _by_tile(rows: DataFrame, tile: str) -> DataFrame:
+    return rows.repartition(tile).sortWithinPartitions(tile)
+
+
+def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node) of the buckets that are compared as they are, and of the larger ones that no split is left for."""
+    at, small = classes.select("node", F.explode("paths").alias("x")), []
+    for level in range(DEPTH):
+        last = level == DEPTH - 1
+        keyed = staged(at.select(F.col("x.key").alias("bucket"), "node", *([] if last else [F.col("x.below").alias("below")])), f"keyed-{level}")
+        sizes = keyed.groupBy("bucket").count().where("count > 1")
+        met = staged(spread_join(keyed, sizes, "bucket", "node"), f"level-{level}")
+        small.append(met.where(F.col("count") <= (TILE if last else SMALL)).select("bucket", "node"))
+        large = met.where(F.col("count") > (TILE if last else SMALL))
+        if last or large.isEmpty():
+            break
+        at = large.select("node", F.explode("below").alias("x"))
+    return reduce(DataFrame.unionByName, small), large.select("bucket", "node")
+
+
+def _proposals(classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes that connect all pairs which share a bucket and are alike."""
+    small, large = _buckets(classes)
+    about = classes.select("node", "n", "sketch")
+    pairs = _by_tile(small.join(about, "node").select("bucket", "node", "n", "sketch"), "bucket").mapInArrow(_propose(threshold), "a binary, b binary")
+    if large.isEmpty():
+        return pairs
+    large = staged(large.select(F.col("bucket").cast("string").cast("binary").alias("key"), "node").join(about, "node"), "large-buckets")
+    first = large.groupBy("key").agg(F.min(F.struct("node", "n", "sketch")).alias("x"))
+    leaders = first.select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.sketch").alias("leader_sketch"))
+    led = staged(
+        spread_join(large, leaders, "key", "node").select("key", "node", "n", "sketch", "leader", "leader_n", "leader_sketch").mapInArrow(_attach(threshold), "key binary, node binary, n int, sketch binary, leader binary, core boolean"),
+        "led",
+    )
+    attached = led.where("core AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    tiles = _by_tile(_tiled(led, TILE).select(F.col("tile").alias("bucket"), "node", "n", "sketch"), "bucket")
+    return pairs.unionByName(attached).unionByName(tiles.mapInArrow(_propose(threshold), "a binary, b binary"))
+
+
+def _exact(near: DataFrame, classes: DataFrame, own: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Exact links of all pairs in the components of ``near`` (node, root): rows (a, links, null) and (a, 0, b)."""
+    counts = near.groupBy("root").agg(F.count("*").alias("count"))
+    sampled = spread_join(near, counts, "root", "node").join(classes.select("node", "least_id"), "node")
+    texts = sampled.join(own, sampled["least_id"] == own["doc_id"]).select("root", "node", "count", "text")
+    one_tile = _by_tile(texts.where(F.col("count") <= EXACT_TILE).select(F.hex("root").alias("tile"), "node", "text"), "tile")
+    small = one_tile.mapInArrow(_verify(width, threshold), LINKS)
+    # Large components: the reference's text goes to every part, once.
+    large = texts.where(F.col("count") > EXACT_TILE).withColumn("parts", F.ceil(F.col("count") / EXACT_TILE).cast("int"))
+    part = lambda number: F.concat_ws("-", F.hex("root"), number).alias("part")
+    members = large.select(part(F.pmod(F.xxhash64("node"), F.col("parts"))), "root", "node", "text", F.lit(False).alias("copied"))
+    copies = large.where(F.col("node") == F.col("root")).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    copies = copies.select(part(F.col("number")), "root", "node", "text", F.lit(True).alias("copied"))
+    others = staged(_by_tile(members.unionByName(copies), "part").mapInArrow(_differences(width, threshold), DIFFERENCES), "differences")
+    core = others.where("core")
+    sure = spread_join(core, core.groupBy("key").agg(F.count("*").alias("count")), "key", "node")
+    sure = sure.select(F.col("node").alias("a"), (F.col("count") - 1).alias("links"), F.lit(None).cast("binary").alias("b"))
+    tied = core.where(F.col("node") != F.col("key")).select(F.col("node").alias("a"), F.lit(0).cast("long").alias("links"), F.col("key").alias("b"))
+    compared = _by_tile(_tiled(others, EXACT_TILE), "tile").select("tile", "node", "side", "crossing", "core", "n_reference", "lacking", "beyond", "other").mapInArrow(_compare(threshold), LINKS)
+    return small.unionByName(sure).unionByName(tied).unionByName(compared)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
@@ -265,41 +435,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = staged(
         described.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes"
     )
-    # Small buckets level by level.
-    at = classes.select("node", F.explode("paths").alias("x"))
-    small = []
-    for level in range(DEPTH):
-        keyed = at.select(F.col("x.key").alias("bucket"), "node", *([F.col("x.below").alias("below")] if level < DEPTH - 1 else []))
-        sizes = keyed.groupBy("bucket").count().where("count > 1")
-        met = staged(keyed.join(sizes, "bucket"), f"level-{level}")
-        last = level == DEPTH - 1
-        small.append((met if last else met.where(F.col("count") <= SMALL)).select("bucket", "node", "count"))
-        if not last:
-            at = met.where(F.col("count") > SMALL).select("node", F.explode("below").alias("x"))
-    buckets = small[0].unionByName(small[1]).unionByName(small[2])
-    cut = _tiled(buckets, "bucket", TILE).select(F.col("tile").alias("bucket"), "node")
-    ready = cut.join(classes.select("node", "n", "sketch"), "node").select("bucket", "node", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
-    proposed = ready.mapInArrow(_propose(threshold), "a binary, b binary")
-    near = staged(components(proposed), "proposed")
-    # Exact similarities inside the components, over whole texts.
-    counts = near.groupBy("root").count()
-    samples = near.join(counts, "root").join(classes.select("node", "least_id"), "node")
-    texts = samples.join(own, samples["least_id"] == own["doc_id"]).select("root", "node", "count", "text")
-    tiles = _tiled(texts, "root", EXACT_TILE).select("tile", "node", "side", "crossing", "text").repartition("tile").sortWithinPartitions("tile")
-    exact = staged(tiles.mapInArrow(_verify(width, threshold), "a binary, links long, b binary"), "exact")
+    near = staged(components(_proposals(classes, threshold)), "proposed")
+    exact = staged(_exact(near, classes, own, width, threshold), "exact")
     links = exact.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     roots = components(exact.where(F.col("b").isNotNull()).select("a", "b"))
-    linked = classes.select("node", "least_id", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = staged(classes.select("node", "least_id", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked")
     class_ids = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    found = linked.join(class_ids, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return described.select("doc_id", "node").join(found, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    found = spread_join(linked, class_ids, "root", "node").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    return spread_join(described.select("doc_id", "node"), found, "node", "doc_id").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows, whole, of which one per group of near-duplicates is kept: that of the least id.
 
-    Rows without id are all kept; of an id's repeated rows all are kept if it is the least.
+    Rows are told apart by a number of their own, not by the id: of repeated rows one is kept, an
+    id with several texts is decided text by text, and rows without id take part (they stay only if
+    their group has no row with an id).  Null texts are equal to empty ones and to each other.  An
+    empty table stays empty; columns may have any names.
     """
-    classes = jaccard_join(docs, id_col, text_col, width, threshold)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    plain = staged(numbered_columns(docs).withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    own = dict(zip(docs.columns, plain.columns, strict=False))
+    classes = jaccard_join(plain, "row", own[text_col], width, threshold).select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(F.col(own[id_col]).isNull(), own[id_col], "row")
+    kept = plain.select("row", own[id_col]).join(classes, "row").groupBy("class_id").agg(F.min(order).alias("x")).select(F.col("x.row").alias("row"))
+    return plain.join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)

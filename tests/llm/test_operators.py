@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passgrid.llm import common
+from passgrid.llm import jaccard_join as jaccard
 from passgrid.llm.jaccard_join import Shingles, jaccard_join, keep_representatives
 from passgrid.llm.license_scan import BASE_PHRASES, TEMPLATES, Automaton, scan_licenses, split_words
 from passgrid.llm.materialise import feistel, materialise, read_slots
@@ -119,11 +120,71 @@ def test_jaccard_join(hard, docs, none):
     assert jaccard_join(none).count() == 0
 
 
-def test_representatives(hard):
-    want = brute_links(texts(hard))
-    kept = [r.doc_id for r in keep_representatives(hard).collect()]
-    assert Counter(kept) == Counter([i for i, _ in texts(hard) if i is None or want[i][0] == i])
-    assert keep_representatives(hard).columns == hard.columns
+def test_representatives(hard, none):
+    """One row a group: repeated rows once, an id's texts one by one, null ids after all others."""
+    rows = texts(hard)
+    want = brute_links([(n, t) for n, (_, t) in enumerate(rows)])  # by row
+    best = {}
+    for n, (i, _) in enumerate(rows):
+        root = want[n][0]
+        best[root] = min(best.get(root, (True, 0)), (i is None, i or 0))
+    kept = keep_representatives(hard)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(None if null else i for null, i in best.values())
+    assert kept.columns == hard.columns and keep_representatives(none).count() == 0
+    two = hard.sparkSession.createDataFrame([(1, NEAR, "a"), (2, NEAR + " z", "b"), (2, "another text", "c"), (None, NEAR, "d")], "doc_id long, text string, row string")
+    assert sorted(r.row for r in keep_representatives(two).collect()) == ["a", "c"]
+
+
+def by_matrix(rows):
+    """Classes and links by the product of the sets' incidence matrix with itself, in blocks."""
+    shingles, sets = Shingles(5), {}
+    for i, t in sorted(rows):
+        sets.setdefault(tuple(shingles(t).tolist()), i)
+    keys = [s for s in sets if s]
+    places = {x: k for k, x in enumerate(sorted({x for s in keys for x in s}))}
+    m = np.zeros((len(keys), len(places)), np.float32)
+    for r, s in enumerate(keys):
+        m[r, [places[x] for x in s]] = 1
+    sizes = m.sum(1)
+    common = m @ m.T
+    linked = (common >= 0.8 * (sizes[:, None] + sizes[None, :] - common) - 1e-6) & ~np.eye(len(keys), dtype=bool)
+    root = np.arange(len(keys))
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], len(keys)).min(1, initial=len(keys)))
+        if (least == root).all():
+            break
+        root = least
+    ids = np.array([sets[s] for s in keys])
+    first = {r: int(ids[root == r].min()) for r in set(root.tolist())}
+    return {int(i): (first[r], int(n)) for i, r, n in zip(ids, root.tolist(), linked.sum(1), strict=True)}
+
+
+@pytest.mark.parametrize("small, tile", [(128, 2048), (40, 150)])
+def test_pairs_near_the_threshold_in_split_buckets(spark, monkeypatch, small, tile):
+    """700 texts of 100 words with one or two words changed: over 100,000 pairs between 0.75 and 0.85, in buckets that are
+    split and in one component above a tile; every document's class and number of links against all pairs."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(700):
+        words = [f"base{k}" for k in range(100)]
+        for _ in range(1 + i % 2):
+            words[rng.integers(100)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(800 + i, " ".join(f"x{i}y{k % 40}" for k in range(60))) for i in range(20)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = by_matrix(rows)
+    assert sum(n for _, n in want.values()) > 100_000 and len({n for _, n in want.values()}) > 50
+    assert {i: got[i] for i in want} == want
+
+
+def test_recall_on_documents(spark):
+    """No link of the 1,000 documents is missed: links and classes are those of all pairs."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    want = by_matrix([(i, t or "") for i, t in texts(docs)])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(docs).collect()}
+    assert {i: got[i] for i in want} == want
 
 
 def test_hot_group_of_near_copies(spark):

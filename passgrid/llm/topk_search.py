@@ -1,26 +1,30 @@
 """Exact top-k search by inner product with dual cover trees (operator 3).
 
-Vectors and queries are dealt to the same top level of a cover tree: centres found by
-farthest-first traversal of a bounded sample, every row to its nearest centre, and large nodes
-into chunks of bounded size.  Each chunk of data and each group of queries is a subtree, built
-where it is searched.  A first round searches every query group against its home chunk; a second
-joins the groups to all chunks whose bound (inner product of centres, covering radii) can still
-reach the group's worst k-th score, and walks both subtrees together under the same test.
+Vectors and queries are dealt to the same cover tree, level by level: the centres of a node's
+children are found by farthest-first traversal of a bounded sample of its rows, every row goes to
+the nearest one, and a node is open as long as it holds more rows than a chunk.  Each leaf's chunk
+of data and each group of queries is a subtree, built where it is searched.  A first round searches
+every query group against its home chunk.  Then the groups go down the tree: a node is entered if
+its bound (inner product of centres, covering radii) can still reach the group's worst k-th score,
+and in the chunks that are reached both subtrees are walked together under the same test.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, staged
+from passgrid.llm.common import col, spread_join, staged
 
 #: Rows of a data chunk, rows of a query group, rows of a leaf, children of a node at most.
 CHUNK, GROUP, LEAF, FAN_OUT = 4096, 512, 256, 16
+#: Levels of the tree at most (numbers of nodes stay below a long), and bytes of centres that the driver hands out at once.
+LEVELS, CENTRE_BYTES = 14, 32 << 20
 
 
 def farthest_first(points: np.ndarray, most: int, radius: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -151,81 +155,165 @@ ROW_SCHEMA = "vec_id long, vector binary"
 
 
 def _whole_numbers(scale: int):
+    """Rows that take part, their components floor(scale * x)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i is None or v is None or any(x is None for x in v):
                     continue
-                a = np.array(v, np.float64)
+                with np.errstate(over="ignore"):
+                    a = np.floor(scale * np.array(v, np.float64))
                 if np.isfinite(a).all():
                     ids.append(i)
-                    out.append(np.floor(scale * a).tobytes())
+                    out.append(a.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
     return run
 
 
-def _deal(centres: np.ndarray):
+def _rows_of(nodes: np.ndarray, known: dict[int, object]) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of every known node's rows."""
+    order = nodes.argsort(kind="stable")
+    for place in np.split(order, np.nonzero(np.diff(nodes[order]))[0] + 1) if len(order) else []:
+        if (node := int(nodes[place[0]])) in known:
+            yield node, place
+
+
+def _sampled(counts: dict[int, int], sample: int):
+    """About ``sample`` rows of every open node, by a hash of id and vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _matrix(batch.column("vector").to_pylist())
-            width = max(m.shape[1], centres.shape[1])
-            own, top = _same_width(m, width), _same_width(centres, width)
-            near = ((top**2).sum(1)[None, :] - 2 * own @ top.T).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["vec_id", "vector", "centre"])
+            nodes, draw = batch.column("node").to_numpy(), batch.column("draw").to_numpy()
+            taken = np.concatenate([place[draw[place] < sample / counts[node]] for node, place in _rows_of(nodes, counts)] or [np.zeros(0, np.int64)])
+            some = batch.take(pa.array(taken))
+            yield pa.RecordBatch.from_arrays([some.column("node"), some.column("vector")], names=["node", "vector"])
 
     return run
 
 
-PACKED = "node long, ids binary, width int, matrix binary"
+def _centres(counts: dict[int, int]):
+    def run(table: pa.Table) -> pa.Table:
+        points = _matrix(sorted(table.column("vector").to_pylist()))
+        node = table.column("node")[0].as_py()
+        centres = points[farthest_first(points, min(FAN_OUT, 2 * -(-counts[node] // CHUNK)))[0]]
+        return pa.table({"node": [node], "width": pa.array([points.shape[1]], pa.int32()), "centres": pa.array([centres.tobytes()], pa.binary())})
 
+    return run
 
-def _pack(table: pa.Table) -> pa.Table:
-    """A node's rows as one row; exact repeats of a row count once."""
-    rows = sorted({(i, v) for i, v in zip(table.column("vec_id").to_pylist(), table.column("vector").to_pylist(), strict=True)})
-    m = _matrix([v for _, v in rows])
-    return pa.table(
-        {
-            "node": table.column("node").slice(0, 1),
-            "ids": pa.array([np.array([i for i, _ in rows], "<i8").tobytes()], pa.binary()),
-            "width": pa.array([m.shape[1]], pa.int32()),
-            "matrix": pa.array([m.tobytes()], pa.binary()),
-        }
-    )
 
+def _deal(centres: dict[int, np.ndarray]):
+    """Rows of open nodes go to the child of the nearest centre; their distance to it makes its covering radius."""
 
-def _numbered(rows: DataFrame, size: int) -> tuple[DataFrame, int, dict[int, int]]:
-    """Rows with ``node``: their centre's range of nodes, cut by a hash of the id to about ``size`` rows each."""
-    counts = {r["centre"]: r["count"] for r in rows.groupBy("centre").count().collect()}  # at most as many rows as centres
-    first, chunks, total = {}, {}, 0
-    for c, n in sorted(counts.items()):
-        first[c], chunks[c] = total, -(-n // size)
-        total += chunks[c]
-    if not counts:
-        return rows.withColumn("node", F.lit(0).cast("long")), 0, {}
-    pairs = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-    node = F.element_at(pairs(first), F.col("centre")) + F.pmod(F.xxhash64("vec_id"), F.element_at(pairs(chunks), F.col("centre")))
-    return rows.withColumn("node", node.cast("long")), total, first
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, place in _rows_of(batch.column("node").to_numpy(), centres):
+                own = batch.take(pa.array(place))
+                m, top = _matrix(own.column("vector").to_pylist()), centres[node]
+                width = max(m.shape[1], top.shape[1])
+                m, top = _same_width(m, width), _same_width(top, width)
+                near = ((top**2).sum(1)[None, :] - 2 * m @ top.T).argmin(1)
+                distance = np.linalg.norm(m - top[near], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("vec_id"), own.column("vector"), own.column("draw"), pa.array(node * FAN_OUT + near + 1), pa.array(distance)], names=["vec_id", "vector", "draw", "node", "distance"]
+                )
 
+    return run
+
+
+DEALT = "vec_id long, vector binary, draw double, node long, distance double"
+BALL = "node long, centre array<double>"
+
+
+def _tree(rows: DataFrame, n: int, width: int, sample: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows with their leaf (``node``) and its chunk (``piece``), and per level the nodes with parent, centre, radius and ``open``.
+
+    The children of node x are x * FAN_OUT + 1, ...  A node that its centres do not part (equal
+    vectors) is closed at any size, and cut into chunks by a hash.  The driver sees the open nodes'
+    numbers and centres, in portions of at most CENTRE_BYTES.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 40)) / float(1 << 40)).withColumn("node", F.lit(0).cast("long"))
+    if n <= CHUNK:
+        return rows.withColumn("piece", F.lit(0)).select("vec_id", "vector", "node", "piece"), []
+    open_nodes, leaves, levels = spark.createDataFrame([(0, n)], "node long, n long"), [], []
+    portion = max(1, CENTRE_BYTES // (FAN_OUT * max(1, width) * 8))
+    for _ in range(LEVELS):
+        dealt, balls, last = [], [], -1
+        while some := open_nodes.where(F.col("node") > last).orderBy("node").limit(portion).collect():
+            counts, last = {r["node"]: r["n"] for r in some}, some[-1]["node"]
+            own = rows.where(F.col("node").between(some[0]["node"], last))
+            found = own.select("node", "vector", "draw").mapInArrow(_sampled(counts, sample), "node long, vector binary").groupBy("node").applyInArrow(_centres(counts), "node long, width int, centres binary").collect()
+            centres = {r["node"]: np.frombuffer(r["centres"]).reshape(-1, max(1, r["width"])) for r in found}
+            dealt.append(own.mapInArrow(_deal(centres), DEALT))
+            balls.append(spark.createDataFrame([(node * FAN_OUT + k + 1, c.tolist()) for node, top in centres.items() for k, c in enumerate(top)], BALL))
+        if not dealt:
+            break
+        rows = staged(reduce(DataFrame.unionByName, dealt), "dealt")
+        parent = F.floor((F.col("node") - 1) / FAN_OUT).cast("long")
+        kids = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).withColumn("parent", parent)
+        kids = kids.join(open_nodes.select(F.col("node").alias("parent"), F.col("n").alias("n_parent")), "parent").join(reduce(DataFrame.unionByName, balls), "node")
+        more = (F.col("n") > CHUNK) & (F.col("n") < F.col("n_parent"))
+        kids = staged(kids.select("node", "parent", "n", "centre", (F.col("radius") * (1 + 1e-9) + 1e-6).alias("radius"), more.alias("open")), "nodes")
+        levels.append(kids)
+        closed = spread_join(rows.select("vec_id", "vector", "node"), kids.select("node", "n", "open"), "node", "vec_id").where("NOT open")
+        leaves.append(closed.select("vec_id", "vector", "node", F.pmod(F.xxhash64("vec_id", "vector"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("piece")))
+        open_nodes = kids.where("open").select("node", "n")
+    else:  # no numbers are left: what is still open is cut by a hash
+        rest = spread_join(rows.select("vec_id", "vector", "node"), open_nodes, "node", "vec_id")
+        leaves.append(rest.select("vec_id", "vector", "node", F.pmod(F.xxhash64("vec_id", "vector"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("piece")))
+        levels[-1] = levels[-1].withColumn("open", F.lit(False))
+    return reduce(DataFrame.unionByName, leaves), levels
+
+
+CHUNKS = "node long, piece int, ids binary, width int, matrix binary, middle array<double>, radius double"
+GROUPS = "q string, " + CHUNKS
+
+
+def _packed(node: int, piece: int, ids: np.ndarray, m: np.ndarray) -> tuple:
+    middle = m.mean(0)
+    radius = float(np.linalg.norm(m - middle, axis=1).max()) * (1 + 1e-9) + 1e-6
+    return node, piece, ids.astype("<i8").tobytes(), m.shape[1], m.tobytes(), middle.tolist(), radius
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], types[kind]) for i, (name, kind) in enumerate(fields)})
+
+
+def _pack(groups: bool):
+    """A chunk's rows as one row, or its queries as groups of near ones; repeated rows count one by one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, piece = table.column("node")[0].as_py(), table.column("piece")[0].as_py()
+        rows = sorted(zip(table.column("vec_id").to_pylist(), table.column("vector").to_pylist(), strict=True))
+        ids, m = np.array([i for i, _ in rows], np.int64), _matrix([v for _, v in rows])
+        if not groups:
+            return _table([_packed(node, piece, ids, m)], CHUNKS)
+        order = farthest_first(m, 2 * -(-len(ids) // GROUP))[1].argsort(kind="stable")
+        cuts = [order[at : at + GROUP] for at in range(0, len(order), GROUP)]
+        return _table([(f"{node}-{piece}-{g}", *_packed(node, piece, ids[own], m[own])) for g, own in enumerate(cuts)], GROUPS)
+
+    return run
 
-RESULT = "query_id long, vec_id long, score long"
+
+FOUND = GROUPS + ", floors binary, worst double, of_query binary, found binary, scores binary"
 
 
 def _search(k: int):
-    """For one data chunk and a batch of query groups."""
+    """Query groups against one data chunk, each with what it has for certain (``floors``, if it was searched before)."""
 
     def run(data: pa.Table, groups: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = [[], [], []]
+        out = []
         for chunk in data.to_pylist():
-            ids = np.frombuffer(chunk["ids"], "<i8")
+            ids, tree = np.frombuffer(chunk["ids"], "<i8"), None
             points = np.frombuffer(chunk["matrix"]).reshape(len(ids), -1)
-            tree = None
             for group in groups.to_pylist():
-                query_ids = np.frombuffer(group["q_ids"], "<i8")
-                queries = np.frombuffer(group["q_matrix"]).reshape(len(query_ids), -1)
+                query_ids = np.frombuffer(group["ids"], "<i8")
+                queries = np.frombuffer(group["matrix"]).reshape(len(query_ids), -1)
                 width = max(points.shape[1], queries.shape[1])
                 if tree is None or tree.points.shape[1] < width:
                     tree = CoverTree(_same_width(points, width))
@@ -233,26 +321,44 @@ def _search(k: int):
                 floor = np.frombuffer(group["floors"]) if group["floors"] else np.full(len(query_ids), -np.inf)
                 best = Best(query_ids, k, floor)
                 dual_search(CoverTree(_same_width(queries, width)), tree, ids, best)
-                kept_rows, kept_ids, kept_scores = best.merge()
-                found[0].append(query_ids[kept_rows])
-                found[1].append(kept_ids)
-                found[2].append(kept_scores)
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, flat), strict=True)))
+                rows, found, scores = best.merge()
+                own = [group[name.split()[0]] for name in GROUPS.split(", ")]
+                out.append((*own, best.least.tobytes(), float(best.least.min()), query_ids[rows].astype("<i8").tobytes(), found.astype("<i8").tobytes(), scores.astype("<i8").tobytes()))
+        return _table(out, FOUND)
 
     return run
 
 
-def _summary(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Centre and covering radius of packed nodes."""
-    for batch in table:
-        out: list[list] = [[], [], []]
-        for node in batch.to_pylist():
-            points = np.frombuffer(node["matrix"]).reshape(-1, max(1, node["width"])) if node["width"] else np.zeros((1, 1))
-            middle = points.mean(0)
-            for column, value in zip(out, (node["node"], middle.tolist(), float(np.linalg.norm(points - middle, axis=1).max()) * (1 + 1e-9) + 1e-6), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.float64())], names=["node", "middle", "radius"])
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Found pairs row by row."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            flat = [pa.array(np.frombuffer(row[c], "<i8")) for c in ("of_query", "found", "scores")]
+            yield pa.RecordBatch.from_arrays(flat, names=["query_id", "vec_id", "score"])
+
+
+RESULT = "query_id long, vec_id long, score long"
+
+
+def _reached(groups: DataFrame, levels: list[DataFrame], chunks: DataFrame) -> DataFrame:
+    """(q, node, piece) of the chunks that the bound leaves for a group, but for its home; down the tree, level by level."""
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        dot = F.aggregate(F.zip_with("middle", "q_middle", lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+        most = dot + F.col("q_radius") * norm(F.col("middle")) + F.col("radius") * norm(F.col("q_middle")) + F.col("radius") * F.col("q_radius")
+        return pairs.where(most + 1e-6 * F.abs(most) + 1e-6 >= F.col("worst"))
+
+    own = ["q", "home", "home_piece", "q_middle", "q_radius", "worst"]
+    at, ends = groups.withColumn("node", F.lit(0).cast("long")), []
+    for level in levels:
+        nodes = level.select(F.col("node").alias("child"), F.col("parent").alias("node"), F.col("centre").alias("middle"), "radius", "open")
+        met = kept(at.join(nodes, "node")).select(*own, F.col("child").alias("node"), "open")
+        ends.append(met.where("NOT open").drop("open"))
+        at = met.where("open").drop("open")
+    ends = reduce(DataFrame.unionByName, ends) if ends else at
+    met = kept(ends.join(chunks.select("node", "piece", "middle", "radius"), "node"))
+    return met.where((F.col("node") != F.col("home")) | (F.col("piece") != F.col("home_piece"))).select("q", "node", "piece")
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: int = 64, sample: int = 2048, batch: int = 64) -> DataFrame:
@@ -260,72 +366,29 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Components become floor(scale * x).  Queries are the rows whose id is divisible by ``every``;
     candidates are all rows of another id.  Returns query_id, rank (from 1), vec_id, score; ties
-    go to the smaller id; fewer rows if there are fewer candidates.  Rows with a null id, a null
-    vector or a null or non-finite component take no part; exact repeats of a row count once; a
-    shorter vector counts as filled up by zeros; an empty table gives no rows; other columns are
-    ignored.  The top level's centres come from ``sample`` rows; they steer the order, not the result.
+    go to the smaller id; fewer rows if there are fewer candidates.  Repeated rows count one by one,
+    as candidates and as queries (an id's query rows share one ranking).  Rows with a null id, a
+    null vector, or a component that is null or not finite, before or after scaling, take no part; a
+    shorter vector counts as filled up by zeros; scores beyond a long stay at its ends; an empty
+    table gives no rows; other columns are ignored.  Centres of a node come from about ``sample`` of
+    its rows; they steer the order, not the result.
     """
     rows = staged(vectors.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<double>").alias("v")).mapInArrow(_whole_numbers(scale), ROW_SCHEMA), "vectors")
-    n = rows.count()
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # bounded by ``sample``
-    m = _matrix([bytes(r["vector"]) for r in some]) if some else np.zeros((1, 1))
-    centres = m[farthest_first(m, min(64, max(1, -(-n // CHUNK))))[0]]
-    dealt = staged(rows.mapInArrow(_deal(centres), ROW_SCHEMA + ", centre int"), "dealt")
-    chunked, n_chunks, home = _numbered(dealt, CHUNK)
-    grouped, n_groups, q_first = _numbered(dealt.where(F.col("vec_id") % every == 0), GROUP)
-    chunks = staged(chunked.select("node", "vec_id", "vector").groupBy("node").applyInArrow(_pack, PACKED), "chunks")
-    groups = staged(
-        grouped.groupBy("node").applyInArrow(_pack, PACKED).select(F.col("node").alias("q_node"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width")),
-        "groups",
-    )
-    # A group's home is the first chunk of its centre.
-    starts = sorted(q_first.items(), key=lambda x: -x[1])
-    home_of = F.lit(0)
-    for centre, first in reversed(starts):
-        home_of = F.when(F.col("q_node") >= first, home.get(centre, 0)).otherwise(home_of)
-    near = staged(
-        chunks.groupBy("node").cogroup(groups.withColumn("chunk", home_of.cast("long")).withColumn("floors", F.lit(None).cast("binary")).groupBy("chunk")).applyInArrow(_search(k), RESULT), "near"
-    )
-    # What every query has for certain by now: its k-th score, if it has k.
-    floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    with_floor = (
-        grouped.select(F.col("node").alias("q_node"), "vec_id").distinct()
-        .join(floors, F.col("vec_id") == F.col("query_id"), "left")
-        .groupBy("q_node")
-        .agg(F.map_from_entries(F.collect_set(F.struct("vec_id", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf")))))).alias("floor_of"), F.min(F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf")))).alias("worst"))
-    )
-    about = staged(chunks.mapInArrow(_summary, "node long, middle array<double>, radius double"), "chunk-bounds")
-    q_about = groups.select(F.col("q_node").alias("node"), F.col("q_ids").alias("ids"), F.col("q_width").alias("width"), F.col("q_matrix").alias("matrix")).mapInArrow(_summary, "node long, middle array<double>, radius double")
-    q_about = q_about.select(F.col("node").alias("q_node"), F.col("middle").alias("q_middle"), F.col("radius").alias("q_radius")).join(with_floor.select("q_node", "worst"), "q_node").withColumn("home", home_of.cast("long"))
-    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    dot = F.aggregate(F.zip_with("middle", "q_middle", lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    most = dot + F.col("q_radius") * norm(F.col("middle")) + F.col("radius") * norm(F.col("q_middle")) + F.col("radius") * F.col("q_radius")
-    pairs = (
-        q_about.withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_chunks - 1)).cast("long"))))
-        .where(F.col("node") != F.col("home"))
-        .join(about, "node")
-        .where(most + 1e-6 * F.abs(most) + 1e-6 >= F.col("worst"))
-        .select("q_node", F.col("node").alias("chunk"))
-    )
-    # The floors in the order of the group's packed ids.
-    order = groups.mapInArrow(_id_lists, "q_node long, q_list array<long>")
-    floored = order.join(with_floor, "q_node").select("q_node", F.transform("q_list", lambda i: F.element_at("floor_of", i)).alias("floor_list"))
-    wanted = pairs.join(groups.join(floored, "q_node"), "q_node").withColumn("part", F.floor(F.col("q_node") / batch))
-    sent = wanted.select("chunk", "part", "q_ids", "q_matrix", "floor_list").mapInArrow(_as_binary, "chunk long, part long, q_ids binary, q_matrix binary, floors binary")
-    parts = chunks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_groups - 1) // batch).cast("long"))))
-    far = parts.groupBy("node", "part").cogroup(sent.groupBy("chunk", "part")).applyInArrow(_search(k), RESULT)
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.length("vector")), F.lit(0)) / 8).first()
+    leaves, levels = _tree(rows, n, int(width), sample)
+    chunks = staged(leaves.groupBy("node", "piece").applyInArrow(_pack(False), CHUNKS), "chunks")
+    queries = leaves.where(F.col("vec_id") % every == 0).groupBy("node", "piece").applyInArrow(_pack(True), GROUPS).withColumn("floors", F.lit(None).cast("binary"))
+    near = staged(chunks.groupBy("node", "piece").cogroup(queries.groupBy("node", "piece")).applyInArrow(_search(k), FOUND), "near")
+    about = near.select("q", F.col("node").alias("home"), F.col("piece").alias("home_piece"), F.col("middle").alias("q_middle"), F.col("radius").alias("q_radius"), "worst")
+    # Groups are sent to a chunk in parts whose matrices fit in memory; a chunk is copied to the parts that want it, no others.
+    of_part = max(1, min(batch, (64 << 20) // (GROUP * 8 * max(1, int(width)))))
+    part = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-near.count() // of_part)))).alias("part")
+    wanted = staged(_reached(about, levels, chunks).select("q", "node", "piece", part), "wanted")
+    to = wanted.select("q", F.col("node").alias("to"), F.col("piece").alias("to_piece"), F.col("part").alias("in_part"))
+    sent = to.join(near.drop("worst", "of_query", "found", "scores"), "q")
+    copies = wanted.select("node", "piece", "part").distinct().join(chunks, ["node", "piece"])
+    far = copies.groupBy("node", "piece", "part").cogroup(sent.groupBy("to", "to_piece", "in_part")).applyInArrow(_search(k), FOUND)
+    found = [x.select("of_query", "found", "scores").mapInArrow(_each, RESULT) for x in (near, far)]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    best = near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k)
+    best = found[0].unionByName(found[1]).withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _id_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [np.frombuffer(b, "<i8").tolist() for b in batch.column("q_ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("q_node"), pa.array(lists, pa.list_(pa.int64()))], names=["q_node", "q_list"])
-
-
-def _as_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        floors = [np.array(f, np.float64).tobytes() for f in batch.column("floor_list").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(floors, pa.binary())], names=["chunk", "part", "q_ids", "q_matrix", "floors"])

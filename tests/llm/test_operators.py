@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from passgrid.llm import common
 from passgrid.llm import jaccard_join as jaccard
+from passgrid.llm import topk_search as topk
 from passgrid.llm.jaccard_join import Shingles, jaccard_join, keep_representatives
 from passgrid.llm.license_scan import BASE_PHRASES, TEMPLATES, Automaton, scan_licenses, split_words
 from passgrid.llm.materialise import feistel, materialise, read_slots
@@ -196,12 +197,11 @@ def test_hot_group_of_near_copies(spark):
 
 # 3 ----------------------------------------------------------------------------------------------------------------------
 def brute_top_k(rows, k=20, every=20):
-    vectors = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    vectors = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(64 * x) for x in v)]
     out = []
-    for q, a in vectors:
-        if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    for q in {i for i, _ in vectors if i % every == 0}:
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in vectors if p == q for i, b in vectors if i != q)[:k]
+        out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
@@ -213,6 +213,27 @@ def test_top_k(spark, small):
     df = spark.createDataFrame([(i, v, "x") for i, v in ties], "vec_id long, embedding array<double>, node string")
     assert sorted(map(tuple, top_k(df).collect())) == brute_top_k(ties)
     assert top_k(df.limit(0)).count() == 0
+    repeated = [(i, [float(i), 1.0]) for i in (0, 1, 1, 2, 20, 20)] + [(20, [-3.0, 2.0]), (40, [1e307, 0.0])]
+    df = spark.createDataFrame(repeated, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df).collect()))
+    assert got == brute_top_k(repeated) and sum(q == 0 for q, *_ in got) == 6
+
+
+def test_top_k_down_a_tree(spark, monkeypatch):
+    """Small chunks, so that nodes are split over several levels; equal vectors that no centre parts; SQL says the same."""
+    import duckdb
+
+    from passgrid.llm.registry import ORACLE_SQL
+
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    monkeypatch.setattr(topk, "GROUP", 8)
+    rng = np.random.default_rng(2)
+    middles = rng.normal(0, 3, (12, 6))
+    points = middles[rng.integers(0, 12, 1500)] + rng.normal(0, 0.3, (1500, 6))
+    points[:300] = points[0]
+    embeddings = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").toPandas()
+    got = top_k(spark.createDataFrame(embeddings), batch=4).collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(ORACLE_SQL["op3_exact_top_k"]).fetchall())
 
 
 # 4 ----------------------------------------------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ BASE_PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Well-known sentences of license notices and the labels the scan adds for them.
+# Well-known sentences and bodies of licenses and the labels the scan adds for them.
 TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -44,6 +44,11 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
@@ -220,7 +225,16 @@ def automaton(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str,
     return Automaton(list(templates), dict(phrases))
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, span_start long, span_end long"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, span_start long, span_end long, spans string"
+
+
+def apart(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """Of each template's spans the best ones that do not overlap, by place."""
+    kept: list[tuple[int, int, int, float]] = []
+    for s in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1])):
+        if not any(k[0] == s[0] and k[1] < s[2] and s[1] < k[2] for k in kept):
+            kept.append(s)
+    return sorted(kept, key=lambda s: (s[1], s[2], s[0]))
 
 
 def scan_licenses(
@@ -239,8 +253,10 @@ def scan_licenses(
     largest start of a base phrase, words from 0; null without one), base_labels, labels (base ones
     and those of templates covered to at least ``covered``; distinct, sorted, comma-joined), score
     (largest covered share; 1 with a base phrase), span_start and span_end (words of the best
-    covered span; null if no template is covered enough).  A null text is empty; null ids and
-    repeated rows keep a row each; an empty table gives none; other columns are ignored.
+    covered span; null if no template is covered enough), spans (every covered span as
+    "label:start:end", words from 0, end exclusive, by place, comma-joined; a template's own spans do
+    not overlap).  A null text is empty; null ids and repeated rows keep a row each; an empty table
+    gives none; other columns are ignored.
     """
     fixed = tuple(templates if templates is not None else TEMPLATES), tuple((phrases if phrases is not None else BASE_PHRASES).items())
 
@@ -256,8 +272,8 @@ def scan_licenses(
                 base_labels = {b[2] for b in base}
                 labels = base_labels | {own.templates[s[0]][0] for s in found}
                 best = max(found, key=lambda s: (s[3], s[2] - s[1], -s[1]), default=None)
-                rows.append((doc_id, len(words), len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 if base else max((s[3] for s in spans), default=0.0), best and best[1], best and best[2]))
-            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()] + [pa.int64()] * 2
+                rows.append((doc_id, len(words), len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 if base else max((s[3] for s in spans), default=0.0), best and best[1], best and best[2], ",".join(f"{own.templates[t][0]}:{a}:{b}" for t, a, b, _ in apart(found))))
+            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()] + [pa.int64()] * 2 + [pa.string()]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 

@@ -3,8 +3,8 @@
 Documents become a stream of token ids per input split, cut into sequences of a fixed length.
 A keyed Feistel network over the sequences' global numbers, with cycle-walking to stay below
 their count, is the training order: every sequence has its slot before anything is moved, and a
-restart needs the key and a slot alone.  Sequences are partitioned by slot range and each range
-is written as one shard of equal strides, so slot ``s`` lies in shard ``s // per_shard`` at byte
+restart needs the key and a slot alone.  Sequences are partitioned by slot range, a run of
+consecutive shards a task, and each shard is written with equal strides, so slot ``s`` lies in shard ``s // per_shard`` at byte
 ``(s % per_shard) * stride``.
 """
 
@@ -26,6 +26,8 @@ from passgrid.llm.wordpieces import word_tokenizer
 
 SEQUENCE_SCHEMA = "part long, place long, first_doc_id long, last_doc_id long, n_tokens int, ids binary"
 ROUNDS = 6
+#: Consecutive shards of a task at most.
+RUN = 16
 
 
 def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -147,7 +149,11 @@ def _write_shards(path: str, per_shard: int, stride: int, length: int):
                 for i, k in zip(order, n, strict=True):
                     out.write(data[i].tobytes())
                     crcs.append(zlib.crc32(data[i, : k * width].tobytes()))
-            store.move(temporary, f"{root}/shard-{number:09d}.bin")
+            final = f"{root}/shard-{number:09d}.bin"
+            if store.get_file_info(final).type == fs.FileType.NotFound:
+                store.move(temporary, final)
+            else:  # an attempt before this one came this far: its bytes are the same
+                store.delete_file(temporary)
             slots = slots.astype(np.int64)
             names = ["slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32"]
             return pa.RecordBatch.from_arrays(
@@ -187,12 +193,14 @@ def materialise(
     one input split, and only a split's last sequence is shorter (its stride is zero-filled).
     Returns one row per sequence: slot (0..n-1, each once), shard, byte_offset, n_tokens,
     first_doc_id, last_doc_id, ids_crc32 (of the stored ids).  Null texts count as empty, null ids
-    and repeated rows are kept, an empty table writes nothing and gives no rows, other columns
-    are ignored.  ``dtype`` must hold the vocabulary ("<u2" to 65,536 ids, else "<u4").  Only one
-    count per input split reaches the driver.  A shard is renamed into place when whole, so a
-    repeated task replaces it by the same bytes.
+    and repeated rows are kept, an empty table writes a manifest of no sequences and gives no rows,
+    other columns are ignored.  A ``dtype`` that can not hold the vocabulary and ``end_id`` is refused
+    ("<u2" holds 65,536 ids).  Only one count per input split reaches the driver.  A shard is named
+    when whole; a repeated task leaves a shard that is there already, whose bytes are the same.
     """
     spark = docs.sparkSession
+    if max(word_tokenizer(tokenizer).library.get_vocab_size() - 1, end_id) > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} does not hold the ids of {tokenizer}")
     path = path or run_dir(spark, "token-shards")
     sequences = staged(
         docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(_sequences(tokenizer, end_id, length, dtype), SEQUENCE_SCHEMA),
@@ -204,7 +212,9 @@ def materialise(
         bases[part], size = size, size + n
     stride = length * np.dtype(dtype).itemsize
     placed = sequences.mapInArrow(_slots(size, key, bases, per_shard, stride), CHUNK_SCHEMA)
-    ranges = placed.repartition(max(1, -(-size // per_shard)), "shard").sortWithinPartitions("shard")
+    shards = -(-size // per_shard)
+    run = max(1, min(RUN, shards // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = placed.repartitionById(max(1, -(-shards // run)), F.floor(F.col("shard") / run).cast("int")).sortWithinPartitions("shard")
     spark.createDataFrame([(size, length, stride, per_shard, dtype, key)], "sequences long, length long, stride long, per_shard long, dtype string, key long").coalesce(1).write.json(f"{path}/manifest")
     return staged(ranges.mapInArrow(_write_shards(path, per_shard, stride, length), OUTPUT_SCHEMA), "shard-index")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, run_dir, staged
+from passgrid.llm.common import col, run_dir, spread_join, staged
 
 ROW = 192
 # The PNG signature and the end chunk.
@@ -137,16 +137,21 @@ def _read(path: str):
     return run
 
 
+def _stored(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their digest, one place a digest)."""
+    index = staged(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(_store(path), INDEX_SCHEMA), "media-index")
+    # Minima are partial, so a payload that a third of all rows hold is a row per task here.
+    chosen = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    return index.select("doc_id", "n_bytes", "digest"), chosen
+
+
 def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text's payload in tar shards under ``path``; one index row per input row.
 
     Rows: doc_id, n_bytes, digest, shard, offset, length.  A payload that several tasks met is in
     several shards; all its rows name one of them.
     """
-    index = staged(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(_store(path), INDEX_SCHEMA), "media-index")
-    # A row per digest and shard first, so that a payload that a third of all rows hold is a row per task here.
-    chosen = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return index.select("doc_id", "n_bytes", "digest").join(chosen, "digest")
+    return spread_join(*_stored(docs, path, id_col, text_col), "digest", "doc_id")
 
 
 def media_columns(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,11 +166,10 @@ def media_columns(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     path = path or run_dir(spark, "media")
-    index = staged(store_media(docs, path, id_col, text_col), "media-rows")
-    unique = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    rows, chosen = _stored(docs, path, id_col, text_col)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # By place, not by shard alone: a large shard is read by several tasks, each from its own offset on.
-    read = unique.repartition(tasks, "shard", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("shard", "offset").mapInArrow(_read(path), READ_SCHEMA)
-    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").select(
+    read = chosen.repartition(tasks, "shard", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("shard", "offset").mapInArrow(_read(path), READ_SCHEMA)
+    return spread_join(rows, read, "digest", "doc_id").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height"
     )

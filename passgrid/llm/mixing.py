@@ -10,6 +10,7 @@ of its dimension share what is left in proportion to their targets.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from passgrid.llm.common import col, staged
+from passgrid.llm.common import col, numbered_columns, release, staged
 from passgrid.llm.wordpieces import word_tokenizer
 
 NONE = "(none)"
@@ -77,6 +78,12 @@ def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
+def _told(miss: float, tolerance: float) -> None:
+    """Say so where the sample's marginals are not the wanted ones (limits can make them unreachable together)."""
+    if miss > max(tolerance, 1e-6):
+        warnings.warn(f"mixing: a marginal of the sample is off by {miss:.3g} of all tokens", stacklevel=3)
+
+
 def _rake_table(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], rounds: int, tolerance: float) -> DataFrame:
     """The same over a table of cells of any size; lineage is cut every round."""
     w = cells.withColumn("w", F.col("tokens") / cells.agg(F.sum("tokens")).first()[0])
@@ -84,13 +91,29 @@ def _rake_table(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame]
         for d in dims:
             have = w.groupBy(d).agg(F.sum("w").alias("have")).join(targets[d], d, "left")
             w = w.join(have, d).withColumn("w", F.coalesce(F.col("w") * F.col("target") / F.col("have"), F.lit(0.0))).drop("have", "target")
-        w = staged(w, "raked")
+        last, w = w, staged(w, "raked")
+        release(last)
         errors = [w.groupBy(d).agg(F.sum("w").alias("have")).join(targets[d], d).agg(F.max(F.abs(F.col("have") - F.col("target")))).first()[0] or 0.0 for d in dims]
         if max(errors) < tolerance:
             break
     return w
 
 
+def _scale(sizes: DataFrame, size: str, factor: str, want: float) -> float:
+    """What ``calibrated`` finds, over a table of any size.
+
+    The sum is concave in the scale and linear between the scales at which a row becomes whole, so
+    steps along its tangent from below stop at the very scale, after few passes.
+    """
+    t, f, c = F.col(size), F.col(factor), 0.0
+    while True:
+        whole = F.lit(c) * f >= 1
+        full, rest = sizes.where(f > 0).agg(F.sum(F.when(whole, t).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(t * f))).first()
+        if not rest or (step := (want - full) / rest) <= c * (1 + 1e-14):
+            return c
+        c = step
+
+
 def calibrated(sizes: np.ndarray, factors: np.ndarray, share: float) -> float:
     """The scale c for which the sum of sizes * min(1, c * factors) is the share of all sizes (or all that can be had)."""
     want, order = share * sizes.sum(), np.argsort(-factors)
@@ -139,8 +162,8 @@ def rake_held(cells: np.ndarray, scales: np.ndarray, codes: list[np.ndarray], am
     return g
 
 
-def _rake_held_table(cells: DataFrame, dims: list[str], amounts: dict[str, DataFrame], total: float, rounds: int, tolerance: float) -> DataFrame:
-    """The same over a table of cells with their scales ``g``; lineage is cut every round."""
+def _rake_held_table(cells: DataFrame, dims: list[str], amounts: dict[str, DataFrame], total: float, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
+    """The same over a table of cells with their scales ``g``, and by how much it misses; lineage is cut every round."""
     full = F.col("g") >= 1
     sums = [F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("g"))).alias("free")]
     sums.append(F.sum(F.when(F.col("g") == WHOLE, F.col("tokens")).otherwise(0.0)).alias("fixed"))
@@ -155,11 +178,67 @@ def _rake_held_table(cells: DataFrame, dims: list[str], amounts: dict[str, DataF
         for d in dims:
             step = cells.groupBy(d).agg(*sums).join(amounts[d], d, "left").withColumn("want", F.coalesce("want", F.lit(0.0))).select(d, factor.alias("factor"))
             cells = cells.join(step, d).withColumn("g", F.when(F.col("g") == WHOLE, F.col("g")).otherwise(F.col("g") * F.col("factor"))).drop("factor")
-        cells = staged(cells, "held")
+        last, cells = cells, staged(cells, "held")
+        release(last)
         errors = [cells.groupBy(d).agg(*sums).join(amounts[d], d).agg(F.max(F.abs(have - F.col("want")))).first()[0] or 0.0 for d in dims]
         if max(errors) < tolerance * total:
             break
-    return cells
+    return cells, max(errors) / total
+
+
+def _on_driver(rows: list, keys: list[str], targets: dict[str, dict[str, float]], power: float, share: float, tolerance: float) -> list[tuple[float, float]]:
+    """Weight and probability per cell, over collected cells."""
+    sizes = np.array([r["tokens"] for r in rows])
+    names = {k: {v: i for i, v in enumerate(dict.fromkeys(r[k] for r in rows))} for k in keys}
+    codes = [np.array([names[k][r[k]] for r in rows]) for k in keys]
+    marginals = []
+    for k, code in zip(keys, codes, strict=True):
+        have = dict(zip(names[k], np.bincount(code, sizes).tolist(), strict=True))
+        want = targets.get(k) or tempered(have, power)
+        wanted = np.array([max(0.0, want.get(v, 0.0)) for v in names[k]])
+        if not wanted.sum() > 0:
+            return [(0.0, 0.0)] * len(rows)
+        marginals.append(wanted / wanted.sum())
+    w = rake(sizes, codes, marginals, tolerance=tolerance)
+    factors = w / sizes * sizes.sum()
+    live, c = np.where(factors > 0, sizes, 0.0), calibrated(sizes, factors, share)
+    taken = np.where(factors > 0, 1.0, 0.0)
+    if np.isfinite(c):  # else all that is wanted is taken whole
+        amounts = [reachable(np.bincount(code, live, len(m)), m, share * sizes.sum()) for m, code in zip(marginals, codes, strict=True)]
+        scales = rake_held(live, c * factors, codes, amounts, tolerance=tolerance)
+        last = calibrated(sizes, scales, share)
+        taken = np.minimum(taken, last * scales if np.isfinite(last) else 1.0)
+        _told(max(float(np.abs(np.bincount(code, live * taken, len(a)) - a).max()) for code, a in zip(codes, amounts, strict=True)) / sizes.sum(), tolerance)
+    return list(zip(factors.tolist(), taken.tolist(), strict=True))
+
+
+def _as_table(cells: DataFrame, keys: list[str], targets: dict[str, dict[str, float]], power: float, share: float, tolerance: float) -> DataFrame:
+    """The same over a table of cells of any size; no marginal is collected."""
+    spark, marginals = cells.sparkSession, {}
+    for k in keys:
+        have = cells.groupBy(k).agg(F.sum("tokens").alias("have"))
+        if targets.get(k):
+            given = spark.createDataFrame([(v, float(x)) for v, x in targets[k].items() if x > 0], f"{k} string, target double")
+            want = have.join(given, k).select(k, "target")
+        else:
+            want = have.select(k, F.pow("have", power).alias("target"))
+        want = staged(want, "targets")
+        all_of = want.agg(F.sum("target")).first()[0]
+        if not all_of:
+            return cells.select(*keys, F.lit(0.0).alias("mix_weight"), F.lit(0.0).alias("mix_probability"))
+        marginals[k] = want.withColumn("target", F.col("target") / all_of)
+    raked = _rake_table(cells, keys, marginals, ROUNDS, tolerance)
+    total = raked.agg(F.sum("tokens")).first()[0]
+    table = staged(raked.select(*keys, "tokens", (F.col("w") / F.col("tokens") * total).alias("mix_weight")), "factors")
+    live = table.where("mix_weight > 0")
+    want = min(share * total, live.agg(F.sum("tokens")).first()[0] * (1 - 1e-9))
+    amounts = {}
+    for k in keys:
+        have = staged(live.groupBy(k).agg(F.sum("tokens").alias("have")).join(marginals[k], k).withColumn("factor", F.col("target") / F.col("have")), "marginal")
+        amounts[k] = have.select(k, (F.col("have") * F.least(F.lit(1.0), _scale(have, "have", "factor", want) * F.col("factor"))).alias("want"))
+    held, miss = _rake_held_table(live.withColumn("g", _scale(live, "tokens", "mix_weight", want) * F.col("mix_weight")), keys, amounts, total, ROUNDS, tolerance)
+    _told(miss, tolerance)
+    return held.select(*keys, "mix_weight", F.least(F.lit(1.0), _scale(held, "tokens", "g", want) * F.col("g")).alias("mix_probability"))
 
 
 def mixture(
@@ -176,76 +255,37 @@ def mixture(
     """Add ``mix_weight`` (the factor of the row's cell) and ``mix_probability`` to every row.
 
     The weights meet the targets exactly; the probabilities meet them as far as no row is taken
-    twice, at an expected size of ``share`` of all tokens.
+    twice, at an expected size of ``share`` of all tokens (a warning tells if a marginal is missed).
 
     ``targets`` has shares per value of a dimension; a dimension without gets its observed shares
     to ``power``.  Shares of values that do not occur are spread over the others in proportion.
     A null in a dimension is the value "(none)", a null weight is 0.  Rows of cells that no
-    target wants get weight 0.  An empty table stays empty.  ``weighed`` has the dimensions and
-    weights of the same rows, where ``docs`` has no weights.
+    target wants get weight 0.  Repeated rows count one by one; an empty table stays empty; columns
+    of the two names are replaced.  ``weighed`` has the dimensions and weights of the same rows,
+    where ``docs`` has no weights.  Up to ``driver_cells`` cells are raked on the driver, more as a
+    table, by the same steps and stopping rules.
     """
-    spark = docs.sparkSession
-    value = {d: F.coalesce(col(d).cast("string"), F.lit(NONE)) for d in dims}
-    keys = {d: f"__cell_{i}" for i, d in enumerate(dims)}
-    keyed = docs.select("*", *[value[d].alias(keys[d]) for d in dims])
-    summed = keyed if weighed is None else weighed.select("*", *[value[d].alias(keys[d]) for d in dims])
-    cells = staged(summed.groupBy(*keys.values()).agg(F.sum(F.coalesce(col(weight).cast("double"), F.lit(0.0))).alias("tokens")).where("tokens > 0"), "cells")
-    marginals = {}
-    for d in dims:  # a marginal has a row per value of one dimension
-        have = {r[0]: r[1] for r in cells.groupBy(keys[d]).agg(F.sum("tokens")).collect()}
-        want = {k: v for k, v in (targets or {}).get(d, tempered(have, power)).items() if k in have and v > 0}
-        marginals[d] = {k: v / sum(want.values()) for k, v in want.items()}
-    if not all(marginals.values()):
-        return keyed.select(*[col(c) for c in docs.columns], F.lit(0.0).alias("mix_weight"), F.lit(0.0).alias("mix_probability"))
+    keys = [f"cell_{i}" for i in range(len(dims))]
+
+    def keyed_by(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        plain = numbered_columns(df)
+        own = dict(zip(df.columns, plain.columns, strict=True))
+        return plain.select("*", *[F.coalesce(F.col(own[d]).cast("string"), F.lit(NONE)).alias(k) for k, d in zip(keys, dims, strict=True)]), own
+
+    keyed, names = keyed_by(docs)
+    summed, of = (keyed, names) if weighed is None else keyed_by(weighed)
+    cells = staged(summed.groupBy(*keys).agg(F.sum(F.coalesce(F.col(of[weight]).cast("double"), F.lit(0.0))).alias("tokens")).where("tokens > 0"), "cells")
+    wanted = {k: targets[d] for k, d in zip(keys, dims, strict=True) if (targets or {}).get(d)}
     if cells.count() <= driver_cells:
         rows = cells.collect()
-        sizes = np.array([r["tokens"] for r in rows])
-        names = {d: {k: i for i, k in enumerate(dict.fromkeys(r[keys[d]] for r in rows))} for d in dims}
-        codes = [np.array([names[d][r[keys[d]]] for r in rows]) for d in dims]
-        w = rake(sizes, codes, [np.array([marginals[d].get(k, 0.0) for k in names[d]]) for d in dims], tolerance=tolerance)
-        factors = w / sizes * sizes.sum()
-        live, c = np.where(factors > 0, sizes, 0.0), calibrated(sizes, factors, share)
-        taken = np.where(factors > 0, 1.0, 0.0)
-        if np.isfinite(c):  # else all that is wanted is taken whole
-            amounts = [reachable(np.bincount(code, live, len(names[d])), np.array([marginals[d].get(k, 0.0) for k in names[d]]), share * sizes.sum()) for d, code in zip(dims, codes, strict=True)]
-            scales = rake_held(live, c * factors, codes, amounts, tolerance=tolerance)
-            last = calibrated(sizes, scales, share)
-            taken = np.minimum(taken, last * scales if np.isfinite(last) else 1.0)
-        table = spark.createDataFrame(
-            [(*(r[keys[d]] for d in dims), float(f), float(p)) for r, f, p in zip(rows, factors, taken, strict=True)],
-            ", ".join(f"{keys[d]} string" for d in dims) + ", mix_weight double, mix_probability double",
-        )
-        joined = keyed.join(F.broadcast(table), list(keys.values()), "left")
+        found = [(*(r[k] for k in keys), *x) for r, x in zip(rows, _on_driver(rows, keys, wanted, power, share, tolerance) if rows else [], strict=True)]
+        table = docs.sparkSession.createDataFrame(found, ", ".join(f"{k} string" for k in keys) + ", mix_weight double, mix_probability double")
+        joined = keyed.join(F.broadcast(table), keys, "left")
     else:
-        wanted = {d: spark.createDataFrame(list(marginals[d].items()), f"{keys[d]} string, target double") for d in dims}
-        raked = _rake_table(cells, list(keys.values()), {keys[d]: wanted[d] for d in dims}, ROUNDS, tolerance)
-        total = raked.agg(F.sum("tokens")).first()[0]
-        table = staged(raked.select(*keys.values(), "tokens", (F.col("w") / F.col("tokens") * total).alias("mix_weight")), "factors")
-        live = table.where("mix_weight > 0")
-        most = live.agg(F.sum("tokens")).first()[0]
-        want = min(share * total, most * (1 - 1e-9))
-
-        def scale(scaled: DataFrame, by: str) -> float:
-            """The factor of the column for which the sample has the wanted size."""
-            size_at = lambda c: scaled.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), c * F.col(by)))).first()[0]
-            low, high = 0.0, 1.0
-            while size_at(high) < want:
-                low, high = high, high * 2
-            for _ in range(40):
-                middle = (low + high) / 2
-                low, high = (middle, high) if size_at(middle) < want else (low, middle)
-            return high
-
-        amounts = {}
-        for d in dims:
-            have = {r[0]: r[1] for r in live.groupBy(keys[d]).agg(F.sum("tokens")).collect()}
-            most_of = reachable(np.array(list(have.values())), np.array([marginals[d].get(k, 0.0) for k in have]), want)
-            amounts[keys[d]] = spark.createDataFrame([(k, float(x)) for k, x in zip(have, most_of, strict=True)], f"{keys[d]} string, want double")
-        held = _rake_held_table(live.withColumn("g", scale(live, "mix_weight") * F.col("mix_weight")), list(keys.values()), amounts, total, ROUNDS, tolerance)
-        last = scale(held, "g")
-        table = held.select(*keys.values(), "mix_weight", F.least(F.lit(1.0), last * F.col("g")).alias("mix_probability"))
-        joined = keyed.join(table, list(keys.values()), "left")
-    return joined.select(*[col(c) for c in docs.columns], F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"), F.coalesce("mix_probability", F.lit(0.0)).alias("mix_probability"))
+        joined = keyed.join(_as_table(cells, keys, wanted, power, share, tolerance), keys, "left")
+    kept = [c for c in docs.columns if c.lower() not in ("mix_weight", "mix_probability")]
+    out = joined.select(*[names[c] for c in kept], F.coalesce("mix_weight", F.lit(0.0)), F.coalesce("mix_probability", F.lit(0.0)))
+    return out.toDF(*kept, "mix_weight", "mix_probability")
 
 
 def drawn(key: Column, probability: Column, seed: int) -> Column:
@@ -256,26 +296,39 @@ def drawn(key: Column, probability: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < probability
 
 
-def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, share: float = 0.6, seed: int = 11, whole_rows: bool = False, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+def sample_mixture(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    topic_col: str | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
+    power: float = 0.7,
+    share: float = 0.6,
+    seed: int = 11,
+    whole_rows: bool = False,
+    tokenizer: str = "word_bpe_49k.json",
+    driver_cells: int = DRIVER_CELLS,
+) -> DataFrame:
     """Sample documents so that their tokens meet the target shares of source, language and topic.
 
     Returns the sampled rows: doc_id, source, lang, topic, n_words, n_tokens, mix_weight,
-    mix_probability; with ``whole_rows`` the input's own columns instead.  Texts are tokenised once,
-    what is read again holds no texts.  A null text has no tokens and is of topic "empty"; rows with
-    no tokens take the probability of their cell, or 0 if the cell has none.  Null ids are all drawn
-    alike.
+    mix_probability; with ``whole_rows`` the input's own columns instead, whatever their names.  The
+    topic is ``topic_col``, or without one the kind of writing (``topic_of``).  Texts are tokenised
+    once, what is read again holds no texts.  A null text has no tokens and is of topic "empty"; rows
+    with no tokens take the probability of their cell, or 0 if the cell has none.  Rows of equal id
+    are drawn alike, null ids too; an empty table gives no rows.
     """
-    topic = topic_of(col(text_col)).alias("__topic")
-    own = {source_col: (targets or {}).get("source"), lang_col: (targets or {}).get("lang"), "__topic": (targets or {}).get("topic")}
-    wanted, dims = {k: v for k, v in own.items() if v}, [source_col, lang_col, "__topic"]
+    plain = numbered_columns(docs)
+    own = dict(zip(docs.columns, (F.col(c) for c in plain.columns), strict=True))
+    text, dims = own[text_col], ["source", "lang", "topic"]
+    about = [own[source_col].cast("string").alias("source"), own[lang_col].cast("string").alias("lang"), (own[topic_col].cast("string") if topic_col else topic_of(text)).alias("topic")]
     if whole_rows:
-        counted = with_tokens(docs.select(col(source_col), col(lang_col), topic, col(text_col).alias("__text")), "__text", "__tokens", tokenizer)
-        mixed = mixture(docs.select("*", topic), dims, "__tokens", wanted, power, share, weighed=counted)
-        return mixed.where(drawn(col(id_col), F.col("mix_probability"), seed)).select(*[col(c) for c in docs.columns])
-    narrow = docs.select(*[col(c) for c in dict.fromkeys((id_col, source_col, lang_col))], topic, word_count(col(text_col)).alias("__words"), col(text_col).alias("__text"))
-    counted = staged(with_tokens(narrow, "__text", "__tokens", tokenizer), "tokens")
-    kept = mixture(counted, dims, "__tokens", wanted, power, share).where(drawn(col(id_col), F.col("mix_probability"), seed))
-    return kept.select(
-        col(id_col).cast("long").alias("doc_id"), col(source_col).alias("source"), col(lang_col).alias("lang"),
-        F.col("__topic").alias("topic"), F.col("__words").alias("n_words"), F.col("__tokens").alias("n_tokens"), "mix_weight", "mix_probability",
-    )
+        counted = with_tokens(plain.select(*about, text.alias("text")), "text", "n_tokens", tokenizer)
+        mixed = mixture(plain.select("*", *about), dims, "n_tokens", targets, power, share, driver_cells, weighed=counted)
+        return mixed.where(drawn(own[id_col], F.col("mix_probability"), seed)).select(*plain.columns).toDF(*docs.columns)
+    narrow = plain.select(own[id_col].cast("long").alias("doc_id"), own[id_col].alias("key"), *about, word_count(text).alias("n_words"), text.alias("text"))
+    counted = staged(with_tokens(narrow, "text", "n_tokens", tokenizer), "tokens")
+    kept = mixture(counted, dims, "n_tokens", targets, power, share, driver_cells).where(drawn(F.col("key"), F.col("mix_probability"), seed))
+    return kept.select("doc_id", *dims, "n_words", "n_tokens", "mix_weight", "mix_probability")

@@ -4,7 +4,8 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers.  High-re
 propose further, overlapping spans: long mixed tokens, digit groups, spelt-out addresses.  A
 candidate is a vector of small format and context features; all candidates of the corpus are
 counted by vector and weak label, and trees are boosted on that table, whose size is bounded by
-the features' bands.  Thresholds, calibrated per generator to a precision, select what is added.
+the features' bands.  A fifth of the texts, by hash, is held out from the trees: thresholds are
+calibrated on it, per generator, to a precision, and select what is added.
 Everything that touches rows is built-in Column expressions; the driver sees the counted table.
 """
 
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, staged
+from passgrid.llm.common import col, numbered_columns, staged
 
 # Base rules.  Possessive forms of the given patterns: they match the same places, without backtracking.
 KINDS = ["email", "ip", "card", "phone"]
@@ -133,11 +134,11 @@ def _candidate(number: int, kind: str, x: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """All columns and ``__base`` (valid base spans by kind and start) and ``__candidates``."""
+    """All columns and ``__base`` (valid base spans by kind and start), ``__candidates`` and ``__held`` (the text is for calibration)."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     digit = F.col("__text").rlike("[0-9]")
     empty = F.array().cast("array<string>")
-    out = docs.withColumn("__text", text).withColumn("__digit", digit)
+    out = docs.withColumn("__text", text).withColumn("__digit", digit).withColumn("__held", F.pmod(F.xxhash64("__text"), F.lit(5)) == 0)
     patterns = BASE | GENERATORS
     needed = {
         k: F.col("__text").contains(HINT[k]) & (F.col("__digit") if k != "email" else F.lit(True)) if k in HINT
@@ -200,8 +201,12 @@ class Boosted:
         return chosen
 
     @classmethod
-    def fit(cls, cells: list[tuple[tuple[int, ...], int, int]], rounds: int, rate: float, precision: float) -> Boosted:
-        """cells: (features, label, count).  Newton steps on the logistic loss; ties go to the first split."""
+    def fit(cls, cells: list[tuple[tuple[int, ...], int, int]], rounds: int, rate: float, precision: float, held: list[tuple[tuple[int, ...], int, int]]) -> Boosted:
+        """cells: (features, label, count).  Newton steps on the logistic loss; ties go to the first split.
+
+        ``held`` cells, of the same form, take no part in the trees and set the thresholds: the lowest
+        score from which on the share of positives is ``precision``; a generator without one selects nothing.
+        """
         total = sum(n for _, _, n in cells)
         if not total:
             return cls(0.0, [], {})
@@ -239,9 +244,9 @@ class Boosted:
                 break
             trees.append(tree)
             raw = [r + cls._leaf(tree, row) for r, (row, _, _) in zip(raw, cells, strict=True)]
-        thresholds = {}
-        for number in range(len(GENERATORS)):  # the lowest score from which on the share of positives is high enough
-            of = sorted(((r, y, n) for r, (row, y, n) in zip(raw, cells, strict=True) if row[0] == number), reverse=True)
+        grown, thresholds = cls(start, trees, {}), {}
+        for number in range(len(GENERATORS)):
+            of = sorted(((grown.raw(row), y, n) for row, y, n in held if row[0] == number), reverse=True)
             positive = seen = 0
             for k, (r, y, n) in enumerate(of):
                 positive, seen = positive + y * n, seen + n
@@ -251,13 +256,14 @@ class Boosted:
 
 
 def fit_boosted(spans: DataFrame, rounds: int = 24, rate: float = 0.4, precision: float = 0.9) -> Boosted:
-    """Train on all candidates of a table from ``with_spans``, counted by features and label.
+    """Train on all candidates of a table from ``with_spans``, counted by features, label and held-out mark.
 
-    The counted table has at most 3 * 6 * 6 * 2 * 4 * 4 * 4 * 3 * 2 rows, whatever the corpus.
+    The counted table has at most 3 * 6 * 6 * 2 * 4 * 4 * 4 * 3 * 2 * 2 rows, whatever the corpus.
     """
-    counted = spans.select(F.explode("__candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.label").alias("label")).count()
-    cells = sorted((tuple(r[f] for f in FEATURES), r["label"], r["count"]) for r in counted.collect())
-    return Boosted.fit(cells, rounds, rate, precision)
+    counted = spans.select("__held", F.explode("__candidates").alias("c")).groupBy("__held", *[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.label").alias("label")).count()
+    rows = sorted((tuple(r[f] for f in FEATURES), r["label"], r["count"], r["__held"]) for r in counted.collect())
+    part = lambda held: [r[:3] for r in rows if r[3] == held]
+    return Boosted.fit(part(False), rounds, rate, precision, part(True))
 
 
 def with_selected(found: DataFrame, model: Boosted) -> DataFrame:
@@ -277,20 +283,22 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Personal data in every whole text.
 
     Returns a row per input row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256
-    (of "kind:start:end" by kind, then start, comma-joined; code points, end exclusive) and spans
-    (base spans and added ones of kinds secret, number, contact, joined likewise).  A null text is
-    empty; null ids and repeated rows keep a row each; an empty table gives none; other columns
-    are ignored.
+    (of "kind:start:end" by kind, then start, comma-joined; code points, end exclusive), spans
+    (base spans and added ones of kinds secret, number, contact, joined likewise), n_secret,
+    n_number, n_contact (added spans) and n_spans (all).  A null text is empty; null ids and
+    repeated rows keep a row each; an empty table gives none; other columns are ignored.
     """
     own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    spans = staged(with_spans(own, "text").select("doc_id", "__base", "__candidates"), "pii-candidates")
+    spans = staged(with_spans(own, "text").select("doc_id", "__base", "__candidates", "__held"), "pii-candidates")
     model = fit_boosted(spans)
-    count = lambda i: F.size(F.filter("__base", lambda x: x["kind"] == i)).cast("long")
+    count = lambda i: F.size(F.filter("__spans", lambda x: x["kind"] == i)).cast("long")
     return with_selected(spans, model).select(
         "doc_id",
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"),
         _joined(F.col("__spans")).alias("spans"),
+        *[count(i + len(KINDS)).alias(f"n_{k}") for i, k in enumerate(GENERATORS)],
+        F.size("__spans").cast("long").alias("n_spans"),
     )
 
 
@@ -298,11 +306,14 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with every selected span of ``text_col`` replaced by its kind in brackets.
 
     Overlapping spans become one mark of the earliest's kind.  A null text stays null; texts
-    without personal data and all other columns stay as they are.
+    without personal data and all other columns, whatever their names, stay as they are; repeated
+    rows stay; an empty table stays empty.  Texts are searched once: the rows are staged with their spans.
     """
-    candidates = staged(with_spans(docs.select(col(text_col).alias("text")), "text").select("__candidates").where(F.size("__candidates") > 0), "pii-candidates")
-    model = fit_boosted(candidates)
-    found = with_selected(with_spans(docs, text_col), model)
+    plain = numbered_columns(docs)
+    text_col = plain.columns[docs.columns.index(text_col)]
+    spans = staged(with_spans(plain, text_col).select(*plain.columns, "__base", "__candidates", "__held"), "pii-candidates")
+    model = fit_boosted(spans)
+    found = with_selected(spans, model)
     found = found.withColumn("__spans", F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
     # A span that begins before the end of those before it is part of their mark.
     found = found.withColumn("__ends", F.transform("__spans", lambda x: x["end"])).withColumn("__reach", _stretches(F.col("__ends"), _greatest))
@@ -310,9 +321,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     placed = F.transform("__spans", lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), reach(i).alias("after")))
     found = found.withColumn("__heads", F.filter(placed, lambda x: x["start"] >= x["after"]))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, *GENERATORS]])
-    text = F.col("__text")
+    text = F.col(text_col).cast("string")
     parts = F.transform("__heads", lambda x: F.concat(F.substring(text, x["after"] + 1, x["start"] - x["after"]), F.element_at(names, x["kind"] + 1)))
     last = F.array_max(F.transform("__spans", lambda x: x["end"]))
     rest = F.substring(text, last + 1, F.length(text))
-    changed = found.withColumn("__new", F.when(F.size("__spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(col(text_col)))
-    return changed.select(*[F.col("__new").alias(c) if c == text_col else col(c) for c in docs.columns])
+    changed = found.withColumn("__new", F.when(F.size("__spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text_col)))
+    return changed.select(*[F.col("__new") if c == text_col else F.col(c) for c in plain.columns]).toDF(*docs.columns)

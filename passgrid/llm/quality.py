@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, staged
+from passgrid.llm.common import col, numbered_columns, staged
 from passgrid.llm.license_scan import FOLD
 
 WORD_BITS = 15
@@ -95,6 +95,22 @@ class Machine:
         z = self.w0 + float(self.w[ids] @ values) + 0.5 * float(s @ s - (vx * vx).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
+    def gradient(self, ids: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Score less label per row; the features that occur and the mean log loss's derivatives by their w and v."""
+        x, i = np.concatenate(values), np.concatenate(ids)
+        sizes = np.array([len(r) for r in ids])
+        starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(ids)), sizes)
+        vx = self.v[i] * x[:, None]
+        s = np.add.reduceat(vx, starts)
+        z = self.w0 + np.add.reduceat(self.w[i] * x, starts) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), starts))
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
+        d = (error[owner] * x)[:, None]
+        unique, where = np.unique(i, return_inverse=True)
+        moves = d * (s[owner] - vx)
+        dw = np.bincount(where, d[:, 0]).astype(np.float32)
+        dv = np.stack([np.bincount(where, moves[:, f]) for f in range(vx.shape[1])], 1).astype(np.float32)
+        return error, unique, dw / len(ids), dv / len(ids)
+
     @classmethod
     def fit(cls, ids: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, rank: int, steps: int, rate: float, decay: float, seed: int) -> Machine:
         """``steps`` mini-batches of 64 rows, all rows in turn (400 times at most), with per-coordinate step sizes (AdaGrad)."""
@@ -107,19 +123,8 @@ class Machine:
             order = rng.permutation(len(labels))
             for at in range(0, len(order), 64):
                 rows = order[at : at + 64]
-                x, i = np.concatenate([values[r] for r in rows]), np.concatenate([ids[r] for r in rows])
-                sizes = np.array([len(ids[r]) for r in rows])
-                starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
-                vx = v[i] * x[:, None]
-                s = np.add.reduceat(vx, starts)
-                z = w0 + np.add.reduceat(w[i] * x, starts) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), starts))
-                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]
-                d = (error[owner] * x)[:, None]
-                unique, where = np.unique(i, return_inverse=True)
-                moves = d * (s[owner] - vx)
-                dw = np.bincount(where, d[:, 0]).astype(np.float32)
-                dv = np.stack([np.bincount(where, moves[:, f]) for f in range(rank)], 1).astype(np.float32)
-                dw, dv = dw / len(rows) + decay * w[unique], dv / len(rows) + decay * v[unique]
+                error, unique, dw, dv = cls(w0, w, v).gradient([ids[r] for r in rows], [values[r] for r in rows], labels[rows])
+                dw, dv = dw + decay * w[unique], dv + decay * v[unique]
                 gw[unique] += dw * dw
                 gv[unique] += dv * dv
                 w[unique] -= rate * dw / np.sqrt(gw[unique])
@@ -197,7 +202,11 @@ def score_quality(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Machine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows, whole, whose text the machine does not reject."""
+    """The rows, whole, whose text the machine does not reject.
+
+    Decided text by text: a null text is scored as an empty one, repeated rows and null ids stay or
+    go by their text, an empty table stays empty, columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))
     at = docs.columns.index(text_col)
 
@@ -206,5 +215,5 @@ def keep_good(docs: DataFrame, model: Machine, text_col: str = "text", threshold
         for batch in batches:
             yield batch.filter(pa.array([machine.score(*features(t)) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots, which the Arrow map does not take
+    plain = numbered_columns(docs)  # names may hold dots, which the Arrow map does not take
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

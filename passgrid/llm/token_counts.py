@@ -4,8 +4,8 @@ One pass turns every block of documents into per-document pre-token frequencies
 block's own vocabulary.  The blocks' vocabularies are shuffled by pre-token, so that the pieces
 of each distinct pre-token are counted once in the whole corpus; the counts are joined back to
 the blocks and every document's frequencies are summed against them.  No ids are made.  What is
-shuffled are distinct pre-tokens per block, not occurrences, so a very common word costs a row
-per block.
+shuffled are distinct pre-tokens per block, not occurrences, so the commonest word is one row a
+block, no larger a share of the rows than any block's vocabulary allows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from passgrid.llm.common import col, staged
 from passgrid.llm.wordpieces import word_tokenizer
 
+#: Bytes of text in a block at most (a longer text is a block of its own).
+BLOCK_BYTES = 64 << 20
 BLOCK_SCHEMA = "block string, doc_ids array<long>, n_bytes array<long>, direct array<long>, frequencies binary, pretokens array<string>"
 
 
@@ -60,11 +63,22 @@ def sums(data: bytes, pieces: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of text, or of one longer text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, most + (sizes[at - 1] if at else 0), "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _blocks(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_tokenizer(tokenizer)
         part, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in _cut(batches, BLOCK_BYTES):
             vocabulary: dict[str, int] = {}
             chunks: dict[str, tuple[int, ...]] = {}
             ids, n_bytes, direct, lines, counts = batch.column(0), [], [], [], []
@@ -77,7 +91,7 @@ def _blocks(tokenizer: str):
                     counts.append(np.zeros(0, np.int64))
                     continue
                 special, entries = 0, []
-                for found, one in own.segments(text.lower() if text.isascii() and "<|" not in text else text):
+                for found, one in own.segments(text.lower() if text.isascii() and own.opening not in text else text):
                     if found is None:
                         special += 1
                         continue
@@ -133,7 +147,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns one row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
     A null text counts as empty (0 bytes, 0 tokens); null ids and repeated rows keep a row each;
     an empty table gives no rows; other columns are ignored.  ``tokenizer`` is a path or the name
-    of a public file.  A block is one Arrow batch, so its size is bounded by Spark's batch settings.
+    of a public file.  A block is an Arrow batch or the part of one with BLOCK_BYTES of text.
     """
     blocks = staged(
         docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(_blocks(tokenizer), BLOCK_SCHEMA),

@@ -61,6 +61,8 @@ class WordTokenizer:
         )
         self.added = {a["content"]: a["id"] for a in added}
         self.added_split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        # What every added token begins with, up to its first letter: a text without it holds none, in any case of letters.
+        self.opening = re.match(r"[\W\d_]*", os.path.commonprefix(list(self.added)))[0]
         self.words, self.plain = _plain_pattern()
         self.model = self.library.model
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
@@ -108,7 +110,7 @@ class WordTokenizer:
             cut = lambda s: re.split("[\t-\r \x85\xa0  -     　]+", s)
         else:
             cut = str.split
-        if self.added_split is None or "<" not in text:
+        if self.added_split is None or self.opening not in text:
             yield cut(text), None
             return
         for part in self.added_split.split(text):
@@ -123,7 +125,7 @@ class WordTokenizer:
             return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
         self.trim()
         if _in_latin1(text):
-            text = text.lower() if "<|" not in text else text
+            text = text.lower() if self.opening not in text else text
         out = []
         for chunks, one in self.segments(text):
             out.append(one.to_bytes(4, "little") if chunks is None else b"".join(map(self._chunks.__getitem__, chunks)))

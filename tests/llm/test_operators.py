@@ -8,12 +8,14 @@ import hashlib
 import json
 import math
 import re
+import shutil
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from passgrid.llm import common
@@ -26,12 +28,14 @@ from passgrid.llm.media import decode_png, encode_png, media_columns, payload_of
 from passgrid.llm.mixing import mixture, rake, sample_mixture
 from passgrid.llm.packing import fullest, minimum_bin_slack, pack
 from passgrid.llm.pii import Boosted, find_pii, redact
-from passgrid.llm.quality import keep_good, score_quality, train
+from passgrid.llm.quality import Machine, keep_good, score_quality, train
 from passgrid.llm.token_counts import count_tokens
 from passgrid.llm.topk_search import top_k
 from passgrid.llm.wordpieces import word_tokenizer
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, tile string, row string, length string, `a.b` string"
+#: Columns beside those of documents: names with dots, and the names that operators use or return themselves.
+EXTRA = ["node", "tile", "row", "length", "a.b", "mix_weight", "MIX_probability", "__gone", "__text", "__spans", "__base", "__topic", "c0", "c1", "cell_0", "n_tokens", "topic", "key", "class_id"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
 LONG = " ".join(f"word{i % 977} and{i % 31}," for i in range(9000))
 NEAR = " ".join(f"tok{i}" for i in range(60))
 TEXTS = [
@@ -39,8 +43,8 @@ TEXTS = [
     "Don't we'll İstanbul ǅ é́ <|endoftext|> <|startoftext|>x 12½ \x1c 日本語 😀", "Released under the MIT License. GNU general-public LICENSE; cc by Apache License!",
     "mail a@b.c, b@c.d.e@f.g ip 1.2.3.4 999.1.1.1 card 4111 1111 1111 1111, 4111111111111112 call +1 (743) 555-3824 +12 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" é 7@x.yz", "tok0",
 ]
-ROWS = [(i, t, "en" if i % 3 else None, None if i % 5 == 0 else f"s{i % 2}", None, "n", "t", "r", "l", "ab") for i, t in enumerate(TEXTS)]
-ROWS += [(None, "a null id", None, None, None, None, None, None, None, None), ROWS[6], ROWS[14], (None, None, None, None, None, None, None, None, None, None)]
+ROWS = [(i, t, "en" if i % 3 else None, None if i % 5 == 0 else f"s{i % 2}", None, *EXTRA) for i, t in enumerate(TEXTS)]
+ROWS += [(None, "a null id", *[None] * (3 + len(EXTRA))), ROWS[6], ROWS[14], (None, None, *[None] * (3 + len(EXTRA)))]
 
 
 @pytest.fixture(scope="module")
@@ -297,7 +301,23 @@ def test_contained_templates(spark):
         for k, _, _, share in own.spans(own.scan(words)[1], 3, 8):
             got[k] = max(share, got.get(k, 0))
         assert got == want, line
-        assert {TEMPLATES[k][0] for k, x in want.items() if x >= 0.75} <= set(rows[i].labels.split(","))
+        covered = {TEMPLATES[k][0] for k, x in want.items() if x >= 0.75}
+        assert set(filter(None, rows[i].labels.split(","))) == covered | set(filter(None, rows[i].base_labels.split(",")))
+        spans = [x.split(":") for x in filter(None, rows[i].spans.split(","))]
+        assert {x[0] for x in spans} == covered
+        assert all(0 <= int(a) < int(b) <= len(words) for _, a, b in spans)
+
+
+def test_every_covered_span(spark):
+    """Two notices with prose between them are two spans; a body with a cut in its middle is chained to one."""
+    body = next(t for label, t in TEMPLATES if label == "bsd-3-clause")
+    words = body.split()
+    cut = " ".join(words[:40] + ["altered"] * 4 + words[43:])
+    text = f"Released under the MIT License. {'prose ' * 30}Released under the MIT License. {cut}"
+    row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [x for x in row.spans.split(",")]
+    assert spans[:2] == ["mit:0:5", "mit:35:40"] and spans[-1].startswith("bsd-3-clause:40:")
+    assert int(spans[-1].split(":")[2]) - 40 == len(split_words(cut))
 
 
 # 5 ----------------------------------------------------------------------------------------------------------------------
@@ -314,6 +334,34 @@ def test_quality(spark, hard, none):
     assert score_quality(hard, train(none, labels)).count() == len(ROWS)
 
 
+def test_machine_is_the_sum_over_pairs():
+    """Scores against every pair's interaction, and the gradient against differences of the loss."""
+    rng = np.random.default_rng(4)
+    w, v = rng.normal(0, 0.3, 40), rng.normal(0, 0.3, (40, 3))
+    ids = [rng.choice(40, n, replace=False) for n in (7, 1, 12)]
+    values = [rng.random(len(i)) for i in ids]
+    labels = np.array([1.0, 0.0, 1.0])
+
+    def plain(w0, w, v, i, x):
+        z = w0 + sum(w[a] * y for a, y in zip(i, x)) + sum(float(v[i[a]] @ v[i[b]]) * x[a] * x[b] for a in range(len(i)) for b in range(a + 1, len(i)))
+        return 1 / (1 + math.exp(-z))
+
+    def loss(w, v):
+        return -np.mean([y * math.log(p) + (1 - y) * math.log(1 - p) for y, p in zip(labels, (plain(0.2, w, v, i, x) for i, x in zip(ids, values)))])
+
+    model = Machine(0.2, w, v)
+    assert np.allclose([model.score(i, x) for i, x in zip(ids, values)], [plain(0.2, w, v, i, x) for i, x in zip(ids, values)], atol=1e-12)
+    _, unique, dw, dv = model.gradient(ids, values, labels)
+    for k, a in enumerate(unique):
+        step = np.zeros(40)
+        step[a] = 1e-5
+        assert abs((loss(w + step, v) - loss(w - step, v)) / 2e-5 - dw[k]) < 1e-5
+        for f in range(3):
+            step = np.zeros((40, 3))
+            step[a, f] = 1e-5
+            assert abs((loss(w, v + step) - loss(w, v - step)) / 2e-5 - dv[k, f]) < 1e-5
+
+
 # 6 ----------------------------------------------------------------------------------------------------------------------
 def test_fullest_is_the_fullest():
     rng = np.random.default_rng(7)
@@ -372,6 +420,11 @@ def test_shards_round_trip(spark, hard, docs, none):
         late = dict(read_slots(spark, path, len(rows) // 2, 3))
         assert all((got[s] == a).all() for s, a in late.items())
     assert materialise(none).count() == 0
+    with pytest.raises(ValueError):
+        materialise(none, dtype="<u1")
+    shutil.rmtree(path.removeprefix("file://") + "/manifest")
+    again = materialise(docs, path, length=256, per_shard=16).collect()
+    assert {r.slot: r.ids_crc32 for r in again} == {s: r.ids_crc32 for s, r in rows.items()}  # over shards that are there
 
 
 # 8 ----------------------------------------------------------------------------------------------------------------------
@@ -424,6 +477,53 @@ def test_mixing_weighs_tokens(spark, docs):
     assert {r.doc_id for r in sample_mixture(docs, whole_rows=True).collect()} == {r.doc_id for r in rows}
 
 
+def brute_mixture(rows, power=0.7, share=0.6):
+    """Plain dictionaries: rake cells to the tempered marginals, then find the sample's probabilities where no cell is capped."""
+    cells = Counter()
+    for *cell, n in rows:
+        cells[tuple(cell)] += n
+    cells = {c: n for c, n in cells.items() if n}
+    total = sum(cells.values())
+    targets = []
+    for d in range(3):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[d]] += n
+        lifted = {v: n**power for v, n in have.items()}
+        targets.append({v: x / sum(lifted.values()) for v, x in lifted.items()})
+    w = {c: n / total for c, n in cells.items()}
+    for _ in range(300):
+        for d, target in enumerate(targets):
+            have = Counter()
+            for c, x in w.items():
+                have[c[d]] += x
+            w = {c: x * target[c[d]] / have[c[d]] for c, x in w.items()}
+    factor = {c: w[c] * total / cells[c] for c in cells}
+    return factor, {c: share * factor[c] for c in cells}
+
+
+def test_sample_is_the_brute_force_sample(spark):
+    """The very documents: cells large enough to be drawn at their raked rate, and Spark's hash of the id computed apart."""
+    rng = np.random.default_rng(6)
+    kinds = ["plain words here ", "a | b ", "### x "]
+    rows = [(i, kinds[rng.choice(3, p=[0.5, 0.3, 0.2])] * int(rng.integers(1, 9)), f"s{rng.choice(3, p=[0.5, 0.3, 0.2])}", "en" if rng.random() < 0.6 else "de") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    library = word_tokenizer("word_bpe_49k.json").library
+    topic = lambda t: "table" if " | " in t else "markup" if "###" in t else "prose"
+    about = {i: (s, g, topic(t), len(library.encode(t, add_special_tokens=False).ids)) for i, t, s, g in rows}
+    factor, chance = brute_mixture(about.values(), share=0.4)
+    assert max(chance.values()) < 1
+    hashed = lambda i: xxhash.xxh64_intdigest(struct.pack("<i", 11), xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) % (1 << 40) / (1 << 40)
+    near = {i for i in about if abs(hashed(i) - chance[about[i][:3]]) < 1e-7}
+    want = {i for i in about if hashed(i) < chance[about[i][:3]]}
+    for cells in (50_000, 0):
+        got = {r.doc_id: r for r in sample_mixture(df, share=0.4, driver_cells=cells).collect()}
+        assert set(got) ^ want <= near and len(got) > 300
+        assert all((r.source, r.lang, r.topic, r.n_tokens) == about[i] and abs(r.mix_weight - factor[about[i][:3]]) < 1e-5 for i, r in got.items())
+    read = sample_mixture(df.withColumn("subject", F.lit("one")), topic_col="subject")
+    assert {r.topic for r in read.collect()} == {"one"}
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
@@ -450,6 +550,7 @@ def test_pii(spark, hard, none):
             line = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
             want[i, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(line.encode()).hexdigest(), line] += 1
         rows = find_pii(df).collect()
+        assert all(r.n_spans == len(list(filter(None, r.spans.split(",")))) and [r.n_secret, r.n_number, r.n_contact] == [sum(x.startswith(k) for x in r.spans.split(",")) for k in ("secret", "number", "contact")] for r in rows)
         base = lambda s: ",".join(x for x in s.split(",") if x.split(":")[0] in ("email", "ip", "card", "phone"))
         assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, base(r.spans)) for r in rows) == want
     assert any("secret" in r.spans for r in find_pii(docs).collect())
@@ -464,9 +565,26 @@ def test_redaction(hard, none):
     assert redact(hard).columns == hard.columns and redact(none).count() == 0
 
 
+def test_added_spans_by_hand(spark):
+    """Lines with known spans among prose: keys, spelt-out addresses and phone numbers are added, harmless numbers are not."""
+    rng = np.random.default_rng(8)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows, want = [], {}
+    for i in range(600):
+        kind = i % 6
+        key, phone = hexes(32), f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+        text = [f"the token = {key} was used", f"call {phone} today", f"write to jo{i} [at] mail [dot] org please", f"chapter{i} of section 12 had 3 parts", f"in {1900 + i % 100} and {i} more", "plain prose without any of it"][kind]
+        rows.append((i, text))
+        want[i] = {0: ("secret", text.find(key), len(key)), 1: ("number", text.find("("), len(phone)), 2: ("contact", 9, 22 + len(str(i)))}.get(kind)
+    got = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(f"{w[0]}:{w[1]}:{w[1] + w[2]}" == got[i] for i, w in want.items() if w)
+    assert hit > 0.9 * sum(w is not None for w in want.values())
+    assert not any(got[i] for i, w in want.items() if w is None)
+
+
 def test_boosting_learns():
     cells = [((g, s, 0, c, 0, 0, 0, 0), int(c == 1 and s > 2), 10) for g in range(2) for s in range(5) for c in range(2)]
-    model = Boosted.fit(cells, 30, 0.4, 0.9)
+    model = Boosted.fit(cells, 30, 0.4, 0.9, cells)
     assert all((model.raw(row) >= model.thresholds[row[0]]) == bool(y) for row, y, _ in cells)
 
 
@@ -507,3 +625,34 @@ def test_pipeline(spark, small, docs):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, small)
     assert {r.doc_id for r in packed.collect()} == set(kept)
     assert json.dumps(sorted(packed.columns)) == json.dumps(sorted(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]))
+
+
+def test_pipeline_on_hard_rows(spark, small, hard, none):
+    """run() over nulls, repeated rows and clashing names, and over no rows: every stage's columns and row rules."""
+    import corpus_pipeline
+
+    for df in (hard, none):
+        now = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = common.staged(stage(spark, now, small), "test-stage")
+            assert after.columns == df.columns and after.dtypes == df.dtypes
+            if name in ("PII",):
+                assert after.count() == now.count()
+            now = after
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, small)
+        assert packed.where("piece = 0").count() == now.count()
+        made = common.clear_staged(spark)
+        assert made > 0 and common.clear_staged(spark) == 0
+
+
+def test_run(spark, tmp_path, small):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, small).collect()
+    assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in common.documents(spark, small).select("doc_id").collect()}
+    bins = Counter()
+    for r in rows:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 4096
+    again = corpus_pipeline.run(spark, small).collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in again) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows)

@@ -31,6 +31,7 @@ VERHOEFF_P = [
 ]
 PAN_CATEGORIES = "ABCDFGHLJPT"
 STATE_CODES = "AP AR AS BR CG CH DD DL DN GA GJ HP HR JH JK KA KL LA LD MH ML MN MP MZ NL OD OR PB PY RJ SK TN TR TS UK UP UT WB".split()
+LICENCE_STATES = "AN AP AR AS BR CH CG DN DD DL GA GJ HR HP JK JH KA KL LA LD MP MH MN ML MZ NL OD PB RJ SK TN TS TR UP UK WB".split()
 PASSPORT_SERIES = {
     "A": (1999, 2002), "B": (1999, 2002), "C": (2002, 2005), "D": (2003, 2006), "E": (2004, 2007), "F": (2005, 2008),
     "G": (2006, 2009), "H": (2007, 2010), "J": (2008, 2012), "K": (2012, 2015), "L": (2013, 2016), "M": (2014, 2017),
@@ -141,7 +142,7 @@ def licence_details(c: Column, year: Column) -> Column:
     full, older = r"^([A-Z]{2})([0-9]{2})([0-9]{4})([0-9]{7})$", r"^([A-Z]{2})([0-9]{2})([12][0-9]{3})([0-9]{4,7})$"
     part = lambda i: F.when(n.rlike(full), F.regexp_extract(n, full, i)).when(n.rlike(older), F.regexp_extract(n, older, i))
     state, issued = part(1), part(3).try_cast("int")
-    known = state.isin(*STATE_CODES)
+    known = state.isin(*LICENCE_STATES)
     return F.struct(
         F.coalesce(known & issued.between(F.lit(1960), year), F.lit(False)).alias("valid"),
         F.when(known, state).alias("state"), F.when(known, F.concat(state, part(2))).alias("rto"), F.when(known, issued).alias("year"),

@@ -13,8 +13,8 @@ from passgrid.functions.identifiers import characters, norm
 DEVANAGARI = {
     "अ": "a", "आ": "aa", "इ": "i", "ई": "ii", "उ": "u", "ऊ": "uu", "ऋ": "ri", "ऌ": "e", "ए": "e", "ऐ": "ai", "ऑ": "o", "ओ": "o", "औ": "au",
     "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ng", "च": "ch", "छ": "chh", "ज": "j", "झ": "jh", "ञ": "ny",
-    "ट": "tt", "ठ": "tth", "ड": "dd", "ढ": "ddh", "ण": "nn", "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n",
-    "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v", "श": "sh", "ष": "shh", "स": "s", "ह": "h",
+    "ट": "tt", "ठ": "tth", "ड": "dd", "ढ": "ddh", "ण": "nn", "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n", "ऩ": "nn",
+    "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ऱ": "l", "ल": "l", "ळ": "ll", "ऴ": "ll", "व": "v", "श": "sh", "ष": "shh", "स": "s", "ह": "h",
     "ा": "aa", "ि": "i", "ी": "ii", "ु": "u", "ू": "uu", "ृ": "ri", "े": "e", "ै": "ai", "ो": "o", "ौ": "au", "ँ": "n", "ं": "n", "ः": "h", "़": "", "्": "",
 }
 DIGITS = "०१२३४५६७८९"
@@ -88,6 +88,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+def norm_any(c: Column) -> Column:
+    """Normalised as identifiers are, wide and composed forms first brought to their plain ones (only such rows carry text to Python)."""
+    return norm(F.coalesce(nfkc(F.when(c.rlike("[^\\x00-\\x7F]"), c)), c))
+
+
 def birth_text(c: Column, bikram: Column) -> Column:
     """A birth date as YYYY-MM-DD (or a year), native digits read, Bikram Sambat years moved where the document is of that calendar."""
     s = F.translate(F.trim(F.coalesce(c, F.lit(""))), DIGITS, "0123456789")

@@ -113,7 +113,7 @@ def test_dates_and_names(spark):
 
 
 def test_secrets(spark):
-    t = one(spark, X.redacted(F.lit("db postgres://u:hunter2@h/x key sk-abcdefghijklmnopqrst at 10.0.0.1 token = \"deadbeef99\"")))
+    t = one(spark, X.redacted(F.lit("db postgres://u:hunter2@h/x key sk-abcdefghijklmnopqrst at 10.0.0.1 auth_token = \"deadbeef99\"")))
     assert "hunter2" not in t and "sk-abc" not in t and "10.0.0.1" not in t and "deadbeef99" not in t
 
 
@@ -127,7 +127,7 @@ def test_redaction_query_digests_every_document(spark, tmp_path):
 
     from passgrid.plans.identifiers import BOOK
 
-    texts = {1: ("plain", "plain"), 2: ("mail a@b.cz", "mail [REDACTED_MAIL]"), 3: ("at 10.0.0.1", "at [REDACTED_IP]"), 4: ("key sk-abcdefghijklmnopqrst 1234567812345678", "key [REDACTED_KEY] [REDACTED_NUMBER]")}
+    texts = {1: ("plain", "plain"), 2: ("mail a@b.cz", "mail [REDACTED_MAIL]"), 3: ("at 10.0.0.1", "at [REDACTED_IP]"), 4: ("key sk-abcdefghijklmnopqrst 1234567812345678", "key [REDACTED_AI_API_KEY] [REDACTED_NUMBER]")}
     spark.createDataFrame([(k, a) for k, (a, _) in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.digest for r in BOOK.queries["d20_redaction"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256(b.encode()).hexdigest() for k, (_, b) in texts.items()}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,23 +26,43 @@ def session_payload(blocks: Column) -> Column:
     return F.concat_ws("|", c("session_id"), c("checkpoint"), c("screener"), c("verdict"), F.coalesce("risk_score", F.lit(0)).cast("string"), F.array_join(F.array_sort(blocks), ":"), c("comparison_verdict"), utc_text(F.col("closed_at")))
 
 
+def chained(rows: DataFrame, chain: list[str], order: list[str], head: str | None = None) -> DataFrame:
+    """Rows (with ``payload``) of each chain in order, with ``position``, ``previous_hash`` and ``ledger_hash``.
+
+    A chain is sequential by nature: its rows are sorted in one partition and hashed as they pass,
+    nothing of it is held.  ``head`` is a column with the hash that a chain goes on from.
+    """
+    mark = F.concat_ws("\x01", *[F.col(c).cast("string") for c in chain]).alias("__chain")
+    start = F.coalesce(F.col(head), F.lit("GENESIS")) if head else F.lit("GENESIS")
+    sorted_ = rows.select(*[c for c in rows.columns if c != head], start.alias("__start"), mark).repartition(*chain).sortWithinPartitions(*chain, *order)
+    schema = rows.select(*[c for c in rows.columns if c != head], F.lit(0).alias("position"), F.lit("").alias("previous_hash"), F.lit("").alias("ledger_hash")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, last = None, 0, ""
+        for batch in batches:
+            places, before, after = [], [], []
+            for mark, start, payload in zip(batch.column("__chain").to_pylist(), batch.column("__start").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if mark != now:
+                    now, place, last = mark, 0, start
+                before.append(last)
+                last = hashlib.sha256(f"{last}:{payload or ''}".encode()).hexdigest()
+                places.append(place)
+                after.append(last)
+                place += 1
+            own = [batch.column(n) for n in schema.names[:-3]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(before, pa.string()), pa.array(after, pa.string())], names=schema.names)
+
+    return sorted_.mapInArrow(run, schema)
+
+
 def build_chain(df: DataFrame, chain: list[str], order: list[str], payload: Column) -> DataFrame:
     """Blocks of each chain in order, with ``previous_hash`` and ``ledger_hash``.
 
-    A chain is sequential by nature: its blocks meet in one group, so a chain is kept to a bounded
-    stretch (a checkpoint's month) and chains are tied together by a Merkle root over their heads.
+    Chains are kept to a stretch (a checkpoint's month), so that they spread over tasks, and are tied
+    together by a Merkle root over their heads.
     """
-    rows = df.select(*chain, *order, payload.alias("__p"))
-    gathered = rows.groupBy(*chain).agg(F.array_sort(F.collect_list(F.struct(*order, "__p"))).alias("b"))
-    grown = F.aggregate(
-        F.transform("b", lambda x: x["__p"]),
-        F.array().cast("array<string>"),
-        lambda acc, p: F.concat(acc, F.array(F.sha2(F.concat_ws(":", F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("GENESIS")), p), 256))),
-    )
-    hashed = gathered.withColumn("h", grown)
-    blocks = hashed.select(*chain, "h", F.posexplode("b").alias("position", "x"))
-    previous = F.coalesce(F.get("h", F.col("position") - 1), F.lit("GENESIS"))
-    return blocks.select(*chain, "position", *[F.col(f"x.{c}").alias(c) for c in order], F.col("x.__p").alias("payload"), previous.alias("previous_hash"), F.element_at("h", F.col("position") + 1).alias("ledger_hash"))
+    blocks = chained(df.select(*chain, *order, payload.alias("payload")), chain, order)
+    return blocks.select(*chain, "position", *order, "payload", "previous_hash", "ledger_hash")
 
 
 def verify_chain(blocks: DataFrame, chain: list[str]) -> DataFrame:
@@ -58,15 +82,27 @@ def _level(nodes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), lambda i: F.sha2(F.concat_ws(":", F.element_at(nodes, i * 2 + 1), F.coalesce(F.try_element_at(nodes, i * 2 + 2), F.element_at(nodes, i * 2 + 1))), 256))
 
 
-def merkle_roots(df: DataFrame, keys: list[str], leaf: str, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str]) -> DataFrame:
+    """Rows with ``place`` (from 0) and ``total`` within their key, in order, the first of which the bucket rises with.
+
+    Numbers run within a key's buckets and are moved by the buckets before, so a key may hold any part of the rows.
+    """
+    rows = df.withColumn("__bucket", bucket)
+    sizes = rows.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
+    over = W.partitionBy(*keys)
+    before = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(over.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(over).alias("total"))
+    run = F.row_number().over(W.partitionBy(*keys, "__bucket").orderBy(*order)) - 1
+    return rows.withColumn("__run", run).join(before, [*keys, "__bucket"]).withColumn("place", F.col("__run") + F.col("__before")).drop("__run", "__before", "__bucket")
+
+
+def merkle_roots(df: DataFrame, keys: list[str], leaf: str, order: list[str], bucket: Column) -> DataFrame:
     """The Merkle root over each key's leaves in order.
 
     Ten levels at a time: aligned stretches of 1,024 nodes are folded where they lie, so a tree of
     n leaves takes a shuffle per factor of 1,024 and no group is larger than that.
     """
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-    total = F.count("*").over(W.partitionBy(*keys))
-    now = df.where(F.col(leaf).isNotNull() & (F.col(leaf) != "")).select(*keys, place.alias("i"), F.col(leaf).alias("h"), F.ceil(F.log2(total)).cast("int").alias("levels"))
+    leaves = numbered(df.where(F.col(leaf).isNotNull() & (F.col(leaf) != "")), keys, bucket, order)
+    now = leaves.select(*keys, F.col("place").alias("i"), F.col(leaf).alias("h"), F.ceil(F.log2("total")).cast("int").alias("levels"))
     most = now.agg(F.max("levels")).first()[0] or 0
     for _ in range(max(1, -(-most // 10))):
         nodes = now.groupBy(*keys, "levels", F.floor(F.col("i") / LEAVES).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("a"))
@@ -90,12 +126,17 @@ def anchor_drift(now: DataFrame, anchored: DataFrame, chain: list[str]) -> DataF
 
 
 def monotone_close(df: DataFrame, chain: list[str], order: list[str], ts: str) -> DataFrame:
-    """Close times moved on to at least a second after the one before: max over (t - row) plus row."""
-    w = W.partitionBy(*chain).orderBy(*order)
-    n = F.row_number().over(w)
-    rows = df.withColumn("__n", n).withColumn("__t", F.unix_timestamp(ts))
-    moved = F.max(F.col("__t") - F.col("__n")).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("__n")
-    return rows.withColumn("closed_monotone", F.timestamp_seconds(moved)).drop("__n", "__t")
+    """Close times moved on to at least a second after the one before: max over (t - row) plus row.
+
+    Numbers and maxima run within days and are moved by the days before, so a chain may hold any part of the rows.
+    """
+    day = F.to_date(F.col(ts))
+    rows = numbered(df, chain, day, order).withColumn("__n", F.col("place") + 1).withColumn("__t", F.unix_timestamp(ts)).withColumn("__day", day)
+    most = rows.groupBy(*chain, "__day").agg(F.max(F.col("__t") - F.col("__n")).alias("__most"))
+    before = most.select(*chain, "__day", F.max("__most").over(W.partitionBy(*chain).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    run = F.max(F.col("__t") - F.col("__n")).over(W.partitionBy(*chain, "__day").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    moved = rows.withColumn("__run", run).join(before, [*chain, "__day"]).withColumn("closed_monotone", F.timestamp_seconds(F.greatest("__run", "__before") + F.col("__n")))
+    return moved.select(*df.columns, "closed_monotone")
 
 
 def running_index(df: DataFrame, bucket: str, order: list[str]) -> DataFrame:
@@ -109,10 +150,24 @@ def running_index(df: DataFrame, bucket: str, order: list[str]) -> DataFrame:
 
 
 def export_digests(df: DataFrame, day: Column, columns: list[str], order: list[str]) -> DataFrame:
-    """Per day the number of exported lines and the digest of their body, in order."""
+    """Per day the number of exported lines and the digest of their body, in order; lines are digested as they pass."""
     lines = df.select(day.alias("day"), *order, csv_line([F.col(c) for c in columns]).alias("line"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy("day").agg(F.count("*").alias("n_lines"), F.sha2(body, 256).alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, body = None, 0, hashlib.sha256()
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([n], pa.int64()), pa.array([body.hexdigest()], pa.string())], names=["day", "n_lines", "digest"])
+        for batch in batches:
+            for day, line in zip(batch.column("day").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if day != now or not n:
+                    if n:
+                        yield row()
+                    now, n, body = day, 0, hashlib.sha256()
+                body.update((("\n" if n else "") + line).encode())
+                n += 1
+        if n:
+            yield row()
+
+    return lines.repartition("day").sortWithinPartitions("day", *order).mapInArrow(run, "day string, n_lines long, digest string")
 
 
 def write_export(df: DataFrame, path: str, columns: list[str]) -> None:

@@ -76,16 +76,47 @@ def bump_of(kind: str):
     return out
 
 
+def alert_counts(reports: DataFrame) -> DataFrame:
+    """How many alerts of each kind a report has: id, checkpoint, kind, n, bump.  The pairs are never made.
+
+    Earlier reports of the number that differ from this one are all of them less those that agree, and
+    of both those of the same file are taken off; each is a running count, all of one shuffle.
+    """
+    k = F.sha2("doc_no", 256).alias("k")
+    rows = reports.where(F.length("doc_no") >= 5).select("id", "created_at", "file_hash", "checkpoint", "name", "dob", F.col("verdict").isin("FLAGGED", "REVIEW").cast("long").alias("bad"), k)
+    # Nulls agree with nothing and differ from nothing, as in the comparison of a pair.
+    counted = lambda what, *same: F.sum(what).over(W.partitionBy("k", *same).orderBy("created_at", "id").rowsBetween(W.unboundedPreceding, -1))
+    one = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+
+    def others(what, *same):
+        return zero(counted(what, *same)) - zero(counted(what, *same, "file_hash"))
+
+    differing = lambda c: F.when(F.col(c).isNotNull(), others(one(c)) - others(one(c), c)).otherwise(0)
+    kinds = {
+        "NAME_CLASH": differing("name"), "DOB_CLASH": differing("dob"), "CROSS_CHECKPOINT": differing("checkpoint"),
+        "PREVIOUSLY_FLAGGED": F.when(F.col("checkpoint").isNotNull(), others(F.col("bad"), "checkpoint")).otherwise(0),
+    }
+    each = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).cast("long").alias("n")) for name in kinds])
+    alerts = rows.where(F.col("file_hash").isNotNull()).withColumns(kinds).select("id", "checkpoint", F.explode(each).alias("x")).select("id", "checkpoint", "x.kind", "x.n").where("n > 0")
+    return alerts.withColumn("bump", F.col("n") * bump_of("kind"))
+
+
 def burst_counts(reports: DataFrame, suspicious, minutes: int = 60) -> DataFrame:
     """Reports with ``recent``: suspicious ones at the checkpoint up to this one, within the window.
 
     Counts rows up to the report itself in (time, id); later rows of the same second are taken off.
+    A window reaches into one stretch of its own length before: suspicious rows are lent to the next
+    stretch, and a stretch of a checkpoint is the largest group there is.
     """
-    keyed = reports.withColumn("__s", suspicious.cast("int")).withColumn("__t", F.unix_timestamp("created_at"))
-    window = W.partitionBy("checkpoint").orderBy("__t").rangeBetween(-minutes * 60, 0)
+    width = minutes * 60
+    keyed = reports.where(F.col("created_at").isNotNull()).withColumn("__s", suspicious.cast("int")).withColumn("__t", F.unix_timestamp("created_at"))
+    own = keyed.withColumn("__b", F.floor(F.col("__t") / width)).withColumn("__own", F.lit(True))
+    lent = own.where("__s = 1").withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))
+    window = W.partitionBy("checkpoint", "__b").orderBy("__t").rangeBetween(-width, 0)
     later = W.partitionBy("checkpoint", "__t").orderBy("id").rowsBetween(1, W.unboundedFollowing)
-    recent = F.sum("__s").over(window) - F.coalesce(F.sum("__s").over(later), F.lit(0))
-    return keyed.where(F.col("created_at").isNotNull()).withColumn("recent", recent).drop("__t")
+    met = own.unionByName(lent).withColumn("__sum", F.sum("__s").over(window)).where("__own")
+    return met.withColumn("recent", F.col("__sum") - F.coalesce(F.sum("__s").over(later), F.lit(0))).drop("__t", "__b", "__own", "__sum")
 
 
 def burst_alerts(reports: DataFrame, suspicious, minutes: int = 60, least: int = 3) -> DataFrame:
@@ -103,10 +134,21 @@ def distinct_alerts(alerts: DataFrame, keys: list[str], order: list[str]) -> Dat
     return alerts.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first_seen")).select(*keys, "first_seen.*")
 
 
+def first_alerts(reports: DataFrame) -> DataFrame:
+    """Each kind of alert of a checkpoint once, with its first report and that one's first partner.
+
+    Only the first reports, of which there is one a kind and checkpoint, are paired with earlier ones.
+    """
+    first = alert_counts(reports).groupBy("checkpoint", "kind").agg(F.min("id").alias("id"))
+    numbers = reports.join(first.select("id").distinct(), "id").select("doc_no").distinct()
+    pairs = recidivism_alerts(reports.join(numbers, "doc_no", "left_semi"))
+    return distinct_alerts(pairs.join(first, ["id", "checkpoint", "kind"], "left_semi"), ["checkpoint", "kind"], ["id", "prior_id"])
+
+
 def threat_matrix(reports: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Per checkpoint: reports, mean risk, share flagged, alerts, and a level by what they come to."""
+    """Per checkpoint: reports, mean risk, share flagged, alerts (from ``alert_counts``), and a level by what they come to."""
     base = reports.groupBy("checkpoint").agg(F.count("*").alias("n"), F.round(F.avg("risk_score"), 2).alias("mean_risk"), F.round(F.avg((F.col("verdict") == "FLAGGED").cast("double")), 4).alias("flagged_share"))
-    seen = alerts.groupBy("checkpoint").agg(F.count("*").alias("n_alerts"))
+    seen = alerts.groupBy("checkpoint").agg(F.sum("n").alias("n_alerts"))
     density = F.col("n_alerts") / F.col("n")
     level = F.when((F.col("flagged_share") > 0.45) | (density > 20), "CRITICAL").when((F.col("flagged_share") > 0.43) | (density > 10), "ELEVATED").otherwise("NORMAL")
     return base.join(seen, "checkpoint", "left").withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0))).withColumn("level", level)

@@ -42,20 +42,21 @@ add("j2_watchlist_edit", lambda s, d: links.watchlist_remove(links.watchlist_add
     with_views("""WITH new AS (SELECT DISTINCT sha256(doc_no) AS identifier_hash FROM reports WHERE custkey % 67 = 0 AND sha256(doc_no) NOT IN (SELECT identifier_hash FROM watchlist))
         SELECT * FROM (SELECT identifier_hash, category FROM watchlist UNION ALL SELECT identifier_hash, 'new' FROM new) WHERE identifier_hash NOT IN (SELECT identifier_hash FROM watchlist WHERE category = 'fraud')""", "reports", "watchlist"))
 add("j3_prior_matches", lambda s, d: links.prior_matches(R(s, d)).groupBy("id").agg(F.count("*").alias("n_prior"), F.max("prior_id").alias("max_prior")), with_views(f"WITH {PRIORS} SELECT id, count(*) AS n_prior, max(prior_id) AS max_prior FROM priors GROUP BY 1", "reports"))
-add("w1_recidivism_alerts", lambda s, d: links.recidivism_alerts(R(s, d)).groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum("bump").alias("bump")), with_views(f"WITH {ALERTS} SELECT id, kind, count(*) AS n, sum(bump) AS bump FROM alerts GROUP BY 1, 2", "reports"))
-add("g39_distinct_alerts", lambda s, d: links.distinct_alerts(links.recidivism_alerts(R(s, d)), ["checkpoint", "kind"], ["id", "prior_id"]), with_views(f"WITH {ALERTS} SELECT checkpoint, kind, unnest(min({{'id': id, 'prior_id': prior_id}})) FROM alerts GROUP BY 1, 2", "reports"))
+add("w1_recidivism_alerts", lambda s, d: links.alert_counts(R(s, d)).select("id", "kind", "n", "bump"), with_views(f"WITH {ALERTS} SELECT id, kind, count(*) AS n, sum(bump) AS bump FROM alerts GROUP BY 1, 2", "reports"))
+add("w1_alert_pairs", lambda s, d: links.recidivism_alerts(R(s, d)), with_views(f"WITH {ALERTS} SELECT id, prior_id, checkpoint, kind, bump FROM alerts", "reports"))
+add("g39_distinct_alerts", lambda s, d: links.first_alerts(R(s, d)), with_views(f"WITH {ALERTS} SELECT checkpoint, kind, unnest(min({{'id': id, 'prior_id': prior_id}})) FROM alerts GROUP BY 1, 2", "reports"))
 BURST = """c AS (SELECT *, CAST(suspicious AS INTEGER) AS s1, CAST(floor(epoch(created_at)) AS BIGINT) AS t FROM event_reports),
     w AS (SELECT id, checkpoint, s1, sum(s1) OVER (PARTITION BY checkpoint ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) - coalesce(sum(s1) OVER (PARTITION BY checkpoint, t ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS recent FROM c)"""
 add("w2_burst_alerts", lambda s, d: links.burst_alerts(EV(s, d), F.col("suspicious")).select("id", "checkpoint", "recent", "bump"), with_views(f"WITH {BURST} SELECT id, checkpoint, CAST(recent AS BIGINT) AS recent, 10 AS bump FROM w WHERE s1 = 1 AND recent >= 3", "event_reports"))
-add("g36_threat_matrix", lambda s, d: links.threat_matrix(R(s, d), links.recidivism_alerts(R(s, d))),
+add("g36_threat_matrix", lambda s, d: links.threat_matrix(R(s, d), links.alert_counts(R(s, d))),
     with_views(f"""WITH {ALERTS}, a AS (SELECT checkpoint, count(*) AS n_alerts FROM alerts GROUP BY 1), b AS (SELECT checkpoint, count(*) AS n, round(avg(risk_score), 2) AS mean_risk, round(avg(CASE WHEN verdict = 'FLAGGED' THEN 1.0::DOUBLE ELSE 0 END), 4) AS flagged_share FROM reports GROUP BY 1)
         SELECT checkpoint, n, mean_risk, flagged_share, coalesce(n_alerts, 0) AS n_alerts, CASE WHEN flagged_share > 0.45 OR coalesce(n_alerts, 0) / n > 20 THEN 'CRITICAL' WHEN flagged_share > 0.43 OR coalesce(n_alerts, 0) / n > 10 THEN 'ELEVATED' ELSE 'NORMAL' END AS level FROM b LEFT JOIN a USING (checkpoint)""", "reports"))
 add("j4_session_counts", lambda s, d: sessions.with_document_counts(S(s, d), rows.not_removed(R(s, d)).where("risk_score > 50")).select("session_id", "n_documents"),
     with_views("SELECT session_id, (SELECT count(*) FROM reports r WHERE r.session_id = s.session_id AND removed = 0 AND r.risk_score > 50) AS n_documents FROM sessions s", "sessions"))
 add("j5_session_documents", lambda s, d: sessions.session_documents(R(s, d)).select("session_id", F.array_join("documents", ",").alias("documents")),
     with_views("SELECT session_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS documents FROM reports WHERE removed = 0 GROUP BY 1", "reports"))
-add("j6_latest_by_digest", lambda s, d: rows.latest_per_key(R(s, d).join(R(s, d).where("id % 50 = 0").select("file_hash").distinct(), "file_hash"), ["file_hash"], ["created_at", "id"]).select("file_hash", "id"),
-    with_views("SELECT file_hash, arg_max(id, (created_at, id)) AS id FROM reports WHERE file_hash IN (SELECT file_hash FROM reports WHERE id % 50 = 0) GROUP BY 1", "reports"))
+add("j6_latest_by_digest", lambda s, d: rows.latest_per_key(R(s, d), ["file_hash"], ["created_at", "id"]).select("file_hash", "id"),
+    with_views("SELECT file_hash, arg_max(id, (created_at, id)) AS id FROM reports GROUP BY 1", "reports"))
 NAT = "['IN','NP','BT','US'][CAST(session_id % 4 AS INTEGER) + 1]"
 add("j15_missing_documents", lambda s, d: links.missing_documents(R(s, d).groupBy("session_id").agg(F.collect_set("doc_type").alias("presented")).withColumn("nationality", F.element_at(F.array(*[F.lit(x) for x in ("IN", "NP", "BT", "US")]), (F.col("session_id") % 4 + 1).cast("int")))).select("session_id", "nationality", F.array_join(F.array_sort("missing"), ",").alias("missing")),
     with_views(f"""SELECT session_id, {NAT} AS nationality, array_to_string(list_sort(list_filter(CASE {NAT} WHEN 'IN' THEN ['passport','aadhaar','driving_licence','voter_id','pan'] WHEN 'NP' THEN ['passport','nepali_citizenship'] WHEN 'BT' THEN ['passport','bhutan_citizenship'] ELSE ['passport','visa'] END, lambda x: NOT list_contains(p, x))), ',') AS missing
@@ -65,7 +66,7 @@ add("j16_officers", lambda s, d: R(s, d).join(T(s, d, "supplier").where("s_suppk
 
 
 def notices(s, d):
-    base = T(s, d, "benchmark").select(F.concat(F.lit("Notice "), F.col("item_id") % 30).alias("title"), F.lit("HIGH").alias("urgency"), F.left("text", F.lit(20)).alias("content"))
+    base = T(s, d, "benchmark").select(F.concat(F.lit("Notice "), F.col("item_id") % 30).alias("title"), F.lit("HIGH").alias("urgency"), F.col("text").alias("content"))
     empty = base.where("false").select(*base.columns, F.lit("").alias("file_hash"), F.lit(False).alias("revoked"))
     feed = links.publish_notices(empty, base)
     feed = links.publish_notices(feed, base.unionByName(base.withColumn("urgency", F.lit("LOW"))))
@@ -73,7 +74,7 @@ def notices(s, d):
 
 
 add("j22_notice_feed", lambda s, d: rows.newest(notices(s, d).where("NOT revoked"), 500, ["file_hash"], 500).select("title", "urgency", "file_hash"),
-    "WITH b AS (SELECT DISTINCT 'Notice ' || (item_id % 30) AS title, unnest(['HIGH','LOW']) AS urgency, left(text, 20) AS content FROM benchmark) SELECT title, urgency, sha256(title || ':' || urgency || ':' || content) AS file_hash FROM b WHERE title NOT LIKE '%7' ORDER BY 3 DESC LIMIT 500")
+    "WITH b AS (SELECT DISTINCT 'Notice ' || (item_id % 30) AS title, unnest(['HIGH','LOW']) AS urgency, text AS content FROM benchmark) SELECT title, urgency, sha256(title || ':' || urgency || ':' || content) AS file_hash FROM b WHERE title NOT LIKE '%7' ORDER BY 3 DESC LIMIT 500")
 
 add("n6_field_digests", lambda s, d: sessions.digest_map(sessions.field_digests(DF(s, d))).select("session_id", "id", F.col("digests.name.h").alias("name_h"), F.col("digests.name.s").alias("name_s"), F.col("digests.pan.h").alias("pan_h")),
     with_views(f"WITH {COMPARED} SELECT session_id, id, max(h) FILTER (field = 'name') AS name_h, max(script) FILTER (field = 'name') AS name_s, max(h) FILTER (field = 'pan') AS pan_h FROM digests GROUP BY 1, 2", "doc_fields"))
@@ -138,7 +139,10 @@ add("w4_session_chain_verify", lambda s, d: ledger.verify_chain(session_blocks(s
         sp AS (SELECT checkpoint, strftime(closed_at, '%Y') AS year, CAST(row_number() OVER (PARTITION BY checkpoint, strftime(closed_at, '%Y') ORDER BY closed_at, session_id) - 1 AS INTEGER) AS position, session_id || '|' || checkpoint || '|' || screener || '|' || verdict || '|' || risk_score || '|' || b || '|CONSISTENT|' || strftime(closed_at, '%Y-%m-%d %H:%M:%S') || ' UTC' AS payload FROM sessions JOIN docs USING (session_id) WHERE status <> 'open'),
         sc AS (SELECT *, sha256('GENESIS:' || payload) AS h FROM sp WHERE position = 0 UNION ALL SELECT sp.*, sha256(sc.h || ':' || sp.payload) FROM sc JOIN sp ON sp.checkpoint = sc.checkpoint AND sp.year = sc.year AND sp.position = sc.position + 1)
         SELECT checkpoint, year, count(*) AS blocks, CAST(NULL AS INTEGER) AS broken_at, CAST(NULL AS VARCHAR) AS reason, 'INTACT' AS status, arg_max(h, position) AS head FROM sc GROUP BY 1, 2""", "sessions"))
-add("g18_merkle_roots", lambda s, d: ledger.merkle_roots(R(s, d), ["checkpoint"], "file_hash", ["created_at", "seq"]))
+add("g18_merkle_roots", lambda s, d: ledger.merkle_roots(R(s, d), ["checkpoint"], "file_hash", ["created_at", "seq"], F.to_date("created_at")),
+    recursive("""WITH t AS (SELECT checkpoint, file_hash AS h, row_number() OVER (PARTITION BY checkpoint ORDER BY created_at, seq) - 1 AS i, count(*) OVER (PARTITION BY checkpoint) AS n FROM reports),
+        up AS (SELECT checkpoint, i, h, n FROM t UNION ALL SELECT a.checkpoint, a.i // 2, sha256(a.h || ':' || coalesce(b.h, a.h)), (a.n + 1) // 2 FROM up a LEFT JOIN up b ON b.checkpoint = a.checkpoint AND b.i = a.i + 1 WHERE a.i % 2 = 0 AND a.n > 1)
+        SELECT checkpoint, h AS root FROM up WHERE n = 1""", "reports"))
 add("a16_anchor_drift", lambda s, d: ledger.anchor_drift(ledger.anchor(blocks(s, d), CHAIN, KEY), ledger.anchor(blocks(s, d), CHAIN, KEY).where("month < '1998'").withColumn("head", F.when(F.col("month").endswith("-03"), "stale").otherwise(F.col("head"))), CHAIN).select("checkpoint", "month", "n_blocks", "seal", "state"),
     recursive(f"""WITH {CHAIN_SQL}, h AS (SELECT checkpoint, month, arg_max(ledger_hash, position) AS head, count(*) AS n_blocks FROM chain GROUP BY 1, 2)
         SELECT checkpoint, month, n_blocks, {hmac_sql("head || '|' || n_blocks")} AS seal, CASE WHEN month >= '1998' THEN 'UNANCHORED' WHEN month LIKE '%-03' THEN 'DRIFT_DETECTED' ELSE 'IN_SYNC' END AS state FROM h""", "reports"))
@@ -161,5 +165,5 @@ add("flagship_alerts", lambda s, d: flagship(s, d), with_views(f"""WITH {ALERTS}
 
 def flagship(s, d):
     """Recidivism alerts per checkpoint."""
-    return links.recidivism_alerts(R(s, d)).groupBy("checkpoint").agg(F.count("*").alias("n_alerts"), F.sum("bump").alias("bump"), F.count_distinct("id").alias("n_reports"))
+    return links.alert_counts(R(s, d)).groupBy("id", "checkpoint").agg(F.sum("n").alias("n"), F.sum("bump").alias("bump")).groupBy("checkpoint").agg(F.sum("n").alias("n_alerts"), F.sum("bump").alias("bump"), F.count("*").alias("n_reports"))
 

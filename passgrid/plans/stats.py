@@ -65,8 +65,8 @@ add("g13_public_summary", lambda s, d: stats.public_summary(R(s, d)),
     with_views(f"""SELECT {PUBLIC} AS kind, count(*) AS n, count(nullif(latency_ms, 0)) AS samples, min(nullif(latency_ms, 0)) AS lat_min, max(nullif(latency_ms, 0)) AS lat_max, CAST(floor(avg(nullif(latency_ms, 0))) AS BIGINT) AS lat_avg FROM reports GROUP BY 1""", "reports"))
 add("l1_recent_sessions", lambda s, d: rows.newest(S(s, d), 120, ["created_at", "session_id"]).select("session_id", "status", "created_at"),
     with_views("SELECT session_id, status, created_at FROM sessions ORDER BY created_at DESC, session_id DESC LIMIT 120", "sessions"))
-add("l3_ledger_sort", lambda s, d: rows.ledger_order(S(s, d).withColumn("label", F.concat(F.lit("Session "), F.col("session_id") % 50)), "label").limit(100).select("session_id", "label"),
-    with_views("SELECT session_id, 'Session ' || (session_id % 50) AS label FROM sessions ORDER BY session_id % 50, session_id LIMIT 100", "sessions"))
+add("l3_ledger_sort", lambda s, d: rows.ledger_order(S(s, d).withColumn("label", F.concat(F.lit("Session "), F.col("session_id") % 50)), "label").select("session_id", "label"),
+    with_views("SELECT session_id, 'Session ' || (session_id % 50) AS label FROM sessions ORDER BY session_id % 50, session_id", "sessions"))
 add("w10_day_labels", lambda s, d: rows.day_labels(S(s, d)).select("session_id", "label"),
     with_views("SELECT session_id, 'Session ' || row_number() OVER (PARTITION BY CAST(created_at + INTERVAL 330 MINUTE AS DATE) ORDER BY created_at, session_id) AS label FROM sessions", "sessions"))
 add("w11_lowest_free_label", lambda s, d: rows.lowest_free_label(rows.day_labels(S(s, d))),

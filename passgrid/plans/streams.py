@@ -15,13 +15,20 @@ BOOK = Book()
 add = BOOK.add
 EV, R, S = views.event_reports, views.reports, views.sessions
 
+# A key's next row that passes is its first one more than a minute after: followed from row to row.
+INTAKE = """WITH RECURSIVE e AS (SELECT user_id % 7 AS k, event_type AS et, CAST(floor(epoch(created_at)) AS BIGINT) AS t, arg_min(id, (created_at, id)) AS id FROM event_reports GROUP BY 1, 2, 3),
+        far AS (SELECT k, et, t, min(t) OVER (PARTITION BY k, et ORDER BY t RANGE BETWEEN 61 FOLLOWING AND UNBOUNDED FOLLOWING) AS t2 FROM e),
+        nxt AS (SELECT f.*, e.id AS id2 FROM far f JOIN e ON e.k = f.k AND e.et = f.et AND e.t = f.t2),
+        kept AS (SELECT k, et, min(t) AS t, arg_min(id, t) AS id FROM e GROUP BY 1, 2 UNION ALL SELECT n.k, n.et, n.t2, n.id2 FROM kept JOIN nxt n ON n.k = kept.k AND n.et = kept.et AND n.t = kept.t)
+        SELECT id FROM kept"""
 add("t1_intake", lambda s, d: jobs.intake_batch(EV(s, d).withColumn("k", F.col("user_id") % 7), ["k", "event_type"], "created_at", "id", 60).select("id"),
-    with_views("SELECT id FROM (SELECT id, floor(epoch(created_at)) - lag(floor(epoch(created_at))) OVER (PARTITION BY user_id % 7, event_type ORDER BY created_at, id) AS g FROM event_reports) WHERE g IS NULL OR g > 60", "event_reports"))
+    with_views(INTAKE, "event_reports").replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE ", ", ", 1))
 add("t2_throughput", lambda s, d: jobs.throughput(EV(s, d), "created_at"), with_views("SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS start, count(*) AS n FROM event_reports GROUP BY 1", "event_reports"))
 add("t3_bursts", lambda s, d: jobs.bursts(EV(s, d), "created_at", "checkpoint", F.col("suspicious")),
     with_views("SELECT b - to_minutes(CAST(10 * i AS BIGINT)) AS start, checkpoint, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 10 MINUTE, created_at) AS b FROM event_reports WHERE suspicious), range(6) r(i) GROUP BY 1, 2 HAVING count(*) >= 3", "event_reports"))
-add("t4_recidivism", lambda s, d: jobs.recidivism_batch(EV(s, d).where("id % 20 = 0")).select("id", "prior_checkpoint", "prior_id"),
-    with_views("SELECT r.id, p.checkpoint AS prior_checkpoint, arg_max(p.id, (p.created_at, p.id)) AS prior_id FROM (SELECT * FROM event_reports WHERE id % 20 = 0) r JOIN (SELECT * FROM event_reports WHERE id % 20 = 0) p ON r.identifier_hash = p.identifier_hash AND r.checkpoint <> p.checkpoint AND (p.created_at < r.created_at OR (p.created_at = r.created_at AND p.id < r.id)) GROUP BY 1, 2", "event_reports"))
+add("t4_recidivism", lambda s, d: jobs.recidivism_batch(EV(s, d)).select("id", "prior_checkpoint", "prior_id"),
+    with_views("""WITH r AS (SELECT identifier_hash AS h, checkpoint AS c, id, created_at AS t FROM event_reports)
+        SELECT r.id, p.c AS prior_checkpoint, arg_max(p.id, (p.t, p.id)) AS prior_id FROM r JOIN r p ON r.h = p.h AND r.c <> p.c AND (p.t < r.t OR (p.t = r.t AND p.id < r.id)) GROUP BY 1, 2""", "event_reports"))
 add("t5_watchlist", lambda s, d: jobs.watchlist_hits(EV(s, d), EV(s, d).where("id % 50 = 0").select("identifier_hash", F.lit("alert").alias("category")).distinct()).groupBy("checkpoint").agg(F.count("*").alias("n")),
     with_views("SELECT checkpoint, count(*) AS n FROM event_reports WHERE identifier_hash IN (SELECT identifier_hash FROM event_reports WHERE id % 50 = 0) GROUP BY 1", "event_reports"))
 add("t6_idle_sweep", lambda s, d: jobs.idle_sweep(S(s, d).select("session_id", "status", F.col("closed_at").alias("updated_at"), F.lit("x").alias("raw")), F.lit("1996-01-01").cast("timestamp")).select("session_id", "raw", "note"),

@@ -140,9 +140,9 @@ def det_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors, and of every 10th a copy with the first three components negated."""
+    """The vectors, and of every 10th a copy with the first three components negated, under the number -1 - vec_id."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    copy = e.where("vec_id % 10 = 0").select((F.col("vec_id") + 100000).alias("vec_id"), F.transform("v", lambda x, i: F.when(i < 3, -x).otherwise(x)).alias("v"))
+    copy = e.where("vec_id % 10 = 0").select((-1 - F.col("vec_id")).alias("vec_id"), F.transform("v", lambda x, i: F.when(i < 3, -x).otherwise(x)).alias("v"))
     return e.unionByName(copy)
 
 
@@ -197,7 +197,7 @@ SQL: dict[str, str] = {
              LATERAL (SELECT CASE WHEN extra = 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS dx)""",
     "emb_plus": """
         SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
-        UNION ALL SELECT vec_id + 100000, list_transform(embedding, lambda x, i: CASE WHEN i <= 3 THEN -CAST(x AS DOUBLE) ELSE CAST(x AS DOUBLE) END) FROM embeddings WHERE vec_id % 10 = 0""",
+        UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 3 THEN -CAST(x AS DOUBLE) ELSE CAST(x AS DOUBLE) END) FROM embeddings WHERE vec_id % 10 = 0""",
 }
 NEEDS = {"sessions": ["reports"], "doc_fields": ["reports"]}
 

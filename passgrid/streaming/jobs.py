@@ -8,24 +8,75 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from passgrid.operators.ledger import chained
+
 
 # Idempotent intake -----------------------------------------------------------------------------------------------------
+def kept_times(times: np.ndarray, last: float, seconds: int) -> list[int]:
+    """Places of rising ``times`` that pass after one kept at ``last``: each more than ``seconds`` after the one kept before."""
+    out, at = [], int(np.searchsorted(times, last + seconds, "right"))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + seconds, "right"))
+    return out
+
+
 def intake(stream: DataFrame, keys: list[str], ts: str, seconds: int = 60) -> DataFrame:
-    """The first of equal keys within the window passes, replays do not."""
-    return stream.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark(keys)
+    """A key's first row passes and replays do not, until more than ``seconds`` after the row that passed last.
+
+    State is one time a key, dropped when the watermark is past it.
+    """
+    schema = stream.schema
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else -np.inf
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        times = rows[ts].to_numpy().astype("datetime64[s]").astype(np.int64)
+        passed = kept_times(times, last, seconds)
+        if passed:
+            last = float(times[passed[-1]])
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int(last + seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[passed]
+
+    keyed = stream.withWatermark(ts, f"{seconds} seconds").groupBy(*keys)
+    return keyed.applyInPandasWithState(update, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def intake_batch(df: DataFrame, keys: list[str], ts: str, order: str, seconds: int = 60) -> DataFrame:
-    """Rows whose key was not seen in the seconds before."""
-    w = W.partitionBy(*keys).orderBy(ts, order)
-    gap = F.unix_timestamp(ts) - F.lag(F.unix_timestamp(ts)).over(w)
-    return df.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > seconds)).drop("__gap")
+    """The same over a table: one pass over each key's rows in time order; no key's rows are gathered."""
+    seconds_of = F.unix_timestamp(ts).alias("__t")
+    rows = df.select("*", seconds_of, F.xxhash64(*keys).alias("__k"), F.concat_ws("\x01", *[F.col(k).cast("string") for k in keys]).alias("__key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, -np.inf
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys_, times = np.array(batch.column("__key").to_pylist(), object), batch.column("__t").to_numpy()
+            cuts = [0, *(np.nonzero(keys_[1:] != keys_[:-1])[0] + 1).tolist(), len(keys_)]
+            passed = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if keys_[a] != key:
+                    key, last = keys_[a], -np.inf
+                own = kept_times(times[a:b], last, seconds)
+                if own:
+                    last = times[a + own[-1]]
+                passed += [a + i for i in own]
+            yield batch.take(pa.array(passed, pa.int64()))
+
+    return rows.repartition("__k").sortWithinPartitions("__key", "__t", order).mapInArrow(run, rows.schema).drop("__t", "__k", "__key")
 
 
 # Throughput, bursts, sessions of activity ---------------------------------------------------------------------------------
@@ -84,13 +135,22 @@ def recidivism(stream: DataFrame, keep_minutes: int = 60 * 24 * 30) -> DataFrame
 
 
 def recidivism_batch(reports: DataFrame) -> DataFrame:
-    """The same over a table: for each report, the latest earlier one of its identifier at each other checkpoint."""
-    cols = ["id", "created_at", "checkpoint"]
-    later = reports.select("identifier_hash", *cols)
-    prior = reports.select("identifier_hash", *[F.col(c).alias(f"prior_{c}") for c in cols])
-    earlier = (F.col("prior_created_at") < F.col("created_at")) | ((F.col("prior_created_at") == F.col("created_at")) & (F.col("prior_id") < F.col("id")))
-    pairs = later.join(prior, "identifier_hash").where(earlier & (F.col("prior_checkpoint") != F.col("checkpoint")))
-    return pairs.groupBy("identifier_hash", "id", "checkpoint", "prior_checkpoint").agg(F.max_by("prior_id", F.struct("prior_created_at", "prior_id")).alias("prior_id"))
+    """The same over a table: for each report, the latest earlier one of its identifier at each other checkpoint.
+
+    No report meets another: each meets the places its identifier was seen at, and takes from a
+    running last value per place.  These run within days, with the last of the days before carried
+    in, so that an identifier of very many reports is not one task.
+    """
+    rows = reports.select("identifier_hash", "id", "checkpoint", F.struct("created_at", "id").alias("at"), F.to_date("created_at").alias("day"))
+    places = rows.select("identifier_hash", F.col("checkpoint").alias("prior_checkpoint")).distinct()
+    ends = rows.groupBy("identifier_hash", F.col("checkpoint").alias("prior_checkpoint"), "day").agg(F.max_by("id", "at").alias("last_id"))
+    by_day = W.partitionBy("identifier_hash", "prior_checkpoint").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    grid = rows.select("identifier_hash", "day").distinct().join(places, "identifier_hash").join(ends, ["identifier_hash", "prior_checkpoint", "day"], "left")
+    carried = grid.withColumn("carried", F.last("last_id", ignorenulls=True).over(by_day)).drop("last_id")
+    within = W.partitionBy("identifier_hash", "prior_checkpoint", "day").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    met = rows.join(places, "identifier_hash").withColumn("today", F.last(F.when(F.col("checkpoint") == F.col("prior_checkpoint"), F.col("id")), ignorenulls=True).over(within))
+    found = met.join(carried, ["identifier_hash", "prior_checkpoint", "day"]).withColumn("prior_id", F.coalesce("today", "carried"))
+    return found.where(F.col("prior_id").isNotNull() & (F.col("checkpoint") != F.col("prior_checkpoint"))).select("identifier_hash", "id", "checkpoint", "prior_checkpoint", "prior_id")
 
 
 # Session lifecycle ----------------------------------------------------------------------------------------------------------
@@ -120,12 +180,25 @@ def lifecycle(stream: DataFrame, idle_minutes: int = 240) -> DataFrame:
     return keyed.applyInPandasWithState(update, LIFECYCLE, "status string, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+STATES = ["open", "approved", "flagged", "closed", "rejected"]
+
+
 def lifecycle_batch(events: DataFrame) -> DataFrame:
-    """The state after all events in order: a fold over each session's actions."""
-    table = F.create_map(*[F.lit(x) for (a, b), c in NEXT.items() for x in (f"{a}/{b}", c)])
-    steps = events.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "action"))), lambda e: e["action"]).alias("a"))
-    status = F.aggregate("a", F.lit("open"), lambda s, a: F.coalesce(F.try_element_at(table, F.concat_ws("/", s, a)), s))
-    return steps.select("session_id", status.alias("status"), F.size("a").cast("long").alias("events"))
+    """The state after all events in order.
+
+    A day of a session is the function that takes each of the five states to the one its events lead
+    to; a session composes its days.  What is gathered is a day's actions, and one row a day.
+    """
+    actions = sorted({a for _, a in NEXT})
+    moves = F.array(*[F.lit(STATES.index(NEXT.get((s, a), s))) for a in [*actions, None] for s in STATES])  # by action, then state
+    code = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in actions]), F.col("action")), F.lit(0)).cast("int")
+    coded = events.select("session_id", "ts", "event_id", F.to_date("ts").alias("day"), F.when(code > 0, code - 1).otherwise(len(actions)).alias("a"))
+    days = coded.groupBy("session_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "a"))).alias("e"))
+    start = F.array(*[F.lit(i) for i in range(len(STATES))])
+    folded = F.aggregate("e", start, lambda now, x: F.transform(now, lambda s: F.element_at(moves, x["a"] * len(STATES) + s + 1)))
+    steps = days.select("session_id", F.struct("day", folded.alias("to")).alias("d"), F.size("e").alias("n")).groupBy("session_id").agg(F.array_sort(F.collect_list("d")).alias("d"), F.sum("n").alias("events"))
+    last = F.aggregate("d", F.lit(0), lambda s, x: F.element_at(x["to"], s + 1))
+    return steps.select("session_id", F.element_at(F.array(*[F.lit(s) for s in STATES]), last + 1).alias("status"), "events")
 
 
 def idle_sweep(sessions: DataFrame, as_of, idle_minutes: int = 240) -> DataFrame:
@@ -139,23 +212,17 @@ def append_blocks(path: str, chain: list[str], order: list[str]):
     """A foreachBatch sink: each batch's payloads in order, behind the chains' heads.
 
     One writer per ledger.  A batch is written under its own number, so a replayed batch replaces
-    itself and the heads are taken from the batches before it.
+    itself.  Heads are a table beside the ledger, a part per batch: only the part of the batch before
+    is read, however long the ledger is.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = batch.select(*chain, *order, "payload").withColumns({"previous_hash": F.lit(""), "ledger_hash": F.lit("")}).schema
-        old = spark.read.schema(schema.add("batch", "long")).parquet(path).where(F.col("batch") < number) if number else None
-        rows = batch.groupBy(*chain).agg(F.array_sort(F.collect_list(F.struct(*order, "payload"))).alias("b"))
-        if old is not None:
-            heads = old.groupBy(*chain).agg(F.max_by("ledger_hash", F.struct(*order)).alias("head"))
-            rows = rows.join(heads, chain, "left")
-        else:
-            rows = rows.withColumn("head", F.lit(None).cast("string"))
-        start = F.array(F.coalesce("head", F.lit("GENESIS")))
-        grown = F.aggregate(F.transform("b", lambda x: x["payload"]), start, lambda acc, p: F.concat(acc, F.array(F.sha2(F.concat_ws(":", F.element_at(acc, -1), p), 256))))
-        out = rows.withColumn("h", grown).select(*chain, "h", F.posexplode("b").alias("i", "x"))
-        out = out.select(*chain, *[F.col(f"x.{c}").alias(c) for c in order], F.col("x.payload").alias("payload"), F.get("h", F.col("i")).alias("previous_hash"), F.get("h", F.col("i") + 1).alias("ledger_hash"))
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return sink
+        rows = batch.select(*chain, *order, "payload")
+        heads = spark.read.parquet(f"{path}-heads/batch={number - 1}") if number else rows.where("false").select(*chain, F.lit("").alias("head"))
+        blocks = chained(rows.join(heads, chain, "left"), chain, order, "head").select(*chain, *order, "payload", "previous_hash", "ledger_hash")
+        blocks.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = spark.read.parquet(f"{path}/batch={number}").groupBy(*chain).agg(F.max_by("ledger_hash", F.struct(*order)).alias("new"))
+        heads.join(new, chain, "full_outer").select(*chain, F.coalesce("new", "head").alias("head")).write.mode("overwrite").parquet(f"{path}-heads/batch={number}")
+
+    return sink
\ No newline at end of file

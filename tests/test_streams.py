@@ -44,6 +44,16 @@ def test_intake_drops_replays(spark, tmp_path):
     assert sorted(r.id for r in jobs.intake_batch(df, ["k"], "ts", "id").collect()) == [1, 3]
 
 
+def test_a_replay_of_a_replay_passes_in_time(spark, tmp_path):
+    """At 0, 50 and 100 seconds: the third is more than a minute after the first, which is the last that passed."""
+    t = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, t + datetime.timedelta(seconds=s), k) for i, (s, k) in enumerate([(0, "a"), (50, "a"), (100, "a"), (160, "a"), (161, "a"), (10, "b")])], "id int, ts timestamp, k string")
+    df.coalesce(1).write.parquet(str(tmp_path / "i"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "i"))
+    assert sorted(r.id for r in jobs.intake_batch(df, ["k"], "ts", "id").collect()) == [0, 2, 4, 5]
+    assert sorted(r.id for r in drained(jobs.intake(stream, ["k"], "ts"), "t1_chain").collect()) == [0, 2, 4, 5]
+
+
 def test_watchlist_and_recidivism(spark, small, tmp_path):
     e = views.event_reports(spark, small).where("id < 300")
     e.coalesce(1).write.parquet(str(tmp_path / "w"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -56,9 +57,31 @@ def precision_recall(tps: DataFrame, truths: DataFrame) -> DataFrame:
     return rows.join(n_gt, "label").withColumn("recall", F.col("cum_tp") / F.col("n_gt")).withColumn("precision", F.col("cum_tp") / F.col("cum_n"))
 
 
-def average_precision(points: DataFrame) -> DataFrame:
-    """Mean over 101 recall levels of the best precision at that recall or beyond."""
-    bins = points.groupBy("label", "t", F.least(F.floor(F.col("recall") * 100 + 1e-9), F.lit(100)).alias("r")).agg(F.max("precision").alias("p"))
+def recall_bins(matched: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(label, t, r, p): the best precision p at recall level r of 0..100, for every threshold at once.
+
+    A detection is a true positive at t if it reaches t and no surer one of the same truth does, so one
+    running maximum serves all thresholds.  Their sums run side by side within bands of confidence, and
+    rows are spread over thresholds only where they are counted.
+    """
+    surer = W.partitionBy("img_id", "label", "gt_idx").orderBy(F.col("confidence").desc(), "det_idx").rowsBetween(W.unboundedPreceding, -1)
+    taken = F.coalesce(F.when(F.col("gt_idx").isNotNull(), F.max("iou").over(surer)), F.lit(-1.0))
+    rows = matched.withColumn("taken", taken).withColumn("band", F.floor(F.col("confidence") * 1000))
+    tps = [f"tp{i}" for i in range(len(thresholds))]
+    rows = rows.select("label", "band", "confidence", "img_id", "det_idx", *[(F.coalesce(F.col("iou") >= t, F.lit(False)) & (F.col("taken") < t)).cast("long").alias(c) for c, t in zip(tps, thresholds, strict=True)])
+    sums = rows.groupBy("label", "band").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in tps])
+    before = W.partitionBy("label").orderBy(F.col("band").desc()).rowsBetween(W.unboundedPreceding, -1)
+    moved = sums.select("label", "band", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", *tps)])
+    run = W.partitionBy("label", "band").orderBy(F.col("confidence").desc(), "img_id", "det_idx").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumns({f"{c}_run": F.sum(c).over(run) for c in tps} | {"n_run": F.count("*").over(run)}).join(moved, ["label", "band"])
+    placed = placed.join(truths.groupBy("label").agg(F.count("*").alias("n_gt")), "label")
+    cum = lambda c: F.col(f"{c}_run") + F.col(f"{c}_before")
+    points = [F.struct(F.lit(t).alias("t"), F.least(F.floor(cum(c) / F.col("n_gt") * 100 + 1e-9), F.lit(100)).alias("r"), (cum(c) / cum("n")).alias("p")) for c, t in zip(tps, thresholds, strict=True)]
+    return placed.select("label", F.explode(F.array(*points)).alias("x")).groupBy("label", "x.t", "x.r").agg(F.max("x.p").alias("p"))
+
+
+def average_precision(bins: DataFrame) -> DataFrame:
+    """Mean over 101 recall levels of the best precision at that recall or beyond, from ``recall_bins``."""
     levels = bins.select("label", "t").distinct().withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"))))
     best = levels.join(bins, ["label", "t", "r"], "left").withColumn("p", F.coalesce(F.max("p").over(W.partitionBy("label", "t").orderBy(F.col("r").desc()).rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
     return best.groupBy("label", "t").agg((F.sum("p") / 101).alias("ap"))
@@ -87,29 +110,38 @@ def _corners(boxes: list[dict]) -> np.ndarray:
     return np.array([[b[c] for c in BOX] for b in boxes], float).reshape(-1, 4)
 
 
-def greedy_counts(dets: DataFrame, truths: DataFrame, confidences: list[float], overlap: float = 0.5) -> DataFrame:
-    """Per image, label and confidence: detections from there on, truths, and those matched, each detection
-    in input order taking the first free truth it overlaps enough.  A row holds one image's boxes of a label."""
+def greedy_counts(dets: DataFrame, truths: DataFrame, confidences: list[float], overlap: float = 0.5, per_image: bool = False) -> DataFrame:
+    """Per label and confidence: detections from there on, truths, and those matched, each detection in input
+    order taking the first free truth it overlaps enough.  A row holds one image's boxes of a label; counts
+    are summed within a batch unless asked for ``per_image``."""
     d = _image_rows(dets, "d", ["det_idx", "confidence"])
     g = _image_rows(truths, "g", ["gt_idx"])
     images = d.join(g, ["img_id", "label"], "full_outer")
 
+    def matched(conf: list[float], fits: list[list[int]]) -> list[tuple[float, int, int]]:
+        out, known = [], {}
+        for c in confidences:
+            sure = tuple(x >= c for x in conf)
+            if sure not in known:  # the same detections as at another confidence
+                taken: set[int] = set()
+                for fit in [f for f, ok in zip(fits, sure, strict=True) if ok]:
+                    taken.update([j for j in fit if j not in taken][:1])
+                known[sure] = sum(sure), len(taken)
+            out.append((c, *known[sure]))
+        return out
+
     def run(batches):
         for batch in batches:
-            out = []
+            sums: dict[tuple, list[int]] = {}
             for row in batch.to_pylist():
                 d, g = row["d"] or [], row["g"] or []
                 over = _overlaps(_corners(d), _corners(g)) >= overlap
-                conf = [x["confidence"] for x in d]
-                fits = [np.nonzero(o)[0].tolist() for o in over]
-                for c in confidences:
-                    taken, n = set(), 0
-                    for sure, fit in zip(conf, fits, strict=True):
-                        if sure >= c:
-                            n += 1
-                            taken.update([j for j in fit if j not in taken][:1])
-                    out.append((row["img_id"], row["label"], c, n, len(g), len(taken)))
+                for c, n, k in matched([x["confidence"] for x in d], [np.nonzero(o)[0].tolist() for o in over]):
+                    s = sums.setdefault((row["img_id"] if per_image else None, row["label"], c), [0, 0, 0])
+                    for i, x in enumerate((n, len(g), k)):
+                        s[i] += x
             types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            out = [(*k, *v) for k, v in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["img_id", "label", "conf", "n_det", "n_gt", "n_tp"])
 
     return images.mapInArrow(run, "img_id long, label string, conf double, n_det long, n_gt long, n_tp long")
@@ -149,21 +181,27 @@ def suppress(dets: DataFrame, overlap: float = 0.45) -> DataFrame:
 def roc(scores: DataFrame) -> DataFrame:
     """ROC points from (score, positive): per distinct score (and 0 and 1) the rates from there on, to 4 decimals.
 
-    Counts per score are summed from the top; what is ordered is distinct scores, not rows.
+    Counts per score are summed within bands of a thousandth and moved by the bands above.
     """
     ends = scores.limit(1).select(F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("score")).withColumn("p", F.lit(0)).withColumn("n", F.lit(0))
     each = scores.select("score", F.col("positive").cast("int").alias("p"), (1 - F.col("positive").cast("int")).alias("n")).unionByName(ends)
-    by = each.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    down = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    total = by.agg(F.sum("p").alias("tp_all"), F.sum("n").alias("fp_all"))  # one row
-    run = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).crossJoin(F.broadcast(total))
+    by = each.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumn("band", F.floor(F.col("score") * 1000))
+    above = W.orderBy(F.col("band").desc()).rowsBetween(W.unboundedPreceding, -1)  # bands, of which there are about a thousand
+    bands = by.groupBy("band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    moved = bands.select("band", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))
+    down = W.partitionBy("band").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    total = bands.agg(F.sum("bp").alias("tp_all"), F.sum("bn").alias("fp_all"))  # one row
+    run = by.join(moved, "band").withColumn("tp", F.sum("p").over(down) + F.col("p0")).withColumn("fp", F.sum("n").over(down) + F.col("n0")).crossJoin(F.broadcast(total))
     return run.select(F.round("score", 4).alias("threshold"), F.round(F.col("fp") / F.col("fp_all"), 4).alias("fpr"), F.round(F.col("tp") / F.col("tp_all"), 4).alias("tpr"))
 
 
 def auc(points: DataFrame, at: float = 0.05) -> DataFrame:
-    """Trapezoid area, and the best true rate at a false rate up to ``at``."""
+    """Trapezoid area, and the best true rate at a false rate up to ``at``.
+
+    Both rates rise together and have four decimals, so there are at most 20,001 distinct points to order.
+    """
     w = W.orderBy("fpr", "tpr")
-    steps = points.select("fpr", "tpr").withColumn("f0", F.lag("fpr").over(w)).withColumn("t0", F.lag("tpr").over(w))
+    steps = points.select("fpr", "tpr").distinct().withColumn("f0", F.lag("fpr").over(w)).withColumn("t0", F.lag("tpr").over(w))
     return steps.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 4).alias("auc"), F.coalesce(F.max(F.when(F.col("fpr") <= at + 1e-5, F.col("tpr"))), F.lit(0.0)).alias("tpr_at"))
 
 
@@ -179,27 +217,37 @@ def all_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: in
     """All pairs i < j by blocks: (per pair of blocks how many pairs, how many at or above ``least``) and those pairs.
 
     Vectors are dealt to blocks of bounded size; a block meets the others by a shuffle on the pair
-    of blocks and one matrix product each, so that no pair below ``least`` becomes a row.
+    of blocks and one matrix product each, so that no pair below ``least`` becomes a row.  Rows whose
+    vector is null or holds a null take no part; a vector of zeros is like none; a shorter vector counts
+    as filled up by zeros.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    copies = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "k", "v")
+    sound = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    rows = vectors.where(sound).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    copies = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "k", "v")
 
     def multiply(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("k")
-        m = np.stack(d["v"].to_numpy())
-        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        width = max(map(len, d["v"]))
+        m = np.stack([np.pad(np.asarray(v, float), (0, width - len(v))) for v in d["v"]])
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
         keys, b, p, q = d["k"].to_numpy(), d["b"].to_numpy(), d["p"].iloc[0], d["q"].iloc[0]
-        s = m @ m.T
-        wanted = np.triu(np.ones_like(s, bool), 1) & ((b[:, None] != b[None, :]) | (p == q))
-        i, j = np.nonzero(wanted & (s >= least))
-        out = pd.DataFrame({"a": keys[i], "b": keys[j], "sim": s[i, j]})
-        out.loc[len(out)] = [-1, int(wanted.sum()), float(len(i))]
-        return out.astype({"a": "int64", "b": "int64"})
-
-    found = copies.groupBy("p", "q").applyInPandas(multiply, "a long, b long, sim double")
-    return found.where("a = -1").select(F.col("b").alias("n_pairs"), F.col("sim").cast("long").alias("n_above")), found.where("a <> -1")
+        left, right = np.nonzero(b == p)[0], np.nonzero(b == q)[0]
+        s = m[left] @ m[right].T
+        if p == q:
+            s[np.tril_indices(len(left))] = -2.0  # each pair once
+        i, j = np.nonzero(s >= least)
+        low, high = np.minimum(keys[left[i]], keys[right[j]]), np.maximum(keys[left[i]], keys[right[j]])
+        out = pd.DataFrame({"a": low, "b": high, "sim": s[i, j], "n_pairs": 0, "n_above": 0}).astype({"a": "int64", "b": "int64"})
+        pairs = len(left) * (len(left) - 1) // 2 if p == q else len(left) * len(right)
+        out.loc[len(out)] = [0, 0, np.nan, pairs, len(i)]
+        return out.astype({"a": "int64", "b": "int64", "n_pairs": "int64", "n_above": "int64"})
+
+    found = copies.groupBy("p", "q").applyInPandas(multiply, "a long, b long, sim double, n_pairs long, n_above long")
+    pair = F.col("sim").isNotNull() & ~F.isnan("sim")
+    return found.where(~pair).select("n_pairs", "n_above"), found.where(pair).select("a", "b", "sim")
 
 
 def sign_hash(vector: Column) -> Column:
@@ -207,16 +255,22 @@ def sign_hash(vector: Column) -> Column:
     return F.aggregate(F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
-def near_hashes(left: DataFrame, right: DataFrame, key: str, hash_: str, most: int = 6) -> DataFrame:
+def near_hashes(left: DataFrame, right: DataFrame, key: str, hash_: str, most: int = 6, blocks: int = 8) -> DataFrame:
     """Pairs of the two sides whose 64-bit hashes differ in at most ``most`` bits.
 
-    The bits are cut into most + 1 bands; a pair within the distance agrees on one of them at least,
-    so the join on bands loses none.
+    Of ``blocks`` equal parts, ``blocks - most`` at least are equal in such a pair, so the join on every
+    choice of that many parts loses none; with eight parts the keys have 16 bits.
     """
-    cuts = [64 * i // (most + 1) for i in range(most + 2)]
-    bands = lambda h: F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    l = left.select(F.col(key).alias("a"), F.col(hash_).alias("ha"), F.explode(bands(F.col(hash_))).alias("x"))
-    r = right.select(F.col(key).alias("b"), F.col(hash_).alias("hb"), F.explode(bands(F.col(hash_))).alias("x"))
+    size, kept = 64 // blocks, blocks - most
+    part = lambda h, i: F.shiftrightunsigned(h, i * size).bitwiseAND(F.lit((1 << size) - 1))
+
+    def keys(h: Column) -> Column:
+        chosen = list(combinations(range(blocks), kept))
+        value = lambda c: reduce(lambda v, i: v * (1 << size) + part(h, i), c, F.lit(0).cast("long"))
+        return F.array(*[F.struct(F.lit(n).alias("i"), value(c).alias("v")) for n, c in enumerate(chosen)])
+
+    l = left.select(F.col(key).alias("a"), F.col(hash_).alias("ha"), F.explode(keys(F.col(hash_))).alias("x"))
+    r = right.select(F.col(key).alias("b"), F.col(hash_).alias("hb"), F.explode(keys(F.col(hash_))).alias("x"))
     bits = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     return l.join(r, "x").where(bits <= most).select("a", "b", bits.alias("bits")).distinct()
 
@@ -290,6 +344,18 @@ def latency_figures(df: DataFrame, value: str) -> DataFrame:
     return exact.crossJoin(F.broadcast(placed))  # one row each
 
 
+def field_robustness(matched: DataFrame, condition: str, ms: str, overlap: float = 0.5) -> DataFrame:
+    """Per condition: share of detections that overlap a truth at all and enough, mean overlap, and the time at place int(.95 n).
+
+    Whole milliseconds are counted first, so what is ordered is distinct values.
+    """
+    figures = matched.groupBy(condition).agg(F.count("*").alias("n"), F.round(F.avg(F.col("iou").isNotNull().cast("double")), 4).alias("detect_rate"), F.round(F.avg("iou"), 4).alias("mean_iou"), F.round(F.avg(F.coalesce(F.col("iou") >= overlap, F.lit(False)).cast("double")), 4).alias("id_recall"))
+    counted = matched.groupBy(condition, ms).agg(F.count("*").alias("k"))
+    upto = counted.withColumn("upto", F.sum("k").over(W.partitionBy(condition).orderBy(ms).rowsBetween(W.unboundedPreceding, 0))).join(figures.select(condition, "n"), condition)
+    p95 = upto.groupBy(condition).agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.95), F.col(ms))).alias(f"p95_{ms}"))
+    return figures.join(p95, condition)
+
+
 def leak_verdict(checks: dict[str, DataFrame]) -> DataFrame:
     """One row per check: how many rows it found and whether it passes (none), and one over all."""
     rows = reduce(lambda a, b: a.unionByName(b), [df.agg(F.count("*").alias("found")).select(F.lit(k).alias("check"), "found") for k, df in checks.items()])

@@ -18,7 +18,7 @@ THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 IOU = "CASE WHEN (d.x2 - d.x1) * (d.y2 - d.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - {i} > 0 THEN {i} / ((d.x2 - d.x1) * (d.y2 - d.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - {i}) ELSE 0.0::DOUBLE END".format(i="(greatest(0.0::DOUBLE, least(d.x2, g.x2) - greatest(d.x1, g.x1)) * greatest(0.0::DOUBLE, least(d.y2, g.y2) - greatest(d.y1, g.y1)))")
 MATCHED = f"""pairs AS (SELECT d.img_id, d.label, d.det_idx, g.gt_idx, {IOU} AS iou FROM det_boxes d JOIN gt_boxes g ON d.img_id = g.img_id AND d.label = g.label),
-    best AS (SELECT img_id, label, det_idx, gt_idx, iou FROM (SELECT *, row_number() OVER (PARTITION BY img_id, label, det_idx ORDER BY iou DESC, gt_idx) AS r FROM pairs WHERE iou > 0) WHERE r = 1),
+    best AS (SELECT img_id, label, det_idx, arg_max(gt_idx, (iou, -gt_idx)) AS gt_idx, max(iou) AS iou FROM pairs WHERE iou > 0 GROUP BY 1, 2, 3),
     matched AS (SELECT d.*, b.gt_idx, b.iou FROM det_boxes d LEFT JOIN best b USING (img_id, label, det_idx))"""
 TPS = MATCHED + f""", ts AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in THRESHOLDS)}]) AS t), tps AS (SELECT m.*, t, CASE WHEN coalesce(iou >= t, false) AND row_number() OVER (PARTITION BY img_id, label, t, CASE WHEN coalesce(iou >= t, false) THEN gt_idx END ORDER BY confidence DESC, det_idx) = 1 THEN 1 ELSE 0 END AS tp FROM matched m, ts)"""
 POINTS = TPS + """, ngt AS (SELECT label, count(*) AS n_gt FROM gt_boxes GROUP BY 1), points AS (SELECT label, t, img_id, det_idx, tp, sum(tp) OVER w / n_gt AS recall, sum(tp) OVER w / count(*) OVER w AS "precision" FROM tps JOIN ngt USING (label) WINDOW w AS (PARTITION BY label, t ORDER BY confidence DESC, img_id, det_idx ROWS UNBOUNDED PRECEDING))"""
@@ -29,23 +29,52 @@ def matched(s, d):
     return E.best_truth(DET(s, d), GT(s, d))
 
 
-def points(s, d):
-    return E.precision_recall(E.true_positives(matched(s, d), THRESHOLDS), GT(s, d))
+def bins(s, d):
+    return E.recall_bins(matched(s, d), GT(s, d), THRESHOLDS)
 
 
 add("j7_box_pairs", lambda s, d: DET(s, d).join(GT(s, d).select("img_id", "label", "gt_idx", *[F.col(c).alias(f"g_{c}") for c in E.BOX]), ["img_id", "label"]).select("img_id", "det_idx", "gt_idx", F.round(E.iou(), 6).alias("iou")).where("iou >= 0.5"), with_views(f"WITH {MATCHED} SELECT img_id, det_idx, gt_idx, round(iou, 6) AS iou FROM pairs WHERE round(iou, 6) >= 0.5", "gt_boxes", "det_boxes"))
 add("j8_iou_figures", lambda s, d: DET(s, d).join(GT(s, d).select("img_id", "label", "gt_idx", *[F.col(c).alias(f"g_{c}") for c in E.BOX]), ["img_id", "label"]).groupBy("label").agg(F.round(F.avg(E.iou()), 6).alias("mean_iou"), F.count("*").alias("n")), with_views(f"WITH {MATCHED} SELECT label, round(avg(iou), 6) AS mean_iou, count(*) AS n FROM pairs GROUP BY 1", "gt_boxes", "det_boxes"))
 add("w6_best_truth", lambda s, d: matched(s, d).select("img_id", "label", "det_idx", "gt_idx", F.round("iou", 6).alias("iou")), with_views(f"WITH {MATCHED} SELECT img_id, label, det_idx, gt_idx, round(iou, 6) AS iou FROM matched", "gt_boxes", "det_boxes"))
 add("w7_true_positives", lambda s, d: E.true_positives(matched(s, d), THRESHOLDS).groupBy("label", "t").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")), with_views(f"WITH {TPS} SELECT label, t, CAST(sum(tp) AS BIGINT) AS tp, count(*) AS n FROM tps GROUP BY 1, 2", "gt_boxes", "det_boxes"))
-add("w8_precision_recall", lambda s, d: points(s, d).where("t = 0.5").select("label", "img_id", "det_idx", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision")), with_views(f'WITH {POINTS} SELECT label, img_id, det_idx, round(recall, 6) AS recall, round("precision", 6) AS "precision" FROM points WHERE t = 0.5', "gt_boxes", "det_boxes"))
-add("g19_average_precision", lambda s, d: E.average_precision(points(s, d)).select("label", "t", F.round("ap", 6).alias("ap")), with_views(f"WITH {APS} SELECT label, t, round(ap, 6) AS ap FROM aps", "gt_boxes", "det_boxes"))
-add("g20_mean_ap", lambda s, d: E.mean_average_precision(E.average_precision(points(s, d))), with_views(f"WITH {APS}, per AS (SELECT label, max(ap) FILTER (t = 0.5) AS a, avg(ap) AS b FROM aps GROUP BY 1) SELECT label, round(a, 4) AS ap50, round(b, 4) AS ap50_95 FROM per UNION ALL SELECT '(all)', round(avg(a), 4), round(avg(b), 4) FROM per", "gt_boxes", "det_boxes"))
+add("w8_precision_recall", lambda s, d: E.precision_recall(E.true_positives(matched(s, d), [0.5]), GT(s, d)).select("label", "img_id", "det_idx", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision")), with_views(f'WITH {POINTS} SELECT label, img_id, det_idx, round(recall, 6) AS recall, round("precision", 6) AS "precision" FROM points WHERE t = 0.5', "gt_boxes", "det_boxes"))
+add("g19_average_precision", lambda s, d: E.average_precision(bins(s, d)).select("label", "t", F.round("ap", 6).alias("ap")), with_views(f"WITH {APS} SELECT label, t, round(ap, 6) AS ap FROM aps", "gt_boxes", "det_boxes"))
+add("g20_mean_ap", lambda s, d: E.mean_average_precision(E.average_precision(bins(s, d))), with_views(f"WITH {APS}, per AS (SELECT label, max(ap) FILTER (t = 0.5) AS a, avg(ap) AS b FROM aps GROUP BY 1) SELECT label, round(a, 4) AS ap50, round(b, 4) AS ap50_95 FROM per UNION ALL SELECT '(all)', round(avg(a), 4), round(avg(b), 4) FROM per", "gt_boxes", "det_boxes"))
 SWEEP = [round(0.15 + 0.05 * i, 2) for i in range(14)]
-add("g21_greedy_rates", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]), ["label"]))
-add("g22_threshold_sweep", lambda s, d: E.best_threshold(E.rates(E.greedy_counts(DET(s, d), GT(s, d), SWEEP), ["label", "conf"])))
-add("g23_breakdown", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]).withColumn("condition", F.col("img_id") % 5), ["label", "condition"]))
-add("g24_class_recall", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]), ["label"]).where("n_gt > 0").agg(F.round(F.avg("recall"), 4).alias("mean_recall"), F.count("*").alias("classes")))
-add("w9_suppression", lambda s, d: E.suppress(DET(s, d).unionByName(DET(s, d).where("det_idx % 3 = 0").withColumn("det_idx", F.col("det_idx") + 100).withColumn("x1", F.col("x1") + 0.01)), 0.45).groupBy("label").agg(F.count("*").alias("kept")))
+
+
+def greedy_sql(confidences: list[float], keys: list[str]) -> str:
+    """Each detection in order takes the first free truth: followed from detection to detection of an image and label."""
+    columns = {"label": "label", "conf": "conf", "condition": "img_id % 5 AS condition"}
+    names = ", ".join(keys)
+    return f"""WITH RECURSIVE fits AS (SELECT d.img_id, d.label, d.det_idx, d.confidence, list(g.gt_idx ORDER BY g.gt_idx) FILTER (g.gt_idx IS NOT NULL AND {IOU} >= 0.5) AS f FROM det_boxes d LEFT JOIN gt_boxes g ON d.img_id = g.img_id AND d.label = g.label GROUP BY 1, 2, 3, 4),
+        c AS (SELECT unnest([{', '.join(f'{c}::DOUBLE' for c in confidences)}]) AS conf),
+        o AS (SELECT conf, img_id, label, coalesce(f, []) AS f, row_number() OVER (PARTITION BY conf, img_id, label ORDER BY det_idx) AS r FROM fits JOIN c ON confidence >= conf),
+        taken AS (SELECT DISTINCT conf, img_id, label, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS t FROM o
+            UNION ALL SELECT conf, img_id, label, r, CASE WHEN len(free) > 0 THEN list_append(t, free[1]) ELSE t END FROM (SELECT o.*, t, CAST(list_filter(f, lambda x: NOT list_contains(t, x)) AS BIGINT[]) AS free FROM taken JOIN o ON o.conf = taken.conf AND o.img_id = taken.img_id AND o.label = taken.label AND o.r = taken.r + 1)),
+        each AS (SELECT conf, img_id, label, count(*) AS n_det, 0 AS n_gt, 0 AS n_tp FROM o GROUP BY 1, 2, 3 UNION ALL SELECT conf, img_id, label, 0, 0, max(len(t)) FROM taken GROUP BY 1, 2, 3 UNION ALL SELECT conf, img_id, label, 0, 1, 0 FROM gt_boxes, c),
+        s AS (SELECT {', '.join(columns[k] for k in keys)}, CAST(sum(n_det) AS BIGINT) AS n_det, CAST(sum(n_gt) AS BIGINT) AS n_gt, CAST(sum(n_tp) AS BIGINT) AS n_tp FROM each GROUP BY {', '.join(str(i + 1) for i in range(len(keys)))}),
+        pr AS (SELECT *, n_tp / greatest(1, n_det) AS p, n_tp / greatest(1, n_gt) AS q FROM s),
+        rates AS (SELECT {names}, n_det, n_gt, n_tp, round(p, 4) AS "precision", round(q, 4) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0::DOUBLE END, 4) AS f1 FROM pr)"""
+
+
+def greedy_views(body: str, confidences: list[float], keys: list[str]) -> str:
+    return with_views(greedy_sql(confidences, keys).replace("WITH RECURSIVE", "WITH", 1) + " " + body, "gt_boxes", "det_boxes").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+add("g21_greedy_rates", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]), ["label"]), greedy_views("SELECT * FROM rates", [0.35], ["label"]))
+add("g22_threshold_sweep", lambda s, d: E.best_threshold(E.rates(E.greedy_counts(DET(s, d), GT(s, d), SWEEP), ["label", "conf"])),
+    greedy_views("SELECT label, CASE WHEN max(n_gt) > 0 THEN arg_max(conf, (f1, -conf)) ELSE 0.35::DOUBLE END AS conf, max(f1) AS f1 FROM rates GROUP BY 1", SWEEP, ["label", "conf"]))
+add("g23_breakdown", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35], per_image=True).withColumn("condition", F.col("img_id") % 5), ["label", "condition"]), greedy_views("SELECT * FROM rates", [0.35], ["label", "condition"]))
+add("g24_class_recall", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]), ["label"]).where("n_gt > 0").agg(F.round(F.avg("recall"), 4).alias("mean_recall"), F.count("*").alias("classes")),
+    greedy_views("SELECT round(avg(recall), 4) AS mean_recall, count(*) AS classes FROM rates WHERE n_gt > 0", [0.35], ["label"]))
+add("w9_suppression", lambda s, d: E.suppress(DET(s, d).unionByName(DET(s, d).where("det_idx % 3 = 0").withColumn("det_idx", -F.col("det_idx")).withColumn("x1", F.col("x1") + 0.01)), 0.45).select("img_id", "label", "det_idx"),
+    with_views(f"""WITH x AS (SELECT * FROM det_boxes UNION ALL SELECT img_id, label, -det_idx, confidence, x1 + 0.01::DOUBLE, y1, x2, y2 FROM det_boxes WHERE det_idx % 3 = 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY img_id, label ORDER BY confidence DESC, det_idx) AS r FROM x),
+        h AS (SELECT d.img_id, d.label, d.det_idx, d.r, coalesce(list(g.r) FILTER (g.r IS NOT NULL AND {IOU} > 0.45), []) AS over FROM o d LEFT JOIN o g ON d.img_id = g.img_id AND d.label = g.label AND g.r < d.r GROUP BY 1, 2, 3, 4),
+        kept AS (SELECT DISTINCT img_id, label, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS k FROM o
+            UNION ALL SELECT h.img_id, h.label, h.r, CASE WHEN len(list_intersect(h.over, kept.k)) = 0 THEN list_append(kept.k, h.r) ELSE kept.k END FROM kept JOIN h ON h.img_id = kept.img_id AND h.label = kept.label AND h.r = kept.r + 1)
+        SELECT h.img_id, h.label, h.det_idx FROM h JOIN kept ON h.img_id = kept.img_id AND h.label = kept.label AND h.r = kept.r WHERE list_contains(kept.k, h.r)""", "det_boxes").replace("WITH ", "WITH RECURSIVE ", 1))
 add("w14_top_boxes", lambda s, d: rows.top_k(DET(s, d), ["img_id"], [F.col("confidence").desc(), "label", "det_idx"], 2).select("img_id", "label", "det_idx"), with_views("SELECT img_id, label, det_idx FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY confidence DESC, label, det_idx) AS r FROM det_boxes) WHERE r <= 2", "det_boxes"))
 SCORES = "SELECT (n_chars % 1000) / 1000 AS score, quality = 1 AS positive FROM documents JOIN labels USING (doc_id)"
 
@@ -67,12 +96,12 @@ def similar(s, d, least=0.5):
 
 add("j13_similar_pairs", lambda s, d: similar(s, d)[1].select("a", "b", F.round("sim", 6).alias("sim")), with_views(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS sim FROM emb_plus a JOIN emb_plus b ON a.vec_id < b.vec_id WHERE {COS} >= 0.5", "emb_plus"))
 add("g27_false_accepts", lambda s, d: similar(s, d)[0].agg(F.sum("n_pairs").alias("pairs"), F.sum("n_above").alias("accepted")).withColumn("rate", F.round(F.col("accepted") / F.col("pairs"), 8)), with_views(f"SELECT count(*) AS pairs, count(*) FILTER (s >= 0.5) AS accepted, round(count(*) FILTER (s >= 0.5) / count(*), 8) AS rate FROM (SELECT {COS} AS s FROM emb_plus a JOIN emb_plus b ON a.vec_id < b.vec_id)", "emb_plus"))
-PORTRAITS = "SELECT a.vec_id, " + COS + " AS sim FROM emb_plus a JOIN emb_plus b ON b.vec_id = a.vec_id + 100000"
+PORTRAITS = "SELECT a.vec_id, " + COS + " AS sim FROM emb_plus a JOIN emb_plus b ON b.vec_id = -1 - a.vec_id AND a.vec_id >= 0"
 
 
 def portraits(s, d):
     e = EMB(s, d)
-    other = e.select((F.col("vec_id") - 100000).alias("vec_id"), F.col("v").alias("w"))
+    other = e.where("vec_id < 0").select((-1 - F.col("vec_id")).alias("vec_id"), F.col("v").alias("w"))
     return e.join(other, "vec_id").select("vec_id", E.cosine("v", "w").alias("sim"))
 
 
@@ -80,28 +109,47 @@ add("j14_portrait_similarity", lambda s, d: portraits(s, d).select("vec_id", F.r
 add("g26_distribution", lambda s, d: E.distribution(portraits(s, d), "sim"), with_views("SELECT count(sim) AS n, round(min(sim), 4) AS min, " + ", ".join(f"round(quantile_cont(sim, {p / 100}), 4) AS p{p}" for p in (10, 25, 50, 75, 90, 95, 99)) + f", round(max(sim), 4) AS max, round(avg(sim), 4) AS mean, round(stddev_pop(sim), 4) AS std FROM ({PORTRAITS})", "emb_plus"))
 HASH = "bit_count(xor(a.h, b.h))"
 HASHES = "h AS (SELECT vec_id, list_reduce(list_transform(v, lambda x, i: CASE WHEN x > 0 THEN (1::HUGEINT << CAST(i - 1 AS INTEGER)) ELSE 0::HUGEINT END), lambda p, q: p + q) AS u FROM emb_plus), hh AS (SELECT vec_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS h FROM h)"
-add("j11_near_hashes", lambda s, d: (lambda h: E.near_hashes(h.where("vec_id < 100000"), h.where("vec_id >= 100000"), "vec_id", "h"))(EMB(s, d).select("vec_id", E.sign_hash(F.col("v")).alias("h"))), with_views(f"WITH {HASHES} SELECT a.vec_id AS a, b.vec_id AS b, CAST({HASH} AS INTEGER) AS bits FROM hh a JOIN hh b ON a.vec_id < 100000 AND b.vec_id >= 100000 AND {HASH} <= 6", "emb_plus"))
+add("j11_near_hashes", lambda s, d: (lambda h: E.near_hashes(h.where("vec_id >= 0"), h.where("vec_id < 0"), "vec_id", "h"))(EMB(s, d).select("vec_id", E.sign_hash(F.col("v")).alias("h"))), with_views(f"WITH {HASHES} SELECT a.vec_id AS a, b.vec_id AS b, CAST({HASH} AS INTEGER) AS bits FROM hh a JOIN hh b ON a.vec_id >= 0 AND b.vec_id < 0 AND {HASH} <= 6", "emb_plus"))
 
 
 def split(s, d, n):
     return T(s, d, "documents").withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "valid").otherwise("train")).where(F.col("split") == n)
 
 
+HELD_SOURCES = ["src18", "src19"]
+
+
 def leaks(s, d):
-    train, test = split(s, d, "train"), split(s, d, "test")
-    content = lambda df: df.select(F.sha2("text", 256).alias("h"), "doc_id")
+    """What the test split shares with the two others; near copies of vectors; sources in training that are held out."""
+    test, others = split(s, d, "test"), split(s, d, "train").unionByName(split(s, d, "valid"))
+    name = F.concat("lang", F.col("n_chars").cast("string")).alias("n")
+    digest = F.sha2("text", 256).alias("h")
+    hashes = EMB(s, d).select("vec_id", F.pmod("vec_id", F.lit(10)).alias("m"), E.sign_hash(F.col("v")).alias("h"))
+    named = hashes.where("m > 0").select("vec_id", F.when(F.col("m") == 1, "valid").otherwise("train").alias("split"))
+    near = E.near_hashes(hashes.where("m = 0"), hashes.where("m > 0"), "vec_id", "h")
     return {
-        "names": test.select(F.concat("lang", F.col("n_chars").cast("string")).alias("n")).join(train.select(F.concat("lang", F.col("n_chars").cast("string")).alias("n")), "n", "left_semi").distinct(),
-        "content": content(test).join(content(train).groupBy("h").agg(F.min("doc_id").alias("train_id")), "h"),
-        "types": test.select("lang").intersect(train.select("lang")),
+        "names": others.select("split", name).distinct().join(test.select(name).distinct(), "n").select("split", "n"),
+        "content": test.select(digest, "doc_id").join(others.groupBy("split", digest).agg(F.min("doc_id").alias("other_id")), "h").select("split", "h", "doc_id", "other_id"),
+        "types": others.select("split", "lang").intersect(test.select("lang").crossJoin(F.broadcast(s.createDataFrame([("train",), ("valid",)], "split string"))).select("split", "lang")),
+        "near": near.join(named, near["b"] == named["vec_id"]).select("split", "a", "b", "bits"),
+        "sources": split(s, d, "train").where(F.col("source").isin(*HELD_SOURCES)).select("split", "doc_id", "source"),
     }
 
 
+SPLITS = "p AS (SELECT *, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM documents)"
 TR, TE = "SELECT * FROM documents WHERE doc_id % 10 > 1", "SELECT * FROM documents WHERE doc_id % 10 = 0"
-LEAK = {"names": f"SELECT DISTINCT lang || n_chars AS n FROM ({TE}) WHERE lang || n_chars IN (SELECT lang || n_chars FROM ({TR}))", "content": f"SELECT sha256(a.text) AS h, a.doc_id, train_id FROM ({TE}) a JOIN (SELECT sha256(text) AS h, min(doc_id) AS train_id FROM ({TR}) GROUP BY 1) b ON sha256(a.text) = b.h", "types": f"SELECT lang FROM ({TE}) INTERSECT SELECT lang FROM ({TR})"}
+HASHES_OF = with_views(f"WITH {HASHES} SELECT vec_id, h, ((vec_id % 10) + 10) % 10 AS m FROM hh", "emb_plus")
+LEAK = {
+    "names": f"WITH {SPLITS} SELECT DISTINCT split, lang || n_chars AS n FROM p WHERE split <> 'test' AND lang || n_chars IN (SELECT lang || n_chars FROM p WHERE split = 'test')",
+    "content": f"WITH {SPLITS} SELECT b.split, sha256(a.text) AS h, a.doc_id, other_id FROM p a JOIN (SELECT split, sha256(text) AS h, min(doc_id) AS other_id FROM p WHERE split <> 'test' GROUP BY 1, 2) b ON sha256(a.text) = b.h WHERE a.split = 'test'",
+    "types": f"WITH {SPLITS} SELECT DISTINCT split, lang FROM p WHERE split <> 'test' AND lang IN (SELECT lang FROM p WHERE split = 'test')",
+    "near": f"SELECT CASE b.m WHEN 1 THEN 'valid' ELSE 'train' END AS split, a.vec_id AS a, b.vec_id AS b, CAST({HASH} AS INTEGER) AS bits FROM ({HASHES_OF}) a JOIN ({HASHES_OF}) b ON a.m = 0 AND b.m > 0 AND {HASH} <= 6",
+    "sources": f"WITH {SPLITS} SELECT split, doc_id, source FROM p WHERE split = 'train' AND source IN ('src18', 'src19')",
+}
 add("j9_name_leaks", lambda s, d: leaks(s, d)["names"], LEAK["names"])
 add("j10_content_leaks", lambda s, d: leaks(s, d)["content"], LEAK["content"])
 add("u1_split_overlap", lambda s, d: leaks(s, d)["types"], LEAK["types"])
+add("j11_near_leaks", lambda s, d: leaks(s, d)["near"], LEAK["near"])
 add("g31_leak_verdict", lambda s, d: E.leak_verdict(leaks(s, d)), "WITH c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", (SELECT count(*) FROM ({q})) AS found" for k, q in LEAK.items()) + ") SELECT \"check\", CAST(found AS BIGINT) AS found, found = 0 AS passes FROM c UNION ALL SELECT '(all)', CAST(sum(found) AS BIGINT), sum(found) = 0 FROM c")
 add("g32_type_in_two_splits", lambda s, d: T(s, d, "documents").select(F.concat("lang", F.col("n_chars").cast("string")).alias("kind"), (F.col("doc_id") % 10 == 0).alias("test")).groupBy("kind").agg(F.count_distinct("test").alias("splits")).where("splits > 1"), "SELECT lang || n_chars AS kind, count(DISTINCT doc_id % 10 = 0) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 10 = 0) > 1")
 add("u3_disjoint_types", lambda s, d: split(s, d, "test").select("source").distinct().join(split(s, d, "train").select("source").distinct(), "source", "left_anti").agg(F.count("*").alias("only_test")), f"SELECT count(DISTINCT source) AS only_test FROM ({TE}) WHERE source NOT IN (SELECT source FROM ({TR}))")
@@ -125,16 +173,18 @@ add("g35_gate_verdict", lambda s, d: E.verdict(gate_rows(s, d), gate_rows(s, d).
 CLAIMS = [("rate_A", 0.05, "pct_point", 0.02), ("rate_N", 0.5, "rel_pct", 5.0), ("rate_X", 1.0, "exact", 0.0)]
 add("j21_reconcile", lambda s, d: E.reconcile(s.createDataFrame(CLAIMS, "metric string, claimed double, kind string, tolerance double"), metrics(s, d).withColumnRenamed("value", "measured")).select("metric", "claimed", "measured", "state"),
     f"WITH {METRICS_SQL}, c AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, '{k}', {t}::DOUBLE)" for a, b, k, t in CLAIMS) + ") x(metric, claimed, kind, tolerance)) SELECT metric, claimed, value AS measured, CASE WHEN claimed IS NULL THEN 'UNCLAIMED' WHEN value IS NULL THEN 'UNMEASURED' WHEN (kind = 'pct_point' AND abs(claimed - value) <= tolerance) OR (kind = 'rel_pct' AND abs(claimed - value) <= abs(claimed) * tolerance / 100) OR (kind = 'exact' AND claimed = value) THEN 'MATCH' ELSE 'MISMATCH' END AS state FROM c FULL JOIN m USING (metric)")
-add("g28_confusion_rates", lambda s, d: E.confusion_rates(T(s, d, "documents").select(F.col("lang").alias("truth"), F.when(F.col("n_chars") % 5 == 0, "en").otherwise(F.col("lang")).alias("predicted"))).select("class", "support", "predicted", "hits", "precision", "recall", "f1", "accuracy", "status"),
+add("g28_confusion_rates", lambda s, d: E.confusion_rates(T(s, d, "documents").select(F.col("lang").alias("truth"), F.when(F.col("n_chars") % 5 == 0, "en").otherwise(F.col("lang")).alias("predicted"))).select("class", "support", "predicted", "hits", "precision", "recall", "f1", "accuracy", "macro_f1", "status"),
     """WITH x AS (SELECT lang AS t, CASE WHEN n_chars % 5 = 0 THEN 'en' ELSE lang END AS p FROM documents), c AS (SELECT DISTINCT t AS class FROM x UNION SELECT DISTINCT p FROM x),
         y AS (SELECT class, (SELECT count(*) FROM x WHERE t = class) AS support, (SELECT count(*) FROM x WHERE p = class) AS predicted, (SELECT count(*) FROM x WHERE p = class AND t = class) AS hits FROM c)
-        SELECT class, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, CAST(hits AS BIGINT) AS hits, round(hits / greatest(1, predicted), 4) AS "precision", round(hits / greatest(1, support), 4) AS recall,
-            round(CASE WHEN hits > 0 THEN 2 * (hits / greatest(1, predicted)) * (hits / greatest(1, support)) / (hits / greatest(1, predicted) + hits / greatest(1, support)) ELSE 0.0 END, 4) AS f1, round(sum(hits) OVER () / sum(support) OVER (), 4) AS accuracy, CASE WHEN support >= 30 THEN 'MEASURED' ELSE 'TOO_FEW' END AS status FROM y""")
+        SELECT *, round(avg(f1) OVER (), 4) AS macro_f1 FROM (SELECT class, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, CAST(hits AS BIGINT) AS hits, round(hits / greatest(1, predicted), 4) AS "precision", round(hits / greatest(1, support), 4) AS recall,
+            round(CASE WHEN hits > 0 THEN 2 * (hits / greatest(1, predicted)) * (hits / greatest(1, support)) / (hits / greatest(1, predicted) + hits / greatest(1, support)) ELSE 0.0 END, 4) AS f1, round(sum(hits) OVER () / sum(support) OVER (), 4) AS accuracy, CASE WHEN support >= 30 THEN 'MEASURED' ELSE 'TOO_FEW' END AS status FROM y)""")
 add("g29_negative_rates", lambda s, d: E.false_positive_rates(T(s, d, "documents"), "source", F.col("n_chars") % 23 == 0), "SELECT source, count(*) AS n, count(*) FILTER (n_chars % 23 = 0) AS fired, round(count(*) FILTER (n_chars % 23 = 0) / count(*), 4) AS rate, count(*) FILTER (n_chars % 23 = 0) <= 0.05::DOUBLE * count(*) AS passes FROM documents GROUP BY ROLLUP (source)")
 add("g30_dataset_counts", lambda s, d: T(s, d, "documents").withColumn("split", F.col("doc_id") % 10 == 0).cube("split", "lang").agg(F.count("*").alias("n")), "SELECT doc_id % 10 = 0 AS split, lang, count(*) AS n FROM documents GROUP BY CUBE (split, lang)")
 add("g33_latency_figures", lambda s, d: E.latency_figures(views.reports(s, d), "latency_ms"), with_views("SELECT " + ", ".join(f"round(quantile_cont(latency_ms, {p / 100}), 4) AS p{p}" for p in (50, 95, 99)) + ", round(avg(latency_ms), 4) AS mean, (SELECT CAST(v[CAST(floor(len(v) * 0.95::DOUBLE) AS BIGINT) + 1] AS DOUBLE) FROM (SELECT list_sort(list(latency_ms)) AS v FROM reports)) AS p95_placed FROM reports", "reports"))
-add("g37_field_robustness", lambda s, d: matched(s, d).groupBy((F.col("img_id") % 4).alias("condition")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("iou").isNotNull().cast("double")), 4).alias("detect_rate"), F.round(F.avg("iou"), 4).alias("mean_iou")), with_views(f"WITH {MATCHED} SELECT img_id % 4 AS condition, count(*) AS n, round(count(iou) / count(*), 4) AS detect_rate, round(avg(iou), 4) AS mean_iou FROM matched GROUP BY 1", "gt_boxes", "det_boxes"))
-add("g38_liveness", lambda s, d: E.liveness(T(s, d, "lineitem").select(F.col("l_orderkey").alias("capture"), (F.col("l_discount") * 4).alias("ear"), F.col("l_quantity").alias("px"), (F.col("l_tax") * 100).alias("py"))).select("capture", "frames", "dips", "alive"), "SELECT l_orderkey AS capture, count(*) AS frames, count(*) FILTER (l_discount * 4 < 0.2::DOUBLE) AS dips, CASE WHEN count(*) >= 3 THEN count(*) FILTER (l_discount * 4 < 0.2::DOUBLE) > 0 OR max(l_quantity) - min(l_quantity) >= 20 OR max(l_tax * 100) - min(l_tax * 100) >= 20 END AS alive FROM lineitem GROUP BY 1")
+add("g37_field_robustness", lambda s, d: E.field_robustness(matched(s, d).withColumn("ms", F.floor(F.col("confidence") * 400 + F.col("det_idx") % 7)).withColumn("condition", F.col("img_id") % 4), "condition", "ms"),
+    with_views(f"""WITH {MATCHED}, m AS (SELECT *, img_id % 4 AS condition, CAST(floor(confidence * 400 + det_idx % 7) AS BIGINT) AS ms FROM matched), v AS (SELECT condition, list_sort(list(ms)) AS l FROM m GROUP BY 1)
+        SELECT condition, count(*) AS n, round(count(iou) / count(*), 4) AS detect_rate, round(avg(iou), 4) AS mean_iou, round(count(*) FILTER (iou >= 0.5) / count(*), 4) AS id_recall, max(l[CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT) + 1]) AS p95_ms FROM m JOIN v USING (condition) GROUP BY 1""", "gt_boxes", "det_boxes"))
+add("g38_liveness", lambda s, d: E.liveness(T(s, d, "lineitem").select(F.col("l_orderkey").alias("capture"), (F.col("l_discount") * 4).alias("ear"), F.col("l_quantity").alias("px"), (F.col("l_tax") * 100).alias("py"))).select("capture", "frames", "dips", "alive", F.round("min_ear", 6).alias("min_ear"), F.round("travel_x", 6).alias("travel_x"), F.round("travel_y", 6).alias("travel_y")), "SELECT l_orderkey AS capture, round(min(l_discount * 4), 6) AS min_ear, round(max(l_quantity) - min(l_quantity), 6) AS travel_x, round(max(l_tax * 100) - min(l_tax * 100), 6) AS travel_y, count(*) AS frames, count(*) FILTER (l_discount * 4 < 0.2::DOUBLE) AS dips, CASE WHEN count(*) >= 3 THEN count(*) FILTER (l_discount * 4 < 0.2::DOUBLE) > 0 OR max(l_quantity) - min(l_quantity) >= 20 OR max(l_tax * 100) - min(l_tax * 100) >= 20 END AS alive FROM lineitem GROUP BY 1")
 # Dataset jobs.
 add("p1_type_split", lambda s, d: D.split_by_type(T(s, d, "part"), "p_brand", ["Brand#11"], ["Brand#12"]).groupBy("split").agg(F.count("*").alias("n")), "SELECT CASE p_brand WHEN 'Brand#11' THEN 'test' WHEN 'Brand#12' THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM part GROUP BY 1")
 add("p2_number_split", lambda s, d: D.split_by_number(T(s, d, "part"), F.col("p_size")).select("p_partkey", "split"), "SELECT p_partkey, CASE WHEN p_size < 32 THEN 'train' WHEN p_size < 36 THEN 'valid' ELSE 'test' END AS split FROM part")

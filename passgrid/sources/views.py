@@ -118,10 +118,10 @@ def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground-truth boxes of images: an image per order, a box per line."""
+    """Ground-truth boxes of images: an image per order, a box per line (numbered by part, supplier and line, which is unique in an order)."""
     x = F.col("l_quantity") / 100
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("img_id"), F.col("l_returnflag").alias("label"), F.col("l_linenumber").alias("gt_idx"),
+        F.col("l_orderkey").alias("img_id"), F.col("l_returnflag").alias("label"), ((F.col("l_partkey") * 100003 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")).cast("long").alias("gt_idx"),
         x.alias("x1"), F.col("l_discount").alias("y1"), (x + 0.2 + F.col("l_tax")).alias("x2"), (F.col("l_discount") + 0.3).alias("y2"),
     )
 
@@ -132,11 +132,12 @@ def det_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_quantity") / 100 + F.when(line % 2 == 1, F.col("l_tax") / 2).otherwise(0.0)
     conf = F.floor("l_extendedprice") % 1000 / 1000
     base = table(spark, sf_dir, "lineitem").where(line != 4)
+    number = (((F.col("l_partkey") * 100003 + F.col("l_suppkey")) * 8 + line) * 2).cast("long")
     make = lambda df, idx, dx: df.select(
         F.col("l_orderkey").alias("img_id"), F.col("l_returnflag").alias("label"), idx.alias("det_idx"), conf.alias("confidence"),
         (x + dx).alias("x1"), F.col("l_discount").alias("y1"), (x + dx + 0.2 + F.col("l_tax")).alias("x2"), (F.col("l_discount") + 0.3).alias("y2"),
     )
-    return make(base, line * 2, F.lit(0.0)).unionByName(make(base.where(line == 1), line * 2 + 1, F.lit(3.0)))
+    return make(base, number, F.lit(0.0)).unionByName(make(base.where(line == 1), number + 1, F.lit(3.0)))
 
 
 def emb_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,13 +189,13 @@ SQL: dict[str, str] = {
         SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS created_at, 'CP' || (user_id % 12) AS checkpoint, event_type = 'error' AS suspicious, user_id,
                sha256(json_extract_string(props, '$.k')) AS identifier_hash, event_type FROM events""",
     "gt_boxes": """
-        SELECT l_orderkey AS img_id, l_returnflag AS label, l_linenumber AS gt_idx, l_quantity / 100 AS x1, l_discount AS y1,
+        SELECT l_orderkey AS img_id, l_returnflag AS label, CAST((l_partkey * 100003 + l_suppkey) * 8 + l_linenumber AS BIGINT) AS gt_idx, l_quantity / 100 AS x1, l_discount AS y1,
                l_quantity / 100 + 0.2::DOUBLE + l_tax AS x2, l_discount + 0.3::DOUBLE AS y2 FROM lineitem""",
     "det_boxes": """
-        SELECT l_orderkey AS img_id, l_returnflag AS label, l_linenumber * 2 + extra AS det_idx, CAST(floor(l_extendedprice) AS BIGINT) % 1000 / 1000 AS confidence,
+        SELECT l_orderkey AS img_id, l_returnflag AS label, CAST(((l_partkey * 100003 + l_suppkey) * 8 + l_linenumber) * 2 + extra AS BIGINT) AS det_idx, CAST(floor(l_extendedprice) AS BIGINT) % 1000 / 1000 AS confidence,
                x + dx AS x1, l_discount AS y1, x + dx + 0.2::DOUBLE + l_tax AS x2, l_discount + 0.3::DOUBLE AS y2
-        FROM (SELECT *, l_quantity / 100 + CASE WHEN l_linenumber % 2 = 1 THEN l_tax / 2 ELSE 0.0::DOUBLE END AS x, unnest(CASE WHEN l_linenumber = 1 THEN [0, 1] ELSE [0] END) AS extra FROM lineitem WHERE l_linenumber <> 4),
-             LATERAL (SELECT CASE WHEN extra = 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS dx)""",
+        FROM (SELECT *, l_quantity / 100 + CASE WHEN l_linenumber % 2 = 1 THEN l_tax / 2 ELSE 0.0::DOUBLE END AS x, CASE WHEN extra = 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS dx
+              FROM (SELECT *, unnest(CASE WHEN l_linenumber = 1 THEN [0, 1] ELSE [0] END) AS extra FROM lineitem WHERE l_linenumber <> 4))""",
     "emb_plus": """
         SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
         UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 3 THEN -CAST(x AS DOUBLE) ELSE CAST(x AS DOUBLE) END) FROM embeddings WHERE vec_id % 10 = 0""",

@@ -21,7 +21,7 @@ def split_by_number(df: DataFrame, number: Column, train: int = 32, valid: int =
 
 def split_by_group(df: DataFrame, group: str, valid: int = 10, test: int = 10) -> DataFrame:
     """All rows of a group in one split, by a hash of the group."""
-    h = F.pmod(F.xxhash64(group), F.lit(100))
+    h = F.conv(F.left(F.sha2(F.col(group).cast("string"), 256), F.lit(8)), 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(h < test, "test").when(h < test + valid, "valid").otherwise("train"))
 
 
@@ -70,7 +70,7 @@ def background_zones(x: Column, y: Column, w: Column, h: Column, width: int, hei
 
 def sampled(df: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
     """At most so many rows a group, by a hash of key and seed: the same in every run."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256), key))
     return df.withColumn("__r", place).where(F.col("__r") <= most).drop("__r")
 
 

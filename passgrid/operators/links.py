@@ -13,6 +13,17 @@ EXPECTED = {
     "BT": ["passport", "bhutan_citizenship"],
     "UNKNOWN": ["passport", "visa"],
 }
+# Clusters of checkpoints, their mode and places.
+CLUSTERS = {
+    ("LAND_NEPAL", "land"): [
+        "Sunauli", "Raxaul", "Jogbani", "Rupaidiha", "Banbasa", "Barhni", "Gauriphanta", "Panitanki", "Galgalia", "Raniganj", "Bhitthamore",
+        "Nautanwa", "Katauna", "Rajganj", "Bhimnagar", "Thakurganj", "Sanauli", "Laukaha", "Bathnaha", "Sursand",
+    ],
+    ("LAND_BHUTAN", "land"): ["Jaigaon", "Uttarkanya", "Samdrup Jongkhar (Darranga)", "Gelephu", "Sarbhang", "Rangla", "Chakung", "Kakarbhitta (Panitanki)"],
+    ("AIR", "air"): ["IGI Delhi", "Kolkata Netaji", "Patna Jay Prakash", "Varanasi", "Guwahati", "Bagdogra", "Gaya", "Lucknow", "Mumbai T2", "Hyderabad"],
+    ("SEA", "sea"): ["Kolkata Port", "Haldia", "Paradip"],
+    ("RAIL", "rail"): ["Raxaul Rail", "Jogbani Rail", "Nautanwa Rail", "Bathnaha Rail"],
+}
 #: Additions to the risk score by kind of alert.
 BUMPS = {"NAME_CLASH": 35, "DOB_CLASH": 35, "CROSS_CHECKPOINT": 25, "PREVIOUSLY_FLAGGED": 20, "SECTOR_BURST": 10}
 
@@ -158,6 +169,14 @@ def expected_documents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in EXPECTED.items()], "nationality string, expected array<string>")
 
 
+def with_mode(df: DataFrame, place: str) -> DataFrame:
+    """Rows with the cluster and mode of their checkpoint; places of no cluster count to the first."""
+    rows = [(p, c, m) for (c, m), places in CLUSTERS.items() for p in places]
+    catalog = F.broadcast(df.sparkSession.createDataFrame(rows, f"{place} string, cluster string, mode string"))  # a fixed catalog of 45 rows
+    first = next(iter(CLUSTERS))
+    return df.join(catalog, place, "left").withColumn("cluster", F.coalesce("cluster", F.lit(first[0]))).withColumn("mode", F.coalesce("mode", F.lit(first[1])))
+
+
 def missing_documents(presented: DataFrame) -> DataFrame:
     """(key, nationality, presented) -> what is expected of the nationality (or of unknown ones) and not presented."""
     catalog = F.broadcast(expected_documents(presented.sparkSession))  # a fixed catalog of four rows

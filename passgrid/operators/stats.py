@@ -64,11 +64,15 @@ def module_counts(reports: DataFrame, modules: tuple[str, ...] = ("validation",
     return reports.select(each.alias("m")).groupBy("m.module", "m.verdict").agg(F.count("*").alias("n"))
 
 
-def ai_summary(reports: DataFrame) -> DataFrame:
+def _ai() -> tuple[Column, Column, Column]:
+    """Whether the detector ran, whether it suspects, and its score."""
     ai = F.try_parse_json("ai_detection")
     ran = F.coalesce(F.try_variant_get(ai, "$.ran", "boolean"), F.lit(False))
-    suspected = ran & F.coalesce(F.try_variant_get(ai, "$.ai_suspected", "boolean"), F.lit(False))
-    score = F.coalesce(F.try_variant_get(ai, "$.ai_score", "double"), F.lit(0.0))
+    return ran, ran & F.coalesce(F.try_variant_get(ai, "$.ai_suspected", "boolean"), F.lit(False)), F.coalesce(F.try_variant_get(ai, "$.ai_score", "double"), F.lit(0.0))
+
+
+def ai_summary(reports: DataFrame) -> DataFrame:
+    ran, suspected, score = _ai()
     one = reports.agg(F.sum(ran.cast("long")).alias("ran"), F.sum(suspected.cast("long")).alias("suspected"), F.sum(F.when(ran, score).otherwise(0.0)).alias("score_sum"))
     return one.withColumn("suspicion_rate", F.round(F.col("suspected") / F.greatest(F.lit(1), F.col("ran")), 3))
 
@@ -76,9 +80,12 @@ def ai_summary(reports: DataFrame) -> DataFrame:
 def latency_summary(reports: DataFrame) -> DataFrame:
     """Truncated figures over positive latencies; p50 is the value at n//2, p95 that at int(.95 n)-1, from 0.
 
-    Values are counted first, so that the ordered part is the distinct values and not the rows.
+    Values (whole milliseconds) are counted first, so that the ordered part is the distinct values and not the rows.
     """
-    counted = reports.where("latency_ms > 0").groupBy("latency_ms").agg(F.count("*").alias("n"))
+    return _latency(reports.where("latency_ms > 0").groupBy("latency_ms").agg(F.count("*").alias("n")))
+
+
+def _latency(counted: DataFrame) -> DataFrame:
     total = counted.agg(F.sum("n").alias("total"), F.min("latency_ms").alias("min"), F.max("latency_ms").alias("max"), F.sum(F.col("n") * F.col("latency_ms")).alias("sum"))
     placed = counted.withColumn("upto", F.sum("n").over(W.orderBy("latency_ms").rowsBetween(W.unboundedPreceding, 0))).crossJoin(F.broadcast(total))  # one row
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("latency_ms")))
@@ -120,23 +127,43 @@ def throughput(reports: DataFrame, sessions: DataFrame, minutes: int = 60) -> Da
     return screens.crossJoin(closed).select(F.lit(minutes).alias("window_minutes"), "screens", "sessions_closed", F.round(F.col("screens") / minutes, 3).alias("per_minute"))
 
 
-def overview(reports: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The statistics above as long rows (metric, key, value)."""
+def overview(reports: DataFrame, sessions: DataFrame, minutes: int = 60) -> DataFrame:
+    """All statistics above as long rows (metric, key, value).
+
+    Reports are read once for all their counts: each row gives its keys, which are counted where it
+    lies; what follows works on the counted table, whose rows are kinds, days and whole milliseconds.
+    """
+    modules = ("validation", "tampering", "face")
+    ran, suspected, score = _ai()
+    keys = {
+        "verdict": F.upper(F.coalesce("verdict", F.lit("UNKNOWN"))), "risk": risk_bucket(F.col("risk_score")), "doc_type": label("doc_type", "other"), "day": F.date_format("created_at", "yyyy-MM-dd"),
+        "hour": F.hour(F.from_utc_timestamp("created_at", "Asia/Kolkata")).cast("string"), "checkpoint": label("checkpoint", "unspecified"), "officer": label("screener", "unknown"),
+        **{f"module_{m}": module_verdict(F.col("modules"), m) for m in modules}, "latency": F.when(F.col("latency_ms") > 0, F.col("latency_ms").cast("string")),
+    }
+    entry = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), key.alias("key"), value.cast("double").alias("value"))
+    one = F.lit(1)
+    flags = [entry("ai", F.lit("ran"), F.when(ran, 1)), entry("ai", F.lit("suspected"), F.when(suspected, 1)), entry("ai", F.lit("score_sum"), F.when(ran, score)), entry("total", F.lit("total_screens"), one), entry("total", F.lit("flagged_count"), F.when(F.col("verdict") == "FLAGGED", 1))]
+    each = reports.select(F.explode(F.array(*[entry(m, k, one) for m, k in keys.items()], *flags)).alias("x")).where("x.key IS NOT NULL AND x.value IS NOT NULL")
+    counted = each.groupBy("x.metric", "x.key").agg(F.sum("x.value").alias("value"))
+    long = lambda df, metric: df.select(*[F.col(c).cast("double").alias(c) for c in df.columns]).unpivot([], df.columns, "key", "value").select(F.lit(metric).alias("metric"), "key", "value")
+    spark = reports.sparkSession
+    hours = spark.range(24).select(F.lit("hour").alias("metric"), F.col("id").cast("string").alias("key")).join(counted.where("metric = 'hour'"), ["metric", "key"], "left").select("metric", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
+    rate = counted.where("metric = 'ai'").groupBy().pivot("key", ["ran", "suspected"]).agg(F.first("value"))
+    rate = rate.select(F.lit("ai").alias("metric"), F.lit("suspicion_rate").alias("key"), F.round(F.coalesce("suspected", F.lit(0.0)) / F.greatest(F.lit(1.0), F.coalesce("ran", F.lit(0.0))), 3).alias("value"))
     rows = [
-        verdict_funnel(reports).select(F.lit("verdict").alias("metric"), F.col("verdict").alias("key"), F.col("n").cast("double").alias("value")),
-        risk_histogram(reports).select(F.lit("risk").alias("metric"), F.col("bucket").alias("key"), F.col("n").cast("double").alias("value")),
-        by_doc_type(reports).select(F.lit("doc_type").alias("metric"), F.col("doc_type").alias("key"), F.col("n").cast("double").alias("value")),
-        daily(reports).select(F.lit("day").alias("metric"), F.col("day").alias("key"), F.col("n").cast("double").alias("value")),
-        hourly_local(reports).select(F.lit("hour").alias("metric"), F.col("hour").cast("string").alias("key"), F.col("n").cast("double").alias("value")),
-        session_summary(sessions).select(F.concat(F.lit("session_"), F.col("metric")).alias("metric"), "key", "value"),
-    ]
+        counted.where("metric NOT IN ('hour', 'latency')"), hours, rate,
+        long(_latency(counted.where("metric = 'latency'").select(F.col("key").cast("int").alias("latency_ms"), F.col("value").cast("long").alias("n"))), "latency"),
+        session_summary(sessions).select(F.concat(F.lit("session_"), F.col("metric")).alias("metric"), "key", "value"), long(throughput(reports, sessions, minutes), "throughput"),
+    ]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
 
 
-def public_summary(reports: DataFrame) -> DataFrame:
-    """Public verdict mix with latency figures (positive ones only)."""
+def public_summary(reports: DataFrame, notices: DataFrame) -> DataFrame:
+    """Public verdict mix with latency figures (positive ones only), and how many notices are revoked."""
     lat = F.when(F.col("latency_ms") > 0, F.col("latency_ms"))
-    return reports.groupBy(public_verdict(F.col("verdict"), F.col("adjudication")).alias("kind")).agg(F.count("*").alias("n"), F.count(lat).alias("samples"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.floor(F.avg(lat)).alias("lat_avg"))
+    mix = reports.groupBy(public_verdict(F.col("verdict"), F.col("adjudication")).alias("kind")).agg(F.count("*").alias("n"), F.count(lat).alias("samples"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.floor(F.avg(lat)).alias("lat_avg"))
+    revoked = notices.where("revoked").agg(F.count("*").alias("n")).select(F.lit("REVOKED").alias("kind"), "n", F.lit(0).cast("long").alias("samples"))
+    return mix.unionByName(revoked, allowMissingColumns=True)
\ No newline at end of file

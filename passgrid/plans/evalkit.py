@@ -188,17 +188,21 @@ add("g38_liveness", lambda s, d: E.liveness(T(s, d, "lineitem").select(F.col("l_
 # Dataset jobs.
 add("p1_type_split", lambda s, d: D.split_by_type(T(s, d, "part"), "p_brand", ["Brand#11"], ["Brand#12"]).groupBy("split").agg(F.count("*").alias("n")), "SELECT CASE p_brand WHEN 'Brand#11' THEN 'test' WHEN 'Brand#12' THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM part GROUP BY 1")
 add("p2_number_split", lambda s, d: D.split_by_number(T(s, d, "part"), F.col("p_size")).select("p_partkey", "split"), "SELECT p_partkey, CASE WHEN p_size < 32 THEN 'train' WHEN p_size < 36 THEN 'valid' ELSE 'test' END AS split FROM part")
-add("p2_group_split", lambda s, d: D.split_by_group(T(s, d, "documents"), "source").groupBy("source").agg(F.count_distinct("split").alias("splits")), "SELECT source, CAST(1 AS BIGINT) AS splits FROM documents GROUP BY 1")
+add("p2_group_split", lambda s, d: D.split_by_group(T(s, d, "documents"), "source").select("doc_id", "split"),
+    "SELECT doc_id, CASE WHEN h < 10 THEN 'test' WHEN h < 20 THEN 'valid' ELSE 'train' END AS split FROM (SELECT doc_id, CAST('0x' || left(sha256(source), 8) AS BIGINT) % 100 AS h FROM documents)")
 BX = "greatest(0.0::DOUBLE, least(640.0::DOUBLE, {}))"
 add("p3_box_conversion", lambda s, d: T(s, d, "lineitem").select("l_orderkey", "l_linenumber", D.yolo_to_coco(F.col("l_quantity") / 50, F.col("l_discount") * 5, F.col("l_tax") + 0.1, F.lit(0.3), 640, 640).alias("b")).select("l_orderkey", "l_linenumber", F.round("b.x", 1).alias("x"), F.round("b.w", 1).alias("w")),
     f"SELECT l_orderkey, l_linenumber, round(round(a, 2), 1) AS x, round(round(b - a, 2), 1) AS w FROM (SELECT l_orderkey, l_linenumber, {BX.format('l_quantity / 50 * 640 - (l_tax + 0.1::DOUBLE) * 640 / 2')} AS a, {BX.format('l_quantity / 50 * 640 - (l_tax + 0.1::DOUBLE) * 640 / 2 + (l_tax + 0.1::DOUBLE) * 640')} AS b FROM lineitem)")
 add("p4_quads", lambda s, d: T(s, d, "part").select("p_partkey", D.quad_to_box(F.array(*[F.array(F.col("p_size") * a * 1.0 - 20, F.col("p_size") * b * 1.0 - 60) for a, b in ((1, 1), (9, 2), (8, 9), (2, 8))]), 300, 200).alias("b")).select("p_partkey", "b.*"),
     "SELECT p_partkey, " + ", ".join(f"CASE WHEN ok THEN {e} END AS {n}" for n, e in (("x", "x1"), ("y", "y1"), ("w", "x2 - x1"), ("h", "y2 - y1"))) + " FROM (SELECT *, NOT (9 * p_size - 20 <= 0 OR p_size - 20 >= 300 OR 9 * p_size - 60 <= 0 OR p_size - 60 >= 200) AND x2 - x1 > 1 AND y2 - y1 > 1 AS ok FROM (SELECT p_partkey, p_size, greatest(0.0::DOUBLE, least(300.0::DOUBLE, p_size - 20)) AS x1, greatest(0.0::DOUBLE, least(200.0::DOUBLE, p_size - 60)) AS y1, greatest(0.0::DOUBLE, least(300.0::DOUBLE, 9 * p_size - 20)) AS x2, greatest(0.0::DOUBLE, least(200.0::DOUBLE, 9 * p_size - 60)) AS y2 FROM part))")
 add("p5_long_side", lambda s, d: T(s, d, "part").select("p_partkey", D.long_side(F.col("p_size") * 100, F.col("p_size") * 50 + 1).alias("b")).select("p_partkey", "b.width", "b.height"), "SELECT p_partkey, CAST(round(p_size * 100 * least(1.0::DOUBLE, 1280 / (p_size * 100)), 0) AS INTEGER) AS width, CAST(round((p_size * 50 + 1) * least(1.0::DOUBLE, 1280 / (p_size * 100)), 0) AS INTEGER) AS height FROM part")
-add("p6_sampled", lambda s, d: D.sampled(T(s, d, "documents"), "source", "doc_id", 20, 7).groupBy("source").agg(F.count("*").alias("n")), "SELECT source, least(20, count(*)) AS n FROM documents GROUP BY 1")
+add("p6_sampled", lambda s, d: D.sampled(T(s, d, "documents"), "source", "doc_id", 20, 7).select("source", "doc_id"),
+    "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id || ':7'), doc_id) AS r FROM documents) WHERE r <= 20")
 add("p7_mrz_strips", lambda s, d: D.mrz_strips(GT(s, d).select("img_id", "label", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")), "label", ["A", "R"]).select("label", "strip.*").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("h"), 4).alias("mean_h")), with_views("SELECT label, count(*) AS n, round(avg(0.25 * (y2 - y1)), 4) AS mean_h FROM gt_boxes WHERE label IN ('A', 'R') GROUP BY 1", "gt_boxes"))
 add("p11_background_zones", lambda s, d: T(s, d, "part").select("p_partkey", F.explode(D.background_zones(F.col("p_size") * 4, F.col("p_size") * 2, F.lit(100), F.lit(80), 400, 300)).alias("z")).select("p_partkey", "z.*"),
     "SELECT p_partkey, z.zone, z.x::DOUBLE AS x, z.y::DOUBLE AS y, z.w::DOUBLE AS w, z.h::DOUBLE AS h FROM (SELECT p_partkey, unnest([{'zone': 'above', 'x': 0, 'y': 0, 'w': 400, 'h': p_size * 2, 's': p_size * 2}, {'zone': 'below', 'x': 0, 'y': p_size * 2 + 80, 'w': 400, 'h': 220 - p_size * 2, 's': 220 - p_size * 2}, {'zone': 'left', 'x': 0, 'y': 0, 'w': p_size * 4, 'h': 300, 's': p_size * 4}, {'zone': 'right', 'x': p_size * 4 + 100, 'y': 0, 'w': 300 - p_size * 4, 'h': 300, 's': 300 - p_size * 4}]) AS z FROM part) WHERE z.s >= 64")
 add("p12_letterbox", lambda s, d: T(s, d, "part").select("p_partkey", D.letterbox_to_image(F.col("p_size") * 5.0, F.lit(100.0), F.col("p_size") * 5.0 + 200, F.lit(400.0), F.lit(1280.0), F.lit(960.0)).alias("b")).select("p_partkey", F.round("b.x1", 4).alias("x1"), F.round("b.y2", 4).alias("y2")), "SELECT p_partkey, round(greatest(0.0::DOUBLE, least(1280.0::DOUBLE, p_size * 5 / 0.5)), 4) AS x1, round(greatest(0.0::DOUBLE, least(960.0::DOUBLE, (400 - 80) / 0.5)), 4) AS y2 FROM part")
+add("u2_dense_ids", lambda s, d: D.merged_sources({"a": (T(s, d, "orders").select(F.col("o_orderkey").alias("image_id")), GT(s, d).select(F.col("img_id").alias("image_id"))), "b": (T(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("image_id")), DET(s, d).select(F.col("img_id").alias("image_id")))})[0].agg(F.count("*").alias("images"), F.count_distinct("new_id").alias("ids"), F.min("new_id").alias("low"), F.max("new_id").alias("high")),
+    "SELECT n AS images, n AS ids, CAST(1 AS BIGINT) AS low, n AS high FROM (SELECT count(*) + count(*) FILTER (o_orderkey % 2 = 0) AS n FROM orders)")
 add("u2_merged_sources", lambda s, d: (lambda m: m[1].groupBy("source").agg(F.count("*").alias("annotations"), F.count_distinct("new_id").alias("images"), F.max("new_id").alias("max_id")).drop("max_id"))(D.merged_sources({"a": (T(s, d, "orders").select(F.col("o_orderkey").alias("image_id")), GT(s, d).select(F.col("img_id").alias("image_id"), "label")), "b": (T(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("image_id"), F.lit(1).alias("extra")), DET(s, d).where("img_id % 2 = 0").select(F.col("img_id").alias("image_id"), "label"))})),
     with_views("SELECT 'a' AS source, count(*) AS annotations, count(DISTINCT img_id) AS images FROM gt_boxes WHERE img_id IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'b', count(*), count(DISTINCT img_id) FROM det_boxes WHERE img_id % 2 = 0 AND img_id IN (SELECT o_orderkey FROM orders)", "gt_boxes", "det_boxes"))

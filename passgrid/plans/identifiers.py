@@ -20,6 +20,11 @@ def as_of():
     return F.lit("2026-01-01").cast("date")
 
 
+def pick(values, column):
+    """A value by the column's number, round and round."""
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (column % len(values) + 1).cast("int"))
+
+
 def each(checks):
     return lambda s, d: identifiers(s, d).select("k", F.explode(F.array(*checks())).alias("c")).select("k", "c.label", "c.ok")
 
@@ -76,7 +81,7 @@ add("d7_birth_date",
     sql("SELECT k, CASE WHEN k % 5 = 4 OR k % 3 = 0 THEN dob ELSE least(dob, expiry) END AS dob FROM ids"))
 add("d8_parse_date", lambda s, d: identifiers(s, d).select("k", X.parse_date(F.element_at(F.array(F.date_format("dob", "dd/MM/yyyy"), F.date_format("dob", "yyyy.MM.dd"), F.date_format("dob", "yyMMdd"), F.lit("31-02-2001"), F.lit("x")), (F.col("k") % 5 + 1).cast("int"))).alias("date")),
     sql("SELECT k, CASE WHEN k % 5 < 2 THEN dob WHEN k % 5 = 2 THEN (CASE WHEN year(dob) % 100 > 50 THEN dob ELSE make_date(2000 + year(dob) % 100, month(dob), day(dob)) END) END AS date FROM ids"))
-add("d9_expiry_date", lambda s, d: identifiers(s, d).select("k", X.expiry_date(F.col("text"), as_of()).alias("expiry")))
+add("d9_expiry_date", lambda s, d: identifiers(s, d).select("k", X.expiry_date(F.col("text"), as_of()).alias("expiry")), sql("SELECT k, expiry FROM ids"))
 add("d10_parse_td3", lambda s, d: identifiers(s, d).select("k", X.parse_td3(F.col("mrz1"), F.col("mrz2")).alias("x")).select("k", "x.*"),
     sql("SELECT k, 'IND' AS issuer, 'SURNAME' || chr(CAST(65 + k % 26 AS INTEGER)) AS surname, 'GIVEN NAME' AS given_names, number[1:8] AS number, 'IND' AS nationality, b6 AS birth, 'M' AS sex, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, true AS personal_ok, true AS composite_ok FROM ids"))
 add("d11_mrz_candidates", lambda s, d: extraction.mrz_pairs(identifiers(s, d).select("k", F.col("mrz_text").alias("text")), "k", "text").select("k", "first", "second"), sql("SELECT k, mrz1 AS first, mrz2 AS second FROM ids"))
@@ -128,13 +133,17 @@ add("d10_parse_line2", lambda s, d: zones(s, d).select("k", X.parse_line2(F.col(
 add("d12_mrz_repair", lambda s, d: identifiers(s, d).select("k", X.repaired_line2(F.concat(F.left("mrz2", F.lit(13)), F.replace(F.substring("mrz2", 14, 6), F.lit("0"), F.lit("O")), F.substring("mrz2", 20, 25))).alias("line")),
     sql("SELECT k, CASE WHEN k % 7 = 0 THEN mrz2[1:13] || replace(mrz2[14:19], '0', 'O') || mrz2[20:44] ELSE mrz2 END AS line FROM ids"))
 add("d13_line2_scan", lambda s, d: identifiers(s, d).select("k", X.line2(F.col("mrz_text")).alias("x")).select("k", "x.*"), sql("SELECT k, number[1:8] AS number, b6 AS birth, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, k % 7 <> 0 AS valid FROM ids"))
-add("d14_holder_names", lambda s, d: extraction.holder_names(identifiers(s, d).select("k", F.concat_ws("\n", F.lit("GOVERNMENT OF INDIA"), F.concat(F.lit("Asha "), F.char(65 + F.col("k") % 26), F.lit("umar Sharma")), F.lit("S/O Ram Sharma"), F.col("text")).alias("text")), "k", "text"))
+HOLDERS = {
+    "GOVERNMENT OF INDIA\nAsha Kumari Sharma\nS/O Ram Prasad Sharma": "Asha Kumari Sharma", "To\nRavi Mehta\nGandhi Lane": "Ravi Mehta", "Name: Sita Verma\nDOB 1990": "Sita Verma", "Name\nGopal Reddy": "Gopal Reddy",
+    "INCOME TAX DEPARTMENT\nMohan Nair\nABCDE1234F": "Mohan Nair", "XXXX\nLEENAPATIL\nSTATE BANK": "LEENA PATIL", "Mohan Lal\nD/O Gopal Reddy\nName: Leela Rao": "D O Gopal Reddy", "12345\nBhutan": None,
+}
+add("d14_holder_names", lambda s, d: extraction.holder_names(identifiers(s, d).select("k", F.concat_ws("\n", pick(HOLDERS, F.col("k")), F.col("voter")).alias("text")), "k", "text"),
+    sql("SELECT k, name FROM (SELECT k, [{}][CAST(k % {} AS INTEGER) + 1] AS name FROM ids) WHERE name IS NOT NULL".format(", ".join("NULL" if v is None else f"'{v}'" for v in HOLDERS.values()), len(HOLDERS))))
 GLUED = {"ASHASHARMA": "ASHA SHARMA", "RaviKumar": "Ravi Kumar", "X": "X", "Two Words": "Two Words", "SitaMohapatra": "Sita Mohapatra", "RAMSHUKLA": "RAM SHUKLA", "ADAS": "ADAS"}
 add("d15_glued_names", lambda s, d: identifiers(s, d).select("k", extraction.unglued(F.element_at(F.array(*[F.lit(x) for x in GLUED]), (F.col("k") % len(GLUED) + 1).cast("int"))).alias("name")),
     sql(f"SELECT k, {list(GLUED.values())}[CAST(k % {len(GLUED)} AS INTEGER) + 1] AS name FROM ids"))
 PLACES = ["Address: Long Road, Bengaluru Karnataka 560001", "Permanent Address\nPlot House\nSahid Nagar, Bhubaneswar\nOdisha", "HOUSE Green Street, Patna", "Date 1990"]
 GENDERS = ["FEMALE", "Male", "महिला", "none"]
-pick = lambda values, column: F.element_at(F.array(*[F.lit(x) for x in values]), (column % len(values) + 1).cast("int"))
 add("d16_places", lambda s, d: identifiers(s, d).select("k", extraction.place_fields(F.concat_ws("\n", pick(GENDERS, F.floor(F.col("k") / 4)), pick(PLACES, F.col("k"))), F.col("licence")).alias("x")).select("k", "x.*"),
     sql("""SELECT k, ['Long Road, Bengaluru Karnataka 560001', 'Plot House, Sahid Nagar, Bhubaneswar, Odisha', 'HOUSE Green Street, Patna', NULL][CAST(k % 4 AS INTEGER) + 1] AS address,
         CASE k % 4 WHEN 0 THEN 'Karnataka' WHEN 1 THEN 'Odisha' ELSE CASE licence[1:2] WHEN 'KA' THEN 'Karnataka' WHEN 'MH' THEN 'Maharashtra' WHEN 'DL' THEN 'Delhi' WHEN 'TN' THEN 'Tamil Nadu' END END AS state,

@@ -61,19 +61,13 @@ NAT = "['IN','NP','BT','US'][CAST(session_id % 4 AS INTEGER) + 1]"
 add("j15_missing_documents", lambda s, d: links.missing_documents(R(s, d).groupBy("session_id").agg(F.collect_set("doc_type").alias("presented")).withColumn("nationality", F.element_at(F.array(*[F.lit(x) for x in ("IN", "NP", "BT", "US")]), (F.col("session_id") % 4 + 1).cast("int")))).select("session_id", "nationality", F.array_join(F.array_sort("missing"), ",").alias("missing")),
     with_views(f"""SELECT session_id, {NAT} AS nationality, array_to_string(list_sort(list_filter(CASE {NAT} WHEN 'IN' THEN ['passport','aadhaar','driving_licence','voter_id','pan'] WHEN 'NP' THEN ['passport','nepali_citizenship'] WHEN 'BT' THEN ['passport','bhutan_citizenship'] ELSE ['passport','visa'] END, lambda x: NOT list_contains(p, x))), ',') AS missing
         FROM (SELECT session_id, list(DISTINCT doc_type) AS p FROM reports GROUP BY 1)""", "reports"))
+PORTS = ["Sunauli", "Jaigaon", "IGI Delhi", "Haldia", "Raxaul Rail", "Elsewhere"]
+add("j15_checkpoint_modes", lambda s, d: links.with_mode(S(s, d).select("session_id", F.element_at(F.array(*[F.lit(x) for x in PORTS]), (F.col("session_id") % 6 + 1).cast("int")).alias("port")), "port"),
+    with_views(f"""SELECT session_id, {PORTS}[CAST(session_id % 6 AS INTEGER) + 1] AS port, ['LAND_NEPAL','LAND_BHUTAN','AIR','SEA','RAIL','LAND_NEPAL'][CAST(session_id % 6 AS INTEGER) + 1] AS cluster,
+        ['land','land','air','sea','rail','land'][CAST(session_id % 6 AS INTEGER) + 1] AS mode FROM sessions""", "sessions"))
 add("j16_officers", lambda s, d: R(s, d).join(T(s, d, "supplier").where("s_suppkey <= 20").select(F.concat(F.lit("officer"), F.col("s_suppkey") - 1).alias("screener"), F.when(F.col("s_suppkey") % 5 == 0, "  ").otherwise(F.col("s_name")).alias("institution")).where(F.trim("institution") != ""), "screener").groupBy("screener", "institution").agg(F.count("*").alias("n")),
     with_views("SELECT screener, s_name AS institution, count(*) AS n FROM reports JOIN supplier ON screener = 'officer' || (s_suppkey - 1) AND s_suppkey <= 20 AND s_suppkey % 5 <> 0 GROUP BY 1, 2", "reports"))
-
-
-def notices(s, d):
-    base = T(s, d, "benchmark").select(F.concat(F.lit("Notice "), F.col("item_id") % 30).alias("title"), F.lit("HIGH").alias("urgency"), F.col("text").alias("content"))
-    empty = base.where("false").select(*base.columns, F.lit("").alias("file_hash"), F.lit(False).alias("revoked"))
-    feed = links.publish_notices(empty, base)
-    feed = links.publish_notices(feed, base.unionByName(base.withColumn("urgency", F.lit("LOW"))))
-    return links.retract_notices(feed, feed.where("title LIKE '%7'").select("file_hash"))
-
-
-add("j22_notice_feed", lambda s, d: rows.newest(notices(s, d).where("NOT revoked"), 500, ["file_hash"], 500).select("title", "urgency", "file_hash"),
+add("j22_notice_feed", lambda s, d: rows.newest(views.notices(s, d).where("NOT revoked"), 500, ["file_hash"], 500).select("title", "urgency", "file_hash"),
     "WITH b AS (SELECT DISTINCT 'Notice ' || (item_id % 30) AS title, unnest(['HIGH','LOW']) AS urgency, text AS content FROM benchmark) SELECT title, urgency, sha256(title || ':' || urgency || ':' || content) AS file_hash FROM b WHERE title NOT LIKE '%7' ORDER BY 3 DESC LIMIT 500")
 
 add("n6_field_digests", lambda s, d: sessions.digest_map(sessions.field_digests(DF(s, d))).select("session_id", "id", F.col("digests.name.h").alias("name_h"), F.col("digests.name.s").alias("name_s"), F.col("digests.pan.h").alias("pan_h")),
@@ -134,11 +128,20 @@ def session_blocks(s, d):
     return ledger.build_chain(closed, ["checkpoint", "year"], ["closed_at", "session_id"], ledger.session_payload(F.col("doc_blocks")))
 
 
-add("w4_session_chain_verify", lambda s, d: ledger.verify_chain(session_blocks(s, d), ["checkpoint", "year"]),
+def tampered(blocks):
+    """Some payloads changed and some parents lost."""
+    bad = F.when(F.col("session_id") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    return blocks.withColumn("payload", bad).withColumn("previous_hash", F.when(F.col("session_id") % 89 == 1, "X").otherwise(F.col("previous_hash")))
+
+
+add("w4_session_chain_verify", lambda s, d: ledger.verify_chain(tampered(session_blocks(s, d)), ["checkpoint", "year"]),
     recursive(f"""WITH {CHAIN_SQL}, docs AS (SELECT session_id, array_to_string(list_sort(list(ledger_hash)), ':') AS b FROM chain JOIN (SELECT seq, session_id FROM reports WHERE removed = 0) USING (seq) GROUP BY 1),
-        sp AS (SELECT checkpoint, strftime(closed_at, '%Y') AS year, CAST(row_number() OVER (PARTITION BY checkpoint, strftime(closed_at, '%Y') ORDER BY closed_at, session_id) - 1 AS INTEGER) AS position, session_id || '|' || checkpoint || '|' || screener || '|' || verdict || '|' || risk_score || '|' || b || '|CONSISTENT|' || strftime(closed_at, '%Y-%m-%d %H:%M:%S') || ' UTC' AS payload FROM sessions JOIN docs USING (session_id) WHERE status <> 'open'),
-        sc AS (SELECT *, sha256('GENESIS:' || payload) AS h FROM sp WHERE position = 0 UNION ALL SELECT sp.*, sha256(sc.h || ':' || sp.payload) FROM sc JOIN sp ON sp.checkpoint = sc.checkpoint AND sp.year = sc.year AND sp.position = sc.position + 1)
-        SELECT checkpoint, year, count(*) AS blocks, CAST(NULL AS INTEGER) AS broken_at, CAST(NULL AS VARCHAR) AS reason, 'INTACT' AS status, arg_max(h, position) AS head FROM sc GROUP BY 1, 2""", "sessions"))
+        sp AS (SELECT checkpoint, strftime(closed_at, '%Y') AS year, session_id, CAST(row_number() OVER (PARTITION BY checkpoint, strftime(closed_at, '%Y') ORDER BY closed_at, session_id) - 1 AS INTEGER) AS position,
+            session_id || '|' || checkpoint || '|' || screener || '|' || verdict || '|' || risk_score || '|' || b || '|CONSISTENT|' || strftime(closed_at, '%Y-%m-%d %H:%M:%S') || ' UTC' AS payload FROM sessions JOIN docs USING (session_id) WHERE status <> 'open'),
+        sc AS (SELECT *, 'GENESIS' AS previous, sha256('GENESIS:' || payload) AS h FROM sp WHERE position = 0 UNION ALL SELECT sp.*, sc.h, sha256(sc.h || ':' || sp.payload) FROM sc JOIN sp ON sp.checkpoint = sc.checkpoint AND sp.year = sc.year AND sp.position = sc.position + 1),
+        t AS (SELECT checkpoint, year, position, CASE WHEN session_id % 97 = 0 THEN payload || '!' ELSE payload END AS payload, CASE WHEN session_id % 89 = 1 THEN 'X' ELSE previous END AS previous, h FROM sc),
+        v AS (SELECT *, CASE WHEN previous <> coalesce(lag(h) OVER (PARTITION BY checkpoint, year ORDER BY position), 'GENESIS') THEN 'PARENT_MISMATCH' WHEN h <> sha256(previous || ':' || payload) THEN 'PAYLOAD_MISMATCH' END AS reason FROM t)
+        SELECT checkpoint, year, count(*) AS blocks, min(position) FILTER (reason IS NOT NULL) AS broken_at, arg_min(reason, position) FILTER (reason IS NOT NULL) AS reason, CASE WHEN bool_or(reason IS NOT NULL) THEN 'BROKEN' ELSE 'INTACT' END AS status, arg_max(h, position) AS head FROM v GROUP BY 1, 2""", "sessions"))
 add("g18_merkle_roots", lambda s, d: ledger.merkle_roots(R(s, d), ["checkpoint"], "file_hash", ["created_at", "seq"], F.to_date("created_at")),
     recursive("""WITH t AS (SELECT checkpoint, file_hash AS h, row_number() OVER (PARTITION BY checkpoint ORDER BY created_at, seq) - 1 AS i, count(*) OVER (PARTITION BY checkpoint) AS n FROM reports),
         up AS (SELECT checkpoint, i, h, n FROM t UNION ALL SELECT a.checkpoint, a.i // 2, sha256(a.h || ':' || coalesce(b.h, a.h)), (a.n + 1) // 2 FROM up a LEFT JOIN up b ON b.checkpoint = a.checkpoint AND b.i = a.i + 1 WHERE a.i % 2 = 0 AND a.n > 1)

@@ -39,12 +39,17 @@ add("g3_by_doc_type", lambda s, d: stats.by_doc_type(R(s, d)), with_views("SELEC
 add("g4_by_checkpoint_officer", lambda s, d: stats.by_checkpoint_and_officer(R(s, d)), with_views("SELECT checkpoint, screener, count(*) AS n, count(*) FILTER (verdict = 'FLAGGED') AS flagged FROM reports GROUP BY GROUPING SETS ((checkpoint), (screener), ())", "reports"))
 add("g5_module_counts", lambda s, d: stats.module_counts(R(s, d)),
     with_views(" UNION ALL ".join(f"SELECT '{m}' AS module, {MODULE.format(m=m)} AS verdict, count(*) AS n FROM reports GROUP BY 2" for m in ("validation", "tampering", "face")), "reports"))
+AI_SQL = """WITH a AS (SELECT CASE WHEN json_valid(ai_detection) THEN ai_detection ELSE '{}' END AS j FROM reports), b AS (SELECT coalesce(CAST(json_extract_string(j, '$.ran') AS BOOLEAN), false) AS ran, coalesce(CAST(json_extract_string(j, '$.ai_suspected') AS BOOLEAN), false) AS sus, coalesce(CAST(json_extract_string(j, '$.ai_score') AS DOUBLE), 0) AS sc FROM a)
+        SELECT count(*) FILTER (ran) AS ran, count(*) FILTER (ran AND sus) AS suspected, sum(sc) FILTER (ran) AS score_sum, round(count(*) FILTER (ran AND sus) / greatest(1, count(*) FILTER (ran)), 3) AS suspicion_rate FROM b"""
+LATENCY_SQL = """WITH l AS (SELECT list_sort(list(latency_ms)) AS v, count(*) AS n, sum(latency_ms) AS s FROM reports WHERE latency_ms > 0)
+        SELECT CAST(v[1] AS BIGINT) AS min, CAST(v[n] AS BIGINT) AS max, CAST(s AS BIGINT) AS sum, CAST(floor(s / n) AS BIGINT) AS avg, CAST(v[n // 2 + 1] AS BIGINT) AS p50, CAST(v[CAST(floor(n * 0.95::DOUBLE) AS BIGINT)] AS BIGINT) AS p95 FROM l"""
+THROUGHPUT_SQL = """SELECT 1440 AS window_minutes, (SELECT count(*) FROM reports WHERE epoch(created_at) >= (SELECT max(epoch(created_at)) FROM reports) - 86400) AS screens,
+        (SELECT count(*) FROM sessions WHERE epoch(closed_at) >= (SELECT max(epoch(created_at)) FROM reports) - 86400) AS sessions_closed,
+        round((SELECT count(*) FROM reports WHERE epoch(created_at) >= (SELECT max(epoch(created_at)) FROM reports) - 86400) / 1440, 3) AS per_minute"""
 add("g6_ai_summary", lambda s, d: stats.ai_summary(R(s, d)),
-    with_views("""WITH a AS (SELECT CASE WHEN json_valid(ai_detection) THEN ai_detection ELSE '{}' END AS j FROM reports), b AS (SELECT coalesce(CAST(json_extract_string(j, '$.ran') AS BOOLEAN), false) AS ran, coalesce(CAST(json_extract_string(j, '$.ai_suspected') AS BOOLEAN), false) AS sus, coalesce(CAST(json_extract_string(j, '$.ai_score') AS DOUBLE), 0) AS sc FROM a)
-        SELECT count(*) FILTER (ran) AS ran, count(*) FILTER (ran AND sus) AS suspected, sum(sc) FILTER (ran) AS score_sum, round(count(*) FILTER (ran AND sus) / greatest(1, count(*) FILTER (ran)), 3) AS suspicion_rate FROM b""", "reports"))
+    with_views(AI_SQL, "reports"))
 add("g7_latency_summary", lambda s, d: stats.latency_summary(R(s, d)),
-    with_views("""WITH l AS (SELECT list_sort(list(latency_ms)) AS v, count(*) AS n, sum(latency_ms) AS s FROM reports WHERE latency_ms > 0)
-        SELECT CAST(v[1] AS BIGINT) AS min, CAST(v[n] AS BIGINT) AS max, CAST(s AS BIGINT) AS sum, CAST(floor(s / n) AS BIGINT) AS avg, CAST(v[n // 2 + 1] AS BIGINT) AS p50, CAST(v[CAST(floor(n * 0.95::DOUBLE) AS BIGINT)] AS BIGINT) AS p95 FROM l""", "reports"))
+    with_views(LATENCY_SQL, "reports"))
 add("g8_hourly_local", lambda s, d: stats.hourly_local(R(s, d)), with_views(f"SELECT CAST(h AS INTEGER) AS hour, coalesce(n, 0) AS n FROM range(24) t(h) LEFT JOIN (SELECT {HOUR} AS hh, count(*) AS n FROM reports GROUP BY 1) ON hh = h", "reports"))
 add("g9_daily", lambda s, d: stats.daily(R(s, d)), with_views("SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM reports GROUP BY 1", "reports"))
 SESSION_SUMMARY = """SELECT 'status' AS metric, status AS key, CAST(count(*) AS DOUBLE) AS value FROM sessions GROUP BY 2
@@ -53,16 +58,22 @@ SESSION_SUMMARY = """SELECT 'status' AS metric, status AS key, CAST(count(*) AS
     UNION ALL SELECT 'total', 'avg_session_risk', round(avg(risk_score), 1) FROM sessions UNION ALL SELECT 'total', 'total_sessions', count(*) FROM sessions"""
 add("g10_session_summary", lambda s, d: stats.session_summary(S(s, d)), with_views(SESSION_SUMMARY, "sessions"))
 add("g11_throughput", lambda s, d: stats.throughput(R(s, d), S(s, d), 60 * 24),
-    with_views("""SELECT 1440 AS window_minutes, (SELECT count(*) FROM reports WHERE epoch(created_at) >= (SELECT max(epoch(created_at)) FROM reports) - 86400) AS screens,
-        (SELECT count(*) FROM sessions WHERE epoch(closed_at) >= (SELECT max(epoch(created_at)) FROM reports) - 86400) AS sessions_closed,
-        round((SELECT count(*) FROM reports WHERE epoch(created_at) >= (SELECT max(epoch(created_at)) FROM reports) - 86400) / 1440, 3) AS per_minute""", "sessions"))
-add("g12_overview", lambda s, d: stats.overview(R(s, d), S(s, d)),
+    with_views(THROUGHPUT_SQL, "sessions"))
+_unpivoted = lambda metric, sql, names: " UNION ALL ".join(f"SELECT '{metric}', '{n}', CAST({n} AS DOUBLE) FROM ({sql})" for n in names)
+_MODULES = " UNION ALL ".join(f"SELECT 'module_{m}', {MODULE.format(m=m)}, count(*) FROM reports GROUP BY 2" for m in ("validation", "tampering", "face"))
+add("g12_overview", lambda s, d: stats.overview(R(s, d), S(s, d), 60 * 24),
     with_views(f"""SELECT 'verdict' AS metric, verdict AS key, CAST(count(*) AS DOUBLE) AS value FROM reports GROUP BY 2 UNION ALL SELECT 'risk', {BUCKET}, count(*) FROM reports GROUP BY 2
         UNION ALL SELECT 'doc_type', doc_type, count(*) FROM reports GROUP BY 2 UNION ALL SELECT 'day', strftime(created_at, '%Y-%m-%d'), count(*) FROM reports GROUP BY 2
         UNION ALL SELECT 'hour', CAST(h AS VARCHAR), coalesce(n, 0) FROM range(24) t(h) LEFT JOIN (SELECT {HOUR} AS hh, count(*) AS n FROM reports GROUP BY 1) ON hh = h
+        UNION ALL SELECT 'checkpoint', checkpoint, count(*) FROM reports GROUP BY 2 UNION ALL SELECT 'officer', screener, count(*) FROM reports GROUP BY 2 UNION ALL {_MODULES}
+        UNION ALL SELECT 'total', 'total_screens', count(*) FROM reports UNION ALL SELECT 'total', 'flagged_count', count(*) FROM reports WHERE verdict = 'FLAGGED'
+        UNION ALL {_unpivoted('ai', AI_SQL, ['ran', 'suspected', 'score_sum', 'suspicion_rate'])} UNION ALL {_unpivoted('latency', LATENCY_SQL, ['min', 'max', 'sum', 'avg', 'p50', 'p95'])}
+        UNION ALL {_unpivoted('throughput', THROUGHPUT_SQL, ['window_minutes', 'screens', 'sessions_closed', 'per_minute'])}
         UNION ALL SELECT 'session_' || metric, key, value FROM ({SESSION_SUMMARY})""", "sessions"))
-add("g13_public_summary", lambda s, d: stats.public_summary(R(s, d)),
-    with_views(f"""SELECT {PUBLIC} AS kind, count(*) AS n, count(nullif(latency_ms, 0)) AS samples, min(nullif(latency_ms, 0)) AS lat_min, max(nullif(latency_ms, 0)) AS lat_max, CAST(floor(avg(nullif(latency_ms, 0))) AS BIGINT) AS lat_avg FROM reports GROUP BY 1""", "reports"))
+NOTICES_SQL = "SELECT DISTINCT 'Notice ' || (item_id % 30) AS title, unnest(['HIGH','LOW']) AS urgency, text AS content FROM benchmark"
+add("g13_public_summary", lambda s, d: stats.public_summary(R(s, d), views.notices(s, d)),
+    with_views(f"""SELECT {PUBLIC} AS kind, count(*) AS n, count(nullif(latency_ms, 0)) AS samples, min(nullif(latency_ms, 0)) AS lat_min, max(nullif(latency_ms, 0)) AS lat_max, CAST(floor(avg(nullif(latency_ms, 0))) AS BIGINT) AS lat_avg FROM reports GROUP BY 1
+        UNION ALL SELECT 'REVOKED', count(*), 0, NULL, NULL, NULL FROM ({NOTICES_SQL}) WHERE title LIKE '%7'""", "reports"))
 add("l1_recent_sessions", lambda s, d: rows.newest(S(s, d), 120, ["created_at", "session_id"]).select("session_id", "status", "created_at"),
     with_views("SELECT session_id, status, created_at FROM sessions ORDER BY created_at DESC, session_id DESC LIMIT 120", "sessions"))
 add("l3_ledger_sort", lambda s, d: rows.ledger_order(S(s, d).withColumn("label", F.concat(F.lit("Session "), F.col("session_id") % 50)), "label").select("session_id", "label"),

@@ -147,6 +147,17 @@ def emb_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(copy)
 
 
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of notices: published, published again with others, and those of some titles retracted."""
+    from passgrid.operators import links
+
+    base = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Notice "), F.col("item_id") % 30).alias("title"), F.lit("HIGH").alias("urgency"), F.col("text").alias("content"))
+    empty = base.where("false").select(*base.columns, F.lit("").alias("file_hash"), F.lit(False).alias("revoked"))
+    feed = links.publish_notices(empty, base)
+    feed = links.publish_notices(feed, base.unionByName(base.withColumn("urgency", F.lit("LOW"))))
+    return links.retract_notices(feed, feed.where("title LIKE '%7'").select("file_hash"))
+
+
 SQL: dict[str, str] = {
     "reports": """
         SELECT o_orderkey AS id, o_orderkey AS seq,

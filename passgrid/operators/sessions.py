@@ -40,6 +40,36 @@ def compare_fields(digests: DataFrame) -> DataFrame:
     return one.withColumn("status", status)
 
 
+# The fields that a session's documents are compared by.
+COMPARED = ["name", "dob", "gender", "passport", "state", "pincode", "address"]
+
+
+def rescued(compared: DataFrame, fields: DataFrame, bikram: Column | None = None) -> DataFrame:
+    """Statuses after a second look at fields that differ within one script, and "none" for those on no document.
+
+    Birth dates agree if they are one date in another writing, or one year; names if every two of them
+    are one person's (by sound alone: phonetic-match); addresses if the session's pin codes agree.  Only
+    fields that differ are looked at, and pairs are those of one session's documents.
+    """
+    from passgrid.functions import names as N
+    from passgrid.operators.extraction import name_pairs
+
+    open_ = compared.where("status = 'disagree'").select("session_id", "field")
+    values = fields.join(open_, ["session_id", "field"]).select("session_id", "field", "id", "value")
+    born = N.birth_text(F.col("value"), F.lit(False) if bikram is None else bikram)
+    dates = values.where("field = 'dob'").groupBy("session_id", "field").agg(F.count_distinct(born).alias("dates"), F.count_distinct(F.left(born, F.lit(4))).alias("years"), F.min(F.length(born)).alias("least"))
+    dates = dates.where("(dates = 1 AND least > 0) OR (years = 1 AND least >= 4)").select("session_id", "field", F.lit("agree").alias("better"))
+    own = values.where("field = 'name'").select("session_id", "id", "value")
+    pairs = own.join(own.select("session_id", F.col("id").alias("other"), F.col("value").alias("second")), "session_id").where("id < other").join(primary_ids_agree(fields), "session_id", "left")
+    judged = name_pairs(pairs, "value", "second", F.coalesce("ids_agree", F.lit(False))).groupBy("session_id").agg(F.min("same").alias("same"), F.max((F.col("reason") == "sound").cast("int")).alias("sound"))
+    named = judged.where("same").select("session_id", F.lit("name").alias("field"), F.when(F.col("sound") == 1, "phonetic-match").otherwise("agree").alias("better"))
+    zoned = compared.where("field = 'pincode' AND status = 'agree'").select("session_id", F.lit("address").alias("field"), F.lit("agree").alias("better"))
+    better = dates.unionByName(named).unionByName(zoned)
+    seen = compared.join(better, ["session_id", "field"], "left").withColumn("status", F.when(F.col("status") == "disagree", F.coalesce("better", "status")).otherwise(F.col("status"))).select("session_id", "field", "status")
+    absent = compared.groupBy("session_id").agg(F.array_except(F.array(*[F.lit(c) for c in COMPARED]), F.collect_set("field")).alias("f")).select("session_id", F.explode("f").alias("field"), F.lit("none").alias("status"))
+    return seen.unionByName(absent)
+
+
 def bump(field: Column, status: Column) -> Column:
     return F.when(status != "disagree", 0).when(field.isin(*PRIMARY), 35).otherwise(30)
 
@@ -47,7 +77,7 @@ def bump(field: Column, status: Column) -> Column:
 def compare_sessions(compared: DataFrame) -> DataFrame:
     """Verdict and addition to the risk of each session."""
     seen = lambda *s: F.max(F.col("status").isin(*s))
-    out = compared.groupBy("session_id").agg(seen("disagree").alias("differs"), seen("agree", "single", "cross-script").alias("something"), F.sum(bump(F.col("field"), F.col("status"))).alias("risk_bump"))
+    out = compared.groupBy("session_id").agg(seen("disagree").alias("differs"), seen("agree", "single", "cross-script", "phonetic-match").alias("something"), F.sum(bump(F.col("field"), F.col("status"))).alias("risk_bump"))
     verdict = F.when(F.col("differs"), "DISCREPANCY").when(F.col("something"), "CONSISTENT").otherwise("INCOMPLETE")
     return out.select("session_id", verdict.alias("comparison_verdict"), "risk_bump")
 

@@ -152,6 +152,26 @@ add("d17_suppression", lambda s, d: identifiers(s, d).select("k", *extraction.su
 add("d18_merge_sides", lambda s, d: extraction.merged(identifiers(s, d).select("k", F.when(F.col("k") % 2 == 0, F.col("pan")).alias("front_pan"), F.when(F.col("k") % 3 == 0, F.col("pan")).alias("back_pan"), F.lower("pan").alias("declared_pan")), ["pan"]).select("k", "pan"), sql("SELECT k, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN pan ELSE lower(pan) END AS pan FROM ids"))
 add("d19_code_payloads", lambda s, d: extraction.code_payload(identifiers(s, d).select("k", F.when(F.col("k") % 3 == 0, F.concat(F.lit('<Card uid="'), F.col("aadhaar"), F.lit('" name="N A" yob="1990"/>'))).when(F.col("k") % 3 == 1, F.concat(F.lit('{"pan":"'), F.col("pan"), F.lit('","name":"N A"}'))).otherwise(F.concat(F.lit("PAN: "), F.col("pan"), F.lit("|Name: N A"))).alias("payload")), "payload").select("k", "number", "name"),
     sql("SELECT k, CASE WHEN k % 3 = 0 THEN aadhaar ELSE pan END AS number, 'N A' AS name FROM ids"))
+def code_texts(s, d):
+    """Payloads of the three kinds of code, by holder."""
+    day = lambda c: F.date_format(c, "dd/MM/yyyy")
+    q = lambda name, c: F.concat(F.lit(f' {name}="'), c, F.lit('"'))
+    k = F.col("k")
+    xml = F.concat(F.lit("<PrintLetterBarcodeData"), q("uid", F.col("aadhaar")), q("name", F.lit("Asha Rao")), q("gender", F.lit("female")), q("dob", day("dob")), q("house", F.lit("7")), q("vtc", F.lit("Puri")), q("dist", F.lit("Khorda")), q("state", F.lit("Odisha")), q("pc", F.col("pin")), F.lit("/>"))
+    uid = F.when(k % 4 == 0, xml).when(k % 4 == 1, F.concat(F.lit("<!DOCTYPE x>"), xml)).when(k % 4 == 2, F.concat_ws(" ", F.substring("aadhaar", 1, 4), F.substring("aadhaar", 5, 8))).otherwise(F.lit("<?xml no"))
+    pan = F.when(k % 4 == 0, F.concat(F.lit('{"PAN_no":"'), F.col("pan"), F.lit('","holder_name":"Asha Rao","father_name":"Ram Rao","birth":"'), day("dob"), F.lit('"}')))
+    pan = pan.when(k % 4 == 1, F.concat_ws("|", F.col("pan"), F.lit("Asha Rao"), F.lit("Ram Rao"), day("dob"))).when(k % 4 == 2, F.concat(F.lit("see "), F.col("pan"), F.lit("."))).otherwise(F.lit("{broken}"))
+    licence = F.concat(F.lit("DL "), F.left("licence", F.lit(4)), F.lit(" "), F.substring("licence", 5, 11), F.lit("\nName: Asha Rao\nDOB: "), day("dob"), F.when(k % 2 == 0, F.concat(F.lit("\nValid Till: "), day("expiry"))).otherwise(""))
+    return identifiers(s, d).select("k", uid.alias("uid"), F.when(k % 4 == 2, "Code128").otherwise("QRCode").alias("format"), pan.alias("pan"), licence.alias("licence"))
+
+
+ISO = "strftime({}, '%Y-%m-%d')"
+add("d19_aadhaar_codes", lambda s, d: code_texts(s, d).select("k", extraction.aadhaar_code(F.col("uid"), F.col("format")).alias("x")).select("k", "x.*"),
+    sql("""SELECT k, k % 2 = 0 AS valid, CASE WHEN k % 2 = 0 THEN aadhaar END AS aadhaar, """ + ", ".join(f"CASE WHEN k % 4 = 0 THEN {v} END AS {n}" for n, v in (("name", "'Asha Rao'"), ("gender", "'F'"), ("dob", ISO.format("dob")), ("address", "'7, Puri, Khorda, Odisha'"), ("pincode", "pin"), ("state", "'Odisha'"), ("district", "'Khorda'"))) + " FROM ids"))
+add("d19_pan_codes", lambda s, d: code_texts(s, d).select("k", extraction.pan_code(F.col("pan")).alias("x")).select("k", "x.*"),
+    sql(f"SELECT k, k % 4 < 3 AS valid, CASE WHEN k % 4 < 3 THEN pan END AS pan, CASE WHEN k % 4 < 2 THEN 'Asha Rao' END AS name, CASE WHEN k % 4 < 2 THEN {ISO.format('dob')} END AS dob FROM ids"))
+add("d19_licence_codes", lambda s, d: code_texts(s, d).select("k", extraction.licence_code(F.col("licence")).alias("x")).select("k", "x.*"),
+    sql(f"SELECT k, true AS valid, licence, licence[1:2] AS state, 'Asha Rao' AS name, {ISO.format('dob')} AS dob, CASE WHEN k % 2 = 0 THEN {ISO.format('expiry')} END AS expiry FROM ids"))
 # The same patterns for DuckDB, which has no back reference: one pass for each kind of quote.
 REDACTED_SQL = "text"
 for _pattern, _mark in X.REDACTIONS[:-1] + [(X.REDACTIONS[-1][0].replace("([\\\"'])", f"({q})").replace("\\3", q), X.REDACTIONS[-1][1]) for q in "\"'"] + X.ADDRESSES + X.MORE_REDACTIONS:

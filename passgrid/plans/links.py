@@ -73,6 +73,22 @@ add("j22_notice_feed", lambda s, d: rows.newest(views.notices(s, d).where("NOT r
 add("n6_field_digests", lambda s, d: sessions.digest_map(sessions.field_digests(DF(s, d))).select("session_id", "id", F.col("digests.name.h").alias("name_h"), F.col("digests.name.s").alias("name_s"), F.col("digests.pan.h").alias("pan_h")),
     with_views(f"WITH {COMPARED} SELECT session_id, id, max(h) FILTER (field = 'name') AS name_h, max(script) FILTER (field = 'name') AS name_s, max(h) FILTER (field = 'pan') AS pan_h FROM digests GROUP BY 1, 2", "doc_fields"))
 add("g14_compare_fields", lambda s, d: sessions.compare_fields(sessions.field_digests(DF(s, d))), with_views(f"WITH {COMPARED} SELECT * FROM compared", "doc_fields"))
+RESCUED = COMPARED + """,
+    near AS (SELECT session_id, field FROM compared JOIN doc_fields USING (session_id, field) WHERE status = 'disagree' AND field = 'dob' GROUP BY 1, 2 HAVING count(DISTINCT regexp_extract(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) = 1 OR count(DISTINCT left(value, 4)) = 1
+        UNION ALL SELECT a.session_id, 'name' FROM doc_fields a JOIN doc_fields b ON a.session_id = b.session_id AND a.field = 'name' AND b.field = 'name' AND a.id < b.id GROUP BY 1
+            HAVING bool_and(len(list_filter(regexp_extract_all(upper(a.value), '[A-Z]+'), lambda x: NOT list_contains(regexp_extract_all(upper(b.value), '[A-Z]+'), x))) = 0 OR len(list_filter(regexp_extract_all(upper(b.value), '[A-Z]+'), lambda x: NOT list_contains(regexp_extract_all(upper(a.value), '[A-Z]+'), x))) = 0)),
+    rescued AS (SELECT c.session_id, c.field, CASE WHEN c.status = 'disagree' AND n.field IS NOT NULL THEN 'agree' ELSE c.status END AS status FROM compared c LEFT JOIN near n ON n.session_id = c.session_id AND n.field = c.field
+        UNION ALL SELECT session_id, f, 'none' FROM (SELECT DISTINCT session_id FROM compared) s, (SELECT unnest(['name', 'dob', 'gender', 'passport', 'state', 'pincode', 'address']) AS f) x WHERE NOT EXISTS (SELECT 1 FROM compared c WHERE c.session_id = s.session_id AND c.field = f))"""
+
+
+def compared_again(s, d):
+    return sessions.rescued(sessions.compare_fields(sessions.field_digests(DF(s, d))), DF(s, d))
+
+
+add("g14_rescued_fields", compared_again, with_views(f"WITH {RESCUED} SELECT * FROM rescued", "doc_fields"))
+add("g14_rescued_sessions", lambda s, d: sessions.compare_sessions(compared_again(s, d)),
+    with_views(f"""WITH {RESCUED} SELECT session_id, CASE WHEN bool_or(status = 'disagree') THEN 'DISCREPANCY' WHEN bool_or(status <> 'none') THEN 'CONSISTENT' ELSE 'INCOMPLETE' END AS comparison_verdict,
+        CAST(sum(CASE WHEN status <> 'disagree' THEN 0 WHEN field IN ('pan','aadhaar','passport','driving_licence','voter_id') THEN 35 ELSE 30 END) AS BIGINT) AS risk_bump FROM rescued GROUP BY 1""", "doc_fields"))
 add("g14_compare_sessions", lambda s, d: sessions.compare_sessions(sessions.compare_fields(sessions.field_digests(DF(s, d)))), with_views(f"WITH {COMPARED} SELECT session_id, comparison_verdict, CAST(risk_bump AS BIGINT) AS risk_bump FROM verdicts", "doc_fields"))
 add("g15_primary_ids_agree", lambda s, d: sessions.primary_ids_agree(DF(s, d)),
     with_views("SELECT session_id, bool_or(same) AS ids_agree FROM (SELECT session_id, field, count(*) >= 2 AND count(DISTINCT upper(value)) = 1 AS same FROM doc_fields WHERE field IN ('pan', 'passport') GROUP BY 1, 2) GROUP BY 1", "doc_fields"))

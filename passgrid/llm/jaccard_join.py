@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, numbered_columns, spread_join, staged
+from passgrid.llm.common import col, numbered_columns, release, spread_join, staged
 from passgrid.llm.components import components
 from passgrid.llm.license_scan import FOLD
 
@@ -365,6 +365,7 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         keyed = staged(at.select(F.col("x.key").alias("bucket"), "node", *([] if last else [F.col("x.below").alias("below")])), f"keyed-{level}")
         sizes = keyed.groupBy("bucket").count().where("count > 1")
         met = staged(spread_join(keyed, sizes, "bucket", "node"), f"level-{level}")
+        release(keyed)
         small.append(met.where(F.col("count") <= (TILE if last else SMALL)).select("bucket", "node"))
         large = met.where(F.col("count") > (TILE if last else SMALL))
         if last or large.isEmpty():

@@ -29,20 +29,28 @@ def each(checks):
     return lambda s, d: identifiers(s, d).select("k", F.explode(F.array(*checks())).alias("c")).select("k", "c.label", "c.ok")
 
 
-add("b1_norm_mask", lambda s, d: identifiers(s, d).select("k", I.norm(F.concat(F.lit(" ka-01/"), F.lower("licence"))).alias("norm"), I.mask(F.col("pan")).alias("mask"), I.fingerprint(F.concat_ws(" ", "voter")).alias("print")),
+add("b1_norm_mask",
+    lambda s, d: identifiers(s, d).select("k", I.norm(F.concat(F.lit(" ka-01/"), F.lower("licence"))).alias("norm"), I.mask(F.col("pan")).alias("mask"), I.fingerprint(F.concat_ws(" ", "voter")).alias("print")),
     sql("SELECT k, 'KA01' || licence AS norm, '******' || right(pan, 4) AS mask, sha256(voter) AS print FROM ids"))
 WIDE = "".join(chr(0xFF10 + i) for i in range(10))
-add("b1_norm_wide", lambda s, d: identifiers(s, d).select("k", N.norm_any(F.when(F.col("k") % 3 == 0, F.concat(F.lit("ＫＡ－"), F.translate("voter", "0123456789", WIDE))).otherwise(F.concat(F.lit("ka-"), F.col("voter")))).alias("norm")),
+add("b1_norm_wide",
+    lambda s, d: identifiers(s, d).select("k", N.norm_any(F.when(F.col("k") % 3 == 0, F.concat(F.lit("ＫＡ－"), F.translate("voter", "0123456789", WIDE))).otherwise(F.concat(F.lit("ka-"), F.col("voter")))).alias("norm")),
     sql("SELECT k, 'KA' || voter AS norm FROM ids"))
 add("b2_mask_short", lambda s, d: identifiers(s, d).select("k", I.mask(F.left("phone", (F.col("k") % 8).cast("int"))).alias("mask")),
     sql("SELECT k, CASE WHEN k % 8 > 4 THEN repeat('*', CAST(k % 8 - 4 AS INTEGER)) || right(phone[1:k % 8], 4) ELSE CASE WHEN k % 8 = 0 THEN '' ELSE phone[1:k % 8] END END AS mask FROM ids"))
-add("b3_fingerprints", lambda s, d: identifiers(s, d).select("k", I.fingerprint(F.concat_ws("-", F.left("aadhaar", F.lit(4)), F.substring("aadhaar", 5, 8))).alias("print")), sql("SELECT k, sha256(aadhaar) AS print FROM ids"))
+add("b3_fingerprints",
+    lambda s, d: identifiers(s, d).select("k", I.fingerprint(F.concat_ws("-", F.left("aadhaar", F.lit(4)), F.substring("aadhaar", 5, 8))).alias("print")),
+    sql("SELECT k, sha256(aadhaar) AS print FROM ids"))
 add("c1_check_digit", lambda s, d: identifiers(s, d).select("k", I.check_digit(F.col("mrz2")).alias("digit")), sql(f"SELECT k, {check_digit_sql('mrz2')} AS digit FROM ids"))
 add("c2_verhoeff", lambda s, d: identifiers(s, d).select("k", I.verhoeff(F.col("aadhaar")).alias("ok")), sql(f"SELECT k, {verhoeff_sql('aadhaar')} = 0 AS ok FROM ids"))
 add("c3_aadhaar_checks", each(lambda: I.aadhaar_checks(F.col("aadhaar"))), sql("SELECT k, 'structure' AS label, true AS ok FROM ids UNION ALL SELECT k, 'verhoeff-checksum', k % 5 <> 0 FROM ids"))
 PAN_R = "list_sum(list_transform(string_split(pan[1:9], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)) % 36"
-add("c4_pan_checks", each(lambda: I.pan_checks(F.col("pan"))),
-    sql(f"SELECT k, 'structure' AS label, true AS ok FROM ids UNION ALL SELECT k, 'category-letter', pan[4] IN ('A','B','C','D','F','G','H','L','J','P','T') FROM ids UNION ALL SELECT k, 'check-char', CASE WHEN (CASE WHEN {PAN_R} < 10 THEN CAST(CAST({PAN_R} AS INTEGER) AS VARCHAR) ELSE chr(CAST({PAN_R} + 55 AS INTEGER)) END) = pan[10] THEN true END FROM ids"))
+add("c4_pan_checks",
+    each(lambda: I.pan_checks(F.col("pan"))),
+    sql((
+        f"SELECT k, 'structure' AS label, true AS ok FROM ids UNION ALL SELECT k, 'category-letter', pan[4] IN ('A','B','C','D','F','G','H','L','J','P','T') FROM ids UNION ALL SELECT "
+        f"k, 'check-char', CASE WHEN (CASE WHEN {PAN_R} < 10 THEN CAST(CAST({PAN_R} AS INTEGER) AS VARCHAR) ELSE chr(CAST({PAN_R} + 55 AS INTEGER)) END) = pan[10] THEN true END FROM ids"
+    )))
 add("c5_licence_checks", each(lambda: I.licence_checks(F.col("licence"))), sql("SELECT k, 'structure' AS label, regexp_full_match(licence, '[A-Z]{2}[0-9]{13,14}') AS ok FROM ids"))
 # Codes that the licence check knows or not, which differ from those of the serial check.
 CODES = ["KA", "AN", "OR", "UT", "MH", "PY", "UK"]
@@ -51,40 +59,63 @@ add("c6_licence_details",
     sql(f"""WITH c AS (SELECT k, {CODES}[CAST(k % 7 AS INTEGER) + 1] AS st, licence[3:4] AS office, 1950 + k % 70 AS y FROM ids),
         n AS (SELECT *, st IN ('AN','AP','AR','AS','BR','CH','CG','DN','DD','DL','GA','GJ','HR','HP','JK','JH','KA','KL','LA','LD','MP','MH','MN','ML','MZ','NL','OD','PB','RJ','SK','TN','TS','TR','UP','UK','WB') AS known FROM c)
         SELECT k, known AND y BETWEEN 1960 AND 2019 AS valid, CASE WHEN known THEN st END AS state, CASE WHEN known THEN st || office END AS rto, CASE WHEN known THEN CAST(y AS INTEGER) END AS year FROM n"""))
-add("c7_vehicle_checks", each(lambda: I.vehicle_checks(F.concat(F.lit("KA01MJ"), F.left("phone", F.when(F.col("k") % 2 == 0, 4).otherwise(5))))), sql("SELECT k, 'structure' AS label, k % 2 = 0 AS ok FROM ids"))
+add("c7_vehicle_checks",
+    each(lambda: I.vehicle_checks(F.concat(F.lit("KA01MJ"), F.left("phone", F.when(F.col("k") % 2 == 0, 4).otherwise(5))))),
+    sql("SELECT k, 'structure' AS label, k % 2 = 0 AS ok FROM ids"))
 add("c8_voter_checks", each(lambda: I.voter_checks(F.left("voter", F.when(F.col("k") % 3 == 0, 9).otherwise(10)))), sql("SELECT k, 'structure' AS label, k % 3 <> 0 AS ok FROM ids"))
-add("c9_citizenship_checks", each(lambda: [*I.nepal_checks(F.concat(F.lit("12-01-"), F.col("pin"))), *I.bhutan_checks(F.when(F.col("k") % 4 > 0, F.left("aadhaar", F.when(F.col("k") % 4 == 1, 11).otherwise(12))).otherwise(""))]),
+add("c9_citizenship_checks",
+    each(lambda: [*I.nepal_checks(F.concat(F.lit("12-01-"), F.col("pin"))), *I.bhutan_checks(F.when(F.col("k") % 4 > 0, F.left("aadhaar", F.when(F.col("k") % 4 == 1, 11).otherwise(12))).otherwise(""))]),
     sql("SELECT k, 'structure' AS label, true AS ok FROM ids UNION ALL SELECT k, 'structure', CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END FROM ids"))
-add("c10_passport_checks", each(lambda: I.passport_checks(F.rtrim(F.regexp_replace(F.left("mrz2", F.lit(9)), "<", "")), F.when(F.col("k") % 4 > 0, F.concat(F.substring("mrz2", 1, 7), F.when(F.col("k") % 4 == 1, "Z").otherwise(F.substring("mrz2", 8, 1)), F.lit("<"))))),
+add("c10_passport_checks",
+    each(lambda: I.passport_checks(F.rtrim(F.regexp_replace(F.left("mrz2", F.lit(9)), "<", "")), F.when(F.col("k") % 4 > 0, F.concat(F.substring("mrz2", 1, 7), F.when(F.col("k") % 4 == 1, "Z").otherwise(F.substring("mrz2", 8, 1)), F.lit("<"))))),
     sql("SELECT k, 'structure' AS label, true AS ok FROM ids UNION ALL SELECT k, 'mrz-agreement', CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END FROM ids"))
 SERIES = "map {" + ", ".join(f"'{k}': {v[0]}" for k, v in I.PASSPORT_SERIES.items()) + "}"
-add("c11_serial_checks", lambda s, d: identifiers(s, d).select("k", F.explode(F.concat(I.serial_checks(F.lit("passport"), F.left("mrz2", F.lit(8)), F.col("dob").cast("string")), I.serial_checks(F.lit("driving_licence"), F.col("licence"), F.lit(None).cast("string")), I.serial_checks(F.lit("pan"), F.col("pan"), F.lit(None).cast("string")))).alias("c")).select("k", "c.label", "c.ok"),
+add("c11_serial_checks",
+    lambda s, d: identifiers(s, d).select("k", F.explode(F.concat(I.serial_checks(F.lit("passport"), F.left("mrz2", F.lit(8)), F.col("dob").cast("string")), I.serial_checks(F.lit("driving_licence"), F.col("licence"), F.lit(None).cast("string")), I.serial_checks(F.lit("pan"), F.col("pan"), F.lit(None).cast("string")))).alias("c")).select("k", "c.label", "c.ok"),
     sql(f"""SELECT k, 'serial-era' AS label, CASE WHEN ({SERIES})[mrz2[1]] IS NOT NULL THEN true END AS ok FROM ids UNION ALL SELECT k, 'serial-anachronism', CASE WHEN ({SERIES})[mrz2[1]] >= year(dob) + 13 THEN true END FROM ids WHERE ({SERIES})[mrz2[1]] IS NOT NULL
         UNION ALL SELECT k, 'state-code', licence[1:2] <> 'XX' FROM ids UNION ALL SELECT k, 'pan-entity-type', CASE WHEN pan[4] = 'P' THEN true END FROM ids"""))
-add("c12_resolved_numbers", lambda s, d: identifiers(s, d).select("k", I.resolved(F.when(F.col("k") % 3 == 0, F.col("voter")), F.when(F.col("k") % 2 == 0, F.concat(F.col("voter"), F.when(F.col("k") % 12 == 0, "9").otherwise(""))), F.when(F.col("k") % 5 > 0, F.col("voter"))).alias("x")).select("k", "x.*"),
+add("c12_resolved_numbers",
+    lambda s, d: identifiers(s, d).select("k", I.resolved(F.when(F.col("k") % 3 == 0, F.col("voter")), F.when(F.col("k") % 2 == 0, F.concat(F.col("voter"), F.when(F.col("k") % 12 == 0, "9").otherwise(""))), F.when(F.col("k") % 5 > 0, F.col("voter"))).alias("x")).select("k", "x.*"),
     sql("""SELECT k, CASE WHEN k % 3 = 0 THEN voter WHEN k % 2 = 0 THEN voter WHEN k % 5 > 0 THEN voter END AS number, CASE WHEN k % 3 = 0 THEN 'declared' WHEN k % 2 = 0 THEN 'ocr' WHEN k % 5 > 0 THEN 'mrz' END AS source, k % 12 = 0 AS mismatch FROM ids"""))
-add("c13_dispatch", lambda s, d: extraction.validate_identifiers(identifiers(s, d).select("k", F.element_at(F.array(*[F.lit(x) for x in ("aadhaar_card", "PAN", "dl", "epic", "bogus")]), (F.col("k") % 5 + 1).cast("int")).alias("doc_type"), F.element_at(F.array("aadhaar", "pan", "licence", "voter", "phone"), (F.col("k") % 5 + 1).cast("int")).alias("number")), "doc_type", "number").groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum(F.when(F.col("ok"), 1).otherwise(0)).alias("n_ok")),
+add("c13_dispatch",
+    lambda s, d: extraction.validate_identifiers(identifiers(s, d).select("k", F.element_at(F.array(*[F.lit(x) for x in ("aadhaar_card", "PAN", "dl", "epic", "bogus")]), (F.col("k") % 5 + 1).cast("int")).alias("doc_type"), F.element_at(F.array("aadhaar", "pan", "licence", "voter", "phone"), (F.col("k") % 5 + 1).cast("int")).alias("number")), "doc_type", "number").groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum(F.when(F.col("ok"), 1).otherwise(0)).alias("n_ok")),
     sql(f"""SELECT kind, label, count(*) AS n, CAST(count(*) FILTER (ok) AS BIGINT) AS n_ok FROM (
         SELECT k, 'aadhaar' AS kind, 'structure' AS label, true AS ok FROM ids WHERE k % 5 = 0 UNION ALL SELECT k, 'aadhaar', 'verhoeff-checksum', false FROM ids WHERE k % 5 = 0
         UNION ALL SELECT k, 'pan', 'structure', true FROM ids WHERE k % 5 = 1 UNION ALL SELECT k, 'pan', 'category-letter', pan[4] = 'P' FROM ids WHERE k % 5 = 1 UNION ALL SELECT k, 'pan', 'check-char', (CASE WHEN {PAN_R} < 10 THEN CAST(CAST({PAN_R} AS INTEGER) AS VARCHAR) ELSE chr(CAST({PAN_R} + 55 AS INTEGER)) END) = pan[10] FROM ids WHERE k % 5 = 1
         UNION ALL SELECT k, 'driving_licence', 'structure', true FROM ids WHERE k % 5 = 2 UNION ALL SELECT k, 'voter_id', 'structure', true FROM ids WHERE k % 5 = 3) GROUP BY 1, 2"""))
 PAN_TRUE = "CASE WHEN pan[4] = 'P' THEN pan END"
 add("d1_find_pan", lambda s, d: identifiers(s, d).select("k", X.find_pan(F.col("pan_text")).alias("pan")), sql(f"SELECT k, {PAN_TRUE} AS pan FROM ids"))
-add("d2_find_aadhaar", lambda s, d: identifiers(s, d).select("k", X.find_aadhaar(F.when(F.col("k") % 2 == 0, F.col("text")).otherwise(F.concat_ws(" ", F.lit("no"), F.substring("aadhaar", 1, 4), F.replace(F.substring("aadhaar", 5, 4), F.lit("0"), F.lit("O")), F.substring("aadhaar", 9, 4), F.lit(".")))).alias("aadhaar")), sql("SELECT k, aadhaar FROM ids"))
-add("d3_find_licence", lambda s, d: identifiers(s, d).select("k", X.find_licence(F.concat(F.lit("DL No "), F.concat_ws("-", F.left("licence", F.lit(2)), F.substring("licence", 3, 2), F.substring("licence", 5, 4), F.substring("licence", 9, 7)))).alias("licence")),
+add("d2_find_aadhaar",
+    lambda s, d: identifiers(s, d).select("k", X.find_aadhaar(F.when(F.col("k") % 2 == 0, F.col("text")).otherwise(F.concat_ws(" ", F.lit("no"), F.substring("aadhaar", 1, 4), F.replace(F.substring("aadhaar", 5, 4), F.lit("0"), F.lit("O")), F.substring("aadhaar", 9, 4), F.lit(".")))).alias("aadhaar")),
+    sql("SELECT k, aadhaar FROM ids"))
+add("d3_find_licence",
+    lambda s, d: identifiers(s, d).select("k", X.find_licence(F.concat(F.lit("DL No "), F.concat_ws("-", F.left("licence", F.lit(2)), F.substring("licence", 3, 2), F.substring("licence", 5, 4), F.substring("licence", 9, 7)))).alias("licence")),
     sql("SELECT k, CASE WHEN 1950 + k % 70 < 2100 THEN licence END AS licence FROM ids"))
-add("d4_find_passport", lambda s, d: identifiers(s, d).select("k", X.find_passport(F.when(F.col("k") % 2 == 0, F.col("mrz_text")).otherwise(F.concat(F.lit("Passport No: "), F.left("mrz2", F.lit(8)))) ).alias("passport")), sql("SELECT k, number[1:8] AS passport FROM ids"))
-add("d5_voter_phone_pin", lambda s, d: identifiers(s, d).select("k", X.find_voter(F.col("text")).alias("voter"), X.find_phone(F.col("text")).alias("phone"), X.find_pin(F.col("text")).alias("pin")), sql("SELECT k, voter, phone, pin FROM ids"))
-add("d6_three_forms", lambda s, d: identifiers(s, d).select("k", X.in_three_forms(X.find_voter, F.concat(F.left("voter", F.lit(3)), F.lit("-"), F.right("voter", F.lit(7)))).alias("voter")), sql("SELECT k, voter FROM ids"))
+add("d4_find_passport",
+    lambda s, d: identifiers(s, d).select("k", X.find_passport(F.when(F.col("k") % 2 == 0, F.col("mrz_text")).otherwise(F.concat(F.lit("Passport No: "), F.left("mrz2", F.lit(8)))) ).alias("passport")),
+    sql("SELECT k, number[1:8] AS passport FROM ids"))
+add("d5_voter_phone_pin",
+    lambda s, d: identifiers(s, d).select("k", X.find_voter(F.col("text")).alias("voter"), X.find_phone(F.col("text")).alias("phone"), X.find_pin(F.col("text")).alias("pin")),
+    sql("SELECT k, voter, phone, pin FROM ids"))
+add("d6_three_forms",
+    lambda s, d: identifiers(s, d).select("k", X.in_three_forms(X.find_voter, F.concat(F.left("voter", F.lit(3)), F.lit("-"), F.right("voter", F.lit(7)))).alias("voter")),
+    sql("SELECT k, voter FROM ids"))
 add("d7_birth_date",
     lambda s, d: identifiers(s, d).select("k", X.birth_date(F.when(F.col("k") % 5 == 4, F.concat(F.lit("ref "), F.date_format("dob", "ddMM/yyyy"), F.lit(" issued"))).otherwise(F.col("text")), as_of()).alias("dob")),
     sql("SELECT k, CASE WHEN k % 5 = 4 OR k % 3 = 0 THEN dob ELSE least(dob, expiry) END AS dob FROM ids"))
-add("d8_parse_date", lambda s, d: identifiers(s, d).select("k", X.parse_date(F.element_at(F.array(F.date_format("dob", "dd/MM/yyyy"), F.date_format("dob", "yyyy.MM.dd"), F.date_format("dob", "yyMMdd"), F.lit("31-02-2001"), F.lit("x")), (F.col("k") % 5 + 1).cast("int"))).alias("date")),
+add("d8_parse_date",
+    lambda s, d: identifiers(s, d).select("k", X.parse_date(F.element_at(F.array(F.date_format("dob", "dd/MM/yyyy"), F.date_format("dob", "yyyy.MM.dd"), F.date_format("dob", "yyMMdd"), F.lit("31-02-2001"), F.lit("x")), (F.col("k") % 5 + 1).cast("int"))).alias("date")),
     sql("SELECT k, CASE WHEN k % 5 < 2 THEN dob WHEN k % 5 = 2 THEN (CASE WHEN year(dob) % 100 > 50 THEN dob ELSE make_date(2000 + year(dob) % 100, month(dob), day(dob)) END) END AS date FROM ids"))
 add("d9_expiry_date", lambda s, d: identifiers(s, d).select("k", X.expiry_date(F.col("text"), as_of()).alias("expiry")), sql("SELECT k, expiry FROM ids"))
-add("d10_parse_td3", lambda s, d: identifiers(s, d).select("k", X.parse_td3(F.col("mrz1"), F.col("mrz2")).alias("x")).select("k", "x.*"),
-    sql("SELECT k, 'IND' AS issuer, 'SURNAME' || chr(CAST(65 + k % 26 AS INTEGER)) AS surname, 'GIVEN NAME' AS given_names, number[1:8] AS number, 'IND' AS nationality, b6 AS birth, 'M' AS sex, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, true AS personal_ok, true AS composite_ok FROM ids"))
-add("d11_mrz_candidates", lambda s, d: extraction.mrz_pairs(identifiers(s, d).select("k", F.col("mrz_text").alias("text")), "k", "text").select("k", "first", "second"), sql("SELECT k, mrz1 AS first, mrz2 AS second FROM ids"))
+add("d10_parse_td3",
+    lambda s, d: identifiers(s, d).select("k", X.parse_td3(F.col("mrz1"), F.col("mrz2")).alias("x")).select("k", "x.*"),
+    sql((
+        "SELECT k, 'IND' AS issuer, 'SURNAME' || chr(CAST(65 + k % 26 AS INTEGER)) AS surname, 'GIVEN NAME' AS given_names, number[1:8] AS number, 'IND' AS nationality, b6 AS birth, "
+        "'M' AS sex, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, true AS personal_ok, true AS composite_ok FROM ids"
+    )))
+add("d11_mrz_candidates",
+    lambda s, d: extraction.mrz_pairs(identifiers(s, d).select("k", F.col("mrz_text").alias("text")), "k", "text").select("k", "first", "second"),
+    sql("SELECT k, mrz1 AS first, mrz2 AS second FROM ids"))
 # The other zones: built from the same holders; in every fourth a zero of the birth date was read as a letter O.
 ZONE_FIELDS = ["format", "valid", "issuer", "surname", "given_names", "number", "nationality", "birth", "sex", "expiry", "optional", "number_ok", "birth_ok", "expiry_ok", "composite_ok", "corrected"]
 
@@ -124,33 +155,45 @@ SURNAME = "'SURNAME' || chr(CAST(65 + k % 26 AS INTEGER))"
 _ONE = "(mrz2[14:20] || 'M' || mrz2[22:28] || 'IND' || repeat('<', 11))"
 _TWO = "(mrz2[1:10] || 'IND' || mrz2[14:20] || 'M' || mrz2[22:28] || repeat('<', 7))"
 _A1 = "rpad('I<IND' || mrz2[1:10], 30, '<')"
-add("d10_parse_td1", lambda s, d: zones(s, d).select("k", X.parse_td1(F.col("a1"), F.col("b1"), F.col("c1")).alias("x")).select("k", *[f"x.{c}" for c in ZONE_FIELDS]),
+add("d10_parse_td1",
+    lambda s, d: zones(s, d).select("k", X.parse_td1(F.col("a1"), F.col("b1"), F.col("c1")).alias("x")).select("k", *[f"x.{c}" for c in ZONE_FIELDS]),
     zone_sql("TD1", _A1, f"{_ONE} || {check_digit_sql(f'{_A1}[6:30] || {_ONE}[1:7] || {_ONE}[9:15] || {_ONE}[19:29]')}", 1, "a[6:30] || n[1:7] || n[9:15] || n[19:29]", "n[30]", "a[6:14]", "a[15]", "'IND'", (SURNAME, "'GIVEN NAME'"), "''"))
-add("d10_parse_td2", lambda s, d: zones(s, d).select("k", X.parse_td2(F.col("a2"), F.col("b2")).alias("x")).select("k", *[f"x.{c}" for c in ZONE_FIELDS]),
+add("d10_parse_td2",
+    lambda s, d: zones(s, d).select("k", X.parse_td2(F.col("a2"), F.col("b2")).alias("x")).select("k", *[f"x.{c}" for c in ZONE_FIELDS]),
     zone_sql("TD2", "''", f"{_TWO} || {check_digit_sql(f'{_TWO}[1:10] || {_TWO}[14:20] || {_TWO}[22:35]')}", 14, "n[1:10] || n[14:20] || n[22:35]", "n[36]", "n[1:9]", "n[10]", "'IND'", (SURNAME, "'GIVEN NAME'"), "''"))
 add("d10_parse_line2", lambda s, d: zones(s, d).select("k", X.parse_line2(F.col("b3")).alias("x")).select("k", *[f"x.{c}" for c in ZONE_FIELDS]),
     zone_sql("TD3", "''", "mrz2", 14, "n[1:10] || n[14:20] || n[22:43]", "n[44]", "n[1:9]", "n[10]", "'IND'", ("''", "''"), "regexp_replace(n[29:42], '<+$', '')"))
-add("d12_mrz_repair", lambda s, d: identifiers(s, d).select("k", X.repaired_line2(F.concat(F.left("mrz2", F.lit(13)), F.replace(F.substring("mrz2", 14, 6), F.lit("0"), F.lit("O")), F.substring("mrz2", 20, 25))).alias("line")),
+add("d12_mrz_repair",
+    lambda s, d: identifiers(s, d).select("k", X.repaired_line2(F.concat(F.left("mrz2", F.lit(13)), F.replace(F.substring("mrz2", 14, 6), F.lit("0"), F.lit("O")), F.substring("mrz2", 20, 25))).alias("line")),
     sql("SELECT k, CASE WHEN k % 7 = 0 THEN mrz2[1:13] || replace(mrz2[14:19], '0', 'O') || mrz2[20:44] ELSE mrz2 END AS line FROM ids"))
-add("d13_line2_scan", lambda s, d: identifiers(s, d).select("k", X.line2(F.col("mrz_text")).alias("x")).select("k", "x.*"), sql("SELECT k, number[1:8] AS number, b6 AS birth, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, k % 7 <> 0 AS valid FROM ids"))
+add("d13_line2_scan",
+    lambda s, d: identifiers(s, d).select("k", X.line2(F.col("mrz_text")).alias("x")).select("k", "x.*"),
+    sql("SELECT k, number[1:8] AS number, b6 AS birth, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, k % 7 <> 0 AS valid FROM ids"))
 HOLDERS = {
     "GOVERNMENT OF INDIA\nAsha Kumari Sharma\nS/O Ram Prasad Sharma": "Asha Kumari Sharma", "To\nRavi Mehta\nGandhi Lane": "Ravi Mehta", "Name: Sita Verma\nDOB 1990": "Sita Verma", "Name\nGopal Reddy": "Gopal Reddy",
     "INCOME TAX DEPARTMENT\nMohan Nair\nABCDE1234F": "Mohan Nair", "XXXX\nLEENAPATIL\nSTATE BANK": "LEENA PATIL", "Mohan Lal\nD/O Gopal Reddy\nName: Leela Rao": "D O Gopal Reddy", "12345\nBhutan": None,
 }
-add("d14_holder_names", lambda s, d: extraction.holder_names(identifiers(s, d).select("k", F.concat_ws("\n", pick(HOLDERS, F.col("k")), F.col("voter")).alias("text")), "k", "text"),
+add("d14_holder_names",
+    lambda s, d: extraction.holder_names(identifiers(s, d).select("k", F.concat_ws("\n", pick(HOLDERS, F.col("k")), F.col("voter")).alias("text")), "k", "text"),
     sql("SELECT k, name FROM (SELECT k, [{}][CAST(k % {} AS INTEGER) + 1] AS name FROM ids) WHERE name IS NOT NULL".format(", ".join("NULL" if v is None else f"'{v}'" for v in HOLDERS.values()), len(HOLDERS))))
 GLUED = {"ASHASHARMA": "ASHA SHARMA", "RaviKumar": "Ravi Kumar", "X": "X", "Two Words": "Two Words", "SitaMohapatra": "Sita Mohapatra", "RAMSHUKLA": "RAM SHUKLA", "ADAS": "ADAS"}
 add("d15_glued_names", lambda s, d: identifiers(s, d).select("k", extraction.unglued(F.element_at(F.array(*[F.lit(x) for x in GLUED]), (F.col("k") % len(GLUED) + 1).cast("int"))).alias("name")),
     sql(f"SELECT k, {list(GLUED.values())}[CAST(k % {len(GLUED)} AS INTEGER) + 1] AS name FROM ids"))
 PLACES = ["Address: Long Road, Bengaluru Karnataka 560001", "Permanent Address\nPlot House\nSahid Nagar, Bhubaneswar\nOdisha", "HOUSE Green Street, Patna", "Date 1990"]
 GENDERS = ["FEMALE", "Male", "महिला", "none"]
-add("d16_places", lambda s, d: identifiers(s, d).select("k", extraction.place_fields(F.concat_ws("\n", pick(GENDERS, F.floor(F.col("k") / 4)), pick(PLACES, F.col("k"))), F.col("licence")).alias("x")).select("k", "x.*"),
+add("d16_places",
+    lambda s, d: identifiers(s, d).select("k", extraction.place_fields(F.concat_ws("\n", pick(GENDERS, F.floor(F.col("k") / 4)), pick(PLACES, F.col("k"))), F.col("licence")).alias("x")).select("k", "x.*"),
     sql("""SELECT k, ['Long Road, Bengaluru Karnataka 560001', 'Plot House, Sahid Nagar, Bhubaneswar, Odisha', 'HOUSE Green Street, Patna', NULL][CAST(k % 4 AS INTEGER) + 1] AS address,
         CASE k % 4 WHEN 0 THEN 'Karnataka' WHEN 1 THEN 'Odisha' ELSE CASE licence[1:2] WHEN 'KA' THEN 'Karnataka' WHEN 'MH' THEN 'Maharashtra' WHEN 'DL' THEN 'Delhi' WHEN 'TN' THEN 'Tamil Nadu' END END AS state,
         ['F', 'M', 'F', NULL][CAST((k // 4) % 4 AS INTEGER) + 1] AS gender FROM ids"""))
-add("d17_suppression", lambda s, d: identifiers(s, d).select("k", *extraction.suppressed(F.element_at(F.array(*[F.lit(x) for x in ("aadhaar", "pan", "driving_licence")]), (F.col("k") % 3 + 1).cast("int")))), sql("SELECT k, CASE WHEN k % 3 = 2 THEN voter END AS voter, CASE WHEN k % 3 <> 2 THEN pan END AS pan FROM ids"))
-add("d18_merge_sides", lambda s, d: extraction.merged(identifiers(s, d).select("k", F.when(F.col("k") % 2 == 0, F.col("pan")).alias("front_pan"), F.when(F.col("k") % 3 == 0, F.col("pan")).alias("back_pan"), F.lower("pan").alias("declared_pan")), ["pan"]).select("k", "pan"), sql("SELECT k, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN pan ELSE lower(pan) END AS pan FROM ids"))
-add("d19_code_payloads", lambda s, d: extraction.code_payload(identifiers(s, d).select("k", F.when(F.col("k") % 3 == 0, F.concat(F.lit('<Card uid="'), F.col("aadhaar"), F.lit('" name="N A" yob="1990"/>'))).when(F.col("k") % 3 == 1, F.concat(F.lit('{"pan":"'), F.col("pan"), F.lit('","name":"N A"}'))).otherwise(F.concat(F.lit("PAN: "), F.col("pan"), F.lit("|Name: N A"))).alias("payload")), "payload").select("k", "number", "name"),
+add("d17_suppression",
+    lambda s, d: identifiers(s, d).select("k", *extraction.suppressed(F.element_at(F.array(*[F.lit(x) for x in ("aadhaar", "pan", "driving_licence")]), (F.col("k") % 3 + 1).cast("int")))),
+    sql("SELECT k, CASE WHEN k % 3 = 2 THEN voter END AS voter, CASE WHEN k % 3 <> 2 THEN pan END AS pan FROM ids"))
+add("d18_merge_sides",
+    lambda s, d: extraction.merged(identifiers(s, d).select("k", F.when(F.col("k") % 2 == 0, F.col("pan")).alias("front_pan"), F.when(F.col("k") % 3 == 0, F.col("pan")).alias("back_pan"), F.lower("pan").alias("declared_pan")), ["pan"]).select("k", "pan"),
+    sql("SELECT k, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN pan ELSE lower(pan) END AS pan FROM ids"))
+add("d19_code_payloads",
+    lambda s, d: extraction.code_payload(identifiers(s, d).select("k", F.when(F.col("k") % 3 == 0, F.concat(F.lit('<Card uid="'), F.col("aadhaar"), F.lit('" name="N A" yob="1990"/>'))).when(F.col("k") % 3 == 1, F.concat(F.lit('{"pan":"'), F.col("pan"), F.lit('","name":"N A"}'))).otherwise(F.concat(F.lit("PAN: "), F.col("pan"), F.lit("|Name: N A"))).alias("payload")), "payload").select("k", "number", "name"),
     sql("SELECT k, CASE WHEN k % 3 = 0 THEN aadhaar ELSE pan END AS number, 'N A' AS name FROM ids"))
 def code_texts(s, d):
     """Payloads of the three kinds of code, by holder."""
@@ -166,7 +209,8 @@ def code_texts(s, d):
 
 
 ISO = "strftime({}, '%Y-%m-%d')"
-add("d19_aadhaar_codes", lambda s, d: code_texts(s, d).select("k", extraction.aadhaar_code(F.col("uid"), F.col("format")).alias("x")).select("k", "x.*"),
+add("d19_aadhaar_codes",
+    lambda s, d: code_texts(s, d).select("k", extraction.aadhaar_code(F.col("uid"), F.col("format")).alias("x")).select("k", "x.*"),
     sql("""SELECT k, k % 2 = 0 AS valid, CASE WHEN k % 2 = 0 THEN aadhaar END AS aadhaar, """ + ", ".join(f"CASE WHEN k % 4 = 0 THEN {v} END AS {n}" for n, v in (("name", "'Asha Rao'"), ("gender", "'F'"), ("dob", ISO.format("dob")), ("address", "'7, Puri, Khorda, Odisha'"), ("pincode", "pin"), ("state", "'Odisha'"), ("district", "'Khorda'"))) + " FROM ids"))
 add("d19_pan_codes", lambda s, d: code_texts(s, d).select("k", extraction.pan_code(F.col("pan")).alias("x")).select("k", "x.*"),
     sql(f"SELECT k, k % 4 < 3 AS valid, CASE WHEN k % 4 < 3 THEN pan END AS pan, CASE WHEN k % 4 < 2 THEN 'Asha Rao' END AS name, CASE WHEN k % 4 < 2 THEN {ISO.format('dob')} END AS dob FROM ids"))
@@ -176,7 +220,9 @@ add("d19_licence_codes", lambda s, d: code_texts(s, d).select("k", extraction.li
 REDACTED_SQL = "text"
 for _pattern, _mark in X.REDACTIONS[:-1] + [(X.REDACTIONS[-1][0].replace("([\\\"'])", f"({q})").replace("\\3", q), X.REDACTIONS[-1][1]) for q in "\"'"] + X.ADDRESSES + X.MORE_REDACTIONS:
     REDACTED_SQL = "regexp_replace({}, '{}', '{}', 'g')".format(REDACTED_SQL, _pattern.replace("'", "''"), _mark.replace("'", "''").replace("$", "\\"))
-add("d20_redaction", lambda s, d: views.table(s, d, "documents").select("doc_id", F.sha2(X.redacted(F.col("text"), X.REDACTIONS + X.ADDRESSES + X.MORE_REDACTIONS), 256).alias("digest")), f"SELECT doc_id, sha256({REDACTED_SQL}) AS digest FROM documents")
+add("d20_redaction",
+    lambda s, d: views.table(s, d, "documents").select("doc_id", F.sha2(X.redacted(F.col("text"), X.REDACTIONS + X.ADDRESSES + X.MORE_REDACTIONS), 256).alias("digest")),
+    f"SELECT doc_id, sha256({REDACTED_SQL}) AS digest FROM documents")
 # Every kind of secret, put behind the text of a page's address.
 SECRETS = [
     "postgresql://app:pa55word@db.example.org/x", "ep-blue-1.neon.tech", "AIza" + "Sy0" * 11, "github_pat_" + "a1B2_" * 8, "gsk-" + "q9" * 12, "Bearer " + "ab.cd-" * 5,
@@ -188,28 +234,49 @@ REDACTED = [
 ]
 add("d20_redacted_secrets", lambda s, d: views.table(s, d, "pages").select("page_id", X.redacted(F.concat_ws(" ", "url", pick(SECRETS, F.col("page_id")))).alias("text")),
     "SELECT page_id, concat_ws(' ', url, [{}][CAST(page_id % {} AS INTEGER) + 1]) AS text FROM pages".format(", ".join("'" + x.replace("'", "''") + "'" for x in REDACTED), len(REDACTED)))
-add("d20_redact_addresses", lambda s, d: views.table(s, d, "documents").select("doc_id", F.length(X.redacted(F.col("text"), X.MORE_REDACTIONS[1:])).alias("n")), r"SELECT doc_id, CAST(length(regexp_replace(regexp_replace(text, '\b[0-9]{16}\b', '[REDACTED_NUMBER]', 'g'), '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}', '[REDACTED_PHONE]', 'g')) AS INTEGER) AS n FROM documents")
+add("d20_redact_addresses",
+    lambda s, d: views.table(s, d, "documents").select("doc_id", F.length(X.redacted(F.col("text"), X.MORE_REDACTIONS[1:])).alias("n")),
+    (
+        r"SELECT doc_id, CAST(length(regexp_replace(regexp_replace(text, '\b[0-9]{16}\b', '[REDACTED_NUMBER]', 'g'), '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}', '[REDACTED_PHONE]', 'g')) "
+        r"AS INTEGER) AS n FROM documents"
+    ))
 MADE_WITH = {"made with Adobe Photoshop and DALL-E 3": ("DALL-E 3", "ai", 0.95), "GIMP 2": ("GIMP", "edited", 0.85), "ilovepdf.com": ("ILovePDF", "pdf_utility", 0.5), "Real_ESRGAN upscale in Canva": ("Real-ESRGAN", "ai", 0.95), "Paint.NET v5": ("Paint.NET", "edited", 0.85)}
-add("d21_tool_signatures", lambda s, d: extraction.tool_signatures(views.table(s, d, "pages").select("page_id", F.concat_ws(" ", F.sha2("html", 256), pick([*MADE_WITH, "none"], F.col("page_id"))).alias("meta")), "page_id", "meta"),
+add("d21_tool_signatures",
+    lambda s, d: extraction.tool_signatures(views.table(s, d, "pages").select("page_id", F.concat_ws(" ", F.sha2("html", 256), pick([*MADE_WITH, "none"], F.col("page_id"))).alias("meta")), "page_id", "meta"),
     "SELECT * FROM (SELECT page_id, " + ", ".join(f"{[v[i] for v in MADE_WITH.values()]}[CAST(page_id % {len(MADE_WITH) + 1} AS INTEGER) + 1] AS {n}" for i, n in enumerate(("tool", "kind"))) + f", CAST({[v[2] for v in MADE_WITH.values()]}[CAST(page_id % {len(MADE_WITH) + 1} AS INTEGER) + 1] AS DOUBLE) AS confidence FROM pages) WHERE tool IS NOT NULL")
-add("d22_term_counts", lambda s, d: extraction.term_counts(views.table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")),
+add("d22_term_counts",
+    lambda s, d: extraction.term_counts(views.table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")),
     r"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9_]+')) AS term FROM documents) WHERE length(term) > 1 GROUP BY 1""")
-add("d23_times", lambda s, d: views.reports(s, d).select("id", X.utc_epoch(F.when(F.col("id") % 5 == 0, "bad").otherwise(F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")))).alias("epoch"), F.hour(F.from_utc_timestamp("created_at", "Asia/Kolkata")).alias("hour")),
+add("d23_times",
+    lambda s, d: views.reports(s, d).select("id", X.utc_epoch(F.when(F.col("id") % 5 == 0, "bad").otherwise(F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")))).alias("epoch"), F.hour(F.from_utc_timestamp("created_at", "Asia/Kolkata")).alias("hour")),
     views.with_views("SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(epoch(created_at) AS BIGINT) END AS epoch, CAST(hour(created_at + INTERVAL 330 MINUTE) AS INTEGER) AS hour FROM reports", "reports"))
 DEVA = ["राम शर्मा", "गीता", "Anil", "मोहन", "ऩऱळऴ"]
-add("n1_transliteration", lambda s, d: identifiers(s, d).select("k", N.latin(F.element_at(F.array(*[F.lit(x) for x in DEVA]), (F.col("k") % 5 + 1).cast("int"))).alias("latin"), N.name_digest(F.element_at(F.array(*[F.lit(x) for x in DEVA]), (F.col("k") % 5 + 1).cast("int"))).alias("digest")),
+add("n1_transliteration",
+    lambda s, d: identifiers(s, d).select("k", N.latin(F.element_at(F.array(*[F.lit(x) for x in DEVA]), (F.col("k") % 5 + 1).cast("int"))).alias("latin"), N.name_digest(F.element_at(F.array(*[F.lit(x) for x in DEVA]), (F.col("k") % 5 + 1).cast("int"))).alias("digest")),
     sql("SELECT k, n AS latin, sha256(upper(replace(n, ' ', ''))) AS digest FROM (SELECT k, ['ram shrma', 'gita', 'Anil', 'mohn', 'nnlllll'][CAST(k % 5 AS INTEGER) + 1] AS n FROM ids)"))
-add("n2_name_similarity", lambda s, d: views.table(s, d, "part").select("p_partkey", N.similarity(F.upper("p_name"), F.upper("p_type")).alias("sim"), N.names_match(F.col("p_name"), F.concat(F.col("p_name"), F.lit("xx"))).alias("same")),
-    "SELECT p_partkey, 1 - levenshtein(upper(p_name), upper(p_type)) / greatest(length(p_name), length(p_type)) AS sim, CASE WHEN 1 - 2 / (length(p_name) + 2) >= 0.72 THEN true WHEN 1 - 2 / (length(p_name) + 2) < 0.62 THEN false END AS same FROM part")
-add("n3_soundex", lambda s, d: views.table(s, d, "part").select("p_partkey", N.soundex(F.col("p_name")).alias("code"), N.soundex(F.lit("ASHCRAFT")).alias("fixed")),
+add("n2_name_similarity",
+    lambda s, d: views.table(s, d, "part").select("p_partkey", N.similarity(F.upper("p_name"), F.upper("p_type")).alias("sim"), N.names_match(F.col("p_name"), F.concat(F.col("p_name"), F.lit("xx"))).alias("same")),
+    (
+        "SELECT p_partkey, 1 - levenshtein(upper(p_name), upper(p_type)) / greatest(length(p_name), length(p_type)) AS sim, CASE WHEN 1 - 2 / (length(p_name) + 2) >= 0.72 THEN true "
+        "WHEN 1 - 2 / (length(p_name) + 2) < 0.62 THEN false END AS same FROM part"
+    ))
+add("n3_soundex",
+    lambda s, d: views.table(s, d, "part").select("p_partkey", N.soundex(F.col("p_name")).alias("code"), N.soundex(F.lit("ASHCRAFT")).alias("fixed")),
     """SELECT p_partkey, CASE WHEN l = '' THEN '0000' ELSE left(l[1] || array_to_string(list_filter(list_transform(string_split(t, ''), lambda x, i: CASE WHEN i > 1 AND x <> '0' AND x <> t[i - 1] THEN x END), lambda x: x IS NOT NULL), '') || '0000', 4) END AS code, 'A226' AS fixed
         FROM (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS l, translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000') AS t FROM part)""")
-add("n4_name_pairs", lambda s, d: extraction.name_pairs(identifiers(s, d).select("k", F.concat(F.lit("SHRI ASHA "), F.char(65 + F.col("k") % 26), F.lit(" SHARMA")).alias("a"), F.element_at(F.array(*[F.lit(x) for x in ("SHARMA ASHA", "A K SHARMA", "ASHAA SHARMAN", "JOHN DOE")]), (F.col("k") % 4 + 1).cast("int")).alias("b")), "a", "b").groupBy("reason").agg(F.count("*").alias("n")))
-add("n5_birth_text", lambda s, d: identifiers(s, d).select("k", N.birth_text(F.element_at(F.array(F.date_format("dob", "yyyy/M/d"), F.date_format("dob", "dd.MM.yyyy"), F.lit("२०५२-०१-०५"), F.lit("about 1990"), F.lit("2052-1-5")), (F.col("k") % 5 + 1).cast("int")), F.col("k") % 10 == 4).alias("dob")),
-    sql("SELECT k, CASE k % 5 WHEN 0 THEN strftime(dob, '%Y-%m-%d') WHEN 1 THEN strftime(dob, '%Y-%m-%d') WHEN 2 THEN '1995-01-05' WHEN 3 THEN '1990' ELSE CASE WHEN k % 10 = 4 THEN '1995-01-05' ELSE '2052-01-05' END END AS dob FROM ids"))
+add("n4_name_pairs",
+    lambda s, d: extraction.name_pairs(identifiers(s, d).select("k", F.concat(F.lit("SHRI ASHA "), F.char(65 + F.col("k") % 26), F.lit(" SHARMA")).alias("a"), F.element_at(F.array(*[F.lit(x) for x in ("SHARMA ASHA", "A K SHARMA", "ASHAA SHARMAN", "JOHN DOE")]), (F.col("k") % 4 + 1).cast("int")).alias("b")), "a", "b").groupBy("reason").agg(F.count("*").alias("n")))
+add("n5_birth_text",
+    lambda s, d: identifiers(s, d).select("k", N.birth_text(F.element_at(F.array(F.date_format("dob", "yyyy/M/d"), F.date_format("dob", "dd.MM.yyyy"), F.lit("२०५२-०१-०५"), F.lit("about 1990"), F.lit("2052-1-5")), (F.col("k") % 5 + 1).cast("int")), F.col("k") % 10 == 4).alias("dob")),
+    sql((
+        "SELECT k, CASE k % 5 WHEN 0 THEN strftime(dob, '%Y-%m-%d') WHEN 1 THEN strftime(dob, '%Y-%m-%d') WHEN 2 THEN '1995-01-05' WHEN 3 THEN '1990' ELSE CASE WHEN k % 10 = 4 THEN "
+        "'1995-01-05' ELSE '2052-01-05' END END AS dob FROM ids"
+    )))
 add("p8_synthetic_identifiers", lambda s, d: identifiers(s, d).select("k", "aadhaar", "pan", "licence", "voter", "mrz1", "mrz2"), sql("SELECT k, aadhaar, pan, licence, voter, mrz1, mrz2 FROM ids"))
-add("p9_noise_ladder", lambda s, d: extraction.noise(identifiers(s, d).select("k", "mrz2"), "k", "mrz2", {"clean": 0, "moderate": 5, "heavy": 25}).groupBy("level").agg(F.count("*").alias("n"), F.sum((F.levenshtein("mrz2", "noisy")).cast("long")).alias("changed")))
-add("l2_keyword_search", lambda s, d: extraction.keyword_search(views.table(s, d, "documents"), "doc_id", "source", "text", ["the", "ther", "src3", "license"], 25),
+add("p9_noise_ladder",
+    lambda s, d: extraction.noise(identifiers(s, d).select("k", "mrz2"), "k", "mrz2", {"clean": 0, "moderate": 5, "heavy": 25}).groupBy("level").agg(F.count("*").alias("n"), F.sum((F.levenshtein("mrz2", "noisy")).cast("long")).alias("changed")))
+add("l2_keyword_search",
+    lambda s, d: extraction.keyword_search(views.table(s, d, "documents"), "doc_id", "source", "text", ["the", "ther", "src3", "license"], 25),
     r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(source, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9_]+') AS a, regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9_]+') AS b FROM documents),
         s AS (SELECT doc_id, list_sum(list_transform(['the', 'ther', 'src3', 'license'], lambda q: CASE WHEN len(list_filter(a, lambda x: x = q)) > 0 THEN 8 + 2 * len(list_filter(a, lambda x: x = q)) ELSE 0 END + CASE WHEN len(list_filter(b, lambda x: x = q)) > 0 THEN 1 + least(10, len(list_filter(b, lambda x: x = q))) ELSE 0 END)) AS score FROM t)
         SELECT doc_id, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25""")

@@ -34,7 +34,7 @@ def digest_map(digests: DataFrame) -> DataFrame:
 
 
 def compare_fields(digests: DataFrame) -> DataFrame:
-    """Status of each field of a session over its documents."""
+    """Status of each field of a session over its documents, with the numbers of documents, values and scripts."""
     one = digests.groupBy("session_id", "field").agg(F.count("*").alias("n"), F.count_distinct("h").alias("values"), F.count_distinct("script").alias("scripts"))
     status = F.when(F.col("n") < 2, "single").when(F.col("values") == 1, "agree").when(F.col("scripts") > 1, "cross-script").otherwise("disagree")
     return one.withColumn("status", status)
@@ -70,6 +70,13 @@ def rescued(compared: DataFrame, fields: DataFrame, bikram: Column | None = None
     return seen.unionByName(absent)
 
 
+def field_status(digests: DataFrame) -> DataFrame:
+    """The statuses alone: least and greatest tell one value from several, in one partial aggregation."""
+    several = lambda c: F.min(c) != F.max(c)
+    status = F.when(F.count("*") < 2, "single").when(~several("h"), "agree").when(several("script"), "cross-script").otherwise("disagree")
+    return digests.groupBy("session_id", "field").agg(status.alias("status"))
+
+
 def bump(field: Column, status: Column) -> Column:
     return F.when(status != "disagree", 0).when(field.isin(*PRIMARY), 35).otherwise(30)
 

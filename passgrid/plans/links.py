@@ -100,7 +100,7 @@ RESCUED = COMPARED + """,
 
 
 def compared_again(s, d):
-    return sessions.rescued(sessions.compare_fields(sessions.field_digests(DF(s, d))), DF(s, d))
+    return sessions.rescued(sessions.field_status(sessions.field_digests(DF(s, d))), DF(s, d))
 
 
 add("g14_rescued_fields", compared_again, with_views(f"WITH {RESCUED} SELECT * FROM rescued", "doc_fields"))
@@ -109,7 +109,7 @@ add("g14_rescued_sessions",
     with_views(f"""WITH {RESCUED} SELECT session_id, CASE WHEN bool_or(status = 'disagree') THEN 'DISCREPANCY' WHEN bool_or(status <> 'none') THEN 'CONSISTENT' ELSE 'INCOMPLETE' END AS comparison_verdict,
         CAST(sum(CASE WHEN status <> 'disagree' THEN 0 WHEN field IN ('pan','aadhaar','passport','driving_licence','voter_id') THEN 35 ELSE 30 END) AS BIGINT) AS risk_bump FROM rescued GROUP BY 1""", "doc_fields"))
 add("g14_compare_sessions",
-    lambda s, d: sessions.compare_sessions(sessions.compare_fields(sessions.field_digests(DF(s, d)))),
+    lambda s, d: sessions.compare_sessions(sessions.field_status(sessions.field_digests(DF(s, d)))),
     with_views(f"WITH {COMPARED} SELECT session_id, comparison_verdict, CAST(risk_bump AS BIGINT) AS risk_bump FROM verdicts", "doc_fields"))
 add("g15_primary_ids_agree",
     lambda s, d: sessions.primary_ids_agree(DF(s, d)),
@@ -118,7 +118,7 @@ add("g15_primary_ids_agree",
         "'passport') GROUP BY 1, 2) GROUP BY 1"
     ), "doc_fields"))
 add("g16_session_risk",
-    lambda s, d: sessions.session_risk(R(s, d), sessions.compare_sessions(sessions.compare_fields(sessions.field_digests(DF(s, d))))),
+    lambda s, d: sessions.session_risk(R(s, d), sessions.compare_sessions(sessions.field_status(sessions.field_digests(DF(s, d))))),
     with_views((
         f"WITH {COMPARED}, t AS (SELECT session_id, max(risk_score) AS m FROM reports WHERE removed = 0 GROUP BY 1) SELECT session_id, comparison_verdict, CAST(least(100, greatest(0, "
         f"m + coalesce(risk_bump, 0))) AS INTEGER) AS session_risk FROM t LEFT JOIN verdicts USING (session_id)"
@@ -126,7 +126,7 @@ add("g16_session_risk",
 
 
 def settlement(s, d):
-    compared = sessions.compare_sessions(sessions.compare_fields(sessions.field_digests(DF(s, d))))
+    compared = sessions.compare_sessions(sessions.field_status(sessions.field_digests(DF(s, d))))
     hit = with_hits(s, d).join(R(s, d).select("id", "session_id"), "id").select("session_id").distinct().withColumn("hit", F.lit(True))
     actions = F.array(*[F.lit(x) for x in ("approve", "flag", "adjudicate", "close")])
     decisions = F.array(*[F.lit(x) for x in ("CLEARED", "CONFIRMED_FRAUD", "INCONCLUSIVE")])

@@ -253,8 +253,8 @@ add("g33_latency_figures",
     with_views("SELECT " + ", ".join(f"round(quantile_cont(latency_ms, {p / 100}), 4) AS p{p}" for p in (50, 95, 99)) + ", round(avg(latency_ms), 4) AS mean, (SELECT CAST(v[CAST(floor(len(v) * 0.95::DOUBLE) AS BIGINT) + 1] AS DOUBLE) FROM (SELECT list_sort(list(latency_ms)) AS v FROM reports)) AS p95_placed FROM reports", "reports"))
 add("g37_field_robustness",
     lambda s, d: E.field_robustness(matched(s, d).withColumn("ms", F.floor(F.col("confidence") * 400 + F.col("det_idx") % 7)).withColumn("condition", F.col("img_id") % 4), "condition", "ms"),
-    with_views(f"""WITH {MATCHED}, m AS (SELECT *, img_id % 4 AS condition, CAST(floor(confidence * 400 + det_idx % 7) AS BIGINT) AS ms FROM matched), v AS (SELECT condition, list_sort(list(ms)) AS l FROM m GROUP BY 1)
-        SELECT condition, count(*) AS n, round(count(iou) / count(*), 4) AS detect_rate, round(avg(iou), 4) AS mean_iou, round(count(*) FILTER (iou >= 0.5) / count(*), 4) AS id_recall, max(l[CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT) + 1]) AS p95_ms FROM m JOIN v USING (condition) GROUP BY 1""", "gt_boxes", "det_boxes"))
+    with_views(f"""WITH {MATCHED}, m AS (SELECT *, img_id % 4 AS condition, CAST(floor(confidence * 400 + det_idx % 7) AS BIGINT) AS ms FROM matched), v AS (SELECT condition, l[CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT) + 1] AS p95_ms FROM (SELECT condition, list_sort(list(ms)) AS l FROM m GROUP BY 1))
+        SELECT condition, count(*) AS n, round(count(iou) / count(*), 4) AS detect_rate, round(avg(iou), 4) AS mean_iou, round(count(*) FILTER (iou >= 0.5) / count(*), 4) AS id_recall, max(p95_ms) AS p95_ms FROM m JOIN v USING (condition) GROUP BY 1""", "gt_boxes", "det_boxes"))
 add("g38_liveness",
     lambda s, d: E.liveness(T(s, d, "lineitem").select(F.col("l_orderkey").alias("capture"), (F.col("l_discount") * 4).alias("ear"), F.col("l_quantity").alias("px"), (F.col("l_tax") * 100).alias("py"))).select("capture", "frames", "dips", "alive", F.round("min_ear", 6).alias("min_ear"), F.round("travel_x", 6).alias("travel_x"), F.round("travel_y", 6).alias("travel_y")),
     (

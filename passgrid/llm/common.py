@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +21,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def free_name(taken: Iterable[str], name: str) -> str:
-    """``name``, lengthened until no column has it (Spark takes names without regard to case)."""
-    used = {c.lower() for c in taken}
-    while name.lower() in used:
-        name += "_"
-    return name
-
-
 def numbered_columns(df: DataFrame) -> DataFrame:
     """The same columns as c0, c1, ...: an operator's own names then clash with none, and names may hold anything."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -91,18 +82,19 @@ def clear_staged(spark: SparkSession) -> int:
     return done
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """Join ``rows`` (staged, any number of rows a key) to ``table`` (one row a key) on ``key``.
 
     A key that holds more than one in HOT_KEYS of the rows would land in one task; its rows are
     dealt over PIECES partitions by a hash of ``by`` and its row of the table is copied to each.
-    Only the hot keys, of which there are fewer than HOT_KEYS, reach the driver.
+    Only the hot keys, of which there are fewer than HOT_KEYS, reach the driver.  ``sizes`` (key,
+    count; staged) are counted rows where they are known.
     """
-    spark, total = rows.sparkSession, rows.count()
-    hot = []
+    spark, hot = rows.sparkSession, []
+    total = rows.count() if sizes is None else sizes.agg(F.sum("count")).first()[0] or 0
     if total > NEVER_HOT:
-        counts = rows.groupBy(key).agg(F.count("*").alias("__rows"))
-        hot = counts.where(F.col("__rows") > max(NEVER_HOT, total // HOT_KEYS)).select(key).collect()
+        counts = rows.groupBy(key).count() if sizes is None else sizes
+        hot = counts.where(F.col("count") > max(NEVER_HOT, total // HOT_KEYS)).select(key).collect()
     if not hot:
         return rows.join(table, key, how)
     marks = F.broadcast(spark.createDataFrame([(r[0], PIECES) for r in hot if r[0] is not None], rows.select(key).schema.add("__pieces", IntegerType())))

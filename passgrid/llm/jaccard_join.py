@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, numbered_columns, release, spread_join, staged
+from passgrid.llm.common import col, numbered_columns, spread_join, staged
 from passgrid.llm.components import components
 from passgrid.llm.license_scan import FOLD
 
@@ -358,20 +358,24 @@ def _by_tile(rows: DataFrame, tile: str) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node) of the buckets that are compared as they are, and of the larger ones that no split is left for."""
+    """(bucket, node) of the buckets that are compared as they are, and of the larger ones that no split is left for.
+
+    What is shuffled are buckets and nodes; the next steps of a path are fetched for large buckets only.
+    """
     at, small = classes.select("node", F.explode("paths").alias("x")), []
     for level in range(DEPTH):
         last = level == DEPTH - 1
-        keyed = staged(at.select(F.col("x.key").alias("bucket"), "node", *([] if last else [F.col("x.below").alias("below")])), f"keyed-{level}")
-        sizes = keyed.groupBy("bucket").count().where("count > 1")
-        met = staged(spread_join(keyed, sizes, "bucket", "node"), f"level-{level}")
-        release(keyed)
+        keyed = at.select(F.col("x.key").alias("bucket"), "node")
+        sizes = staged(keyed.groupBy("bucket").count().where("count > 1"), f"sizes-{level}")
+        met = staged(spread_join(keyed, sizes, "bucket", "node", sizes=sizes), f"level-{level}")
         small.append(met.where(F.col("count") <= (TILE if last else SMALL)).select("bucket", "node"))
-        large = met.where(F.col("count") > (TILE if last else SMALL))
+        large = met.where(F.col("count") > (TILE if last else SMALL)).select("bucket", "node")
         if last or large.isEmpty():
             break
-        at = large.select("node", F.explode("below").alias("x"))
-    return reduce(DataFrame.unionByName, small), large.select("bucket", "node")
+        split = staged(large, f"large-{level}")
+        some = at.join(split.select("node").distinct(), "node", "left_semi").select("node", "x", F.col("x.key").alias("bucket"))
+        at = staged(some.join(split, ["bucket", "node"]).select("node", F.explode("x.below").alias("x")), f"split-{level}")
+    return reduce(DataFrame.unionByName, small), large
 
 
 def _proposals(classes: DataFrame, threshold: float) -> DataFrame:
@@ -443,7 +447,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = staged(classes.select("node", "least_id", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked")
     class_ids = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
     found = spread_join(linked, class_ids, "root", "node").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return spread_join(described.select("doc_id", "node"), found, "node", "doc_id").select("doc_id", "class_id", "n_links", "n_copies")
+    rows = described.select("doc_id", "node")
+    return spread_join(rows, found, "node", "doc_id", sizes=classes.select("node", F.col("copies").alias("count"))).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -95,13 +95,14 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str]) -
     return rows.withColumn("__run", run).join(before, [*keys, "__bucket"]).withColumn("place", F.col("__run") + F.col("__before")).drop("__run", "__before", "__bucket")
 
 
-def merkle_roots(df: DataFrame, keys: list[str], leaf: str, order: list[str], bucket: Column) -> DataFrame:
+def merkle_roots(df: DataFrame, keys: list[str], leaf: str, order: list[str], bucket: Column | None = None) -> DataFrame:
     """The Merkle root over each key's leaves in order.
 
     Ten levels at a time: aligned stretches of 1,024 nodes are folded where they lie, so a tree of
-    n leaves takes a shuffle per factor of 1,024 and no group is larger than that.
+    n leaves takes a shuffle per factor of 1,024 and no group is larger than that.  ``bucket`` (a day, say)
+    cuts the numbering of a key's leaves; it must rise with the order.
     """
-    leaves = numbered(df.where(F.col(leaf).isNotNull() & (F.col(leaf) != "")), keys, bucket, order)
+    leaves = numbered(df.where(F.col(leaf).isNotNull() & (F.col(leaf) != "")), keys, F.lit(0) if bucket is None else bucket, order)
     now = leaves.select(*keys, F.col("place").alias("i"), F.col(leaf).alias("h"), F.ceil(F.log2("total")).cast("int").alias("levels"))
     most = now.agg(F.max("levels")).first()[0] or 0
     for _ in range(max(1, -(-most // 10))):

@@ -372,8 +372,10 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = met.where(F.col("count") > (TILE if last else SMALL)).select("bucket", "node")
         if last or large.isEmpty():
             break
+        # Written tables have a known size, so Spark sends small ones to the paths and does not shuffle the paths.
         split = staged(large, f"large-{level}")
-        some = at.join(split.select("node").distinct(), "node", "left_semi").select("node", "x", F.col("x.key").alias("bucket"))
+        nodes = staged(split.select("node").distinct(), f"nodes-{level}")
+        some = at.join(nodes, "node", "left_semi").select("node", "x", F.col("x.key").alias("bucket"))
         at = staged(some.join(split, ["bucket", "node"]).select("node", F.explode("x.below").alias("x")), f"split-{level}")
     return reduce(DataFrame.unionByName, small), large
 

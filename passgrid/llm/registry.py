@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from passgrid.llm.bpe_codec import round_trip
 from passgrid.llm.common import documents
 from passgrid.llm.jaccard_join import jaccard_join
 from passgrid.llm.license_scan import scan_licenses
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": lambda spark, sf_dir: sample_mixture(documents(spark, sf_dir)),
     "op9_pii": lambda spark, sf_dir: find_pii(documents(spark, sf_dir)),
     "op10_media_columns": lambda spark, sf_dir: media_columns(documents(spark, sf_dir)),
+    "op13_bpe_codec": lambda spark, sf_dir: round_trip(documents(spark, sf_dir)),
     "pipeline": corpus_pipeline.run,
 }
 

@@ -165,10 +165,15 @@ def _by_path(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def word_tokenizer(name_or_path: str) -> WordTokenizer:
-    """The worker's encoder for a file: an absolute path, or a name in the installed public set."""
+def resolved(name_or_path: str) -> str:
+    """An absolute path as it is, a name as its place in the installed public set."""
     if os.path.isabs(name_or_path):
-        return _by_path(name_or_path)
+        return name_or_path
     import public_tokenizers
 
-    return _by_path(public_tokenizers.path(name_or_path))
+    return public_tokenizers.path(name_or_path)
+
+
+def word_tokenizer(name_or_path: str) -> WordTokenizer:
+    """The worker's encoder for a file: an absolute path, or a name in the installed public set."""
+    return _by_path(resolved(name_or_path))

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from passgrid.llm.common import col
 from passgrid.llm.wordpieces import WordTokenizer, _Filled, _in_latin1, resolved
@@ -183,7 +184,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = "word_bpe_
     """
     others = [c for c in encoded.columns if c not in (ids_col, "decoded")]
     rows = encoded.select(*[col(c) for c in others], col(ids_col))
-    return rows.mapInArrow(_decode(tokenizer, rows.columns), rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(_decode(tokenizer, rows.columns), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:

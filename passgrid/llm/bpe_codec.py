@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from passgrid.llm.common import col
+from passgrid.llm.common import col, numbered_columns
 from passgrid.llm.wordpieces import WordTokenizer, _Filled, _in_latin1, resolved
 
 #: Bytes of text that are encoded (ids that are decoded: a fourth) before a batch is handed on.
@@ -184,7 +184,9 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = "word_bpe_
     """
     others = [c for c in encoded.columns if c not in (ids_col, "decoded")]
     rows = encoded.select(*[col(c) for c in others], col(ids_col))
-    return rows.mapInArrow(_decode(tokenizer, rows.columns), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+    plain = numbered_columns(rows)
+    out = plain.mapInArrow(_decode(tokenizer, plain.columns), StructType([*plain.schema.fields, StructField("decoded", StringType())]))
+    return out.toDF(*rows.columns, "decoded")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:

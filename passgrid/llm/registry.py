@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from passgrid.llm.bpe_codec import round_trip
+from passgrid.llm.collocations import collocations
 from passgrid.llm.common import documents
 from passgrid.llm.jaccard_join import jaccard_join
 from passgrid.llm.license_scan import scan_licenses
@@ -39,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": lambda spark, sf_dir: sample_mixture(documents(spark, sf_dir)),
     "op9_pii": lambda spark, sf_dir: find_pii(documents(spark, sf_dir)),
     "op10_media_columns": lambda spark, sf_dir: media_columns(documents(spark, sf_dir)),
+    "op11_collocations": lambda spark, sf_dir: collocations(documents(spark, sf_dir)),
     "op13_bpe_codec": lambda spark, sf_dir: round_trip(documents(spark, sf_dir)),
     "pipeline": corpus_pipeline.run,
 }
@@ -57,4 +59,31 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents
+        ), split AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+        ), totals AS (
+            SELECT lang, sum(len(w)) AS n FROM split GROUP BY lang
+        ), f AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM split, range(1, 6) ks(k), unnest(range(1, len(w) - k + 2)) AS starts(i) GROUP BY ALL HAVING count(*) >= 100
+        ), c AS (
+            SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1
+        ), longer AS (
+            SELECT DISTINCT x.lang, x.part FROM (
+                SELECT lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS part FROM c
+            ) x JOIN f ON f.lang = x.lang AND f.phrase = x.part AND 100 * x.a >= 100 * f.n
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, j, l.n AS l, r.n AS r, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score, t.n AS n
+            FROM c JOIN range(1, 5) js(j) ON j < k JOIN totals t ON t.lang = c.lang
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:k], ' ')
+        ), best AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        ), kept AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best b
+            WHERE NOT EXISTS (SELECT 1 FROM longer g WHERE g.lang = b.lang AND g.part = b.phrase)
+        )
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM kept WHERE rank <= 2000
+    """,
 }

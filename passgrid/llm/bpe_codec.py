@@ -14,6 +14,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from passgrid.llm.wordpieces import WordTokenizer, _Filled, _in_latin1, resolved
 
 #: Bytes of text that are encoded (ids that are decoded: a fourth) before a batch is handed on.
 BATCH_BYTES = 4 << 20
+#: Bytes up to which a pre-token is cut and merged by plain loops; entries of each cache.
+SHORT, CACHE_ENTRIES = 64, 400_000
 
 
 class BoundaryTokenizer(WordTokenizer):
@@ -51,10 +54,12 @@ class BoundaryTokenizer(WordTokenizer):
                     self.symbol_ids[symbol] = vocab[token]
                     first[token] = last[token] = symbol
         self.joined = np.zeros((512, 512), bool)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
+            self.made.append(vocab[a + b])
             self.joined[last[a], first[b]] = True
             first[a + b], last[a + b] = first[a], last[b]
         self.has_decoder = spec.get("decoder") is not None
@@ -62,52 +67,87 @@ class BoundaryTokenizer(WordTokenizer):
         self.strings = [""] * (by_id[-1][0] + 1)
         for i, t in by_id:
             self.strings[i] = t
-        self._fragments: dict[bytes, bytes] = _Filled(self._fragment_ids)
-
-    def fragments(self, word: bytes) -> list[np.ndarray]:
-        """Symbols of a pre-token's bytes, cut where no token reaches across."""
+        # Rows of what is joined within a pre-token and at its end, for pre-tokens of a few bytes.
+        self.inside, self.at_end = ([row.tobytes() for row in m] for m in (self.joined[:256, :256], self.joined[:256, 256:] if self.marks_end else self.joined[:256, :256]))
+        self._last: dict[bytes, bytes] = _Filled(lambda f: self._encoded(f, True))
+        self._inner: dict[bytes, bytes] = _Filled(lambda f: self._encoded(f, False))
+
+    def cuts(self, word: bytes) -> list[int]:
+        """Where a pre-token's bytes are cut because no token reaches across."""
+        if len(word) <= SHORT:
+            inside, last = self.inside, len(word) - 2
+            return [i + 1 for i in range(last) if not inside[word[i]][word[i + 1]]] + ([last + 1] if last >= 0 and not self.at_end[word[-2]][word[-1]] else [])
         symbols = np.frombuffer(word, np.uint8).astype(np.uint16)
-        if self.marks_end and len(symbols):
+        if self.marks_end:
             symbols[-1] += 256
-        cuts = np.nonzero(~self.joined[symbols[:-1], symbols[1:]])[0] + 1
-        return np.split(symbols, cuts)
+        return (np.nonzero(~self.joined[symbols[:-1], symbols[1:]])[0] + 1).tolist()
 
-    def _fragment_ids(self, fragment: bytes) -> bytes:
-        """Ids of one fragment: the merge of the least rank first, the leftmost of equals, by a heap."""
-        tokens = self.symbol_ids[np.frombuffer(fragment, np.uint16)].tolist()
+    def _encoded(self, fragment: bytes, ends: bool) -> bytes:
+        """Ids of one fragment; ``ends`` if it is the end of its pre-token."""
+        tokens = self.symbol_ids[: 256][np.frombuffer(fragment, np.uint8)].tolist()
+        if ends and self.marks_end:
+            tokens[-1] = int(self.symbol_ids[256 + fragment[-1]])
         if -1 in tokens:
             raise ValueError("the vocabulary lacks a byte")
-        n, merges = len(tokens), self.merges
+        merge = self._merge_short if len(tokens) <= SHORT else self._merge_long
+        return b"".join([self.packed[t] for t in merge(tokens)])
+
+    def _merge_short(self, tokens: list[int]) -> list[int]:
+        """The merge of the least rank first, the leftmost of equals."""
+        known, none = self.ranks.get, len(self.made)
+        ranks = [known(pair, none) for pair in pairwise(tokens)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            tokens[i : i + 2] = [self.made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = known((tokens[i - 1], tokens[i]), none)
+            if i < len(ranks):
+                ranks[i] = known((tokens[i], tokens[i + 1]), none)
+        return tokens
+
+    def _merge_long(self, tokens: list[int]) -> list[int]:
+        """The same by a heap."""
+        n, known = len(tokens), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*found, i) for i in range(n - 1) if (found := merges.get((tokens[i], tokens[i + 1])))]
+        heap = [(rank, i) for i in range(n - 1) if (rank := known((tokens[i], tokens[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, new, i = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i] if tokens[i] >= 0 else n
-            if j >= n or merges.get((tokens[i], tokens[j])) != (rank, new):
+            if j >= n or known((tokens[i], tokens[j])) != rank:
                 continue  # one of the two was merged already
-            tokens[i], tokens[j], k = new, -1, after[j]
+            tokens[i], tokens[j], k, h = self.made[rank], -1, after[j], before[i]
             after[i] = k
             if k < n:
                 before[k] = i
-                if found := merges.get((new, tokens[k])):
-                    heapq.heappush(heap, (*found, i))
-            h = before[i]
-            if h >= 0 and (found := merges.get((tokens[h], new))):
-                heapq.heappush(heap, (*found, h))
-        return np.array([t for t in tokens if t >= 0], "<u4").tobytes()
+                if (rank := known((tokens[i], tokens[k]))) is not None:
+                    heapq.heappush(heap, (rank, i))
+            if h >= 0 and (rank := known((tokens[h], tokens[i]))) is not None:
+                heapq.heappush(heap, (rank, h))
+        return [t for t in tokens if t >= 0]
 
     def _word_ids(self, word: str) -> bytes:
-        known = self._fragments
-        return b"".join([known[f.tobytes()] for f in self.fragments(word.encode("utf-8", "replace"))])
+        data = word.encode("utf-8", "replace")
+        cuts = self.cuts(data)
+        if not cuts:
+            return self._last[data]
+        out = [self._inner[data[a:b]] for a, b in pairwise([0, *cuts])]
+        return b"".join([*out, self._last[data[cuts[-1] :]]])
+
+    def _chunk_ids(self, chunk: str) -> bytes:
+        return b"".join(map(self._word_ids, self.chunk_pretokens(chunk)))
+
+    def trim(self) -> None:
+        for cache in (self._chunks, self._last, self._inner):
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
 
     def ids(self, text: str) -> bytes:
         """Ids of the text, packed as little-endian unsigned 32-bit numbers."""
-        self.trim()
-        if len(self._fragments) > 2 * len(self.strings):
-            self._fragments.clear()
         if self.by_chunk:
             return super().ids(text)
+        self.trim()
         out = []
         for part in self.added_split.split(text) if self.added_split else [text]:
             if part in self.added:
@@ -115,7 +155,7 @@ class BoundaryTokenizer(WordTokenizer):
             elif part:
                 normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
                 words = self.library.pre_tokenizer.pre_tokenize_str(normal)
-                out += [self._words[w] for w in (bytes(map(self.byte_of.__getitem__, shown)).decode("utf-8") for shown, _ in words)]
+                out += [self._word_ids(w) for w in (bytes(map(self.byte_of.__getitem__, shown)).decode("utf-8") for shown, _ in words)]
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -75,9 +75,9 @@ ORACLE_SQL: dict[str, str] = {
                 SELECT lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS part FROM c
             ) x JOIN f ON f.lang = x.lang AND f.phrase = x.part AND 100 * x.a >= 100 * f.n
         ), cuts AS (
-            SELECT c.lang, c.phrase, c.a, j, l.n AS l, r.n AS r, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score, t.n AS n
-            FROM c JOIN range(1, 5) js(j) ON j < k JOIN totals t ON t.lang = c.lang
-            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:k], ' ')
+            SELECT c.lang, c.phrase, c.a, js.j, l.n AS l, r.n AS r, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score, t.n AS n
+            FROM c JOIN range(1, 5) js(j) ON js.j < c.k JOIN totals t ON t.lang = c.lang
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:js.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[js.j + 1:c.k], ' ')
         ), best AS (
             SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
         ), kept AS (

@@ -27,7 +27,7 @@ from passgrid.llm.wordpieces import _Filled
 
 ORDER = 5
 #: Words of a block, windows of a merged range, frequent phrases of a walked range (both on average).
-BLOCK_WORDS, RANGE_WINDOWS, RANGE_PHRASES = 4_000_000, 6_000_000, 200_000
+BLOCK_WORDS, RANGE_WINDOWS, RANGE_PHRASES = 2_000_000, 2_000_000, 200_000
 #: Texts, and windows of each, whose windows the bounds are taken from; phrases likewise.  Bounds steer sizes, not results.
 SAMPLE_TEXTS, SAMPLE_WINDOWS, SAMPLE_PHRASES = 2000, 32, 20_000
 BREAK = b"\xff"  # in no UTF-8 text
@@ -46,7 +46,7 @@ def windows_of(ids: np.ndarray) -> list[np.ndarray]:
     at = np.nonzero(ids[:end])[0]
     columns = [ids[at]]
     for k in range(1, ORDER):
-        columns.append(np.where(columns[-1] > 0, ids[at + k], 0))
+        columns.append(np.where(columns[-1] > 0, ids[at + k], np.int32(0)))
     return columns
 
 
@@ -54,8 +54,10 @@ def sorted_counts(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple
     """Distinct rows in order, with the sum of their counts (1 each, if none are given)."""
     top = max(int(c.max(initial=0)) for c in columns)
     if top < 1 << 21:
-        w = [c.astype(np.uint64) for c in columns]
-        keys = [w[0] << np.uint64(42) | w[1] << np.uint64(21) | w[2], w[3] << np.uint64(21) | w[4]]
+        keys = [np.zeros(len(columns[0]), np.uint64), np.zeros(len(columns[0]), np.uint64)]
+        for k, c in enumerate(columns):
+            keys[k // 3] <<= np.uint64(21)
+            keys[k // 3] |= c.astype(np.uint64)
     else:
         keys = columns
     order = np.lexsort(keys[::-1])
@@ -82,7 +84,7 @@ def _packed(a: np.ndarray) -> bytes:
 def _unpacked(data: bytes) -> np.ndarray:
     width = data[0]
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def _framed(parts: list[bytes]) -> bytes:
@@ -119,7 +121,7 @@ def pack_stream(columns: list[np.ndarray], counts: np.ndarray, words: list[bytes
 
 def unpack_stream(data: bytes) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
     parts = _unframed(data)
-    counts = _unpacked(parts[-2]) + (_unpacked(parts[-1]) << 32)
+    counts = _unpacked(parts[-2]).astype(np.int64) + (_unpacked(parts[-1]).astype(np.int64) << 32)
     columns = []
     for k in range(ORDER):
         new = np.unpackbits(np.frombuffer(parts[1 + 2 * k], np.uint8), count=len(counts)).astype(bool)
@@ -151,11 +153,11 @@ def _streams(bounds: list[Bound], block_words: int):
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(vocabulary)[1:]
             order = sorted(range(len(words)), key=words.__getitem__)
-            rank = np.zeros(len(words) + 1, np.int64)
-            rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
+            rank = np.zeros(len(words) + 1, np.int32)
+            rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1, dtype=np.int32)
             words = [words[i] for i in order]
             for lang, arrays in held.items():
-                ids = np.concatenate([*arrays, np.zeros(ORDER - 1, np.int64)])
+                ids = np.concatenate([*arrays, np.zeros(ORDER - 1, np.int32)])
                 for at in range(0, len(ids) - ORDER + 1, block_words):
                     columns, counts = sorted_counts(windows_of(rank[ids[at : at + block_words + ORDER - 1]]), None)
                     first = bisect_left(bounds, (lang, ()))  # part first begins before the language or with it
@@ -171,8 +173,8 @@ def _streams(bounds: list[Bound], block_words: int):
                 tokens = words_of(text)
                 if not tokens:
                     continue
-                ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
-                held.setdefault(lang, []).extend([ids, np.zeros(1, np.int64)])
+                ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens))
+                held.setdefault(lang, []).extend([ids, np.zeros(1, np.int32)])
                 size += len(ids)
                 if size >= block_words:
                     yield from flush()
@@ -191,7 +193,7 @@ def _merged(least: int):
         lang, streams = table.column("lang")[0].as_py(), [unpack_stream(s) for s in table.column("stream").to_pylist()]
         words = sorted({w for s in streams for w in s[2]})
         rank_of = {w: i + 1 for i, w in enumerate(words)}
-        ranks = [np.array([0] + [rank_of[w] for w in s[2]]) for s in streams]
+        ranks = [np.array([0] + [rank_of[w] for w in s[2]], np.int32) for s in streams]
         columns = [np.concatenate([r[s[0][k]] for r, s in zip(ranks, streams, strict=True)]) for k in range(ORDER)]
         counts = np.concatenate([s[1] for s in streams])
         del streams

@@ -54,7 +54,7 @@ def random_rows():
     return [*out, ("en", None), (None, ""), ("", " . "), ("de", "a b a b a b a b")]
 
 
-@pytest.mark.parametrize("windows,phrases,block", [(6_000_000, 200_000, 4_000_000), (150, 20, 400), (1000, 7, 90)])
+@pytest.mark.parametrize("windows,phrases,block", [(2_000_000, 200_000, 2_000_000), (150, 20, 400), (1000, 7, 90)])
 def test_all_phrases(spark, monkeypatch, windows, phrases, block):
     monkeypatch.setattr(mined, "RANGE_WINDOWS", windows)
     monkeypatch.setattr(mined, "RANGE_PHRASES", phrases)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from passgrid.llm.bpe_codec import round_trip
 from passgrid.llm.collocations import collocations
 from passgrid.llm.common import documents
+from passgrid.llm.hard_negatives import hard_negatives
 from passgrid.llm.jaccard_join import jaccard_join
 from passgrid.llm.license_scan import scan_licenses
 from passgrid.llm.materialise import materialise
@@ -29,6 +31,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id is divisible by 7 the label is the next one."""
+    vectors = documents(spark, sf_dir, "embeddings")
+    return hard_negatives(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": lambda spark, sf_dir: count_tokens(documents(spark, sf_dir)),
     "op2_ngram_jaccard_join": lambda spark, sf_dir: jaccard_join(documents(spark, sf_dir)),
@@ -41,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": lambda spark, sf_dir: find_pii(documents(spark, sf_dir)),
     "op10_media_columns": lambda spark, sf_dir: media_columns(documents(spark, sf_dir)),
     "op11_collocations": lambda spark, sf_dir: collocations(documents(spark, sf_dir)),
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_bpe_codec": lambda spark, sf_dir: round_trip(documents(spark, sf_dir)),
     "pipeline": corpus_pipeline.run,
 }
@@ -86,4 +95,17 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM kept WHERE rank <= 2000
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, d.vec_id AS vec_id, a.label = d.label AS same, CAST(list_inner_product(a.c, d.c) AS BIGINT) AS score FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+    """,
 }

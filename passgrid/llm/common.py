@@ -13,6 +13,8 @@ from pyspark.sql.types import IntegerType
 HOT_KEYS = 2048
 #: Partitions that a hot key is dealt over, and rows below which no key is hot.
 PIECES, NEVER_HOT = 64, 512
+#: Bytes of a counted table that may be sent to every executor.
+SENT_BYTES = 48 << 20
 STAGED: list[str] = []
 
 
@@ -46,11 +48,11 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, into: list[DataFrame] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage, so that a lost executor costs a read and no recomputation, and lets several
-    consumers use one costly pass.
+    consumers use one costly pass.  ``into`` collects the tables of a job, to be released together.
     """
     spark = df.sparkSession
     path = run_dir(spark, name)
@@ -58,6 +60,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     STAGED.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if into is not None:
+        into.append(out)
     return out
 
 
@@ -74,6 +78,14 @@ def release(df: DataFrame) -> None:
         STAGED.remove(path)
 
 
+def release_but(tables: list[DataFrame], *keep: DataFrame) -> None:
+    """Delete the folders of all these staged tables but those to keep."""
+    for table in tables:
+        if not any(table is k for k in keep):
+            release(table)
+    tables[:] = keep
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete every staged folder this driver has made, once the results that read them are written; returns how many."""
     done = len(STAGED)
@@ -103,5 +115,10 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str =
     return dealt.drop("__pieces").join(copied.drop("__pieces"), [key, "__piece"], how).drop("__piece")
 
 
+def sent_or_joined(rows: DataFrame, wanted: DataFrame, key: str, row_bytes: int, most: int = SENT_BYTES) -> DataFrame:
+    """Join wide ``rows`` to a narrow staged table on ``key``: it is sent to them if it holds at most ``most`` bytes, else both are shuffled."""
+    return rows.join(F.broadcast(wanted) if wanted.count() * row_bytes <= most else wanted, key)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from passgrid.llm.common import release, spread_join, staged
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, into: list[DataFrame] | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the component's least node.
 
     Every round is a minimum per node and joins, never a collected neighbourhood, so a node may
     have any number of edges (a node of very many is dealt over several tasks); a round is written
-    out, which cuts the lineage, and rounds go on until the edges no longer change.
+    out, which cuts the lineage, and rounds go on until the edges no longer change.  ``into``
+    collects the written tables that the result reads.
     """
     up = lambda df: df.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = staged(up(edges.select("a", "b")), "edges"), None
@@ -31,4 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == new:
             break
         mark = new
+    if into is not None:
+        into.append(now)
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

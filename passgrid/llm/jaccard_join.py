@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passgrid.llm.common import col, numbered_columns, spread_join, staged
+from passgrid.llm.common import col, numbered_columns, release_but, sent_or_joined, spread_join, staged
 from passgrid.llm.components import components
 from passgrid.llm.license_scan import FOLD
 
@@ -99,43 +99,42 @@ def chosen(shingles: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[n
     return np.concatenate(parents or [np.zeros(0, np.int64)]), np.concatenate(children or [np.zeros(0, np.uint64)])
 
 
-def paths(shingles: np.ndarray, runs: int, threshold: float, depth: int) -> list:
-    """A set's nodes as nested [(node, [(node, [...])])], ``depth`` steps down from each run's root."""
-    if not len(shingles):
-        return []
-    levels, nodes = [], mix(np.arange(1, runs + 1, dtype=np.uint64))
-    for _ in range(depth):
-        parents, nodes = chosen(shingles, nodes, threshold)
-        levels.append((parents, nodes))
-    nested: dict[int, list] = {}
-    for parents, nodes in reversed(levels):
-        below, nested = nested, {}
-        deepest = nodes is levels[-1][1]
-        for i, (parent, node) in enumerate(zip(parents.tolist(), nodes.astype(np.int64).tolist(), strict=True)):
-            nested.setdefault(parent, []).append({"key": node} if deepest else {"key": node, "below": below.get(i, [])})
-    return [x for run in nested.values() for x in run]
+def roots(runs: int) -> np.ndarray:
+    return mix(np.arange(1, runs + 1, dtype=np.uint64))
 
 
-def _type(depth: int) -> pa.DataType:
-    fields = [("key", pa.int64())] + ([("below", _type(depth - 1))] if depth > 1 else [])
-    return pa.list_(pa.struct(fields))
+def _describe(width: int, runs: int, threshold: float):
+    """Every text's class, size, sketch and the first nodes of its paths."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, top = Shingles(width), roots(runs)
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text in batch.column(1).to_pylist():
+                s = shingles(text)
+                first = chosen(s, top, threshold)[1].astype(np.int64) if len(s) else []
+                for column, value in zip(out, (class_key(s, text), len(s), sketch(s), first), strict=True):
+                    column.append(value)
+            types = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=["doc_id", "node", "n", "sketch", "keys"])
 
-def _ddl(depth: int) -> str:
-    return "array<struct<key:bigint" + (f",below:{_ddl(depth - 1)}" if depth > 1 else "") + ">>"
+    return run
 
 
-def _describe(width: int, runs: int, threshold: float):
+def _children(width: int, threshold: float):
+    """The next nodes of the paths that go through the given ones, over the texts of classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
+            nodes, keys = [], []
+            for text, node, buckets in zip(*[batch.column(c).to_pylist() for c in ("text", "node", "buckets")], strict=True):
                 s = shingles(text)
-                for column, value in zip(out, (class_key(s, text), len(s), sketch(s), paths(s, runs, threshold, DEPTH)), strict=True):
-                    column.append(value)
-            types = [pa.binary(), pa.int32(), pa.binary(), _type(DEPTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=["doc_id", "node", "n", "sketch", "paths"])
+                if len(s) and class_key(s, text) == node:  # an id may come with several texts
+                    below = chosen(s, np.array(buckets, np.int64).astype(np.uint64), threshold)[1].astype(np.int64)
+                    nodes += [node] * len(below)
+                    keys.append(below)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))], names=["node", "bucket"])
 
     return run
 
@@ -261,58 +260,48 @@ def _found(nodes: list[bytes], links: np.ndarray, forest: list[tuple[int, int]])
     return [(nodes[i], 0, nodes[j]) for i, j in forest] + [(n, k, None) for n, k in zip(nodes, links.tolist(), strict=True) if k]
 
 
-def _verify(width: int, threshold: float):
-    """All exact links of a component that is one tile, over its texts."""
-    shingles = Shingles(width)
+DIFFERENCES = "key binary, node binary, n_reference int, lacking int, beyond int, core boolean, other binary"
+MEMBERS = LINKS + ", " + DIFFERENCES
 
-    def handle(rows: dict[str, list]) -> list[tuple]:
+
+def _members(width: int, threshold: float):
+    """Components over their texts: all exact links of one that is a tile, differences from the reference in a part of a larger one.
+
+    The reference is the row whose node is the root; it is sent to every part of its component.
+    ``core`` rows differ from it so little that two of them are linked whatever they differ by.
+    """
+    shingles, none = Shingles(width), (None,) * len(DIFFERENCES.split(", "))
+
+    def sets(rows: dict[str, list], copied: bool) -> dict[bytes, np.ndarray]:
         own: dict[bytes, np.ndarray] = {}
-        for node, text in zip(rows["node"], rows["text"], strict=True):
-            if node not in own:
+        for node, text, of_other in zip(rows["node"], rows["text"], rows["copied"], strict=True):
+            if of_other == copied and node not in own:
                 s = shingles(text)
                 if class_key(s, text) == node:  # an id may come with several texts
                     own[node] = s
-        if len(own) < 2:
-            return []
-        sizes = np.array([len(s) for s in own.values()])
-        _, tokens = np.unique(np.concatenate(list(own.values())), return_inverse=True)
-        found = _linked_pairs(sizes, tokens, sizes, np.zeros(len(own), np.int64), threshold, np.full(len(own), -1), np.arange(len(own)))
-        return _found(list(own), *found)
-
-    return _by_key(["tile", "node", "text"], handle, LINK_TYPES, ["a", "links", "b"])
-
-
-def _differences(width: int, threshold: float):
-    """Sets of a part of a large component as what they differ by from its reference (the row whose node is the root).
-
-    ``core`` rows differ so little that two of them are linked whatever they differ by.
-    """
-    shingles = Shingles(width)
+        return own
 
     def handle(rows: dict[str, list]) -> list[tuple]:
-        root, reference, out, seen = rows["root"][0], None, [], set()
-        for node, text in zip(rows["node"], rows["text"], strict=True):
-            if node == root and reference is None:
-                s = shingles(text)
-                reference = s if class_key(s, text) == root else None
-        for node, text, copied in zip(rows["node"], rows["text"], rows["copied"], strict=True):
-            if copied or node in seen:
-                continue
-            s = shingles(text)
-            if class_key(s, text) != node:
-                continue
-            seen.add(node)
+        own = sets(rows, False)
+        if not rows["large"][0]:
+            if len(own) < 2:
+                return []
+            sizes = np.array([len(s) for s in own.values()])
+            _, tokens = np.unique(np.concatenate(list(own.values())), return_inverse=True)
+            found = _linked_pairs(sizes, tokens, sizes, np.zeros(len(own), np.int64), threshold, np.full(len(own), -1), np.arange(len(own)))
+            return [row + none for row in _found(list(own), *found)]
+        root, out = rows["root"][0], []
+        reference = sets(rows, True)[root]
+        for node, s in own.items():
             other = np.setxor1d(s, reference, assume_unique=True)
             beyond = (len(s) - len(reference) + len(other)) // 2
             lacking = len(other) - beyond
             core = lacking + threshold * beyond <= (1 - threshold) * len(reference) / 2
-            out.append((root, node, len(reference), lacking, beyond, core, other.tobytes()))
+            out.append((None, None, None, root, node, len(reference), lacking, beyond, core, other.tobytes()))
         return out
 
-    return _by_key(["part", "root", "node", "text", "copied"], handle, [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()], [c.split()[0] for c in DIFFERENCES.split(", ")])
-
-
-DIFFERENCES = "key binary, node binary, n_reference int, lacking int, beyond int, core boolean, other binary"
+    types = [*LINK_TYPES, pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    return _by_key(["tile", "root", "node", "large", "copied", "text"], handle, types, [c.split()[0] for c in MEMBERS.split(", ")])
 
 
 def _compare(threshold: float):
@@ -357,62 +346,65 @@ def _by_tile(rows: DataFrame, tile: str) -> DataFrame:
     return rows.repartition(tile).sortWithinPartitions(tile)
 
 
-def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _buckets(classes: DataFrame, own: DataFrame, width: int, threshold: float, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(bucket, node) of the buckets that are compared as they are, and of the larger ones that no split is left for.
 
-    What is shuffled are buckets and nodes; the next steps of a path are fetched for large buckets only.
+    What is shuffled are buckets and nodes; a path's next steps are taken for large buckets only,
+    from the texts of the classes in them.
     """
-    at, small = classes.select("node", F.explode("paths").alias("x")), []
+    at, small = classes.select("node", F.explode("keys").alias("bucket")), []
     for level in range(DEPTH):
         last = level == DEPTH - 1
-        keyed = at.select(F.col("x.key").alias("bucket"), "node")
-        sizes = staged(keyed.groupBy("bucket").count().where("count > 1"), f"sizes-{level}")
-        met = staged(spread_join(keyed, sizes, "bucket", "node", sizes=sizes), f"level-{level}")
+        sizes = staged(at.groupBy("bucket").count().where("count > 1"), f"sizes-{level}", scratch)
+        met = staged(spread_join(at, sizes, "bucket", "node", sizes=sizes), f"level-{level}", scratch)
         small.append(met.where(F.col("count") <= (TILE if last else SMALL)).select("bucket", "node"))
         large = met.where(F.col("count") > (TILE if last else SMALL)).select("bucket", "node")
         if last or large.isEmpty():
             break
-        # Written tables have a known size, so Spark sends small ones to the paths and does not shuffle the paths.
-        split = staged(large, f"large-{level}")
-        nodes = staged(split.select("node").distinct(), f"nodes-{level}")
-        some = at.join(nodes, "node", "left_semi").select("node", "x", F.col("x.key").alias("bucket"))
-        at = staged(some.join(split, ["bucket", "node"]).select("node", F.explode("x.below").alias("x")), f"split-{level}")
+        split = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # of a class: as many as it has paths
+        split = staged(split.join(classes.select("node", F.col("least_id").alias("doc_id")), "node"), f"split-{level}", scratch)
+        texts = sent_or_joined(own, split, "doc_id", 1024).select("node", "text", "buckets")
+        at = staged(texts.mapInArrow(_children(width, threshold), "node binary, bucket long").distinct(), f"below-{level}", scratch)
     return reduce(DataFrame.unionByName, small), large
 
 
-def _proposals(classes: DataFrame, threshold: float) -> DataFrame:
+def _proposals(classes: DataFrame, own: DataFrame, width: int, threshold: float, scratch: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of classes that connect all pairs which share a bucket and are alike."""
-    small, large = _buckets(classes)
+    small, large = _buckets(classes, own, width, threshold, scratch)
     about = classes.select("node", "n", "sketch")
     pairs = _by_tile(small.join(about, "node").select("bucket", "node", "n", "sketch"), "bucket").mapInArrow(_propose(threshold), "a binary, b binary")
     if large.isEmpty():
         return pairs
-    large = staged(large.select(F.col("bucket").cast("string").cast("binary").alias("key"), "node").join(about, "node"), "large-buckets")
+    large = staged(large.select(F.col("bucket").cast("string").cast("binary").alias("key"), "node").join(about, "node"), "large-buckets", scratch)
     first = large.groupBy("key").agg(F.min(F.struct("node", "n", "sketch")).alias("x"))
     leaders = first.select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.sketch").alias("leader_sketch"))
     led = staged(
         spread_join(large, leaders, "key", "node").select("key", "node", "n", "sketch", "leader", "leader_n", "leader_sketch").mapInArrow(_attach(threshold), "key binary, node binary, n int, sketch binary, leader binary, core boolean"),
         "led",
+        scratch,
     )
     attached = led.where("core AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     tiles = _by_tile(_tiled(led, TILE).select(F.col("tile").alias("bucket"), "node", "n", "sketch"), "bucket")
     return pairs.unionByName(attached).unionByName(tiles.mapInArrow(_propose(threshold), "a binary, b binary"))
 
 
-def _exact(near: DataFrame, classes: DataFrame, own: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Exact links of all pairs in the components of ``near`` (node, root): rows (a, links, null) and (a, 0, b)."""
+def _exact(near: DataFrame, classes: DataFrame, own: DataFrame, width: int, threshold: float, scratch: list[DataFrame]) -> DataFrame:
+    """Exact links of all pairs in the components of ``near`` (node, root): rows (a, links, null) and (a, 0, b).
+
+    Every member's tile is settled before a text is touched; texts in no component stay where they
+    are, the others are shuffled once, by tile.
+    """
     counts = near.groupBy("root").agg(F.count("*").alias("count"))
-    sampled = spread_join(near, counts, "root", "node").join(classes.select("node", "least_id"), "node")
-    texts = sampled.join(own, sampled["least_id"] == own["doc_id"]).select("root", "node", "count", "text")
-    one_tile = _by_tile(texts.where(F.col("count") <= EXACT_TILE).select(F.hex("root").alias("tile"), "node", "text"), "tile")
-    small = one_tile.mapInArrow(_verify(width, threshold), LINKS)
-    # Large components: the reference's text goes to every part, once.
-    large = texts.where(F.col("count") > EXACT_TILE).withColumn("parts", F.ceil(F.col("count") / EXACT_TILE).cast("int"))
-    part = lambda number: F.concat_ws("-", F.hex("root"), number).alias("part")
-    members = large.select(part(F.pmod(F.xxhash64("node"), F.col("parts"))), "root", "node", "text", F.lit(False).alias("copied"))
-    copies = large.where(F.col("node") == F.col("root")).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    copies = copies.select(part(F.col("number")), "root", "node", "text", F.lit(True).alias("copied"))
-    others = staged(_by_tile(members.unionByName(copies), "part").mapInArrow(_differences(width, threshold), DIFFERENCES), "differences")
+    sized = spread_join(near, counts, "root", "node").join(classes.select("node", F.col("least_id").alias("doc_id")), "node")
+    sized = sized.withColumn("large", F.col("count") > EXACT_TILE).withColumn("parts", F.ceil(F.col("count") / EXACT_TILE).cast("int"))
+    tile = lambda number: F.when(F.col("large"), F.concat_ws("-", F.hex("root"), number)).otherwise(F.hex("root")).alias("tile")
+    members = sized.select("doc_id", tile(F.pmod(F.xxhash64("node"), F.col("parts"))), "root", "node", "large", F.lit(False).alias("copied"))
+    copies = sized.where(F.col("large") & (F.col("node") == F.col("root"))).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    copies = copies.select("doc_id", tile(F.col("number")), "root", "node", "large", F.lit(True).alias("copied"))
+    wanted = staged(members.unionByName(copies), "members", scratch)
+    texts = sent_or_joined(own, wanted, "doc_id", 160).select("tile", "root", "node", "large", "copied", "text")
+    compared = staged(_by_tile(texts, "tile").mapInArrow(_members(width, threshold), MEMBERS), "compared", scratch)
+    small, others = compared.where(F.col("a").isNotNull()).select("a", "links", "b"), compared.where(F.col("key").isNotNull()).drop("a", "links", "b")
     core = others.where("core")
     sure = spread_join(core, core.groupBy("key").agg(F.count("*").alias("count")), "key", "node")
     sure = sure.select(F.col("node").alias("a"), (F.col("count") - 1).alias("links"), F.lit(None).cast("binary").alias("b"))
@@ -438,19 +430,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chance = 1 - math.exp(-1.0 if chance == 0.0 else -chance)
     runs = math.ceil(math.log(1 - recall) / math.log(1 - chance))
     own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    described = staged(own.mapInArrow(_describe(width, runs, threshold), f"doc_id long, node binary, n int, sketch binary, paths {_ddl(DEPTH)}"), "shingled")
-    classes = staged(
-        described.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes"
-    )
-    near = staged(components(_proposals(classes, threshold)), "proposed")
-    exact = staged(_exact(near, classes, own, width, threshold), "exact")
+    scratch: list[DataFrame] = []
+    described = staged(own.mapInArrow(_describe(width, runs, threshold), "doc_id long, node binary, n int, sketch binary, keys array<long>"), "shingled")
+    about = [F.first(c).alias(c) for c in ("n", "sketch", "keys")]
+    classes = staged(described.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), *about), "classes", scratch)
+    near = staged(components(_proposals(classes, own, width, threshold, scratch), scratch), "proposed", scratch)
+    release_but(scratch, classes, near)
+    exact = staged(_exact(near, classes, own, width, threshold, scratch), "exact", scratch)
+    release_but(scratch, classes, exact)
     links = exact.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    roots = components(exact.where(F.col("b").isNotNull()).select("a", "b"))
-    linked = staged(classes.select("node", "least_id", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked")
+    roots_of = components(exact.where(F.col("b").isNotNull()).select("a", "b"), scratch)
+    linked = staged(classes.select("node", "least_id", "copies").join(roots_of, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked", scratch)
+    release_but(scratch, linked)
     class_ids = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
     found = spread_join(linked, class_ids, "root", "node").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     rows = described.select("doc_id", "node")
-    return spread_join(rows, found, "node", "doc_id", sizes=classes.select("node", F.col("copies").alias("count"))).select("doc_id", "class_id", "n_links", "n_copies")
+    return spread_join(rows, found, "node", "doc_id", sizes=linked.select("node", F.col("copies").alias("count"))).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -110,10 +110,10 @@ def _corners(boxes: list[dict]) -> np.ndarray:
     return np.array([[b[c] for c in BOX] for b in boxes], float).reshape(-1, 4)
 
 
-def greedy_counts(dets: DataFrame, truths: DataFrame, confidences: list[float], overlap: float = 0.5, per_image: bool = False) -> DataFrame:
+def greedy_counts(dets: DataFrame, truths: DataFrame, confidences: list[float], overlap: float = 0.5, per_image: bool = True) -> DataFrame:
     """Per label and confidence: detections from there on, truths, and those matched, each detection in input
-    order taking the first free truth it overlaps enough.  A row holds one image's boxes of a label; counts
-    are summed within a batch unless asked for ``per_image``."""
+    order taking the first free truth it overlaps enough.  A row holds one image's boxes of a label; without
+    ``per_image`` counts are summed as they are made, ``img_id`` is null and a label may have several rows."""
     d = _image_rows(dets, "d", ["det_idx", "confidence"])
     g = _image_rows(truths, "g", ["gt_idx"])
     images = d.join(g, ["img_id", "label"], "full_outer")

@@ -79,14 +79,14 @@ def greedy_views(body: str, confidences: list[float], keys: list[str]) -> str:
     return with_views(greedy_sql(confidences, keys).replace("WITH RECURSIVE", "WITH", 1) + " " + body, "gt_boxes", "det_boxes").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-add("g21_greedy_rates", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]), ["label"]), greedy_views("SELECT * FROM rates", [0.35], ["label"]))
-add("g22_threshold_sweep", lambda s, d: E.best_threshold(E.rates(E.greedy_counts(DET(s, d), GT(s, d), SWEEP), ["label", "conf"])),
+add("g21_greedy_rates", lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35], per_image=False), ["label"]), greedy_views("SELECT * FROM rates", [0.35], ["label"]))
+add("g22_threshold_sweep", lambda s, d: E.best_threshold(E.rates(E.greedy_counts(DET(s, d), GT(s, d), SWEEP, per_image=False), ["label", "conf"])),
     greedy_views("SELECT label, CASE WHEN max(n_gt) > 0 THEN arg_max(conf, (f1, -conf)) ELSE 0.35::DOUBLE END AS conf, max(f1) AS f1 FROM rates GROUP BY 1", SWEEP, ["label", "conf"]))
 add("g23_breakdown",
-    lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35], per_image=True).withColumn("condition", F.col("img_id") % 5), ["label", "condition"]),
+    lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]).withColumn("condition", F.col("img_id") % 5), ["label", "condition"]),
     greedy_views("SELECT * FROM rates", [0.35], ["label", "condition"]))
 add("g24_class_recall",
-    lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35]), ["label"]).where("n_gt > 0").agg(F.round(F.avg("recall"), 4).alias("mean_recall"), F.count("*").alias("classes")),
+    lambda s, d: E.rates(E.greedy_counts(DET(s, d), GT(s, d), [0.35], per_image=False), ["label"]).where("n_gt > 0").agg(F.round(F.avg("recall"), 4).alias("mean_recall"), F.count("*").alias("classes")),
     greedy_views("SELECT round(avg(recall), 4) AS mean_recall, count(*) AS classes FROM rates WHERE n_gt > 0", [0.35], ["label"]))
 add("w9_suppression",
     lambda s, d: E.suppress(DET(s, d).unionByName(DET(s, d).where("det_idx % 3 = 0").withColumn("det_idx", -F.col("det_idx")).withColumn("x1", F.col("x1") + 0.01)), 0.45).select("img_id", "label", "det_idx"),

@@ -102,7 +102,13 @@ add("d6_three_forms",
     sql("SELECT k, voter FROM ids"))
 add("d7_birth_date",
     lambda s, d: identifiers(s, d).select("k", X.birth_date(F.when(F.col("k") % 5 == 4, F.concat(F.lit("ref "), F.date_format("dob", "ddMM/yyyy"), F.lit(" issued"))).otherwise(F.col("text")), as_of()).alias("dob")),
-    sql("SELECT k, CASE WHEN k % 5 = 4 OR k % 3 = 0 THEN dob ELSE least(dob, expiry) END AS dob FROM ids"))
+    sql(r"""WITH t AS (SELECT k, CASE WHEN k % 5 = 4 THEN 'ref ' || strftime(dob, '%d%m/%Y') || ' issued' ELSE text END AS t FROM ids),
+        m AS (SELECT k, regexp_replace(regexp_extract(t, '(?i)\b(?:Date\s*Of\s*Birth|DateOfBirth|DOB|D\.O\.B\.)[:\s.\-_]*([0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})', 1), '[-/.]', '-', 'g') AS labelled,
+            list_transform(regexp_extract_all(t, '\b[0-3]?[0-9][-_./\s]+[0-1]?[0-9][-_./\s]+(?:19|20)[0-9]{2}\b'), lambda x: regexp_replace(x, '^([0-9]+)[-_./\s]+([0-9]+)[-_./\s]+([0-9]+)$', '\3-\2-\1'))
+            || list_transform(regexp_extract_all(t, '\b(?:19|20)[0-9]{2}[-_./\s]+[0-1]?[0-9][-_./\s]+[0-3]?[0-9]\b'), lambda x: regexp_replace(x, '[-_./\s]+', '-', 'g'))
+            || list_transform(regexp_extract_all(t, '\b[0-3][0-9][0-1][0-9][-_./\s]+(?:19|20)[0-9]{2}\b'), lambda x: regexp_replace(x, '^(..)(..)[-_./\s]+([0-9]+)$', '\3-\2-\1')) AS found FROM t),
+        p AS (SELECT k, TRY_CAST(regexp_replace(labelled, '^([0-9]+)-([0-9]+)-([0-9]+)$', '\3-\2-\1') AS DATE) AS labelled, list_filter(list_transform(found, lambda x: TRY_CAST(x AS DATE)), lambda x: x IS NOT NULL) AS dates FROM m)
+        SELECT k, coalesce(labelled, CASE WHEN list_min(dates) <= DATE '2026-01-01' THEN list_min(dates) END, dates[1]) AS dob FROM p"""))
 add("d8_parse_date",
     lambda s, d: identifiers(s, d).select("k", X.parse_date(F.element_at(F.array(F.date_format("dob", "dd/MM/yyyy"), F.date_format("dob", "yyyy.MM.dd"), F.date_format("dob", "yyMMdd"), F.lit("31-02-2001"), F.lit("x")), (F.col("k") % 5 + 1).cast("int"))).alias("date")),
     sql("SELECT k, CASE WHEN k % 5 < 2 THEN dob WHEN k % 5 = 2 THEN (CASE WHEN year(dob) % 100 > 50 THEN dob ELSE make_date(2000 + year(dob) % 100, month(dob), day(dob)) END) END AS date FROM ids"))
@@ -151,6 +157,11 @@ def zone_sql(format_: str, first: str, line: str, at: int, whole: str, digit: st
             n[{at + 7}] AS sex, n[{e}:{e + 5}] AS expiry, {optional} AS optional, {', '.join(f'{v} AS {k}' for k, v in checks.items())}, corrected FROM f""")
 
 
+def _line2_holds(n: str) -> str:
+    """Whether all check digits of a second line hold."""
+    return "(" + " AND ".join([_ok(f"{n}[1:9]", f"{n}[10]"), _ok(f"{n}[14:19]", f"{n}[20]"), _ok(f"{n}[22:27]", f"{n}[28]"), _ok(f"{n}[1:10] || {n}[14:20] || {n}[22:43]", f"{n}[44]")]) + ")"
+
+
 SURNAME = "'SURNAME' || chr(CAST(65 + k % 26 AS INTEGER))"
 _ONE = "(mrz2[14:20] || 'M' || mrz2[22:28] || 'IND' || repeat('<', 11))"
 _TWO = "(mrz2[1:10] || 'IND' || mrz2[14:20] || 'M' || mrz2[22:28] || repeat('<', 7))"
@@ -165,7 +176,8 @@ add("d10_parse_line2", lambda s, d: zones(s, d).select("k", X.parse_line2(F.col(
     zone_sql("TD3", "''", "mrz2", 14, "n[1:10] || n[14:20] || n[22:43]", "n[44]", "n[1:9]", "n[10]", "'IND'", ("''", "''"), "regexp_replace(n[29:42], '<+$', '')"))
 add("d12_mrz_repair",
     lambda s, d: identifiers(s, d).select("k", X.repaired_line2(F.concat(F.left("mrz2", F.lit(13)), F.replace(F.substring("mrz2", 14, 6), F.lit("0"), F.lit("O")), F.substring("mrz2", 20, 25))).alias("line")),
-    sql("SELECT k, CASE WHEN k % 7 = 0 THEN mrz2[1:13] || replace(mrz2[14:19], '0', 'O') || mrz2[20:44] ELSE mrz2 END AS line FROM ids"))
+    sql(f"""WITH r AS (SELECT k, mrz2 AS c, mrz2[1:13] || replace(mrz2[14:19], '0', 'O') || mrz2[20:44] AS m FROM ids)
+        SELECT k, CASE WHEN NOT {_line2_holds('m')} AND {_line2_holds('c')} THEN c ELSE m END AS line FROM r"""))
 add("d13_line2_scan",
     lambda s, d: identifiers(s, d).select("k", X.line2(F.col("mrz_text")).alias("x")).select("k", "x.*"),
     sql("SELECT k, number[1:8] AS number, b6 AS birth, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, k % 7 <> 0 AS valid FROM ids"))

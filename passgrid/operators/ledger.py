@@ -126,17 +126,19 @@ def anchor_drift(now: DataFrame, anchored: DataFrame, chain: list[str]) -> DataF
     return now.join(last, chain, "left").withColumn("state", state)
 
 
-def monotone_close(df: DataFrame, chain: list[str], order: list[str], ts: str) -> DataFrame:
+def monotone_close(df: DataFrame, chain: list[str], order: list[str], ts: str, last: str | None = None) -> DataFrame:
     """Close times moved on to at least a second after the one before: max over (t - row) plus row.
 
     Numbers and maxima run within days and are moved by the days before, so a chain may hold any part of the rows.
+    Days rise in ``order``.  ``last`` is a column with the close time that a chain goes on from (null: none).
     """
     day = F.to_date(F.col(ts))
     rows = numbered(df, chain, day, order).withColumn("__n", F.col("place") + 1).withColumn("__t", F.unix_timestamp(ts)).withColumn("__day", day)
     most = rows.groupBy(*chain, "__day").agg(F.max(F.col("__t") - F.col("__n")).alias("__most"))
     before = most.select(*chain, "__day", F.max("__most").over(W.partitionBy(*chain).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
     run = F.max(F.col("__t") - F.col("__n")).over(W.partitionBy(*chain, "__day").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    moved = rows.withColumn("__run", run).join(before, [*chain, "__day"]).withColumn("closed_monotone", F.timestamp_seconds(F.greatest("__run", "__before") + F.col("__n")))
+    least = [F.unix_timestamp(last)] if last else []
+    moved = rows.withColumn("__run", run).join(before, [*chain, "__day"]).withColumn("closed_monotone", F.timestamp_seconds(F.greatest("__run", "__before", *least) + F.col("__n")))
     return moved.select(*df.columns, "closed_monotone")
 
 

@@ -6,17 +6,18 @@ Every stream function takes and returns a streaming DataFrame (watermarks bound
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from passgrid.operators.ledger import chained
+from passgrid.operators.ledger import chained, monotone_close
 
 
 # Idempotent intake -----------------------------------------------------------------------------------------------------
@@ -54,10 +55,37 @@ def intake(stream: DataFrame, keys: list[str], ts: str, seconds: int = 60) -> Da
     return keyed.applyInPandasWithState(update, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stretches(rows: DataFrame, keys: list[str], seconds: int, width: int) -> DataFrame:
+    """Rows (with ``__t``, seconds) with ``__stretch``: a key's rows until the first gap of more than ``seconds``.
+
+    Gaps are found within stretches of ``width`` seconds of the clock, and from one to the next by their
+    first and last times, so that no window holds more of a key than one of them, or a row for each.
+    """
+    cell = F.floor(F.col("__t") / width)
+    celled = rows.withColumn("__cell", cell)
+    within = W.partitionBy(*keys, "__cell").orderBy("__t")
+    gap = lambda before: F.when(F.col("__t") - before > seconds, 1).otherwise(0)
+    # All rows of a second are equals: the first one takes the gap, and sums are by time.
+    marked = celled.withColumn("__gap", gap(F.lag("__t").over(within)))
+    cells = marked.groupBy(*keys, "__cell").agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"), F.sum("__gap").alias("__gaps"))
+    by_cell = W.partitionBy(*keys).orderBy("__cell")
+    cells = cells.withColumn("__new", F.when(F.col("__first") - F.lag("__last").over(by_cell) > seconds, 1).otherwise(0))
+    before = F.sum(F.col("__gaps") + F.col("__new")).over(by_cell.rowsBetween(W.unboundedPreceding, 0)) - F.col("__gaps")
+    started = cells.select(*keys, "__cell", before.alias("__before"))
+    running = F.sum("__gap").over(within.rangeBetween(W.unboundedPreceding, 0))
+    met = marked.withColumn("__sum", running).alias("m")
+    return met.join(started.alias("s"), [F.col(f"m.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__cell"]]).select("m.*", (F.col("__before") + F.col("__sum")).alias("__stretch")).drop("__gap", "__sum", "__cell")
+
+
 def intake_batch(df: DataFrame, keys: list[str], ts: str, order: str, seconds: int = 60) -> DataFrame:
-    """The same over a table: one pass over each key's rows in time order; no key's rows are gathered."""
-    seconds_of = F.unix_timestamp(ts).alias("__t")
-    rows = df.select("*", seconds_of, F.xxhash64(*keys).alias("__k"), F.concat_ws("\x01", *[F.col(k).cast("string") for k in keys]).alias("__key"))
+    """The same over a table.
+
+    After a gap of more than ``seconds`` a key's next row passes whatever came before, so the stretches
+    between gaps are told apart first and go through one by one, in time order: what one task has
+    to take in order is a stretch, and none of it is gathered.  Rows without a time are left out.
+    """
+    timed = df.where(F.col(ts).isNotNull()).withColumn("__t", F.unix_timestamp(ts))
+    rows = stretches(timed, keys, seconds, 64 * seconds).withColumn("__key", F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x02")) for k in keys], F.col("__stretch").cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, -np.inf
@@ -76,7 +104,7 @@ def intake_batch(df: DataFrame, keys: list[str], ts: str, order: str, seconds: i
                 passed += [a + i for i in own]
             yield batch.take(pa.array(passed, pa.int64()))
 
-    return rows.repartition("__k").sortWithinPartitions("__key", "__t", order).mapInArrow(run, rows.schema).drop("__t", "__k", "__key")
+    return rows.repartition("__key").sortWithinPartitions("__key", "__t", order).mapInArrow(run, rows.schema).drop("__t", "__stretch", "__key")
 
 
 # Throughput, bursts, sessions of activity ---------------------------------------------------------------------------------
@@ -183,22 +211,50 @@ def lifecycle(stream: DataFrame, idle_minutes: int = 240) -> DataFrame:
 STATES = ["open", "approved", "flagged", "closed", "rejected"]
 
 
+def _folded(keys: list[str], start: str, apply):
+    """Sorted rows of each key folded into one, as they pass: (keys, to, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, n, done = None, None, 0, []
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for *own, step, count in zip(*[batch.column(c).to_pylist() for c in [*keys, start, "n"]], strict=True):
+                if own != key:
+                    if key is not None:
+                        done.append((*key, now, n))
+                    key, now, n = own, list(range(len(STATES))), 0
+                now, n = apply(now, step), n + count
+            if done:
+                yield _folds(done, keys, schema)
+                done = []
+        if key is not None:
+            yield _folds([(*key, now, n)], keys, schema)
+
+    return run
+
+
+def _folds(rows: list[tuple], keys: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    types = [*[schema.field(k).type for k in keys], pa.list_(pa.int32()), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[*keys, "to", "n"])
+
+
 def lifecycle_batch(events: DataFrame) -> DataFrame:
     """The state after all events in order.
 
     A day of a session is the function that takes each of the five states to the one its events lead
-    to; a session composes its days.  What is gathered is a day's actions, and one row a day.
+    to, and a session composes its days; both are folded row by row as sorted partitions pass, so
+    nothing of a session is gathered.
     """
-    actions = sorted({a for _, a in NEXT})
-    moves = F.array(*[F.lit(STATES.index(NEXT.get((s, a), s))) for a in [*actions, None] for s in STATES])  # by action, then state
-    code = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in actions]), F.col("action")), F.lit(0)).cast("int")
-    coded = events.select("session_id", "ts", "event_id", F.to_date("ts").alias("day"), F.when(code > 0, code - 1).otherwise(len(actions)).alias("a"))
-    days = coded.groupBy("session_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "a"))).alias("e"))
-    start = F.array(*[F.lit(i) for i in range(len(STATES))])
-    folded = F.aggregate("e", start, lambda now, x: F.transform(now, lambda s: F.element_at(moves, x["a"] * len(STATES) + s + 1)))
-    steps = days.select("session_id", F.struct("day", folded.alias("to")).alias("d"), F.size("e").alias("n")).groupBy("session_id").agg(F.array_sort(F.collect_list("d")).alias("d"), F.sum("n").alias("events"))
-    last = F.aggregate("d", F.lit(0), lambda s, x: F.element_at(x["to"], s + 1))
-    return steps.select("session_id", F.element_at(F.array(*[F.lit(s) for s in STATES]), last + 1).alias("status"), "events")
+    moves = {action: [STATES.index(NEXT.get((s, action), s)) for s in STATES] for _, action in NEXT}
+    coded = events.select("session_id", F.to_date("ts").alias("day"), "ts", "event_id", "action", F.lit(1).cast("long").alias("n"))
+    own = ["session_id", "day"]
+    step = lambda now, action: [moves[action][s] for s in now] if action in moves else now
+    days = coded.repartition(*own).sortWithinPartitions(*own, "ts", "event_id").mapInArrow(_folded(own, "action", step), "session_id long, day date, to array<int>, n long")
+    then = lambda now, to: [to[s] for s in now]
+    whole = days.repartition("session_id").sortWithinPartitions(*own).mapInArrow(_folded(["session_id"], "to", then), "session_id long, to array<int>, n long")
+    status = F.element_at(F.array(*[F.lit(s) for s in STATES]), F.get("to", F.lit(0)) + 1)
+    return whole.select("session_id", status.alias("status"), F.col("n").alias("events"))
 
 
 def idle_sweep(sessions: DataFrame, as_of, idle_minutes: int = 240) -> DataFrame:
@@ -208,21 +264,53 @@ def idle_sweep(sessions: DataFrame, as_of, idle_minutes: int = 240) -> DataFrame
 
 
 # Ledger ---------------------------------------------------------------------------------------------------------------------
-def append_blocks(path: str, chain: list[str], order: list[str]):
-    """A foreachBatch sink: each batch's payloads in order, behind the chains' heads.
+def _complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
 
-    One writer per ledger.  A batch is written under its own number, so a replayed batch replaces
-    itself.  Heads are a table beside the ledger, a part per batch: only the part of the batch before
-    is read, however long the ledger is.
+def _heads_after(spark: SparkSession, path: str, number: int, chain: list[str], schema: StructType) -> DataFrame:
+    """Every chain's last hash and time after the batch of this number.
+
+    Where the batch's blocks were written and its heads were not (the writer died between the two), they
+    are made from the blocks and the heads before.
+    """
+    if number < 0:
+        return spark.createDataFrame([], schema)
+    heads = f"{path}-heads/batch={number}"
+    if _complete(spark, heads):
+        return spark.read.schema(schema).parquet(heads)
+    if not _complete(spark, f"{path}/batch={number}"):
+        raise ValueError(f"{path} has no batch {number}: a stream with a new checkpoint goes on with first={number} or less, as batches there are")
+    own = spark.read.parquet(f"{path}/batch={number}").groupBy(*chain).agg(F.max_by(F.struct(F.col("ledger_hash").alias("head"), F.col("closed_at").alias("last")), "closed_at").alias("new"))
+    before = _heads_after(spark, path, number - 1, chain, schema)
+    return before.join(own, chain, "full_outer").select(*chain, F.coalesce("new.head", "head").alias("head"), F.coalesce("new.last", "last").alias("last"))
+
+
+def append_blocks(path: str, chain: list[str], order: list[str], ts: str, payload: Callable[[], Column], first: int = 0):
+    """A foreachBatch sink: each batch's rows in order, closed and hashed behind the chains' heads.
+
+    A head is a chain's last hash and last close time.  Rows close at ``ts``, or a second after the row
+    before where they are not later (``closed_at``), late ones too; ``payload`` is made of the row with
+    that time.  One writer per ledger.  A batch is written under its own number, first its blocks, then
+    its heads, each complete or not there: a replayed batch replaces itself, and heads that a crash
+    between the two left out are made up from the blocks.  Only the part of the batch before is read,
+    however long the ledger is.  A stream with a new checkpoint numbers from 0 again: ``first`` is
+    added to its numbers.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*chain, *order, "payload")
-        heads = spark.read.parquet(f"{path}-heads/batch={number - 1}") if number else rows.where("false").select(*chain, F.lit("").alias("head"))
-        blocks = chained(rows.join(heads, chain, "left"), chain, order, "head").select(*chain, *order, "payload", "previous_hash", "ledger_hash")
-        blocks.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        new = spark.read.parquet(f"{path}/batch={number}").groupBy(*chain).agg(F.max_by("ledger_hash", F.struct(*order)).alias("new"))
-        heads.join(new, chain, "full_outer").select(*chain, F.coalesce("new", "head").alias("head")).write.mode("overwrite").parquet(f"{path}-heads/batch={number}")
-
-    return sink
\ No newline at end of file
+        spark, number = batch.sparkSession, number + first
+        if number == 0 and _complete(spark, f"{path}/batch=1"):
+            raise ValueError(f"{path} is the ledger of another stream: go on behind it with first=...")
+        schema = batch.select(*chain, F.lit("").alias("head"), F.lit(None).cast("timestamp").alias("last")).schema
+        heads = _heads_after(spark, path, number - 1, chain, schema)
+        closed = monotone_close(batch.join(heads, chain, "left"), chain, order, ts, "last").withColumnRenamed("closed_monotone", "closed_at")
+        rows = closed.withColumn("payload", payload()).select(*chain, *order, "closed_at", "payload", "head")
+        chained(rows, chain, ["closed_at"], "head").select(*chain, *order, "closed_at", "payload", "previous_hash", "ledger_hash").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        written = spark.read.parquet(f"{path}/batch={number}").groupBy(*chain).agg(F.max_by(F.struct(F.col("ledger_hash").alias("head"), F.col("closed_at").alias("last")), "closed_at").alias("new"))
+        after = heads.join(written, chain, "full_outer").select(*chain, F.coalesce("new.head", "head").alias("head"), F.coalesce("new.last", "last").alias("last"))
+        after.write.mode("overwrite").parquet(f"{path}-heads/batch={number}")
+
+    return sink

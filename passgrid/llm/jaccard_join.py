@@ -99,42 +99,31 @@ def chosen(shingles: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[n
     return np.concatenate(parents or [np.zeros(0, np.int64)]), np.concatenate(children or [np.zeros(0, np.uint64)])
 
 
-def roots(runs: int) -> np.ndarray:
-    return mix(np.arange(1, runs + 1, dtype=np.uint64))
+PATHS = ", ".join(["keys_0 array<long>", *[f"keys_{k} array<long>, from_{k} array<int>" for k in range(1, DEPTH)]])
 
 
-def _describe(width: int, runs: int, threshold: float):
-    """Every text's class, size, sketch and the first nodes of its paths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, top = Shingles(width), roots(runs)
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
-                first = chosen(s, top, threshold)[1].astype(np.int64) if len(s) else []
-                for column, value in zip(out, (class_key(s, text), len(s), sketch(s), first), strict=True):
-                    column.append(value)
-            types = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=["doc_id", "node", "n", "sketch", "keys"])
-
-    return run
+def paths(shingles: np.ndarray, runs: int, threshold: float) -> list[np.ndarray]:
+    """A set's nodes, DEPTH steps down from each run's root: those of the first step, then for each further one the nodes and which of those before they follow."""
+    nodes, out = mix(np.arange(1, runs + 1, dtype=np.uint64)), []
+    for level in range(DEPTH):
+        parents, nodes = chosen(shingles, nodes, threshold) if len(shingles) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        out += [nodes.astype(np.int64)] + ([parents] if level else [])
+    return out
 
 
-def _children(width: int, threshold: float):
-    """The next nodes of the paths that go through the given ones, over the texts of classes."""
+def _describe(width: int, runs: int, threshold: float):
+    """Every text's class, size, sketch and paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
+        names = ["node", "n", "sketch", *[c.split()[0] for c in PATHS.split(", ")]]
+        types = [pa.binary(), pa.int32(), pa.binary(), *[pa.list_(pa.int32() if c.startswith("from") else pa.int64()) for c in names[3:]]]
         for batch in batches:
-            nodes, keys = [], []
-            for text, node, buckets in zip(*[batch.column(c).to_pylist() for c in ("text", "node", "buckets")], strict=True):
+            rows = []
+            for text in batch.column(1).to_pylist():
                 s = shingles(text)
-                if len(s) and class_key(s, text) == node:  # an id may come with several texts
-                    below = chosen(s, np.array(buckets, np.int64).astype(np.uint64), threshold)[1].astype(np.int64)
-                    nodes += [node] * len(below)
-                    keys.append(below)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))], names=["node", "bucket"])
+                rows.append((class_key(s, text), len(s), sketch(s), *paths(s, runs, threshold)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=["doc_id", *names])
 
     return run
 
@@ -346,11 +335,11 @@ def _by_tile(rows: DataFrame, tile: str) -> DataFrame:
     return rows.repartition(tile).sortWithinPartitions(tile)
 
 
-def _buckets(classes: DataFrame, own: DataFrame, width: int, threshold: float, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _buckets(classes: DataFrame, described: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(bucket, node) of the buckets that are compared as they are, and of the larger ones that no split is left for.
 
-    What is shuffled are buckets and nodes; a path's next steps are taken for large buckets only,
-    from the texts of the classes in them.
+    What is shuffled are buckets and nodes; a path's next nodes are read for large buckets only, from
+    the row that stands for the class.
     """
     at, small = classes.select("node", F.explode("keys").alias("bucket")), []
     for level in range(DEPTH):
@@ -361,16 +350,17 @@ def _buckets(classes: DataFrame, own: DataFrame, width: int, threshold: float, s
         large = met.where(F.col("count") > (TILE if last else SMALL)).select("bucket", "node")
         if last or large.isEmpty():
             break
-        split = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # of a class: as many as it has paths
+        split = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # of a class: as many as it has nodes in a step
         split = staged(split.join(classes.select("node", F.col("least_id").alias("doc_id")), "node"), f"split-{level}", scratch)
-        texts = sent_or_joined(own, split, "doc_id", 1024).select("node", "text", "buckets")
-        at = staged(texts.mapInArrow(_children(width, threshold), "node binary, bucket long").distinct(), f"below-{level}", scratch)
+        rows = described.select("doc_id", F.col("node").alias("own"), f"keys_{level}", F.arrays_zip(f"keys_{level + 1}", f"from_{level + 1}").alias("steps"))
+        below = sent_or_joined(rows, split, "doc_id", 256).where("own = node").withColumn("x", F.explode("steps")).where(F.array_contains("buckets", F.get(f"keys_{level}", F.col(f"x.from_{level + 1}"))))
+        at = staged(below.select("node", F.col(f"x.keys_{level + 1}").alias("bucket")).distinct(), f"below-{level}", scratch)  # rows may be repeated
     return reduce(DataFrame.unionByName, small), large
 
 
-def _proposals(classes: DataFrame, own: DataFrame, width: int, threshold: float, scratch: list[DataFrame]) -> DataFrame:
+def _proposals(classes: DataFrame, described: DataFrame, threshold: float, scratch: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of classes that connect all pairs which share a bucket and are alike."""
-    small, large = _buckets(classes, own, width, threshold, scratch)
+    small, large = _buckets(classes, described, scratch)
     about = classes.select("node", "n", "sketch")
     pairs = _by_tile(small.join(about, "node").select("bucket", "node", "n", "sketch"), "bucket").mapInArrow(_propose(threshold), "a binary, b binary")
     if large.isEmpty():
@@ -431,10 +421,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = math.ceil(math.log(1 - recall) / math.log(1 - chance))
     own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     scratch: list[DataFrame] = []
-    described = staged(own.mapInArrow(_describe(width, runs, threshold), "doc_id long, node binary, n int, sketch binary, keys array<long>"), "shingled")
-    about = [F.first(c).alias(c) for c in ("n", "sketch", "keys")]
+    described = staged(own.mapInArrow(_describe(width, runs, threshold), f"doc_id long, node binary, n int, sketch binary, {PATHS}"), "shingled")
+    about = [F.first(c).alias(name) for c, name in (("n", "n"), ("sketch", "sketch"), ("keys_0", "keys"))]
     classes = staged(described.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), *about), "classes", scratch)
-    near = staged(components(_proposals(classes, own, width, threshold, scratch), scratch), "proposed", scratch)
+    near = staged(components(_proposals(classes, described, threshold, scratch), scratch), "proposed", scratch)
     release_but(scratch, classes, near)
     exact = staged(_exact(near, classes, own, width, threshold, scratch), "exact", scratch)
     release_but(scratch, classes, exact)

@@ -213,41 +213,147 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def all_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """All pairs i < j by blocks: (per pair of blocks how many pairs, how many at or above ``least``) and those pairs.
-
-    Vectors are dealt to blocks of bounded size; a block meets the others by a shuffle on the pair
-    of blocks and one matrix product each, so that no pair below ``least`` becomes a row.  Rows whose
-    vector is null or holds a null take no part; a vector of zeros is like none; a shorter vector counts
-    as filled up by zeros.
+def centres_of(points: np.ndarray, most: int) -> np.ndarray:
+    """Unit vectors among ``points``, each the farthest from those before it, in a chain of near ones."""
+    chosen, near = [0], points @ points[0]
+    while len(chosen) < min(most, len(points)) and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, points @ points[chosen[-1]])
+    centres, order, left = points[chosen], [0], list(range(1, len(chosen)))
+    while left:
+        order.append(left.pop(int((centres[left] @ centres[order[-1]]).argmax())))
+    return centres[order]
+
+
+class PairPlan:
+    """Cells of unit vectors around centres, cut into blocks and tiles, and which cells can hold a pair at ``least`` or above.
+
+    Two vectors are at least as far apart as their centres less both radii, all as angles; a cell with a
+    vector of zeros (``zero``) has no radius and meets all.
     """
+
+    def __init__(self, centres: np.ndarray, sizes: np.ndarray, radii: np.ndarray, zero: bool, least: float, block: int, tile: int):
+        self.sizes, self.block, self.tile = sizes, block, tile
+        blocks = -(-sizes // block)
+        self.first = np.cumsum(blocks) - blocks  # number of a cell's first block
+        apart = np.arccos(np.clip(centres @ centres.T, -1, 1)) - radii[:, None] - radii[None, :]
+        self.wanted = np.ones((len(sizes), len(sizes)), bool)
+        self.wanted[: len(centres), : len(centres)] = apart <= (np.arccos(np.clip(least, -1, 1)) + 1e-6 if least > -1 else np.inf)
+        if not zero:
+            self.wanted[len(centres) :] = self.wanted[:, len(centres) :] = False
+        self.tiles = max(1, -(-int(blocks.sum()) // tile))
+
+    def tiles_of(self, tile: int) -> np.ndarray:
+        """The tiles that a tile has to meet: cells lie in them one after the other."""
+        first, last = self.first // self.tile, (self.first + np.maximum(-(-self.sizes // self.block), 1) - 1) // self.tile
+        own = (first <= tile) & (tile <= last) & (self.sizes > 0)
+        met = self.wanted[own].any(0) & (self.sizes > 0)
+        marks = np.zeros(self.tiles + 1, np.int64)
+        np.add.at(marks, first[met], 1)
+        np.add.at(marks, np.minimum(last[met] + 1, self.tiles), -1)
+        return np.nonzero(np.cumsum(marks)[: self.tiles] > 0)[0]
+
+    def skipped(self) -> float:
+        """The share of all pairs that is counted without a look."""
+        n = self.sizes.astype(float)
+        return 1 - float((self.wanted * np.outer(n, n)).sum()) / max(1.0, float(n.sum()) ** 2)
+
+
+def _units(batches):
+    """Vectors as unit vectors, one of zeros as it is."""
+    for batch in batches:
+        out = []
+        for v in batch.column("v").to_pylist():
+            a = np.array(v, float)
+            norm = np.linalg.norm(a)
+            out.append((a / norm if norm > 0 else np.zeros_like(a)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], names=["k", "v"])
+
+
+def _stacked(vectors: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        out[i, : len(v) // 8] = np.frombuffer(v)
+    return out
+
+
+def pair_plan(vectors: DataFrame, key: str, vector: str, least: float, block: int = 1024, tile: int = 32, cells: int = 512, sample: int = 4096) -> tuple[DataFrame, PairPlan, int, int]:
+    """Rows (k, v, cell) dealt to at most ``cells`` centres taken from a bounded sample, their plan, how many rows take part and the widest vector."""
     sound = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    rows = vectors.where(sound).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    copies = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "k", "v")
-
-    def multiply(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("k")
-        width = max(map(len, d["v"]))
-        m = np.stack([np.pad(np.asarray(v, float), (0, width - len(v))) for v in d["v"]])
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        keys, b, p, q = d["k"].to_numpy(), d["b"].to_numpy(), d["p"].iloc[0], d["q"].iloc[0]
-        left, right = np.nonzero(b == p)[0], np.nonzero(b == q)[0]
-        s = m[left] @ m[right].T
-        if p == q:
-            s[np.tril_indices(len(left))] = -2.0  # each pair once
-        i, j = np.nonzero(s >= least)
-        low, high = np.minimum(keys[left[i]], keys[right[j]]), np.maximum(keys[left[i]], keys[right[j]])
-        out = pd.DataFrame({"a": low, "b": high, "sim": s[i, j], "n_pairs": 0, "n_above": 0}).astype({"a": "int64", "b": "int64"})
-        pairs = len(left) * (len(left) - 1) // 2 if p == q else len(left) * len(right)
-        out.loc[len(out)] = [0, 0, np.nan, pairs, len(i)]
-        return out.astype({"a": "int64", "b": "int64", "n_pairs": "int64", "n_above": "int64"})
-
-    found = copies.groupBy("p", "q").applyInPandas(multiply, "a long, b long, sim double, n_pairs long, n_above long")
-    pair = F.col("sim").isNotNull() & ~F.isnan("sim")
-    return found.where(~pair).select("n_pairs", "n_above"), found.where(pair).select("a", "b", "sim")
+    rows = vectors.where(sound).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_units, "k long, v binary")
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(0)) / 8).first()
+    width = max(1, int(width))
+    drawn = rows if n <= sample else rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    points = _stacked(sorted(bytes(r["v"]) for r in drawn.select("v").limit(2 * sample).collect()), width)
+    points = points[np.linalg.norm(points, axis=1) > 0]
+    centres = centres_of(points, min(cells, 2 * -(-n // block))) if len(points) else np.zeros((0, width))
+
+    def deal(batches):
+        for batch in batches:
+            m = _stacked(batch.column("v").to_pylist(), width)
+            zero = ~m.any(1)
+            near = (m @ centres.T).argmax(1) if len(centres) else np.zeros(len(m), np.int64)
+            angle = np.arccos(np.clip((m * centres[near]).sum(1), -1, 1)) if len(centres) else np.zeros(len(m))
+            near[zero], angle[zero] = len(centres), 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(near, pa.int32()), pa.array(angle)], names=["k", "v", "cell", "angle"])
+
+    dealt = rows.mapInArrow(deal, "k long, v binary, cell int, angle double")
+    sizes, radii = np.zeros(len(centres) + 1, np.int64), np.zeros(len(centres))
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():  # one row a cell
+        sizes[r["cell"]] = r["n"]
+        if r["cell"] < len(centres):
+            radii[r["cell"]] = r["r"] + 1e-7
+    # With few rows smaller tiles, so that there are tasks enough.
+    plan = PairPlan(centres, sizes, radii, least <= 0, least, block, max(1, min(tile, int(sizes.sum()) // (16 * block))))
+    return dealt, plan, int(n), width
+
+
+def all_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 1024, tile: int = 32) -> tuple[DataFrame, DataFrame]:
+    """All pairs i < j by blocks: (how many pairs, how many at or above ``least``) and those pairs.
+
+    Vectors lie around centres in blocks of up to about ``block``, packed as one row, and blocks in tiles;
+    a tile is sent to the tiles it has to meet, so a block travels once for every ``tile`` * ``block`` rows
+    that may be near it, and no pair below ``least`` becomes a row.  Blocks of cells whose covering radii keep them apart are
+    not compared; how many pairs there are is arithmetic.  Rows whose vector is null or holds a null
+    take no part; a vector of zeros is like none (its similarity is 0); a shorter vector counts as filled up by zeros.
+    """
+    dealt, plan, n, width = pair_plan(vectors, key, vector, least, block, tile)
+    pieces = F.element_at(F.array(*[F.lit(int(x)) for x in np.maximum(1, -(-plan.sizes // block))]), F.col("cell") + 1)
+    cut = dealt.withColumn("piece", F.pmod(F.xxhash64("k"), pieces).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        cell, piece = table.column("cell")[0].as_py(), table.column("piece")[0].as_py()
+        rows = sorted(zip(table.column("k").to_pylist(), table.column("v").to_pylist(), strict=True))
+        own = int(plan.first[cell] + piece) // plan.tile
+        met = [int(t) for t in plan.tiles_of(own)]
+        keys, m = np.array([k for k, _ in rows], np.int64).tobytes(), _stacked([v for _, v in rows], width).tobytes()
+        columns = {"p": pa.array([min(own, t) for t in met], pa.int32()), "q": pa.array([max(own, t) for t in met], pa.int32()), "own": pa.array([own] * len(met), pa.int32()), "cell": pa.array([cell] * len(met), pa.int32())}
+        return pa.table(columns | {"keys": pa.array([keys] * len(met), pa.binary()), "m": pa.array([m] * len(met), pa.binary())})
+
+    def multiply(table: pa.Table) -> pa.Table:
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        blocks = [(own, cell, np.frombuffer(k, np.int64), np.frombuffer(m).reshape(-1, width)) for own, cell, k, m in zip(*[table.column(c).to_pylist() for c in ("own", "cell", "keys", "m")], strict=True)]
+        blocks.sort(key=lambda b: (b[0], b[1], b[2][0]))
+        found, above = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]], 0
+        for x, (own, cell, keys, m) in enumerate(blocks):
+            for y in range(x, len(blocks)):
+                if own != p or blocks[y][0] != q or not plan.wanted[cell, blocks[y][1]]:
+                    continue
+                s = m @ blocks[y][3].T
+                if x == y:
+                    s[np.tril_indices(len(keys))] = -2.0  # each pair once
+                i, j = np.nonzero(s >= max(least, -1.5))
+                above += len(i)
+                for column, value in zip(found, (np.minimum(keys[i], blocks[y][2][j]), np.maximum(keys[i], blocks[y][2][j]), s[i, j]), strict=True):
+                    column.append(value)
+        a, b, sim = (np.concatenate(c) for c in found)
+        total = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.float64()), pa.array([above], pa.int64())]
+        rest = [pa.array(a), pa.array(b), pa.array(sim), pa.array([0] * len(a), pa.int64())]
+        return pa.table({name: pa.chunked_array([t, r]) for name, t, r in zip(("a", "b", "sim", "n_above"), total, rest, strict=True)})
+
+    found = cut.groupBy("cell", "piece").applyInArrow(pack, "p int, q int, own int, cell int, keys binary, m binary").groupBy("p", "q").applyInArrow(multiply, "a long, b long, sim double, n_above long")
+    everything = vectors.sparkSession.createDataFrame([(n * (n - 1) // 2, 0)], "n_pairs long, n_above long")
+    return found.where(F.col("a").isNull()).select(F.lit(0).cast("long").alias("n_pairs"), "n_above").unionByName(everything), found.where(F.col("a").isNotNull()).select("a", "b", "sim")
 
 
 def sign_hash(vector: Column) -> Column:

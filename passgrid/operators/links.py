@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,29 +89,61 @@ def bump_of(kind: str):
     return out
 
 
-def alert_counts(reports: DataFrame) -> DataFrame:
+#: Reports of a number from which it is hot.
+HOT = 50_000
+
+
+def running_counts(rows: DataFrame, key: str, order: list[str], day: Column, sets: dict[str, tuple[Column, list[str]]], hot: int = HOT) -> DataFrame:
+    """Rows with a column per set: the sum of its figure over the key's earlier rows that agree in its columns.
+
+    All sets share one shuffle.  A key of more than ``hot`` rows is banded by ``day`` (which rises with
+    ``order``): what the days before come to is carried in as a row at the head of each day and
+    group, so that such a key is as many tasks as it has days, and no task holds more of it than one.
+    """
+    many = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(F.col(key).alias("__hot"))
+    keyed = rows.join(many, rows[key] == many["__hot"], "left").withColumn("__band", F.when(F.col("__hot").isNotNull(), day)).withColumns({f"__w_{name}": figure for name, (figure, _) in sets.items()}).withColumn("__head", F.lit(False))
+    fields = sorted({c for _, same in sets.values() for c in same})
+    heads = []
+    for name, (_, same) in sets.items():
+        days = keyed.where(F.col("__hot").isNotNull()).groupBy(key, "__band", *same).agg(F.sum(f"__w_{name}").alias("__sum"))
+        carried = F.sum("__sum").over(W.partitionBy(key, *same).orderBy("__band").rowsBetween(W.unboundedPreceding, -1))
+        weights = [(F.col("__c") if other == name else F.lit(0)).cast("long").alias(f"__w_{other}") for other in sets]
+        own = [F.col(c) if c in same else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in fields]
+        heads.append(days.withColumn("__c", carried).where("__c > 0").select(key, "__band", F.lit(True).alias("__head"), *own, *weights))
+    met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [keyed.drop("__hot"), *heads])
+    figures = {}
+    for name, (_, same) in sets.items():
+        earlier = W.partitionBy(key, "__band", *same).orderBy(F.col("__head").desc(), *order).rowsBetween(W.unboundedPreceding, -1)
+        figures[name] = F.coalesce(F.sum(F.col(f"__w_{name}").cast("long")).over(earlier), F.lit(0))
+    return met.withColumns(figures).where("NOT __head").drop("__head", "__band", *[f"__w_{name}" for name in sets])
+
+
+def _numbered_reports(reports: DataFrame) -> DataFrame:
+    cols = ["id", "created_at", "file_hash", "checkpoint", "name", "dob"]
+    return reports.where(F.length("doc_no") >= 5).select(*cols, F.col("verdict").isin("FLAGGED", "REVIEW").cast("long").alias("bad"), F.sha2("doc_no", 256).alias("k"))
+
+
+def alert_counts(reports: DataFrame, hot: int = HOT) -> DataFrame:
     """How many alerts of each kind a report has: id, checkpoint, kind, n, bump.  The pairs are never made.
 
     Earlier reports of the number that differ from this one are all of them less those that agree, and
     of both those of the same file are taken off; each is a running count, all of one shuffle.
     """
-    k = F.sha2("doc_no", 256).alias("k")
-    rows = reports.where(F.length("doc_no") >= 5).select("id", "created_at", "file_hash", "checkpoint", "name", "dob", F.col("verdict").isin("FLAGGED", "REVIEW").cast("long").alias("bad"), k)
-    # Nulls agree with nothing and differ from nothing, as in the comparison of a pair.
-    counted = lambda what, *same: F.sum(what).over(W.partitionBy("k", *same).orderBy("created_at", "id").rowsBetween(W.unboundedPreceding, -1))
-    one = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
-    zero = lambda x: F.coalesce(x, F.lit(0))
-
-    def others(what, *same):
-        return zero(counted(what, *same)) - zero(counted(what, *same, "file_hash"))
-
-    differing = lambda c: F.when(F.col(c).isNotNull(), others(one(c)) - others(one(c), c)).otherwise(0)
+    one = lambda c: F.when(F.col(c).isNotNull() & F.col("file_hash").isNotNull(), 1).otherwise(0)
+    fields = ["name", "dob", "checkpoint"]
+    sets = {"bad": (F.when(F.col("file_hash").isNotNull(), F.coalesce("bad", F.lit(0))).otherwise(0), ["checkpoint"])}
+    for c in fields:  # nulls agree with nothing and differ from nothing, as in the comparison of a pair
+        sets |= {f"any_{c}": (one(c), []), f"same_{c}": (one(c), [c])}
+    sets |= {f"{name}_file": (figure, [*same, "file_hash"]) for name, (figure, same) in sets.items()}
+    rows = running_counts(_numbered_reports(reports), "k", ["created_at", "id"], F.to_date("created_at"), sets, hot)
+    others = lambda name: F.col(name) - F.col(f"{name}_file")
+    differing = lambda c: F.when(F.col(c).isNotNull(), others(f"any_{c}") - others(f"same_{c}")).otherwise(0)
     kinds = {
         "NAME_CLASH": differing("name"), "DOB_CLASH": differing("dob"), "CROSS_CHECKPOINT": differing("checkpoint"),
-        "PREVIOUSLY_FLAGGED": F.when(F.col("checkpoint").isNotNull(), others(F.col("bad"), "checkpoint")).otherwise(0),
+        "PREVIOUSLY_FLAGGED": F.when(F.col("checkpoint").isNotNull(), others("bad")).otherwise(0),
     }
-    each = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).cast("long").alias("n")) for name in kinds])
-    alerts = rows.where(F.col("file_hash").isNotNull()).withColumns(kinds).select("id", "checkpoint", F.explode(each).alias("x")).select("id", "checkpoint", "x.kind", "x.n").where("n > 0")
+    each = F.array(*[F.struct(F.lit(name).alias("kind"), n.cast("long").alias("n")) for name, n in kinds.items()])
+    alerts = rows.where(F.col("file_hash").isNotNull()).select("id", "checkpoint", F.explode(each).alias("x")).select("id", "checkpoint", "x.kind", "x.n").where("n > 0")
     return alerts.withColumn("bump", F.col("n") * bump_of("kind"))
 
 

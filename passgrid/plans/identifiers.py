@@ -132,13 +132,13 @@ def zones(s, d):
     two = F.concat(part(1, 10), F.lit("IND"), part(14, 7), F.lit("M"), part(22, 7), fill(7))
     name = F.concat(F.lit("SURNAME"), F.char(65 + F.col("k") % 26), F.lit("<<GIVEN<NAME"))
     out = identifiers(s, d).select(
-        "k", "mrz2", F.rpad(F.concat(F.lit("I<IND"), part(1, 10)), 30, "<").alias("a1"), one.alias("b"), F.rpad(name, 30, "<").alias("c1"),
+        "k", "mrz1", "mrz2", F.rpad(F.concat(F.lit("I<IND"), part(1, 10)), 30, "<").alias("a1"), one.alias("b"), F.rpad(name, 30, "<").alias("c1"),
         F.rpad(F.concat(F.lit("I<IND"), name), 36, "<").alias("a2"), two.alias("e"), F.concat(part(1, 10), part(14, 7), part(22, 7), fill(7)).alias("whole2"),
     )
     out = out.withColumn("b1", F.concat("b", I.check_digit(F.concat(F.substring("a1", 6, 25), F.substring("b", 1, 7), F.substring("b", 9, 7), F.substring("b", 19, 11)))))
     out = out.withColumn("b2", F.concat("e", I.check_digit(F.col("whole2"))))
     misread = lambda c, a: F.when(F.col("k") % 4 == 1, F.concat(F.left(c, F.lit(a - 1)), F.replace(F.substring(c, a, 6), F.lit("0"), F.lit("O")), F.substring(c, a + 6, 40))).otherwise(F.col(c))
-    return out.select("k", "a1", misread("b1", 1).alias("b1"), "c1", "a2", misread("b2", 14).alias("b2"), misread("mrz2", 14).alias("b3"))
+    return out.select("k", "mrz1", "a1", misread("b1", 1).alias("b1"), "c1", "a2", misread("b2", 14).alias("b2"), misread("mrz2", 14).alias("b3"))
 
 
 def _ok(field: str, digit: str) -> str:
@@ -181,6 +181,70 @@ add("d12_mrz_repair",
 add("d13_line2_scan",
     lambda s, d: identifiers(s, d).select("k", X.line2(F.col("mrz_text")).alias("x")).select("k", "x.*"),
     sql("SELECT k, number[1:8] AS number, b6 AS birth, e6 AS expiry, true AS number_ok, k % 7 <> 0 AS birth_ok, true AS expiry_ok, k % 7 <> 0 AS valid FROM ids"))
+
+
+def zone_texts(s, d):
+    """Texts with zones of all kinds: between other lines, in broken order, cut short, alone, with wrong digits, or none."""
+    lines = [
+        F.concat_ws("\n", F.lit("VISA"), "mrz1", "b3"), F.concat_ws("\n", F.lit("CARD < OF IDENTITY FOR TRAVELLERS"), "a1", "b1", "c1"), F.concat_ws("\n", "a2", "b2", F.lit("ref 12")),
+        F.concat_ws("\n", "b3", F.lit("x"), "mrz1"), F.concat_ws("\n", F.lit("only"), "b3"), F.concat_ws("\n", F.lower("mrz1"), F.lower(F.left("b3", F.lit(43)))), F.lit("HELLO WORLD\nno zone here"),
+        F.concat_ws("\n", "c1", "a1"), F.concat_ws("\n", "mrz1", "mrz1", "b2", "a2"),
+    ]
+    return zones(s, d).select("k", F.element_at(F.array(*lines), (F.col("k") % 9 + 1).cast("int")).alias("text"))
+
+
+def _patched_sql(line: str, width: int, digits: list, letters: list) -> str:
+    parts, at = [], 1
+    kinds = {first: (last, kind) for spans, kind in ((digits, X.ZONE_DIGITS), (letters, X.ZONE_LETTERS)) for first, last in spans}
+    for first in [*sorted(kinds), width + 1]:
+        parts += [f"{line}[{at}:{first - 1}]"] if first > at else []
+        if first <= width:
+            parts.append(f"translate({line}[{first}:{kinds[first][0]}], '{kinds[first][1][0]}', '{kinds[first][1][1]}')")
+            at = kinds[first][0] + 1
+    return "(" + " || ".join(parts) + ")"
+
+
+def _zone_search_sql() -> str:
+    """The windows of a text's lines in order, and the first whose digits hold."""
+    misread = lambda c, at: f"CASE WHEN k % 4 = 1 THEN {c}[1:{at - 1}] || replace({c}[{at}:{at + 5}], '0', 'O') || {c}[{at + 6}:44] ELSE {c} END" if at > 1 else f"CASE WHEN k % 4 = 1 THEN replace({c}[1:6], '0', 'O') || {c}[7:44] ELSE {c} END"
+    names = SURNAME + " || '<<GIVEN<NAME'"
+    one, two = (f"{_ONE} || {check_digit_sql(f'{_A1}[6:30] || {_ONE}[1:7] || {_ONE}[9:15] || {_ONE}[19:29]')}", f"{_TWO} || {check_digit_sql(f'{_TWO}[1:10] || {_TWO}[14:20] || {_TWO}[22:35]')}")
+    texts = [
+        "'VISA' || chr(10) || mrz1 || chr(10) || b3", "'CARD < OF IDENTITY FOR TRAVELLERS' || chr(10) || a1 || chr(10) || b1 || chr(10) || c1", "a2 || chr(10) || b2 || chr(10) || 'ref 12'",
+        "b3 || chr(10) || 'x' || chr(10) || mrz1", "'only' || chr(10) || b3", "lower(mrz1) || chr(10) || lower(b3[1:43])", "'HELLO WORLD' || chr(10) || 'no zone here'", "c1 || chr(10) || a1", "mrz1 || chr(10) || mrz1 || chr(10) || b2 || chr(10) || a2",
+    ]
+    sized = lambda low, high: f"list_filter(l, lambda x: len(x) BETWEEN {low} AND {high})"
+    fillers = lambda x: f"len({x}) - len(replace({x}, '<', ''))"
+    windows = [
+        "SELECT k, 1 AS rank, 'TD1' AS f, l[-3] AS a, l[-2] AS b, false AS taken FROM lines WHERE len(l) >= 3 AND len(list_filter(l[-3:], lambda x: len(x) BETWEEN 28 AND 32)) = 3",
+        *[f"SELECT k, {r}, '{f}', c[-2], c[-1], false FROM (SELECT k, l, {sized(*own)} AS c FROM lines) WHERE len(c) >= 2 AND len({sized(*near)}) > 0" for r, f, near, own in ((2, "TD3", (42, 46), (42, 10**6)), (3, "TD2", (34, 38), (34, 40)))],
+        *[f"SELECT k, 10 + 2 * j + {i}, '{f}', l[1], l[j], false FROM lines, range(2, 100) r(j) WHERE j <= len(l)" for i, f in ((0, "TD3"), (1, "TD2"))],
+        *[f"SELECT k, 1000 + {i}, '{f}', l[2], l[1], false FROM lines WHERE len(l) >= 2" for i, f in ((0, "TD3"), (1, "TD2"))],
+        f"SELECT k, 2000, 'TD3', l[-2], l[-1], true FROM lines WHERE len(l) >= 2 AND {fillers('l[-2]')} >= 2 AND {fillers('l[-1]')} >= 2",
+        f"SELECT k, 3000, 'TD3', '', l[1], {fillers('l[1]')} >= 3 FROM lines WHERE len(l) = 1",
+    ]
+    places = {"TD3": (44, [(10, 10), (14, 20), (22, 28), (43, 43), (44, 44)], [(11, 13)]), "TD2": (36, [(10, 10), (14, 20), (22, 28), (36, 36)], [(11, 13)]), "TD1": (30, [(1, 7), (9, 15), (30, 30)], [(16, 18)])}
+    padded = "CASE f " + " ".join(f"WHEN '{f}' THEN rpad(b, {w}, '<')" for f, (w, _, _) in places.items()) + " END"
+    fixed = "CASE f " + " ".join(f"WHEN '{f}' THEN {_patched_sql('n', *at)}" for f, at in places.items()) + " END"
+    head = "rpad(a, 30, '<')"
+
+    def holds(n: str, x: str) -> str:
+        short = " AND ".join([_ok(f"{x}[6:14]", f"{x}[15]"), _ok(f"{n}[1:6]", f"{n}[7]"), _ok(f"{n}[9:14]", f"{n}[15]"), _ok(f"{x}[6:30] || {n}[1:7] || {n}[9:15] || {n}[19:29]", f"{n}[30]")])
+        core = " AND ".join([_ok(f"{n}[1:9]", f"{n}[10]"), _ok(f"{n}[14:19]", f"{n}[20]"), _ok(f"{n}[22:27]", f"{n}[28]")])
+        third = f"(NOT regexp_full_match({n}[44], '[0-9]') OR {_ok(f'{n}[1:10] || {n}[14:20] || {n}[22:43]', f'{n}[44]')})"
+        return f"CASE f WHEN 'TD1' THEN {short} WHEN 'TD2' THEN {core} AND {_ok(f'{n}[1:10] || {n}[14:20] || {n}[22:35]', f'{n}[36]')} ELSE {core} AND {third} END"
+
+    return sql(f"""WITH z AS (SELECT k, mrz1, mrz2, {_A1} AS a1, {one} AS one, {two} AS two, rpad({names}, 30, '<') AS c1, rpad('I<IND' || {names}, 36, '<') AS a2 FROM ids),
+        m AS (SELECT *, {misread('one', 1)} AS b1, {misread('two', 14)} AS b2, {misread('mrz2', 14)} AS b3 FROM z),
+        t AS (SELECT k, CASE k % 9 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(texts))} END AS t FROM m),
+        lines AS (SELECT k, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(upper(trim(x)), '[^A-Z0-9<]', '', 'g')), lambda x: len(x) IN (30, 36, 44) OR (len(x) >= 28 AND contains(x, '<'))) AS l FROM t),
+        w AS ({' UNION ALL '.join(windows)}), n AS (SELECT *, {padded} AS n, {head} AS x FROM w), p AS (SELECT *, {fixed} AS o, CASE WHEN f = 'TD1' THEN {_patched_sql('x', 30, [(15, 15)], [(1, 5)])} ELSE x END AS y FROM n),
+        v AS (SELECT *, {holds('n', 'x')} AS plain, {holds('o', 'y')} AS mended FROM p), u AS (SELECT *, CASE WHEN NOT plain AND mended THEN o ELSE n END AS g, CASE WHEN NOT plain AND mended THEN y ELSE x END AS h FROM v WHERE plain OR mended OR taken)
+        SELECT k, f AS format, plain OR mended AS checked, NOT plain AND mended AS corrected, regexp_replace(CASE WHEN f = 'TD1' THEN h[6:14] ELSE g[1:9] END, '<+$', '') AS number,
+            CASE WHEN f = 'TD1' THEN g[1:6] ELSE g[14:19] END AS birth, CASE WHEN f = 'TD1' THEN g[9:14] ELSE g[22:27] END AS expiry FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY rank) = 1""")
+
+
+add("d11_zone_search", lambda s, d: extraction.zone_search(zone_texts(s, d), "k", "text").select("k", "format", "checked", "corrected", "number", "birth", "expiry"), _zone_search_sql())
 HOLDERS = {
     "GOVERNMENT OF INDIA\nAsha Kumari Sharma\nS/O Ram Prasad Sharma": "Asha Kumari Sharma", "To\nRavi Mehta\nGandhi Lane": "Ravi Mehta", "Name: Sita Verma\nDOB 1990": "Sita Verma", "Name\nGopal Reddy": "Gopal Reddy",
     "INCOME TAX DEPARTMENT\nMohan Nair\nABCDE1234F": "Mohan Nair", "XXXX\nLEENAPATIL\nSTATE BANK": "LEENA PATIL", "Mohan Lal\nD/O Gopal Reddy\nName: Leela Rao": "D O Gopal Reddy", "12345\nBhutan": None,

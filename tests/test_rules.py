@@ -4,7 +4,9 @@ import datetime
 import hashlib
 import hmac
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,70 @@ def test_redaction_query_digests_every_document(spark, tmp_path):
     spark.createDataFrame([(k, a) for k, (a, _) in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.digest for r in BOOK.queries["d20_redaction"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256(b.encode()).hexdigest() for k, (_, b) in texts.items()}
+
+
+def test_running_counts_of_a_hot_number(spark):
+    """One number holds half of all reports: banded by days it gives the same counts, and no task has more of it than a day."""
+    rng = random.Random(2)
+    rows = [(i, T(2024, 1, 1) + datetime.timedelta(hours=rng.randint(0, 700)), f"f{rng.randint(0, 40)}" if i % 9 else None, rng.choice("AB"), rng.choice(["x", "y", None]), rng.choice(["d", None]), rng.choice(["FLAGGED", "CLEAR", None]), "hot45" if i % 2 else f"num{i % 17:02d}") for i in range(600)]
+    reports = spark.createDataFrame(rows, "id long, created_at timestamp, file_hash string, checkpoint string, name string, dob string, verdict string, doc_no string")
+    want = sorted(map(tuple, reports_brute(rows)))
+    for hot in (10**6, 100, 0):
+        assert sorted(map(tuple, links.alert_counts(reports, hot).select("id", "checkpoint", "kind", "n").collect())) == want
+    assert links.alert_counts(reports).where("kind = 'NAME_CLASH'").count() > 0
+    days = reports.where("doc_no = 'hot45'").groupBy(F.to_date("created_at")).count().agg(F.max("count")).first()[0]
+    assert days < 30
+
+
+def reports_brute(rows):
+    out = Counter()
+    for r in rows:
+        for p in rows:
+            if p[7] == r[7] and (p[1], p[0]) < (r[1], r[0]) and p[2] is not None and r[2] is not None and p[2] != r[2]:
+                kinds = [k for k, i in (("NAME_CLASH", 4), ("DOB_CLASH", 5), ("CROSS_CHECKPOINT", 3)) if None not in (r[i], p[i]) and r[i] != p[i]]
+                kinds += ["PREVIOUSLY_FLAGGED"] if r[3] == p[3] and p[6] in ("FLAGGED", "REVIEW") else []
+                out.update((r[0], r[3], k) for k in kinds)
+    return [(*k, n) for k, n in out.items()]
+
+
+@pytest.mark.parametrize("block,tile,least", [(1024, 32, 0.9), (20, 2, 0.9), (7, 3, 0.5), (50, 1, -0.5), (30, 4, -1.0)])
+def test_all_pairs_by_blocks(spark, block, tile, least):
+    rng = np.random.default_rng(0)
+    points = np.concatenate([c + 0.1 * rng.normal(size=(30, 5)) for c in rng.normal(size=(8, 5))]).tolist()
+    points += [points[3]] * 40 + [[0.0] * 5, [0.0, 0.0]] + [[1.0, 2.0]]
+    rows = [(i, p) for i, p in enumerate(points)]
+    table = spark.createDataFrame([*rows, (900, None), (901, [1.0, None]), (902, [float("nan")] * 5)], "k long, v array<double>")
+    counts, pairs = evalkit.all_pairs(table, "k", "v", least, block, tile)
+    m = np.array([p + [0.0] * (5 - len(p)) for p in points])
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    i, j = np.nonzero(np.triu(m @ m.T >= least, 1))
+    got = sorted((r.a, r.b) for r in pairs.collect())
+    assert got == sorted(zip(i.tolist(), j.tolist(), strict=True))
+    assert tuple(counts.agg(F.sum("n_pairs"), F.sum("n_above")).first()) == (len(points) * (len(points) - 1) // 2, len(got))
+    if block < 100 and least > 0:
+        assert evalkit.pair_plan(table, "k", "v", least, block, tile)[1].skipped() > 0.3
+
+
+def test_no_vectors_no_pairs(spark):
+    counts, pairs = evalkit.all_pairs(spark.createDataFrame([], "k long, v array<double>"), "k", "v", 0.5)
+    assert pairs.collect() == [] and tuple(counts.agg(F.sum("n_pairs"), F.sum("n_above")).first()) == (0, 0)
+
+
+def test_zones_by_hand(spark):
+    td3 = ["P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"]
+    td1 = ["I<UTOD231458907<<<<<<<<<<<<<<<", "7408122F1204159UTO<<<<<<<<<<<6", "ERIKSSON<<ANNA<MARIA<<<<<<<<<<"]
+    td2 = ["I<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<", "D231458907UTO7408122F1204159<<<<<<<6"]
+    texts = {
+        "passport": ["REPUBLIC OF UTOPIA", *td3, "page 1"], "card": ["IDENTITY", *td1], "small": [*td2], "broken order": [td3[1], td3[0]], "misread": [td3[0], td3[1].replace("7408122", "74O8I22")],
+        "lone": ["x", td3[1]], "wrong": [td3[0], td3[1].replace("7408122", "7408129")], "lone and wrong": [td3[1].replace("7408122", "7408129")], "none": ["hello", "A" * 50], "long": [f"{td3[0]}<<", f"{td3[1]}<"],
+    }
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()] + [("null", None), ("empty", "")], "k string, text string")
+    got = {r.k: (r.format, r.checked, r.corrected, r.number, r.surname, r.given_names, r.birth, r.issuer) for r in extraction.zone_search(df, "k", "text").collect()}
+    whole = ("L898902C3", "ERIKSSON", "ANNA MARIA", "740812", "UTO")
+    assert got["passport"] == got["long"] == ("TD3", True, False, *whole) and got["misread"] == ("TD3", True, True, *whole)
+    assert got["card"] == ("TD1", True, False, "D23145890", *whole[1:]) and got["small"] == ("TD2", True, False, "D23145890", *whole[1:])
+    assert got["broken order"][:4] == ("TD3", True, False, "L898902C3") and got["broken order"][6] == "740812"
+    assert got["lone"] == ("TD3", True, False, "L898902C3", "", "", "740812", "UTO")
+    assert got["wrong"][:4] == ("TD3", False, False, "L898902C3") and got["wrong"][4] == "ERIKSSON" and got["lone and wrong"][:2] == ("TD3", False)
+    assert not {"none", "null", "empty"} & set(got)

@@ -3,7 +3,8 @@
 The automaton of all templates' words is small and fixed, so every task builds its own.  Words
 stream through it: the matching statistic at a word is the longest stretch ending there that
 occurs in any template.  Every template's own longest parts of the maximal stretches are placed
-in it and chained in order; the share of a template that its best chain covers decides on the template's label.
+in it and chained in order; the share of a template that its best chain covers decides on the template's label, and so
+does the share of the words that tell it from other templates.
 Base phrases are found in the same pass, as the automaton's states that have them as a suffix.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,6 +86,7 @@ class Automaton:
                 if number < len(self.templates):
                     self.places[state].add((number, at + 1))
         self.parts: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
+        self.telling = [self._telling(number) for number in range(len(self.templates))]
         # Places and base phrases of longer states hold for the states they link to, and the other way about for phrases.
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
@@ -99,6 +102,27 @@ class Automaton:
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
             self.phrases[state] = ends[state] + self.phrases[max(0, self.link[state])]
 
+    def _telling(self, number: int) -> list[int]:
+        """How many of a template's first words tell it apart, for every number of words.
+
+        Those are its words outside the longest stretch that it shares with a template of another label
+        (one that holds it whole does not count: both are meant then).
+        """
+        label, words = self.templates[number]
+        most, at = 0, 0
+        for other, theirs in self.templates:
+            if other == label:
+                continue
+            size, best, end = [0] * (len(theirs) + 1), 0, 0
+            for i, word in enumerate(words, 1):
+                for j in range(len(theirs), 0, -1):
+                    size[j] = size[j - 1] + 1 if theirs[j - 1] == word else 0
+                    if size[j] > best:
+                        best, end = size[j], i
+            if most < best < len(words):
+                most, at = best, end
+        return [0, *accumulate(int(not at - most <= i < at) for i in range(len(words)))]
+
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.length.append(length)
         self.link.append(link)
@@ -189,8 +213,8 @@ class Automaton:
                         known.append((length - end, t, end + shift, size))
         return known
 
-    def spans(self, stretches: list[tuple[int, int, int]], least: int, gap: int) -> list[tuple[int, int, int, float]]:
-        """Best chains as (template, first word, end word, share of the template that is covered).
+    def spans(self, stretches: list[tuple[int, int, int]], least: int, gap: int) -> list[tuple[int, int, int, float, float]]:
+        """Best chains as (template, first word, end word, share of the template that is covered, share of its telling words).
 
         Stretches of at least ``least`` words follow each other in a chain if they do so in the
         text and in the template, at most ``gap`` words apart in either.
@@ -205,18 +229,21 @@ class Automaton:
         for template, own in parts.items():
             size = len(self.templates[template][1])
             anchors = sorted((end, at, n) for (end, at), n in own.items())
-            covered, begin, low = [], [], 0
+            telling = self.telling[template]
+            covered, begin, told, low = [], [], [], 0
             for i, (end, at, length) in enumerate(anchors):
-                best, start = length, end - length
+                start, own_words = end - length, telling[at] - telling[at - length]
+                most = length, own_words
                 while anchors[low][0] < end - length - gap:
                     low += 1
                 for j in range(low, i):
                     e, a, _ = anchors[j]
-                    if e <= end - length and 0 <= at - length - a <= gap and covered[j] + length > best:
-                        best, start = covered[j] + length, begin[j]
-                covered.append(best)
+                    if e <= end - length and 0 <= at - length - a <= gap and (covered[j] + length, told[j] + own_words) > most:
+                        most, start = (covered[j] + length, told[j] + own_words), begin[j]
+                covered.append(most[0])
+                told.append(most[1])
                 begin.append(start)
-            out += [(template, b, e, min(1.0, c / size)) for (e, _, _), c, b in zip(anchors, covered, begin, strict=True)]
+            out += [(template, b, e, min(1.0, c / size), k / telling[-1] if telling[-1] else 1.0) for (e, _, _), c, b, k in zip(anchors, covered, begin, told, strict=True)]
         return out
 
 
@@ -228,9 +255,9 @@ def automaton(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str,
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, span_start long, span_end long, spans string"
 
 
-def apart(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+def apart(found: list[tuple[int, int, int, float, float]]) -> list[tuple[int, int, int, float, float]]:
     """Of each template's spans the best ones that do not overlap, by place."""
-    kept: list[tuple[int, int, int, float]] = []
+    kept: list[tuple[int, int, int, float, float]] = []
     for s in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1])):
         if not any(k[0] == s[0] and k[1] < s[2] and s[1] < k[2] for k in kept):
             kept.append(s)
@@ -251,7 +278,7 @@ def scan_licenses(
 
     Returns a row per input row: doc_id, n_words, n_base, first_word and last_word (smallest and
     largest start of a base phrase, words from 0; null without one), base_labels, labels (base ones
-    and those of templates covered to at least ``covered``; distinct, sorted, comma-joined), score
+    and those of templates covered to at least ``covered``, their telling words too; distinct, sorted, comma-joined), score
     (largest covered share; 1 with a base phrase), span_start and span_end (words of the best
     covered span; null if no template is covered enough), spans (every covered span as
     "label:start:end", words from 0, end exclusive, by place, comma-joined; a template's own spans do
@@ -268,11 +295,11 @@ def scan_licenses(
                 words = text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
                 base, stretches = own.scan(words)
                 spans = own.spans(stretches, least, gap)
-                found = [s for s in spans if s[3] >= covered]
+                found = [s for s in spans if min(s[3:]) >= covered]
                 base_labels = {b[2] for b in base}
                 labels = base_labels | {own.templates[s[0]][0] for s in found}
                 best = max(found, key=lambda s: (s[3], s[2] - s[1], -s[1]), default=None)
-                rows.append((doc_id, len(words), len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 if base else max((s[3] for s in spans), default=0.0), best and best[1], best and best[2], ",".join(f"{own.templates[t][0]}:{a}:{b}" for t, a, b, _ in apart(found))))
+                rows.append((doc_id, len(words), len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1.0 if base else max((s[3] for s in spans), default=0.0), best and best[1], best and best[2], ",".join(f"{own.templates[t][0]}:{a}:{b}" for t, a, b, *_ in apart(found))))
             types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()] + [pa.int64()] * 2 + [pa.string()]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)

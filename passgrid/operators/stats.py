@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from passgrid.sources.shared import written
+
 
 def label(c: str, default: str) -> Column:
     """A trimmed text, or the default where it is null or blank."""
@@ -131,7 +135,8 @@ def overview(reports: DataFrame, sessions: DataFrame, minutes: int = 60) -> Data
     """All statistics above as long rows (metric, key, value).
 
     Reports are read once for all their counts: each row gives its keys, which are counted where it
-    lies; what follows works on the counted table, whose rows are kinds, days and whole milliseconds.
+    lies; the counted table (kinds, days, whole milliseconds) is written, and what follows reads it.  A
+    second pass, over times alone, counts the screens of the last minutes; sessions are read once.
     """
     modules = ("validation", "tampering", "face")
     ran, suspected, score = _ai()
@@ -141,24 +146,34 @@ def overview(reports: DataFrame, sessions: DataFrame, minutes: int = 60) -> Data
         **{f"module_{m}": module_verdict(F.col("modules"), m) for m in modules}, "latency": F.when(F.col("latency_ms") > 0, F.col("latency_ms").cast("string")),
     }
     entry = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), key.alias("key"), value.cast("double").alias("value"))
-    one = F.lit(1)
-    flags = [entry("ai", F.lit("ran"), F.when(ran, 1)), entry("ai", F.lit("suspected"), F.when(suspected, 1)), entry("ai", F.lit("score_sum"), F.when(ran, score)), entry("total", F.lit("total_screens"), one), entry("total", F.lit("flagged_count"), F.when(F.col("verdict") == "FLAGGED", 1))]
-    each = reports.select(F.explode(F.array(*[entry(m, k, one) for m, k in keys.items()], *flags)).alias("x")).where("x.key IS NOT NULL AND x.value IS NOT NULL")
-    counted = each.groupBy("x.metric", "x.key").agg(F.sum("x.value").alias("value"))
+    one, flag = F.lit(1), lambda of: F.when(of, 1)
+    flags = [entry("ai", F.lit("ran"), flag(ran)), entry("ai", F.lit("suspected"), flag(suspected)), entry("ai", F.lit("score_sum"), F.when(ran, score)), entry("total", F.lit("total_screens"), one), entry("total", F.lit("flagged_count"), flag(F.col("verdict") == "FLAGGED"))]
+    newest = entry("newest", F.lit("newest"), F.unix_timestamp("created_at"))
+
+    def counts(df: DataFrame, entries: list[Column]) -> DataFrame:
+        each = df.select(F.explode(F.array(*entries)).alias("x")).where("x.key IS NOT NULL AND x.value IS NOT NULL")
+        return each.groupBy("x.metric", "x.key").agg(F.when(F.col("metric") == "newest", F.max("x.value")).otherwise(F.sum("x.value")).alias("value"))
+
+    counted = written(counts(reports, [*[entry(m, k, one) for m, k in keys.items()], *flags, newest]), "overview")
+    as_of = counted.where("metric = 'newest'").select("value").first()
+    recent = lambda c: F.unix_timestamp(c) >= F.lit((as_of[0] if as_of else 0) - minutes * 60)
+    verdict = F.upper(F.coalesce("verdict", F.lit("PENDING")))
+    total = lambda key, value: entry("session_total", F.lit(key), value)
+    kinds = {"status": F.lower(F.coalesce("status", F.lit("unknown"))), "verdict": verdict, "checkpoint": label("checkpoint", "unspecified")}
+    totals = [total("cleared", (verdict == "CLEAR").cast("int")), total("flagged", verdict.isin("FLAGGED", "REVIEW").cast("int")), total("risk", F.coalesce("risk_score", F.lit(0))), total("total_sessions", one), entry("throughput", F.lit("sessions_closed"), F.coalesce(recent("closed_at"), F.lit(False)).cast("int"))]
+    of_sessions = written(counts(sessions, [*[entry(f"session_{m}", k, one) for m, k in kinds.items()], *totals]), "overview-sessions")
+    screens = reports.where(recent("created_at")).agg(F.count("*").cast("double").alias("screens"), F.lit(float(minutes)).alias("window_minutes"), F.round(F.count("*") / minutes, 3).alias("per_minute"))
     long = lambda df, metric: df.select(*[F.col(c).cast("double").alias(c) for c in df.columns]).unpivot([], df.columns, "key", "value").select(F.lit(metric).alias("metric"), "key", "value")
-    spark = reports.sparkSession
-    hours = spark.range(24).select(F.lit("hour").alias("metric"), F.col("id").cast("string").alias("key")).join(counted.where("metric = 'hour'"), ["metric", "key"], "left").select("metric", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
-    rate = counted.where("metric = 'ai'").groupBy().pivot("key", ["ran", "suspected"]).agg(F.first("value"))
-    rate = rate.select(F.lit("ai").alias("metric"), F.lit("suspicion_rate").alias("key"), F.round(F.coalesce("suspected", F.lit(0.0)) / F.greatest(F.lit(1.0), F.coalesce("ran", F.lit(0.0))), 3).alias("value"))
+    hours = reports.sparkSession.range(24).select(F.lit("hour").alias("metric"), F.col("id").cast("string").alias("key")).join(counted.where("metric = 'hour'"), ["metric", "key"], "left").select("metric", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
+    of = lambda key: F.coalesce(F.max(F.when(F.col("key") == key, F.col("value"))), F.lit(0.0))
+    rate = counted.where("metric = 'ai'").agg(F.round(of("suspected") / F.greatest(F.lit(1.0), of("ran")), 3).alias("value")).select(F.lit("ai").alias("metric"), F.lit("suspicion_rate").alias("key"), "value")
+    risk = of_sessions.where("metric = 'session_total'").agg(F.round(of("risk") / of("total_sessions"), 1).alias("value")).select(F.lit("session_total").alias("metric"), F.lit("avg_session_risk").alias("key"), "value")
     rows = [
-        counted.where("metric NOT IN ('hour', 'latency')"), hours, rate,
+        counted.where("metric NOT IN ('hour', 'latency', 'newest')"), hours, rate,
         long(_latency(counted.where("metric = 'latency'").select(F.col("key").cast("int").alias("latency_ms"), F.col("value").cast("long").alias("n"))), "latency"),
-        session_summary(sessions).select(F.concat(F.lit("session_"), F.col("metric")).alias("metric"), "key", "value"), long(throughput(reports, sessions, minutes), "throughput"),
+        of_sessions.where("key <> 'risk' OR metric <> 'session_total'"), risk, long(screens, "throughput"),
     ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return reduce(DataFrame.unionByName, rows)
 
 
 def public_summary(reports: DataFrame, notices: DataFrame) -> DataFrame:

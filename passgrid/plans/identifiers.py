@@ -340,8 +340,14 @@ add("n3_soundex",
     lambda s, d: views.table(s, d, "part").select("p_partkey", N.soundex(F.col("p_name")).alias("code"), N.soundex(F.lit("ASHCRAFT")).alias("fixed")),
     """SELECT p_partkey, CASE WHEN l = '' THEN '0000' ELSE left(l[1] || array_to_string(list_filter(list_transform(string_split(t, ''), lambda x, i: CASE WHEN i > 1 AND x <> '0' AND x <> t[i - 1] THEN x END), lambda x: x IS NOT NULL), '') || '0000', 4) END AS code, 'A226' AS fixed
         FROM (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS l, translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000') AS t FROM part)""")
-add("n4_name_pairs",
-    lambda s, d: extraction.name_pairs(identifiers(s, d).select("k", F.concat(F.lit("SHRI ASHA "), F.char(65 + F.col("k") % 26), F.lit(" SHARMA")).alias("a"), F.element_at(F.array(*[F.lit(x) for x in ("SHARMA ASHA", "A K SHARMA", "ASHAA SHARMAN", "JOHN DOE")]), (F.col("k") % 4 + 1).cast("int")).alias("b")), "a", "b").groupBy("reason").agg(F.count("*").alias("n")))
+
+
+def name_pair_texts(s, d):
+    """Pairs of names that every rule decides one of."""
+    return identifiers(s, d).select("k", F.concat(F.lit("SHRI ASHA "), F.char(65 + F.col("k") % 26), F.lit(" SHARMA")).alias("a"), F.element_at(F.array(*[F.lit(x) for x in ("SHARMA ASHA", "A K SHARMA", "ASHAA SHARMAN", "JOHN DOE", "ASHAN VENKATARAMAN SHARMA", "ACKUGE ROM")]), (F.col("k") % 6 + 1).cast("int")).alias("b"))
+
+
+add("n4_name_pairs", lambda s, d: extraction.name_pairs(name_pair_texts(s, d), "a", "b").select("k", "reason", "same"))
 add("n5_birth_text",
     lambda s, d: identifiers(s, d).select("k", N.birth_text(F.element_at(F.array(F.date_format("dob", "yyyy/M/d"), F.date_format("dob", "dd.MM.yyyy"), F.lit("२०५२-०१-०५"), F.lit("about 1990"), F.lit("2052-1-5")), (F.col("k") % 5 + 1).cast("int")), F.col("k") % 10 == 4).alias("dob")),
     sql((

@@ -5,6 +5,7 @@ import hashlib
 import hmac
 import random
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -200,3 +201,43 @@ def test_zones_by_hand(spark):
     assert got["lone"] == ("TD3", True, False, "L898902C3", "", "", "740812", "UTO")
     assert got["wrong"][:4] == ("TD3", False, False, "L898902C3") and got["wrong"][4] == "ERIKSSON" and got["lone and wrong"][:2] == ("TD3", False)
     assert not {"none", "null", "empty"} & set(got)
+
+
+def test_block_ratio_is_the_gestalt_one():
+    rng = random.Random(4)
+    pools = ["AB", "ABCDE ", "ASHARMKUN ", "é日x\x00"]
+    pairs = [("", ""), ("", "A"), ("A", ""), ("ABAB", "BABA"), ("ASHA SHARMA", "SHARMA ASHA")]
+    pairs += [("".join(rng.choice(pool) for _ in range(rng.randint(0, 30))), "".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))) for pool in pools for _ in range(150)]
+    long = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(150)) + "AB" * 40
+    pairs += [(long, long[:90] + "zz" + long[95:]), (long[5:], long + "A"), ("ABABAB" + long[10:60], long), ("AB" * 110, "BA" * 110)]
+    got = N.block_ratio([a for a, _ in pairs], [b for _, b in pairs]).tolist()
+    assert got == pytest.approx([SequenceMatcher(None, a, b).ratio() for a, b in pairs], abs=1e-12)
+    assert N.block_ratio([], []).tolist() == []
+
+
+def test_every_rule_of_name_pairs(spark, small):
+    """The whole table against the rules by hand; each of the six decides some pairs."""
+    from passgrid.plans.identifiers import name_pair_texts
+
+    def code(name):
+        groups = {c: d for d, cs in N.SOUNDEX.items() for c in cs}
+        letters = [c for c in name if "A" <= c <= "Z"]
+        codes = [groups.get(c, "0") for c in letters]
+        return (letters[0] + "".join(c for p, c in zip(codes, codes[1:], strict=False) if c != "0" and c != p) + "0000")[:4]
+
+    def rule(a, b):
+        x, y = ([t for t in n.split() if t not in N.HONORIFICS] for n in (a, b))
+        ratio = lambda p, q: SequenceMatcher(None, p, q).ratio()
+        if set(x) <= set(y) or set(y) <= set(x):
+            return "tokens"
+        if len(x) == len(y) and all(p == q or len(p) == 1 and q.startswith(p) or len(q) == 1 and p.startswith(q) for p, q in zip(x, y, strict=True)):
+            return "initials"
+        if ratio(" ".join(x), " ".join(y)) >= 0.8:
+            return "similar"
+        if min(len(x), len(y)) >= 2 and x[-1] == y[-1] and ratio(x[0], y[0]) >= 0.7:
+            return "surname"
+        return "sound" if code("".join(x)) == code("".join(y)) else "none"
+
+    rows_ = extraction.name_pairs(name_pair_texts(spark, small), "a", "b").collect()
+    assert [r.reason for r in rows_] == [rule(r.a, r.b) for r in rows_]
+    assert {r.reason for r in rows_} == {"tokens", "initials", "similar", "surname", "sound", "none"} and len(rows_) == 150

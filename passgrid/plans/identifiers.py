@@ -344,7 +344,7 @@ add("n3_soundex",
 
 def name_pair_texts(s, d):
     """Pairs of names that every rule decides one of."""
-    return identifiers(s, d).select("k", F.concat(F.lit("SHRI ASHA "), F.char(65 + F.col("k") % 26), F.lit(" SHARMA")).alias("a"), F.element_at(F.array(*[F.lit(x) for x in ("SHARMA ASHA", "A K SHARMA", "ASHAA SHARMAN", "JOHN DOE", "ASHAN VENKATARAMAN SHARMA", "ACKUGE ROM")]), (F.col("k") % 6 + 1).cast("int")).alias("b"))
+    return identifiers(s, d).select("k", F.concat(F.lit("SHRI ASHA "), F.char(65 + F.col("k") % 26), F.lit(" SHARMA")).alias("a"), F.element_at(F.array(*[F.lit(x) for x in ("SHARMA ASHA", "A J SHARMA", "ASHAA SHARMAN", "JOHN DOE", "ASHAN VENKATARAMAN SHARMA", "ACKUGE ROM")]), (F.col("k") % 6 + 1).cast("int")).alias("b"))
 
 
 add("n4_name_pairs", lambda s, d: extraction.name_pairs(name_pair_texts(s, d), "a", "b").select("k", "reason", "same"))

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from passgrid.functions.pixels import difference_hash, grey
+from passgrid.sources.annotations import coco_rows, register
+
 # Capture conditions by index range.
 CONDITIONS = [(0, 9, "table"), (10, 19, "keyboard"), (20, 29, "hand"), (30, 39, "partial"), (40, 49, "clutter")]
 
@@ -102,10 +105,10 @@ def mrz_strips(df: DataFrame, kind: str, types: list[str]) -> DataFrame:
     return df.where(F.col(kind).isin(*types)).withColumn("strip", F.struct(F.col("x").alias("x"), (F.col("y") + 0.75 * F.col("h")).alias("y"), F.col("w").alias("w"), (0.25 * F.col("h")).alias("h")))
 
 
-def write_coco(images: DataFrame, annotations: DataFrame, path: str) -> None:
-    """Images and annotations as JSON lines by split: part files, so that no split is one document in one task."""
-    images.write.partitionBy("split").json(f"{path}/images")
-    annotations.write.partitionBy("split").json(f"{path}/annotations")
+def write_coco(images: DataFrame, annotations: DataFrame, path: str, categories: DataFrame | None = None) -> None:
+    """One COCO document for each ``split``, whole or not there (see sources.annotations)."""
+    register(images.sparkSession)
+    coco_rows(images, annotations, categories).write.format("coco").mode("overwrite").option("path", path).save()
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -148,22 +151,10 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def difference_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Difference hashes of grey PGM images: each of 8 x 8 means against its right neighbour."""
-    import numpy as np
+    """Difference hashes of PNG and binary grey PGM images: each of 8 x 8 area means against its right neighbour."""
 
     def run(batches):
         for d in batches:
-            out = []
-            for data in d["content"]:
-                head, size, top, pixels = bytes(data).split(b"\n", 3)
-                if head != b"P5" or top != b"255":
-                    raise ValueError("a binary grey map of 8 bits is wanted")
-                w, h = map(int, size.split())
-                a = np.frombuffer(pixels, np.uint8, w * h).reshape(h, w).astype(float)
-                rows, cols = (np.linspace(0, n, k + 1).astype(int) for n, k in ((h, 8), (w, 9)))
-                means = np.array([[a[r0:r1, c0:c1].mean() for c0, c1 in zip(cols, cols[1:], strict=False)] for r0, r1 in zip(rows, rows[1:], strict=False)])
-                bits = (means[:, 1:] > means[:, :-1]).ravel()
-                out.append(int(np.packbits(bits, bitorder="little").view("<i8")[0]))
-            yield pd.DataFrame({"path": d["path"], "hash": out})
+            yield pd.DataFrame({"path": d["path"], "hash": [difference_hash(grey(bytes(x))) for x in d["content"]]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, hash long")

@@ -362,23 +362,28 @@ def sign_hash(vector: Column) -> Column:
 
 
 def near_hashes(left: DataFrame, right: DataFrame, key: str, hash_: str, most: int = 6, blocks: int = 8) -> DataFrame:
-    """Pairs of the two sides whose 64-bit hashes differ in at most ``most`` bits.
+    """Pairs of the two sides (whose keys are unique) whose 64-bit hashes differ in at most ``most`` bits.
 
     Of ``blocks`` equal parts, ``blocks - most`` at least are equal in such a pair, so the join on every
-    choice of that many parts loses none; with eight parts the keys have 16 bits.
+    choice of that many parts loses none; with eight parts the keys have 16 bits.  A pair comes out at the
+    first choice it meets by, that of its first equal parts, so none is told from another afterwards.
     """
     size, kept = 64 // blocks, blocks - most
     part = lambda h, i: F.shiftrightunsigned(h, i * size).bitwiseAND(F.lit((1 << size) - 1))
 
     def keys(h: Column) -> Column:
         chosen = list(combinations(range(blocks), kept))
-        value = lambda c: reduce(lambda v, i: v * (1 << size) + part(h, i), c, F.lit(0).cast("long"))
+        value = lambda c: reduce(lambda v, i: F.shiftleft(v, size).bitwiseOR(part(h, i)), c, F.lit(0).cast("long"))
         return F.array(*[F.struct(F.lit(n).alias("i"), value(c).alias("v")) for n, c in enumerate(chosen)])
 
     l = left.select(F.col(key).alias("a"), F.col(hash_).alias("ha"), F.explode(keys(F.col(hash_))).alias("x"))
     r = right.select(F.col(key).alias("b"), F.col(hash_).alias("hb"), F.explode(keys(F.col(hash_))).alias("x"))
-    bits = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return l.join(r, "x").where(bits <= most).select("a", "b", bits.alias("bits")).distinct()
+    other = F.col("ha").bitwiseXOR(F.col("hb"))
+    bits = F.bit_count(other)
+    equal = reduce(lambda m, i: m.bitwiseOR(F.when(part(other, i) == 0, 1 << i).otherwise(0)), range(blocks), F.lit(0))
+    passed = [sum(1 << i for i in range(max(c)) if i not in c) for c in combinations(range(blocks), kept)]  # parts before the last one chosen that were not
+    first = equal.bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in passed]), F.col("x.i") + 1)) == 0
+    return l.join(r, "x").where((bits <= most) & first).select("a", "b", bits.alias("bits"))
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:

@@ -321,7 +321,7 @@ add("d21_tool_signatures",
     lambda s, d: extraction.tool_signatures(views.table(s, d, "pages").select("page_id", F.concat_ws(" ", F.sha2("html", 256), pick([*MADE_WITH, "none"], F.col("page_id"))).alias("meta")), "page_id", "meta"),
     "SELECT * FROM (SELECT page_id, " + ", ".join(f"{[v[i] for v in MADE_WITH.values()]}[CAST(page_id % {len(MADE_WITH) + 1} AS INTEGER) + 1] AS {n}" for i, n in enumerate(("tool", "kind"))) + f", CAST({[v[2] for v in MADE_WITH.values()]}[CAST(page_id % {len(MADE_WITH) + 1} AS INTEGER) + 1] AS DOUBLE) AS confidence FROM pages) WHERE tool IS NOT NULL")
 add("d22_term_counts",
-    lambda s, d: extraction.term_counts(views.table(s, d, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")),
+    lambda s, d: extraction.term_totals(views.table(s, d, "documents"), "text"),
     r"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9_]+')) AS term FROM documents) WHERE length(term) > 1 GROUP BY 1""")
 add("d23_times",
     lambda s, d: views.reports(s, d).select("id", X.utc_epoch(F.when(F.col("id") % 5 == 0, "bad").otherwise(F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")))).alias("epoch"), F.hour(F.from_utc_timestamp("created_at", "Asia/Kolkata")).alias("hour")),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,8 +121,9 @@ def running_counts(rows: DataFrame, key: str, order: list[str], day: Column, set
 
 
 def _numbered_reports(reports: DataFrame) -> DataFrame:
+    """Reports with a number and a time: none without a time is earlier or later than another."""
     cols = ["id", "created_at", "file_hash", "checkpoint", "name", "dob"]
-    return reports.where(F.length("doc_no") >= 5).select(*cols, F.col("verdict").isin("FLAGGED", "REVIEW").cast("long").alias("bad"), F.sha2("doc_no", 256).alias("k"))
+    return reports.where((F.length("doc_no") >= 5) & F.col("created_at").isNotNull()).select(*cols, F.col("verdict").isin("FLAGGED", "REVIEW").cast("long").alias("bad"), F.sha2("doc_no", 256).alias("k"))
 
 
 def alert_counts(reports: DataFrame, hot: int = HOT) -> DataFrame:
@@ -147,6 +150,37 @@ def alert_counts(reports: DataFrame, hot: int = HOT) -> DataFrame:
     return alerts.withColumn("bump", F.col("n") * bump_of("kind"))
 
 
+def prior_figures(reports: DataFrame, hot: int = HOT) -> DataFrame:
+    """How many earlier reports of its number and another file a report has, and their largest id; the pairs are never made.
+
+    Counts are running ones.  The largest id runs along as sorted partitions pass: of a number only the
+    best id and the best one of another file are held, so whichever file a report is of, one of them answers.
+    """
+    there = F.when(F.col("file_hash").isNotNull(), 1).otherwise(0)
+    rows = _numbered_reports(reports).select("id", "created_at", "file_hash", "k")
+    counted = running_counts(rows, "k", ["created_at", "id"], F.to_date("created_at"), {"any": (there, []), "same": (there, ["file_hash"])}, hot)
+    ready = counted.where(F.col("file_hash").isNotNull()).select("k", "created_at", "id", "file_hash", (F.col("any") - F.col("same")).alias("n_prior"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, best, other = None, None, None  # (id, file) of the best report, and of the best one of another file
+        for batch in batches:
+            found = []
+            for k, id_, file in zip(*[batch.column(c).to_pylist() for c in ("k", "id", "file_hash")], strict=True):
+                if k != number:
+                    number, best, other = k, None, None
+                prior = other if best and best[1] == file else best
+                found.append(prior and prior[0])
+                if best is None or file == best[1]:
+                    best = max(best or (id_, file), (id_, file))
+                elif id_ > best[0]:
+                    best, other = (id_, file), best
+                elif other is None or id_ > other[0]:
+                    other = id_, file
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_prior"), pa.array(found, pa.int64())], names=["id", "n_prior", "max_prior"])
+
+    return ready.repartition("k").sortWithinPartitions("k", "created_at", "id").mapInArrow(run, "id long, n_prior long, max_prior long").where("n_prior > 0")
+
+
 def burst_counts(reports: DataFrame, suspicious, minutes: int = 60) -> DataFrame:
     """Reports with ``recent``: suspicious ones at the checkpoint up to this one, within the window.
 

@@ -43,7 +43,7 @@ add("j2_watchlist_edit",
     with_views("""WITH new AS (SELECT DISTINCT sha256(doc_no) AS identifier_hash FROM reports WHERE custkey % 67 = 0 AND sha256(doc_no) NOT IN (SELECT identifier_hash FROM watchlist))
         SELECT * FROM (SELECT identifier_hash, category FROM watchlist UNION ALL SELECT identifier_hash, 'new' FROM new) WHERE identifier_hash NOT IN (SELECT identifier_hash FROM watchlist WHERE category = 'fraud')""", "reports", "watchlist"))
 add("j3_prior_matches",
-    lambda s, d: links.prior_matches(R(s, d)).groupBy("id").agg(F.count("*").alias("n_prior"), F.max("prior_id").alias("max_prior")),
+    lambda s, d: links.prior_figures(R(s, d)),
     with_views(f"WITH {PRIORS} SELECT id, count(*) AS n_prior, max(prior_id) AS max_prior FROM priors GROUP BY 1", "reports"))
 add("w1_recidivism_alerts",
     lambda s, d: links.alert_counts(R(s, d)).select("id", "kind", "n", "bump"),

@@ -144,6 +144,8 @@ def test_running_counts_of_a_hot_number(spark):
     want = sorted(map(tuple, reports_brute(rows)))
     for hot in (10**6, 100, 0):
         assert sorted(map(tuple, links.alert_counts(reports, hot).select("id", "checkpoint", "kind", "n").collect())) == want
+        priors = {r[0]: [p[0] for p in rows if p[7] == r[7] and (p[1], p[0]) < (r[1], r[0]) and p[2] and r[2] and p[2] != r[2]] for r in rows}
+        assert sorted(map(tuple, links.prior_figures(reports, hot).collect())) == sorted((i, len(p), max(p)) for i, p in priors.items() if p)
     assert links.alert_counts(reports).where("kind = 'NAME_CLASH'").count() > 0
     days = reports.where("doc_no = 'hot45'").groupBy(F.to_date("created_at")).count().agg(F.max("count")).first()[0]
     assert days < 30

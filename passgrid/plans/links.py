@@ -61,8 +61,17 @@ add("g36_threat_matrix",
     lambda s, d: links.threat_matrix(R(s, d), links.alert_counts(R(s, d))),
     with_views(f"""WITH {ALERTS}, a AS (SELECT checkpoint, count(*) AS n_alerts FROM alerts GROUP BY 1), b AS (SELECT checkpoint, count(*) AS n, round(avg(risk_score), 2) AS mean_risk, round(avg(CASE WHEN verdict = 'FLAGGED' THEN 1.0::DOUBLE ELSE 0 END), 4) AS flagged_share FROM reports GROUP BY 1)
         SELECT checkpoint, n, mean_risk, flagged_share, coalesce(n_alerts, 0) AS n_alerts, CASE WHEN flagged_share > 0.45 OR coalesce(n_alerts, 0) / n > 20 THEN 'CRITICAL' WHEN flagged_share > 0.43 OR coalesce(n_alerts, 0) / n > 10 THEN 'ELEVATED' ELSE 'NORMAL' END AS level FROM b LEFT JOIN a USING (checkpoint)""", "reports"))
-add("j4_session_counts", lambda s, d: sessions.with_document_counts(S(s, d), rows.not_removed(R(s, d)).where("risk_score > 50")).select("session_id", "n_documents"),
-    with_views("SELECT session_id, (SELECT count(*) FROM reports r WHERE r.session_id = s.session_id AND removed = 0 AND r.risk_score > 50) AS n_documents FROM sessions s", "sessions"))
+
+
+def with_empty_sessions(s, d):
+    """All sessions, and for every ninth one that was opened and has no document."""
+    own = S(s, d).select("session_id")
+    return own.unionByName(own.where("session_id % 9 = 0").select((F.col("session_id") + 1_000_000_000).alias("session_id")))
+
+
+WITH_EMPTY = "opened AS (SELECT session_id FROM sessions UNION ALL SELECT session_id + 1000000000 FROM sessions WHERE session_id % 9 = 0)"
+add("j4_session_counts", lambda s, d: sessions.with_document_counts(with_empty_sessions(s, d), rows.not_removed(R(s, d))),
+    with_views(f"WITH {WITH_EMPTY} SELECT o.session_id, count(id) AS n_documents FROM opened o LEFT JOIN reports r ON r.session_id = o.session_id AND removed = 0 GROUP BY 1", "sessions"))
 add("j5_session_documents", lambda s, d: sessions.session_documents(R(s, d)).select("session_id", F.array_join("documents", ",").alias("documents")),
     with_views("SELECT session_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS documents FROM reports WHERE removed = 0 GROUP BY 1", "reports"))
 add("j6_latest_by_digest", lambda s, d: rows.latest_per_key(R(s, d), ["file_hash"], ["created_at", "id"]).select("file_hash", "id"),
@@ -130,7 +139,7 @@ def settlement(s, d):
     hit = with_hits(s, d).join(R(s, d).select("id", "session_id"), "id").select("session_id").distinct().withColumn("hit", F.lit(True))
     actions = F.array(*[F.lit(x) for x in ("approve", "flag", "adjudicate", "close")])
     decisions = F.array(*[F.lit(x) for x in ("CLEARED", "CONFIRMED_FRAUD", "INCONCLUSIVE")])
-    counted = sessions.with_document_counts(S(s, d).select("session_id"), rows.not_removed(R(s, d)).where("id % 17 <> 0"))
+    counted = sessions.with_document_counts(with_empty_sessions(s, d), rows.not_removed(R(s, d)))
     cases = counted.join(compared, "session_id", "left").join(hit, "session_id", "left").select("session_id", "n_documents", "comparison_verdict", F.coalesce("hit", F.lit(False)).alias("watchlisted"), F.element_at(actions, (F.col("session_id") % 4 + 1).cast("int")).alias("action"), F.element_at(decisions, (F.col("session_id") % 3 + 1).cast("int")).alias("decision"))
     return sessions.settle(cases).select("session_id", "action", "status", "verdict")
 
@@ -138,10 +147,10 @@ def settlement(s, d):
 add("g17_settlement",
     settlement,
     with_views(f"""WITH {COMPARED}, hits AS (SELECT DISTINCT session_id FROM reports r JOIN watchlist w ON sha256(r.doc_no) = w.identifier_hash),
-    n AS (SELECT session_id, count(*) FILTER (removed = 0 AND id % 17 <> 0) AS k FROM reports GROUP BY 1),
+    {WITH_EMPTY}, n AS (SELECT o.session_id, count(id) AS k FROM opened o LEFT JOIN reports r ON r.session_id = o.session_id AND removed = 0 GROUP BY 1),
     c AS (SELECT session_id, k, comparison_verdict AS cv, session_id IN (SELECT session_id FROM hits) AS wl, ['approve','flag','adjudicate','close'][CAST(session_id % 4 AS INTEGER) + 1] AS action, ['CLEARED','CONFIRMED_FRAUD','INCONCLUSIVE'][CAST(session_id % 3 AS INTEGER) + 1] AS decision FROM n LEFT JOIN verdicts USING (session_id))
     SELECT session_id, action, CASE WHEN action = 'close' OR (k = 0 AND action IN ('approve', 'flag')) THEN 'closed' WHEN action = 'flag' THEN 'flagged' WHEN action = 'approve' AND (wl OR coalesce(cv, '') = 'DISCREPANCY') THEN 'open' WHEN action = 'approve' OR decision = 'CLEARED' THEN 'approved' ELSE 'rejected' END AS status,
-        CASE WHEN action = 'close' OR (k = 0 AND action IN ('approve', 'flag')) THEN 'CLOSED' WHEN action = 'flag' THEN 'REVIEW' WHEN action = 'approve' AND wl THEN 'BLOCKED_WATCHLIST' WHEN action = 'approve' AND cv = 'DISCREPANCY' THEN 'BLOCKED_DISCREPANCY' WHEN action = 'approve' OR decision = 'CLEARED' THEN 'CLEAR' WHEN decision = 'CONFIRMED_FRAUD' THEN 'FLAGGED' ELSE 'REVIEW' END AS verdict FROM c""", "doc_fields", "watchlist"))
+        CASE WHEN action = 'close' OR (k = 0 AND action IN ('approve', 'flag')) THEN 'CLOSED' WHEN action = 'flag' THEN 'REVIEW' WHEN action = 'approve' AND wl THEN 'BLOCKED_WATCHLIST' WHEN action = 'approve' AND cv = 'DISCREPANCY' THEN 'BLOCKED_DISCREPANCY' WHEN action = 'approve' OR decision = 'CLEARED' THEN 'CLEAR' WHEN decision = 'CONFIRMED_FRAUD' THEN 'FLAGGED' ELSE 'REVIEW' END AS verdict FROM c""", "doc_fields", "watchlist", "sessions"))
 
 # Ledger: a chain per checkpoint and month.
 CHAIN = ["checkpoint", "month"]

@@ -36,6 +36,8 @@ class BoundaryTokenizer(WordTokenizer):
     """Encoder of a byte-level BPE file by fragments; one instance per Python worker and file."""
 
     def __init__(self, path: str):
+        if not path.endswith(".json"):
+            raise ValueError(f"{path}: only plain byte-level BPE of a .json file is encoded by fragments")
         super().__init__(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

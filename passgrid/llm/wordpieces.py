@@ -160,9 +160,23 @@ class _Filled(dict):
         return value
 
 
+class PieceTokenizer:
+    """Encoder of a sentencepiece file; whole texts go through the library."""
+
+    by_chunk = False
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, num_threads=1))
+
+
 @lru_cache(4)
-def _by_path(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def _by_path(path: str) -> WordTokenizer | PieceTokenizer:
+    return PieceTokenizer(path) if path.endswith(".model") else WordTokenizer(path)
 
 
 def resolved(name_or_path: str) -> str:
@@ -174,6 +188,6 @@ def resolved(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def word_tokenizer(name_or_path: str) -> WordTokenizer:
-    """The worker's encoder for a file: an absolute path, or a name in the installed public set."""
+def word_tokenizer(name_or_path: str) -> WordTokenizer | PieceTokenizer:
+    """The worker's encoder for a .json or .model file: an absolute path, or a name in the installed public set."""
     return _by_path(resolved(name_or_path))

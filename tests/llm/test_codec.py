@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from passgrid.llm.bpe_codec import BoundaryTokenizer, decode, encode, round_trip
 from passgrid.llm.common import documents
+from passgrid.llm.token_counts import count_tokens
 from tests.llm.test_operators import ROWS, SCHEMA
 
 LONG = "a" * 3000 + "lol" * 900 + "é" * 500 + "!?" * 700 + "日本" * 400
@@ -71,5 +72,16 @@ def test_decode_keeps_other_columns_and_nulls(spark):
     ids = encode(docs).selectExpr("doc_id AS `a.b`", "'x' AS decoded", "CASE WHEN doc_id = 1 THEN ids END AS ids")
     assert sorted(map(tuple, decode(ids).select("`a.b`", "decoded").collect())) == [(1, "hello</w> world</w>"), (2, None)]
     assert [r.decoded for r in decode(encode(docs.where("doc_id = 2"))).collect()] == [""]
-    with pytest.raises(Exception, match="plain byte-level BPE|No such file|not found|Traceback"):
+    with pytest.raises(Exception, match="nowhere"):
         encode(docs, tokenizer="/nowhere.json").collect()
+
+
+def test_token_counts_of_a_sentencepiece_file(spark, small):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(i, t) for i, t in enumerate([None, "", "Hello <s> </s> world", *texts()[:60]])] + [tuple(r) for r in documents(spark, small).select("doc_id", "text").limit(40).collect()]
+    got = sorted((r.doc_id, r.n_tokens) for r in count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer="piece_bpe_32k.model").collect())
+    assert got == sorted((i, len(library.encode(t or ""))) for i, t in rows)
+    with pytest.raises(Exception, match="byte-level BPE"):
+        encode(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer="piece_bpe_32k.model").collect()

@@ -29,7 +29,7 @@ from passgrid.llm.wordpieces import WordTokenizer, _Filled, _in_latin1, resolved
 #: Bytes of text that are encoded (ids that are decoded: a fourth) before a batch is handed on.
 BATCH_BYTES = 4 << 20
 #: Bytes up to which a pre-token is cut and merged by plain loops; entries of each cache.
-SHORT, CACHE_ENTRIES = 64, 400_000
+SHORT, CACHE_ENTRIES = 64, 300_000
 
 
 class BoundaryTokenizer(WordTokenizer):

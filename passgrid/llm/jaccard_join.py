@@ -35,7 +35,7 @@ BINS = 128
 SMALL, DEPTH, TILE, EXACT_TILE = 128, 3, 2048, 512
 #: Most hashes of (node, shingle) held at once.
 HASHED = 1 << 21
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 250_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

@@ -22,7 +22,7 @@ WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_PRETOKENIZERS = ["Split", "ByteLevel"]
 
 #: Entries that one worker keeps in each cache before it starts afresh.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 250_000
 
 
 def _plain_pattern() -> tuple[re.Pattern, re.Pattern]:

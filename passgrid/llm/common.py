@@ -48,15 +48,17 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, into: list[DataFrame] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, into: list[DataFrame] | None = None, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage, so that a lost executor costs a read and no recomputation, and lets several
     consumers use one costly pass.  ``into`` collects the tables of a job, to be released together.
+    Tables of hashes are written with ``compression`` "none": they do not shrink, and a codec's buffers
+    add up where a job writes many small files.
     """
     spark = df.sparkSession
     path = run_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     STAGED.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path

@@ -17,15 +17,15 @@ def components(edges: DataFrame, into: list[DataFrame] | None = None) -> DataFra
     collects the written tables that the result reads.
     """
     up = lambda df: df.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, mark = staged(up(edges.select("a", "b")), "edges"), None
+    now, mark = staged(up(edges.select("a", "b")), "edges", compression="none"), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("least", "a").alias("m"))
         large = spread_join(both, least, "a", "b").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = staged(up(large), "stars")
+        large = staged(up(large), "stars", compression="none")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = spread_join(large, low, "a", "b")
-        last, now = now, staged(up(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))), "edges")
+        last, now = now, staged(up(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))), "edges", compression="none")
         release(last)
         release(large)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())

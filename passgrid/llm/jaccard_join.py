@@ -344,17 +344,17 @@ def _buckets(classes: DataFrame, described: DataFrame, scratch: list[DataFrame])
     at, small = classes.select("node", F.explode("keys").alias("bucket")), []
     for level in range(DEPTH):
         last = level == DEPTH - 1
-        sizes = staged(at.groupBy("bucket").count().where("count > 1"), f"sizes-{level}", scratch)
-        met = staged(spread_join(at, sizes, "bucket", "node", sizes=sizes), f"level-{level}", scratch)
+        sizes = staged(at.groupBy("bucket").count().where("count > 1"), f"sizes-{level}", scratch, "none")
+        met = staged(spread_join(at, sizes, "bucket", "node", sizes=sizes), f"level-{level}", scratch, "none")
         small.append(met.where(F.col("count") <= (TILE if last else SMALL)).select("bucket", "node"))
         large = met.where(F.col("count") > (TILE if last else SMALL)).select("bucket", "node")
         if last or large.isEmpty():
             break
         split = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # of a class: as many as it has nodes in a step
-        split = staged(split.join(classes.select("node", F.col("least_id").alias("doc_id")), "node"), f"split-{level}", scratch)
+        split = staged(split.join(classes.select("node", F.col("least_id").alias("doc_id")), "node"), f"split-{level}", scratch, "none")
         rows = described.select("doc_id", F.col("node").alias("own"), f"keys_{level}", F.arrays_zip(f"keys_{level + 1}", f"from_{level + 1}").alias("steps"))
         below = sent_or_joined(rows, split, "doc_id", 256).where("own = node").withColumn("x", F.explode("steps")).where(F.array_contains("buckets", F.get(f"keys_{level}", F.col(f"x.from_{level + 1}"))))
-        at = staged(below.select("node", F.col(f"x.keys_{level + 1}").alias("bucket")).distinct(), f"below-{level}", scratch)  # rows may be repeated
+        at = staged(below.select("node", F.col(f"x.keys_{level + 1}").alias("bucket")).distinct(), f"below-{level}", scratch, "none")  # rows may be repeated
     return reduce(DataFrame.unionByName, small), large
 
 
@@ -391,7 +391,7 @@ def _exact(near: DataFrame, classes: DataFrame, own: DataFrame, width: int, thre
     members = sized.select("doc_id", tile(F.pmod(F.xxhash64("node"), F.col("parts"))), "root", "node", "large", F.lit(False).alias("copied"))
     copies = sized.where(F.col("large") & (F.col("node") == F.col("root"))).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     copies = copies.select("doc_id", tile(F.col("number")), "root", "node", "large", F.lit(True).alias("copied"))
-    wanted = staged(members.unionByName(copies), "members", scratch)
+    wanted = staged(members.unionByName(copies), "members", scratch, "none")
     texts = sent_or_joined(own, wanted, "doc_id", 160).select("tile", "root", "node", "large", "copied", "text")
     compared = staged(_by_tile(texts, "tile").mapInArrow(_members(width, threshold), MEMBERS), "compared", scratch)
     small, others = compared.where(F.col("a").isNotNull()).select("a", "links", "b"), compared.where(F.col("key").isNotNull()).drop("a", "links", "b")
@@ -424,13 +424,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     described = staged(own.mapInArrow(_describe(width, runs, threshold), f"doc_id long, node binary, n int, sketch binary, {PATHS}"), "shingled")
     about = [F.first(c).alias(name) for c, name in (("n", "n"), ("sketch", "sketch"), ("keys_0", "keys"))]
     classes = staged(described.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), *about), "classes", scratch)
-    near = staged(components(_proposals(classes, described, threshold, scratch), scratch), "proposed", scratch)
+    near = staged(components(_proposals(classes, described, threshold, scratch), scratch), "proposed", scratch, "none")
     release_but(scratch, classes, near)
-    exact = staged(_exact(near, classes, own, width, threshold, scratch), "exact", scratch)
+    exact = staged(_exact(near, classes, own, width, threshold, scratch), "exact", scratch, "none")
     release_but(scratch, classes, exact)
     links = exact.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     roots_of = components(exact.where(F.col("b").isNotNull()).select("a", "b"), scratch)
-    linked = staged(classes.select("node", "least_id", "copies").join(roots_of, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked", scratch)
+    linked = staged(classes.select("node", "least_id", "copies").join(roots_of, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "linked", scratch, "none")
     release_but(scratch, linked)
     class_ids = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
     found = spread_join(linked, class_ids, "root", "node").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))

@@ -54,6 +54,11 @@ def fingerprint(c: Column) -> Column:
     return F.sha2(norm(c), 256)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def characters(c: Column) -> Column:
     """The text's characters (none of an empty text)."""
     return F.filter(F.split(c, ""), lambda x: x != "")
@@ -64,11 +69,21 @@ def character_value(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]$"), c.try_cast("int")).when(c.rlike("^[A-Z]$"), F.ascii(c) - 55).otherwise(0)
 
 
+#: Letters and what their values come to modulo 10.
+LETTER_DIGITS = "".join(chr(65 + i) for i in range(26)), "".join(str((10 + i) % 10) for i in range(26))
+
+
 def check_digit(c: Column) -> Column:
-    """Weights 7, 3, 1 over character values, modulo 10."""
-    weight = F.array(F.lit(7), F.lit(3), F.lit(1))
-    products = F.transform(characters(c), lambda x, i: character_value(x) * F.element_at(weight, i % 3 + 1))
-    return F.aggregate(products, F.lit(0), lambda s, x: s + x) % 10
+    """Weights 7, 3, 1 over character values, modulo 10.
+
+    Only last digits of values count, so three characters are a number abc, and 7a + 3b + c ends
+    like the number, three times its tens and seven times its hundreds together.
+    """
+    digits = F.regexp_replace(F.translate(c, *LETTER_DIGITS), "[^0-9]", "0")
+    threes = F.regexp_extract_all(F.concat(digits, F.lit("00")), F.lit("[0-9]{3}"), F.lit(0))
+    whole = lambda x, by: F.call_function("div", x, F.lit(by)).cast("int")
+    numbers = F.transform(threes, lambda x: x.cast("int"))
+    return F.aggregate(numbers, F.lit(0), lambda s, x: s + x + whole(x, 10) * 3 + whole(x, 100) * 7) % 10
 
 
 def _table(rows: list[list[int]]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passgrid.functions.identifiers import VERHOEFF_D, VERHOEFF_P, check_digit, characters
+from passgrid.functions.identifiers import VERHOEFF_D, VERHOEFF_P, check_digit, characters, let
 
 # The inverse in the dihedral group, by which a check digit is appended.
 VERHOEFF_INVERSE = [0, 4, 3, 2, 1, 5, 6, 7, 8, 9]
@@ -19,6 +19,12 @@ def verhoeff_digit(digits: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in VERHOEFF_INVERSE]), end + 1)
 
 
+def holder_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' keys, dealt to all cores: a row group of a million short rows is one task, and what is made of a row is long work."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return keys.repartition(4 * max(2, spark.sparkContext.defaultParallelism), "c_custkey")
+
+
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One holder per customer: true values and a text that carries them in four layouts by key."""
     k = F.col("c_custkey")
@@ -32,8 +38,8 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     exp6 = F.concat(pad(expiry_year % 100, 2), F.lit("1231"))
     b_digit = (check_digit(yymmdd) + F.when(k % 7 == 0, 1).otherwise(0)) % 10
     head = F.concat(number, check_digit(number), F.lit("IND"), yymmdd, b_digit, F.lit("M"), exp6, check_digit(exp6), F.lit("<" * 14), F.lit("0"))
-    composite = check_digit(F.concat(F.substring(head, 1, 10), F.substring(head, 14, 7), F.substring(head, 22, 22)))
-    out = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    whole = lambda h: F.concat(h, check_digit(F.concat(F.substring(h, 1, 10), F.substring(h, 14, 7), F.substring(h, 22, 22))).cast("string"))
+    out = holder_keys(spark, sf_dir).select(
         k.alias("k"),
         F.concat(eleven, ((last + F.when(k % 5 == 0, 1).otherwise(0)) % 10).cast("string")).alias("aadhaar"),
         F.concat(F.lit("ABC"), F.when(k % 6 == 0, "Z").otherwise("P"), F.char(65 + k % 26), pad(k % 10000, 4), F.char(65 + k * 7 % 26)).alias("pan"),
@@ -44,7 +50,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         birth.alias("dob"),
         F.make_date(expiry_year.cast("int"), F.lit(12), F.lit(31)).alias("expiry"),
         F.rpad(F.concat(F.lit("P<INDSURNAME"), F.char(65 + k % 26), F.lit("<<GIVEN<NAME")), 44, "<").alias("mrz1"),
-        F.concat(head, composite.cast("string")).alias("mrz2"),
+        let(head, whole).alias("mrz2"),
     )
     spaced = F.concat_ws(" ", F.substring("aadhaar", 1, 4), F.substring("aadhaar", 5, 4), F.substring("aadhaar", 9, 4))
     k2 = F.col("k")

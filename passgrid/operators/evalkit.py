@@ -15,22 +15,43 @@ from pyspark.sql import functions as F
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def iou(a: str = "", b: str = "g_") -> Column:
-    """Intersection over union of two boxes held in columns with the prefixes; 0 for an empty union."""
-    c = F.col
-    w = F.greatest(F.lit(0.0), F.least(c(a + "x2"), c(b + "x2")) - F.greatest(c(a + "x1"), c(b + "x1")))
-    h = F.greatest(F.lit(0.0), F.least(c(a + "y2"), c(b + "y2")) - F.greatest(c(a + "y1"), c(b + "y1")))
-    area = lambda p: (c(p + "x2") - c(p + "x1")) * (c(p + "y2") - c(p + "y1"))
+def _iou(a, b) -> Column:
+    """Intersection over union of two boxes, whose corners the functions give by name; 0 for an empty union."""
+    w = F.greatest(F.lit(0.0), F.least(a("x2"), b("x2")) - F.greatest(a("x1"), b("x1")))
+    h = F.greatest(F.lit(0.0), F.least(a("y2"), b("y2")) - F.greatest(a("y1"), b("y1")))
+    area = lambda p: (p("x2") - p("x1")) * (p("y2") - p("y1"))
     union = area(a) + area(b) - w * h
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
+def iou(a: str = "", b: str = "g_") -> Column:
+    """Intersection over union of two boxes held in columns with the prefixes; 0 for an empty union."""
+    return _iou(lambda c: F.col(a + c), lambda c: F.col(b + c))
+
+
 def best_truth(dets: DataFrame, truths: DataFrame) -> DataFrame:
-    """Each detection with the truth of its image and label that it overlaps most (first on a tie); null without overlap."""
-    g = truths.select("img_id", "label", F.col("gt_idx"), *[F.col(c).alias(f"g_{c}") for c in BOX])
-    pairs = dets.join(g, ["img_id", "label"]).withColumn("iou", iou()).where("iou > 0")
-    best = pairs.groupBy("img_id", "label", "det_idx").agg(F.max_by(F.struct("gt_idx", "iou"), F.struct("iou", -F.col("gt_idx"))).alias("b")).select("img_id", "label", "det_idx", "b.*")
-    return dets.join(best, ["img_id", "label", "det_idx"], "left")
+    """Each detection with the truth of its image and label that it overlaps most (first on a tie); null without overlap.
+
+    Truths of an image and label come as one list, so that detections travel once and no pair is a row.
+    """
+    g = truths.groupBy("img_id", "label").agg(F.collect_list(F.struct("gt_idx", *BOX)).alias("__g"))
+    each = F.filter(F.transform("__g", lambda x: F.struct(_iou(F.col, lambda c: x[c]).alias("iou"), (-x["gt_idx"]).alias("less"), x["gt_idx"].alias("gt_idx"))), lambda x: x["iou"] > 0)
+    met = dets.join(g, ["img_id", "label"], "left").select(*[dets[c] for c in dets.columns], F.array_max(each).alias("__b"))
+    return met.select(*dets.columns, "__b.gt_idx", "__b.iou")
+
+
+def _taken() -> Column:
+    """The best overlap of the surer detections with the same truth, -1 without one."""
+    surer = W.partitionBy("img_id", "label", "gt_idx").orderBy(F.col("confidence").desc(), "det_idx").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.when(F.col("gt_idx").isNotNull(), F.max("iou").over(surer)), F.lit(-1.0))
+
+
+def true_positive_counts(matched: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(label, t, tp, n): true positives and detections per threshold; rows are not spread over thresholds, only sums are."""
+    rows = matched.withColumn("taken", _taken())
+    hits = [F.coalesce(F.sum((F.coalesce(F.col("iou") >= t, F.lit(False)) & (F.col("taken") < t)).cast("long")), F.lit(0)).alias(f"tp{i}") for i, t in enumerate(thresholds)]
+    sums = rows.groupBy("label").agg(F.count("*").alias("n"), *hits)
+    return sums.select("label", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"tp{i}").alias("tp")) for i, t in enumerate(thresholds)])).alias("x"), "n").select("label", "x.t", "x.tp", "n")
 
 
 def true_positives(matched: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -64,9 +85,7 @@ def recall_bins(matched: DataFrame, truths: DataFrame, thresholds: list[float])
     running maximum serves all thresholds.  Their sums run side by side within bands of confidence, and
     rows are spread over thresholds only where they are counted.
     """
-    surer = W.partitionBy("img_id", "label", "gt_idx").orderBy(F.col("confidence").desc(), "det_idx").rowsBetween(W.unboundedPreceding, -1)
-    taken = F.coalesce(F.when(F.col("gt_idx").isNotNull(), F.max("iou").over(surer)), F.lit(-1.0))
-    rows = matched.withColumn("taken", taken).withColumn("band", F.floor(F.col("confidence") * 1000))
+    rows = matched.withColumn("taken", _taken()).withColumn("band", F.floor(F.col("confidence") * 1000))
     tps = [f"tp{i}" for i in range(len(thresholds))]
     rows = rows.select("label", "band", "confidence", "img_id", "det_idx", *[(F.coalesce(F.col("iou") >= t, F.lit(False)) & (F.col("taken") < t)).cast("long").alias(c) for c, t in zip(tps, thresholds, strict=True)])
     sums = rows.groupBy("label", "band").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in tps])
@@ -93,58 +112,104 @@ def mean_average_precision(aps: DataFrame) -> DataFrame:
     return per.unionByName(per.agg(F.lit("(all)").alias("label"), F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95"))).select("label", F.round("ap50", 4).alias("ap50"), F.round("ap50_95", 4).alias("ap50_95"))
 
 
-def _overlaps(d: np.ndarray, g: np.ndarray) -> np.ndarray:
-    low, high = np.maximum(d[:, None, :2], g[None, :, :2]), np.minimum(d[:, None, 2:], g[None, :, 2:])
-    inter = np.clip(high - low, 0, None).prod(2)
-    area = lambda b: (b[:, 2:] - b[:, :2]).prod(1)
-    union = area(d)[:, None] + area(g)[None, :] - inter
-    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0)
+#: Pairs of boxes that are compared at a time.
+PAIRS = 1 << 20
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """As doubles, null as NaN, which overlaps nothing and reaches nothing."""
+    return column.cast(pa.float64()).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _pairs_over(corners: np.ndarray, left: np.ndarray, first: np.ndarray, counts: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of ``left`` and each of the ``counts`` rows from ``first`` on whose overlap passes, compared ``PAIRS`` at a time."""
+    found, at, ends = [], 0, np.cumsum(counts)
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = counts[at:to]
+        i = np.repeat(left[at:to], n)
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n)
+        d, g = corners[i], corners[j]
+        inter = np.clip(np.minimum(d[:, 2:], g[:, 2:]) - np.maximum(d[:, :2], g[:, :2]), 0, None).prod(1)
+        union = (d[:, 2:] - d[:, :2]).prod(1) + (g[:, 2:] - g[:, :2]).prod(1) - inter
+        ok = test(np.where(union > 0, inter / np.where(union > 0, union, 1), 0))
+        found.append((i[ok], j[ok]))
+        at = to
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
-def _image_rows(boxes: DataFrame, name: str, fields: list[str]) -> DataFrame:
-    """One row per image and label with its boxes, in order of the first field."""
-    return boxes.groupBy("img_id", "label").agg(F.array_sort(F.collect_list(F.struct(*fields, *BOX))).alias(name))
+def _images(batches):
+    """Tables of whole images and labels, in which rows of one lie together, with where each begins; the last of a batch waits for its rest."""
 
+    def begins(t: pa.Table) -> np.ndarray:
+        out = np.zeros(len(t), bool)
+        out[:1] = True
+        image, label = t.column("img_id").combine_chunks(), t.column("label").combine_chunks().dictionary_encode().indices
+        for codes, none in ((image.fill_null(0).to_numpy(zero_copy_only=False), image.is_null()), (label.fill_null(-1).to_numpy(zero_copy_only=False), label.is_null())):
+            none = none.to_numpy(zero_copy_only=False)
+            out[1:] |= (codes[1:] != codes[:-1]) | (none[1:] != none[:-1])
+        return np.nonzero(out)[0]
 
-def _corners(boxes: list[dict]) -> np.ndarray:
-    return np.array([[b[c] for c in BOX] for b in boxes], float).reshape(-1, 4)
+    left = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if left is None else pa.concat_tables([left, t])
+        if len(t):
+            starts = begins(t)
+            if starts[-1] > 0:
+                yield t.slice(0, int(starts[-1])), starts[:-1]
+            left = t.slice(int(starts[-1]))
+    if left is not None and len(left):
+        yield left, np.zeros(1, np.int64)
+
+
+def _by_rank(rank: np.ndarray):
+    """Places of equal ranks, by rank."""
+    order = np.argsort(rank, kind="stable")
+    return np.split(order, np.nonzero(np.diff(rank[order]))[0] + 1) if len(order) else []
 
 
 def greedy_counts(dets: DataFrame, truths: DataFrame, confidences: list[float], overlap: float = 0.5, per_image: bool = True) -> DataFrame:
     """Per label and confidence: detections from there on, truths, and those matched, each detection in input
-    order taking the first free truth it overlaps enough.  A row holds one image's boxes of a label; without
-    ``per_image`` counts are summed as they are made, ``img_id`` is null and a label may have several rows."""
-    d = _image_rows(dets, "d", ["det_idx", "confidence"])
-    g = _image_rows(truths, "g", ["gt_idx"])
-    images = d.join(g, ["img_id", "label"], "full_outer")
-
-    def matched(conf: list[float], fits: list[list[int]]) -> list[tuple[float, int, int]]:
-        out, known = [], {}
-        for c in confidences:
-            sure = tuple(x >= c for x in conf)
-            if sure not in known:  # the same detections as at another confidence
-                taken: set[int] = set()
-                for fit in [f for f, ok in zip(fits, sure, strict=True) if ok]:
-                    taken.update([j for j in fit if j not in taken][:1])
-                known[sure] = sum(sure), len(taken)
-            out.append((c, *known[sure]))
-        return out
+    order taking the first free truth it overlaps enough.  Boxes of an image and label lie together, and many
+    images are matched at a time, their first detections, then their second ones; without ``per_image`` counts
+    are summed as they are made, ``img_id`` is null and a label may have several rows."""
+    box = lambda df, truth, idx, sure: df.select("img_id", "label", F.lit(truth).alias("truth"), F.col(idx).alias("idx"), sure.cast("double").alias("confidence"), *BOX)
+    boxes = box(dets, False, "det_idx", F.col("confidence")).unionByName(box(truths, True, "gt_idx", F.lit(None)))
+    sorted_ = boxes.repartition("img_id", "label").sortWithinPartitions("img_id", "label", "truth", "idx", "confidence", *BOX)
 
     def run(batches):
-        for batch in batches:
-            sums: dict[tuple, list[int]] = {}
-            for row in batch.to_pylist():
-                d, g = row["d"] or [], row["g"] or []
-                over = _overlaps(_corners(d), _corners(g)) >= overlap
-                for c, n, k in matched([x["confidence"] for x in d], [np.nonzero(o)[0].tolist() for o in over]):
-                    s = sums.setdefault((row["img_id"] if per_image else None, row["label"], c), [0, 0, 0])
-                    for i, x in enumerate((n, len(g), k)):
-                        s[i] += x
-            types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            out = [(*k, *v) for k, v in sums.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["img_id", "label", "conf", "n_det", "n_gt", "n_tp"])
-
-    return images.mapInArrow(run, "img_id long, label string, conf double, n_det long, n_gt long, n_tp long")
+        for t, starts in _images(batches):
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+            truth, conf = t.column("truth").to_numpy().astype(bool), _numbers(t.column("confidence"))
+            corners = np.stack([_numbers(t.column(c)) for c in BOX], 1)
+            labels = t.column("label").take(pa.array(starts)).combine_chunks()
+            known = t.column("img_id").is_valid().to_numpy() & t.column("label").is_valid().to_numpy()  # null is like no other null
+            n_gt = np.bincount(group[truth], minlength=len(starts))
+            d = np.nonzero(~truth & known)[0]
+            first = np.append(starts[1:], len(t)) - n_gt  # truths stand behind the detections
+            i, j = _pairs_over(corners, d, first[group[d]], n_gt[group[d]], lambda x: x >= overlap)
+            ranks = _by_rank(i - starts[group[i]])
+            n_det, n_tp = np.zeros((len(confidences), len(starts)), np.int64), np.zeros((len(confidences), len(starts)), np.int64)
+            for k, c in enumerate(confidences):
+                taken = np.zeros(len(t), bool)
+                for at in ranks:  # one detection an image, so none takes another's
+                    free = at[(conf[i[at]] >= c) & ~taken[j[at]]]
+                    taken[j[free[np.unique(i[free], return_index=True)[1]]]] = True
+                n_det[k] = np.bincount(group[~truth & (conf >= c)], minlength=len(starts))
+                n_tp[k] = np.bincount(group[taken], minlength=len(starts))
+            images = t.column("img_id").take(pa.array(starts)).combine_chunks()
+            if not per_image:
+                codes = labels.dictionary_encode(null_encoding="encode")
+                own, labels = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
+                total = lambda x: np.bincount(own, weights=x, minlength=len(labels)).astype(np.int64)  # noqa: B023, E731
+                n_gt, n_det, n_tp = total(n_gt), np.stack([total(x) for x in n_det]), np.stack([total(x) for x in n_tp])
+                images = pa.nulls(len(labels), pa.int64())
+            for k, c in enumerate(confidences):
+                columns = [images.cast(pa.int64()), labels, pa.array(np.full(len(labels), c)), pa.array(n_det[k]), pa.array(n_gt.astype(np.int64)), pa.array(n_tp[k])]
+                yield pa.RecordBatch.from_arrays(columns, names=["img_id", "label", "conf", "n_det", "n_gt", "n_tp"])
+
+    return sorted_.mapInArrow(run, "img_id long, label string, conf double, n_det long, n_gt long, n_tp long")
 
 
 def rates(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,22 +225,23 @@ def best_threshold(swept: DataFrame, default: float = 0.35) -> DataFrame:
 
 
 def suppress(dets: DataFrame, overlap: float = 0.45) -> DataFrame:
-    """Non-maximum suppression within image and label; a row holds one image's boxes of a label."""
-    images = dets.groupBy("img_id", "label").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "det_idx", *BOX))).alias("d"))
+    """Non-maximum suppression within image and label; boxes of one lie together, the surest first, and many images go at a
+    time, their first boxes, then their second ones."""
+    known = dets.where(F.col("img_id").isNotNull() & F.col("label").isNotNull())
+    sorted_ = known.repartition("img_id", "label").sortWithinPartitions("img_id", "label", -F.col("confidence"), "det_idx", *BOX)
 
     def run(batches):
-        for batch in batches:
-            kept = []
-            for row in batch.to_pylist():
-                boxes = row["d"]
-                over, alive = _overlaps(_corners(boxes), _corners(boxes)), np.ones(len(boxes), bool)
-                for i, box in enumerate(boxes):
-                    if alive[i]:
-                        kept.append((row["img_id"], row["label"], box["det_idx"]))
-                        alive &= over[i] <= overlap
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate([pa.int64(), pa.string(), pa.int64()])], names=["img_id", "label", "det_idx"])
-
-    return dets.join(images.mapInArrow(run, "img_id long, label string, det_idx long"), ["img_id", "label", "det_idx"], "left_semi")
+        for t, starts in _images(batches):
+            sizes = np.diff(np.append(starts, len(t)))
+            rank = np.arange(len(t)) - np.repeat(starts, sizes)
+            corners = np.stack([_numbers(t.column(c)) for c in BOX], 1)
+            i, j = _pairs_over(corners, np.arange(len(t)), np.arange(len(t)) + 1, np.repeat(sizes, sizes) - rank - 1, lambda x: x > overlap)
+            alive = np.ones(len(t), bool)
+            for at in _by_rank(rank[i]):
+                alive[j[at[alive[i[at]]]]] = False
+            yield from t.filter(pa.array(alive)).combine_chunks().to_batches()
+
+    return sorted_.mapInArrow(run, dets.schema)
 
 
 def roc(scores: DataFrame) -> DataFrame:

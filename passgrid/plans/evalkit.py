@@ -43,7 +43,7 @@ add("w6_best_truth",
     lambda s, d: matched(s, d).select("img_id", "label", "det_idx", "gt_idx", F.round("iou", 6).alias("iou")),
     with_views(f"WITH {MATCHED} SELECT img_id, label, det_idx, gt_idx, round(iou, 6) AS iou FROM matched", "gt_boxes", "det_boxes"))
 add("w7_true_positives",
-    lambda s, d: E.true_positives(matched(s, d), THRESHOLDS).groupBy("label", "t").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")),
+    lambda s, d: E.true_positive_counts(matched(s, d), THRESHOLDS),
     with_views(f"WITH {TPS} SELECT label, t, CAST(sum(tp) AS BIGINT) AS tp, count(*) AS n FROM tps GROUP BY 1, 2", "gt_boxes", "det_boxes"))
 add("w8_precision_recall",
     lambda s, d: E.precision_recall(E.true_positives(matched(s, d), [0.5]), GT(s, d)).select("label", "img_id", "det_idx", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision")),

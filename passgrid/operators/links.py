@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from passgrid.sources.shared import written
+
 # What travellers of a nationality are expected to present.
 EXPECTED = {
     "IN": ["passport", "aadhaar", "driving_licence", "voter_id", "pan"],
@@ -126,28 +129,90 @@ def _numbered_reports(reports: DataFrame) -> DataFrame:
     return reports.where((F.length("doc_no") >= 5) & F.col("created_at").isNotNull()).select(*cols, F.col("verdict").isin("FLAGGED", "REVIEW").cast("long").alias("bad"), F.sha2("doc_no", 256).alias("k"))
 
 
+#: Figures of ``_earlier_figures``: how many earlier reports of a number give an alert of the kind.
+KINDS = ["NAME_CLASH", "DOB_CLASH", "CROSS_CHECKPOINT", "PREVIOUSLY_FLAGGED"]
+
+
+def _running(codes: list[np.ndarray], figure: np.ndarray) -> np.ndarray:
+    """The sum of the figure over earlier rows that agree in all codes."""
+    key = codes[0].astype(np.int64)
+    for c in codes[1:]:
+        key = key * (int(c.max(initial=0)) + 2) + c + 1
+    order = np.argsort(key, kind="stable")
+    sums = np.cumsum(figure[order]) - figure[order]
+    heads = np.nonzero(np.append(True, np.diff(key[order]) != 0))[0]
+    out = np.empty(len(key), np.int64)
+    out[order] = sums - np.repeat(sums[heads], np.diff(np.append(heads, len(key))))
+    return out
+
+
+def _earlier_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by number, time and id, as id, checkpoint and a figure a kind; whole numbers, many at a time."""
+
+    def figures(t: pa.Table) -> pa.RecordBatch:
+        code = {c: t.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "file_hash", "name", "dob", "checkpoint")}
+        k, file, filed = code["k"], code["file_hash"], code["file_hash"] >= 0
+        found = []
+        for c in ("name", "dob", "checkpoint"):  # earlier ones of another file less those of them that agree
+            one = ((code[c] >= 0) & filed).astype(np.int64)
+            differing = _running([k], one) - _running([k, file], one) - _running([k, code[c]], one) + _running([k, code[c], file], one)
+            found.append(np.where(code[c] >= 0, differing, 0))
+        bad = np.where(filed, t.column("bad").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        found.append(np.where(code["checkpoint"] >= 0, _running([k, code["checkpoint"]], bad) - _running([k, code["checkpoint"], file], bad), 0))
+        keep = pa.array(filed & (np.stack(found).max(0) > 0))
+        out = pa.table([t.column("id"), t.column("checkpoint"), *[pa.array(f) for f in found]], names=["id", "checkpoint", *KINDS]).filter(keep)
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=out.column_names)
+
+    left = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if left is None else pa.concat_tables([left, t])
+        if len(t):
+            k = t.column("k").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            last = int(np.argmax(k == k[-1]))
+            if last:
+                yield figures(t.slice(0, last))
+            left = t.slice(last)
+    if left is not None and len(left):
+        yield figures(left)
+
+
 def alert_counts(reports: DataFrame, hot: int = HOT) -> DataFrame:
     """How many alerts of each kind a report has: id, checkpoint, kind, n, bump.  The pairs are never made.
 
     Earlier reports of the number that differ from this one are all of them less those that agree, and
-    of both those of the same file are taken off; each is a running count, all of one shuffle.
+    of both those of the same file are taken off; each is a running count over one sort by number and time.
+    Numbers of more than ``hot`` reports, if there are any, are counted in bands instead.
     """
+    rows = _numbered_reports(reports)
+    many = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k")
+    some = bool(many.take(1))
+    cold = rows.join(many, "k", "left_anti") if some else rows
+    sizes = ", ".join(f"{kind} long" for kind in KINDS)
+    counted = cold.repartition("k").sortWithinPartitions("k", "created_at", "id").mapInArrow(_earlier_figures, f"id long, checkpoint string, {sizes}")
+    if some:
+        counted = counted.unionByName(_hot_figures(rows.join(many, "k", "left_semi"), hot))
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("n")) for kind in KINDS])
+    alerts = counted.select("id", "checkpoint", F.explode(each).alias("x")).select("id", "checkpoint", "x.kind", "x.n").where("n > 0")
+    return alerts.withColumn("bump", F.col("n") * bump_of("kind"))
+
+
+def _hot_figures(numbered: DataFrame, hot: int) -> DataFrame:
+    """The figures of ``_earlier_figures`` as windows, which cut a number of very many reports by day."""
     one = lambda c: F.when(F.col(c).isNotNull() & F.col("file_hash").isNotNull(), 1).otherwise(0)
     fields = ["name", "dob", "checkpoint"]
     sets = {"bad": (F.when(F.col("file_hash").isNotNull(), F.coalesce("bad", F.lit(0))).otherwise(0), ["checkpoint"])}
     for c in fields:  # nulls agree with nothing and differ from nothing, as in the comparison of a pair
         sets |= {f"any_{c}": (one(c), []), f"same_{c}": (one(c), [c])}
     sets |= {f"{name}_file": (figure, [*same, "file_hash"]) for name, (figure, same) in sets.items()}
-    rows = running_counts(_numbered_reports(reports), "k", ["created_at", "id"], F.to_date("created_at"), sets, hot)
+    rows = running_counts(numbered, "k", ["created_at", "id"], F.to_date("created_at"), sets, hot)
     others = lambda name: F.col(name) - F.col(f"{name}_file")
     differing = lambda c: F.when(F.col(c).isNotNull(), others(f"any_{c}") - others(f"same_{c}")).otherwise(0)
     kinds = {
         "NAME_CLASH": differing("name"), "DOB_CLASH": differing("dob"), "CROSS_CHECKPOINT": differing("checkpoint"),
         "PREVIOUSLY_FLAGGED": F.when(F.col("checkpoint").isNotNull(), others("bad")).otherwise(0),
     }
-    each = F.array(*[F.struct(F.lit(name).alias("kind"), n.cast("long").alias("n")) for name, n in kinds.items()])
-    alerts = rows.where(F.col("file_hash").isNotNull()).select("id", "checkpoint", F.explode(each).alias("x")).select("id", "checkpoint", "x.kind", "x.n").where("n > 0")
-    return alerts.withColumn("bump", F.col("n") * bump_of("kind"))
+    return rows.where(F.col("file_hash").isNotNull()).select("id", "checkpoint", *[n.cast("long").alias(kind) for kind, n in kinds.items()])
 
 
 def prior_figures(reports: DataFrame, hot: int = HOT) -> DataFrame:
@@ -218,7 +283,7 @@ def first_alerts(reports: DataFrame) -> DataFrame:
 
     Only the first reports, of which there is one a kind and checkpoint, are paired with earlier ones.
     """
-    first = alert_counts(reports).groupBy("checkpoint", "kind").agg(F.min("id").alias("id"))
+    first = written(alert_counts(reports).groupBy("checkpoint", "kind").agg(F.min("id").alias("id")), "first-alerts")
     numbers = reports.join(first.select("id").distinct(), "id").select("doc_no").distinct()
     pairs = recidivism_alerts(reports.join(numbers, "doc_no", "left_semi"))
     return distinct_alerts(pairs.join(first, ["id", "checkpoint", "kind"], "left_semi"), ["checkpoint", "kind"], ["id", "prior_id"])

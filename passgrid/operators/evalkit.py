@@ -396,7 +396,7 @@ def all_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: in
         columns = {"p": pa.array([min(own, t) for t in met], pa.int32()), "q": pa.array([max(own, t) for t in met], pa.int32()), "own": pa.array([own] * len(met), pa.int32()), "cell": pa.array([cell] * len(met), pa.int32())}
         return pa.table(columns | {"keys": pa.array([keys] * len(met), pa.binary()), "m": pa.array([m] * len(met), pa.binary())})
 
-    def multiply(table: pa.Table) -> pa.Table:
+    def multiply(table: pa.Table, keep: bool) -> pa.Table:
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         blocks = [(own, cell, np.frombuffer(k, np.int64), np.frombuffer(m).reshape(-1, width)) for own, cell, k, m in zip(*[table.column(c).to_pylist() for c in ("own", "cell", "keys", "m")], strict=True)]
         blocks.sort(key=lambda b: (b[0], b[1], b[2][0]))
@@ -408,8 +408,11 @@ def all_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: in
                 s = m @ blocks[y][3].T
                 if x == y:
                     s[np.tril_indices(len(keys))] = -2.0  # each pair once
-                i, j = np.nonzero(s >= max(least, -1.5))
-                above += len(i)
+                near = s >= max(least, -1.5)
+                above += int(near.sum())
+                if not keep:  # only counted: a tile's pairs may be all there can be, and none is held
+                    continue
+                i, j = np.nonzero(near)
                 for column, value in zip(found, (np.minimum(keys[i], blocks[y][2][j]), np.maximum(keys[i], blocks[y][2][j]), s[i, j]), strict=True):
                     column.append(value)
         a, b, sim = (np.concatenate(c) for c in found)
@@ -417,9 +420,10 @@ def all_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: in
         rest = [pa.array(a), pa.array(b), pa.array(sim), pa.array([0] * len(a), pa.int64())]
         return pa.table({name: pa.chunked_array([t, r]) for name, t, r in zip(("a", "b", "sim", "n_above"), total, rest, strict=True)})
 
-    found = cut.groupBy("cell", "piece").applyInArrow(pack, "p int, q int, own int, cell int, keys binary, m binary").groupBy("p", "q").applyInArrow(multiply, "a long, b long, sim double, n_above long")
+    packed = cut.groupBy("cell", "piece").applyInArrow(pack, "p int, q int, own int, cell int, keys binary, m binary").groupBy("p", "q")
+    met = lambda keep: packed.applyInArrow(lambda t: multiply(t, keep), "a long, b long, sim double, n_above long")
     everything = vectors.sparkSession.createDataFrame([(n * (n - 1) // 2, 0)], "n_pairs long, n_above long")
-    return found.where(F.col("a").isNull()).select(F.lit(0).cast("long").alias("n_pairs"), "n_above").unionByName(everything), found.where(F.col("a").isNotNull()).select("a", "b", "sim")
+    return met(False).where(F.col("a").isNull()).select(F.lit(0).cast("long").alias("n_pairs"), "n_above").unionByName(everything), met(True).where(F.col("a").isNotNull()).select("a", "b", "sim")
 
 
 def sign_hash(vector: Column) -> Column:

@@ -7,6 +7,7 @@ Every stream function takes and returns a streaming DataFrame (watermarks bound
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from passgrid.operators.ledger import chained, monotone_close
 
@@ -162,23 +163,77 @@ def recidivism(stream: DataFrame, keep_minutes: int = 60 * 24 * 30) -> DataFrame
     return keyed.applyInPandasWithState(update, RECIDIVISM, "places array<string>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Priors that are held before they are passed on (those of one report at least).
+PRIORS = 1 << 17
+
+
+def _with_priors(keys: list[str], order: list[str], once: bool = False):
+    """Sorted rows as they pass, each with the last id at every place among the earlier rows of its keys.
+
+    Rows of equal order are not earlier than each other; ``once`` gives priors to the first of them only.
+    Rows without an order are heads: what came before the others, given no priors.  All that is held of a
+    key is an id for each place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, seen, fresh = None, None, {}, {}
+        for batch in batches:
+            places, ids, ends, start = [], [], [0], 0
+
+            def passed(stop: int, batch=batch) -> pa.RecordBatch:
+                own = pa.StructArray.from_arrays([pa.array(places, batch.schema.field("checkpoint").type), pa.array(ids, batch.schema.field("id").type)], names=["checkpoint", "id"])
+                priors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)
+                return pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, priors], names=[*batch.schema.names, "priors"])
+
+            column = {c: batch.column(c).to_pylist() for c in {*keys, *order, "checkpoint", "id"}}
+            rows = zip(zip(*[column[c] for c in keys], strict=True), zip(*[column[c] for c in order], strict=True), column["checkpoint"], column["id"], strict=True)
+            for n, (own, at, place, id_) in enumerate(rows, 1):
+                if own != key:
+                    key, now, seen, fresh = own, None, {}, {}
+                first = at != now
+                if first:
+                    seen.update(fresh)
+                    now, fresh = at, {}
+                if at[0] is None:
+                    seen[place] = id_
+                else:
+                    if first or not once:
+                        places += seen
+                        ids += seen.values()
+                    if id_ is not None:
+                        fresh[place] = id_
+                ends.append(len(ids))
+                if len(ids) >= PRIORS:
+                    yield passed(n)
+                    places, ids, ends, start = [], [], [0], n
+            if len(ends) > 1:
+                yield passed(batch.num_rows)
+
+    return run
+
+
 def recidivism_batch(reports: DataFrame) -> DataFrame:
     """The same over a table: for each report, the latest earlier one of its identifier at each other checkpoint.
 
-    No report meets another: each meets the places its identifier was seen at, and takes from a
-    running last value per place.  These run within days, with the last of the days before carried
-    in, so that an identifier of very many reports is not one task.
+    No report meets another, and none is multiplied by the places before it is sorted: the last id at
+    each place runs along as sorted partitions pass.  A partition is cut by days, each headed by the last
+    of the days before, so that an identifier of very many reports is not one task.
     """
-    rows = reports.select("identifier_hash", "id", "checkpoint", F.struct("created_at", "id").alias("at"), F.to_date("created_at").alias("day"))
-    places = rows.select("identifier_hash", F.col("checkpoint").alias("prior_checkpoint")).distinct()
-    ends = rows.groupBy("identifier_hash", F.col("checkpoint").alias("prior_checkpoint"), "day").agg(F.max_by("id", "at").alias("last_id"))
-    by_day = W.partitionBy("identifier_hash", "prior_checkpoint").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    grid = rows.select("identifier_hash", "day").distinct().join(places, "identifier_hash").join(ends, ["identifier_hash", "prior_checkpoint", "day"], "left")
-    carried = grid.withColumn("carried", F.last("last_id", ignorenulls=True).over(by_day)).drop("last_id")
-    within = W.partitionBy("identifier_hash", "prior_checkpoint", "day").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    met = rows.join(places, "identifier_hash").withColumn("today", F.last(F.when(F.col("checkpoint") == F.col("prior_checkpoint"), F.col("id")), ignorenulls=True).over(within))
-    found = met.join(carried, ["identifier_hash", "prior_checkpoint", "day"]).withColumn("prior_id", F.coalesce("today", "carried"))
-    return found.where(F.col("prior_id").isNotNull() & (F.col("checkpoint") != F.col("prior_checkpoint"))).select("identifier_hash", "id", "checkpoint", "prior_checkpoint", "prior_id")
+    instant = F.col("created_at").cast("timestamp")
+    rows = reports.where(F.col("identifier_hash").isNotNull() & F.col("checkpoint").isNotNull() & instant.isNotNull())
+    in_day = F.pmod("at", F.lit(86_400_000_000))
+    rows = rows.select("identifier_hash", F.unix_micros(instant).alias("at"), "id", "checkpoint").select("identifier_hash", (F.col("at") - in_day).alias("day"), "at", "id", "checkpoint")
+    priors = StructField("priors", ArrayType(StructType([rows.schema["checkpoint"], rows.schema["id"]])))
+    schema = StructType([*rows.schema.fields, priors])
+    # Time of day and id as one number: a maximum by it needs no sort of the reports, as one by a struct does.
+    last = in_day.cast("decimal(11,0)") * F.lit(Decimal(10**20)) + F.col("id")
+    ends = rows.groupBy("identifier_hash", "day", "checkpoint").agg(F.max_by("id", last).alias("id"))
+    by_day = ends.select("identifier_hash", "day", F.lit(None).cast("long").alias("at"), "id", "checkpoint").repartition("identifier_hash").sortWithinPartitions("identifier_hash", "day")
+    heads = by_day.mapInArrow(_with_priors(["identifier_hash"], ["day"], once=True), schema).select("identifier_hash", "day", "at", F.explode("priors").alias("p")).select("identifier_hash", "day", "at", "p.id", "p.checkpoint")
+    own = ["identifier_hash", "day"]
+    met = rows.unionByName(heads).repartition(*own).sortWithinPartitions(*own, "at", "id").mapInArrow(_with_priors(own, ["at", "id"]), schema)
+    found = met.select("identifier_hash", "id", "checkpoint", F.explode("priors").alias("p")).where(F.col("p.checkpoint") != F.col("checkpoint"))
+    return found.select("identifier_hash", "id", "checkpoint", F.col("p.checkpoint").alias("prior_checkpoint"), F.col("p.id").alias("prior_id"))
 
 
 # Session lifecycle ----------------------------------------------------------------------------------------------------------

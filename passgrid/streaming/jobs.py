@@ -212,6 +212,14 @@ def _with_priors(keys: list[str], order: list[str], once: bool = False):
     return run
 
 
+def _micros(df: DataFrame, ts: str) -> Column:
+    """A time as microseconds; one without a zone as it stands, whatever the session's zone skips."""
+    if df.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(F.col(ts).cast("timestamp"))
+    since = F.col(ts) - F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
+
+
 def recidivism_batch(reports: DataFrame) -> DataFrame:
     """The same over a table: for each report, the latest earlier one of its identifier at each other checkpoint.
 
@@ -219,12 +227,11 @@ def recidivism_batch(reports: DataFrame) -> DataFrame:
     each place runs along as sorted partitions pass.  A partition is cut by days, each headed by the last
     of the days before, so that an identifier of very many reports is not one task.
     """
-    instant = F.col("created_at").cast("timestamp")
-    rows = reports.where(F.col("identifier_hash").isNotNull() & F.col("checkpoint").isNotNull() & instant.isNotNull())
+    rows = reports.where(F.col("identifier_hash").isNotNull() & F.col("checkpoint").isNotNull() & F.col("created_at").isNotNull())
     in_day = F.pmod("at", F.lit(86_400_000_000))
-    rows = rows.select("identifier_hash", F.unix_micros(instant).alias("at"), "id", "checkpoint").select("identifier_hash", (F.col("at") - in_day).alias("day"), "at", "id", "checkpoint")
-    priors = StructField("priors", ArrayType(StructType([rows.schema["checkpoint"], rows.schema["id"]])))
-    schema = StructType([*rows.schema.fields, priors])
+    rows = rows.select("identifier_hash", _micros(reports, "created_at").alias("at"), "id", "checkpoint").select("identifier_hash", (F.col("at") - in_day).alias("day"), "at", "id", "checkpoint")
+    fields = {f.name: StructField(f.name, f.dataType) for f in rows.schema}  # heads have no time, though the reports' may be declared without nulls
+    schema = StructType([*fields.values(), StructField("priors", ArrayType(StructType([fields["checkpoint"], fields["id"]])))])
     # Time of day and id as one number: a maximum by it needs no sort of the reports, as one by a struct does.
     last = in_day.cast("decimal(11,0)") * F.lit(Decimal(10**20)) + F.col("id")
     ends = rows.groupBy("identifier_hash", "day", "checkpoint").agg(F.max_by("id", last).alias("id"))

@@ -15,14 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from passgrid.llm.common import col, numbered_columns, release, staged
-from passgrid.llm.wordpieces import word_tokenizer
+from passgrid.llm.token_counts import _cut
+from passgrid.llm.wordpieces import PieceTokenizer, WordTokenizer, word_tokenizer
 
 NONE = "(none)"
+#: Bytes of text that are cut and counted at a time at most (a longer text by itself).
+SLICE_BYTES = 8 << 20
 #: Above so many cells they are raked as a table by Spark, and joined without a broadcast.
 DRIVER_CELLS = 50_000
 #: Rounds of raking at most.
@@ -38,21 +42,41 @@ def topic_of(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), "empty").when(text.contains(" | "), "table").when(marked, "markup").when(text == F.upper(text), "capitals").otherwise("prose")
 
 
-def word_count(text: Column) -> Column:
-    """Stretches without white space; an empty or null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+def counts(own: WordTokenizer | PieceTokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words (stretches without ASCII white space) and tokens of every text; a null text has none.
 
-
-def with_tokens(docs: DataFrame, text_col: str, name: str, tokenizer: str) -> DataFrame:
-    """The other columns, and the tokens of the whole text; a null text has none."""
+    Texts are cut at white space as columns, and each distinct stretch of them all is looked up once.
+    A text that may hold an added token, or any text of a file of another kind, is encoded by itself.
+    """
+    texts = pc.fill_null(texts, "")
+    alone = np.full(len(texts), not own.by_chunk)
+    if own.by_chunk:
+        if own.added:
+            alone = pc.match_substring(texts, own.opening).to_numpy(zero_copy_only=False)
+        cut = pc.ascii_split_whitespace(pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts))
+    else:
+        cut = pc.ascii_split_whitespace(texts)
+    starts, stretches = cut.offsets.to_numpy()[:-1], cut.values.dictionary_encode()
+    distinct, places = stretches.dictionary.to_numpy(zero_copy_only=False), stretches.indices.to_numpy()
+    # Every text has a stretch, if only an empty one.
+    words = np.add.reduceat((distinct != "")[places], starts, dtype=np.int64)
+    tokens = np.zeros(len(texts), np.int64) if alone.all() else np.add.reduceat(np.array(own.lengths(distinct), np.int32)[places], starts, dtype=np.int64)
+    for i in np.nonzero(alone)[0].tolist():
+        text = texts[i].as_py()
+        tokens[i] = len(own.ids(text)) // 4 if text else 0
+    return words, tokens
+
+
+def with_counts(docs: DataFrame, text_col: str, tokenizer: str) -> DataFrame:
+    """The other columns, and ``n_words`` and ``n_tokens`` of the whole text; a null text has none."""
     others = [c for c in docs.columns if c != text_col]
-    schema = StructType([docs.schema[c] for c in others]).add(name, LongType())
+    names = [*others, "n_words", "n_tokens"]
+    schema = StructType([docs.schema[c] for c in others]).add("n_words", LongType()).add("n_tokens", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_tokenizer(tokenizer)
-        for batch in batches:
-            n = [len(own.ids(t)) // 4 if t else 0 for t in batch.column(len(others)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*others, name])
+        for batch in _cut(batches, SLICE_BYTES, len(others)):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, counts(own, batch.column(len(others))))], names=names)
 
     return docs.select(*[col(c) for c in others], col(text_col)).mapInArrow(run, schema)
 
@@ -325,10 +349,10 @@ def sample_mixture(
     text, dims = own[text_col], ["source", "lang", "topic"]
     about = [own[source_col].cast("string").alias("source"), own[lang_col].cast("string").alias("lang"), (own[topic_col].cast("string") if topic_col else topic_of(text)).alias("topic")]
     if whole_rows:
-        counted = with_tokens(plain.select(*about, text.alias("text")), "text", "n_tokens", tokenizer)
+        counted = with_counts(plain.select(*about, text.alias("text")), "text", tokenizer)
         mixed = mixture(plain.select("*", *about), dims, "n_tokens", targets, power, share, driver_cells, weighed=counted)
         return mixed.where(drawn(own[id_col], F.col("mix_probability"), seed)).select(*plain.columns).toDF(*docs.columns)
-    narrow = plain.select(own[id_col].cast("long").alias("doc_id"), own[id_col].alias("key"), *about, word_count(text).alias("n_words"), text.alias("text"))
-    counted = staged(with_tokens(narrow, "text", "n_tokens", tokenizer), "tokens")
+    narrow = plain.select(own[id_col].cast("long").alias("doc_id"), own[id_col].alias("key"), *about, text.alias("text"))
+    counted = staged(with_counts(narrow, "text", tokenizer), "tokens")
     kept = mixture(counted, dims, "n_tokens", targets, power, share, driver_cells).where(drawn(F.col("key"), F.col("mix_probability"), seed))
     return kept.select("doc_id", *dims, "n_words", "n_tokens", "mix_weight", "mix_probability")

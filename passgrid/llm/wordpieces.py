@@ -14,6 +14,7 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 # The tokenizer file's own pre-token pattern, normaliser kinds and pre-tokeniser kinds.
@@ -72,6 +73,8 @@ class WordTokenizer:
         self.byte_chars = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self._chunks: dict[str, bytes] = _Filled(self._chunk_ids)
         self._words: dict[str, bytes] = _Filled(self._word_ids)
+        self._chunk_lengths: dict[str, int] = _Recent(self._chunk_length)
+        self._word_lengths: dict[str, int] = _Recent(lambda w: len(self.tokens_of_pretoken(w)))
 
     # one chunk or word ------------------------------------------------------------------
     def tokens_of_pretoken(self, word: str) -> list:
@@ -103,6 +106,17 @@ class WordTokenizer:
         words = self._words
         return b"".join([words[w] for w in self.chunk_pretokens(chunk)])
 
+    def _chunk_length(self, chunk: str) -> int:
+        lengths = self._word_lengths
+        return sum([lengths[w] for w in self.chunk_pretokens(chunk)])
+
+    def lengths(self, chunks: Iterable[str]) -> list[int]:
+        """Tokens of every chunk, where none holds an added token; no ids are made or kept."""
+        for cache in (self._chunk_lengths, self._word_lengths):
+            if len(cache) > CACHE_ENTRIES // 2:
+                cache.turn()
+        return list(map(self._chunk_lengths.__getitem__, chunks))
+
     # whole texts ------------------------------------------------------------------------
     def segments(self, text: str):
         """(chunks, None) for stretches of ordinary text, (None, id) for added tokens."""
@@ -160,6 +174,23 @@ class _Filled(dict):
         return value
 
 
+class _Recent(_Filled):
+    """The same, which forgets at a turn what was not asked for since the turn before."""
+
+    def __init__(self, fill):
+        super().__init__(fill)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        value = self[key] = self.fill(key) if value is None else value
+        return value
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
 class PieceTokenizer:
     """Encoder of a sentencepiece file; whole texts go through the library."""
 
